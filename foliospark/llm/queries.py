@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.simhash import op3_simhash
+from foliospark.llm.suffix_dedup import op8_suffix_array_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
     }
 
 
