@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm.mixing import op2_mixing
 from foliospark.llm.sentencepiece_codec import op1_sentencepiece
 from foliospark.llm.simhash import op3_simhash
 from foliospark.llm.suffix_dedup import op8_suffix_array_dedup
@@ -14,6 +15,7 @@ from foliospark.llm.suffix_dedup import op8_suffix_array_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_mixing": op2_mixing,
         "op3_simhash": op3_simhash,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
     }
