@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.mixing import op2_mixing
+from foliospark.llm.quality_rules import op10_quality_rules
 from foliospark.llm.sentencepiece_codec import op1_sentencepiece
 from foliospark.llm.simhash import op3_simhash
 from foliospark.llm.suffix_dedup import op8_suffix_array_dedup
+from foliospark.llm.url_filters import op7_sql, op7_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +19,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_mixing": op2_mixing,
         "op3_simhash": op3_simhash,
+        "op7_url_filters": op7_url_filters,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_url_filters": op7_sql(),
+    }
