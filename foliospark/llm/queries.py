@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm.language_id import op4_language_id
 from foliospark.llm.mixing import op2_mixing
 from foliospark.llm.quality_rules import op10_quality_rules
 from foliospark.llm.sentencepiece_codec import op1_sentencepiece
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_mixing": op2_mixing,
         "op3_simhash": op3_simhash,
+        "op4_language_id": op4_language_id,
         "op7_url_filters": op7_url_filters,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op10_quality_rules": op10_quality_rules,
