@@ -12,6 +12,7 @@ from foliospark.llm.quality_rules import op10_quality_rules
 from foliospark.llm.sentencepiece_codec import op1_sentencepiece
 from foliospark.llm.simhash import op3_simhash
 from foliospark.llm.suffix_dedup import op8_suffix_array_dedup
+from foliospark.llm.toxicity import op5_toxicity
 from foliospark.llm.url_filters import op7_sql, op7_url_filters
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_simhash": op3_simhash,
         "op4_language_id": op4_language_id,
+        "op5_toxicity": op5_toxicity,
         "op7_url_filters": op7_url_filters,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op10_quality_rules": op10_quality_rules,
