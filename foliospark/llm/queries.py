@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.language_id import op4_language_id
 from foliospark.llm.mixing import op2_mixing
+from foliospark.llm.nearest import op6_nearest
 from foliospark.llm.quality_rules import op10_quality_rules
 from foliospark.llm.sentencepiece_codec import op1_sentencepiece
 from foliospark.llm.simhash import op3_simhash
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
+        "op6_nearest": op6_nearest,
         "op7_url_filters": op7_url_filters,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op10_quality_rules": op10_quality_rules,
