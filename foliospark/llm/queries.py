@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.language_id import op4_language_id
+from foliospark.llm.lm_scoring import op9_lm_scoring
 from foliospark.llm.mixing import op2_mixing
 from foliospark.llm.nearest import op6_nearest
 from foliospark.llm.quality_rules import op10_quality_rules
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_nearest": op6_nearest,
         "op7_url_filters": op7_url_filters,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_quality_rules": op10_quality_rules,
     }
 
