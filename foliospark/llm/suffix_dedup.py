@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import binary_parts, list_array, name, ranges, table
@@ -110,11 +111,11 @@ def _flat(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, place, text, common, hot -> the pieces of repeated anchors; equal ones of a batch once, the first of them."""
+def _cut(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """key, place, text, common, hot -> the pieces of repeated anchors, packed; equal ones of a batch once, the first of them."""
     for batch in batches:
         key, place = batch.column("key").to_pylist(), batch.column("place").to_pylist()
-        data, limits = binary_parts(batch.column("text"))
+        data, limits = binary_parts(batch.column("text").cast(pa.binary()))
         common, hot = _flat(batch.column("common")), _flat(batch.column("hot"))
         h, first, last, row = owners(data, limits)
         often = np.isin(h, hot) if len(hot) else np.zeros(len(h), dtype=bool)
@@ -135,11 +136,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (was := found.get(at)) is None or me < was:
                 found[at] = me
         if found:
-            where = list(found.values())
-            yield pa.record_batch(
-                [pa.array([x for x, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary()), *(pa.array([w[i] for w in where], pa.int64()) for i in range(3))],
-                names=["h", "piece", "place", "key", "start"],
-            )
+            yield from _packed(found, shards)
+
+
+def _packed(found: dict[tuple[int, bytes], tuple[int, int, int]], shards: int) -> Iterator[pa.RecordBatch]:
+    """(shard, compressed block of pieces), one row for each shard that has any."""
+    h = np.array([x for x, _ in found], dtype=np.int64).view(np.uint64)
+    pieces = [p for _, p in found]
+    where = np.array(list(found.values()), dtype=np.int64)
+    shard = (h % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    press = zstandard.ZstdCompressor(level=3)
+    blocks = []
+    for group in np.split(order, cuts):
+        parts = [pieces[i] for i in group.tolist()]
+        head = np.array([len(parts)], dtype=np.int64).tobytes() + (h[group] // np.uint64(shards)).tobytes() + where[group].T.tobytes()
+        blocks.append(press.compress(head + np.array([len(p) for p in parts], dtype=np.int64).tobytes() + b"".join(parts)))
+    yield pa.record_batch([pa.array(shard[order][np.concatenate(([0], cuts))]), pa.array(blocks, pa.binary())], names=["shard", "block"])
+
+
+def _unpacked(block: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, int]]]:
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    h, place, key, start, size = np.frombuffer(data, dtype=np.int64, offset=8, count=5 * n).reshape(5, n).tolist()
+    at = 8 + 40 * n
+    for x, z, *me in zip(h, size, place, key, start, strict=True):
+        yield x, data[at : at + z], tuple(me)
+        at += z
 
 
 def first_windows(pieces: dict[bytes, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +199,7 @@ def first_windows(pieces: dict[bytes, tuple[int, int, int]]) -> tuple[np.ndarray
 
 
 def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by h -> key, place, first and last start of windows that come first among their equals."""
+    """Blocks sorted by shard -> key, place, first and last start of windows that come first among their equals."""
 
     def settle(pieces: dict[bytes, tuple[int, int, int]]) -> pa.RecordBatch:
         piece, lo, hi = first_windows(pieces)
@@ -183,22 +207,35 @@ def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, key, start = (np.array([w[i] for w in where], dtype=np.int64)[piece] for i in range(3))
         return pa.record_batch([pa.array(v) for v in (key, place, start + lo, start + hi)], names=["key", "place", "lo", "hi"])
 
-    pieces: dict[bytes, tuple[int, int, int]] = {}
-    size, last = 0, None
-    for batch in batches:
-        for h, piece, *me in zip(*(batch.column(c).to_pylist() for c in ("h", "piece", "place", "key", "start")), strict=True):
+    def settled(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """One shard, in parts of whole anchors of about SHARD bytes."""
+        rows = sorted((row for block in blocks for row in _unpacked(block)), key=lambda row: row[0])
+        pieces: dict[bytes, tuple[int, int, int]] = {}
+        size, last = 0, None
+        for h, piece, me in rows:
             if size >= SHARD and h != last:
                 yield settle(pieces)
                 pieces, size = {}, 0
-            last, me = h, tuple(me)
+            last = h
             if (was := pieces.get(piece)) is None:
                 size += len(piece) + 1
                 pieces[piece] = me
             elif me < was:
                 pieces[piece] = me
-    if pieces:
         yield settle(pieces)
 
+    blocks: list[bytes] = []
+    current = None
+    for batch in batches:
+        for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if shard != current and blocks:
+                yield from settled(blocks)
+                blocks = []
+            current = shard
+            blocks.append(block)
+    if blocks:
+        yield from settled(blocks)
+
 
 def _strip(data: np.ndarray, limits: np.ndarray, hashes: np.ndarray, clears: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(row, start, end) of the removed runs, from all repeated hashes and the cleared windows (row, lo, hi)."""
@@ -273,25 +310,37 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     own = [c for c in docs.columns if c not in ("removed", "kept")]
     base = docs.select(
-        F.struct(*(name(c) for c in own)).alias("row"),
+        F.struct(F.lit(0).alias("-"), *(name(c) for c in own if c != text)).alias("row"),
         F.xxhash64(name(doc_id).cast("bigint"), name(text)).alias("key"),
         F.coalesce(name(doc_id).cast("bigint"), F.lit(LAST)).alias("place"),
-        name(text).cast("binary").alias("text"),
+        name(text).alias("text"),
     )
-    anchors = base.select("key", F.explode(F.arrow_udf(_anchors, "array<bigint>")("text")).alias("h"))
+    anchors = base.select("key", F.explode(F.arrow_udf(_anchors, "array<bigint>")(F.col("text").cast("binary"))).alias("h"))
     often = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     marked = anchors.join(often, "h").groupBy("key").agg(F.collect_list(F.when(F.col("c") <= HOT, F.col("h"))).alias("common"), F.collect_list(F.when(F.col("c") > HOT, F.col("h"))).alias("hot"))
     joined = base.join(marked, "key", "left")
-    pieces = joined.where("common is not null").select("key", "place", "text", "common", "hot").mapInArrow(_cut, "h bigint, piece binary, place bigint, key bigint, start bigint")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clear = pieces.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_clear, "key bigint, place bigint, lo bigint, hi bigint")
+    shards = 4 * parts
+    # row goes along so that both readers of joined share one exchange of the texts
+    pieces = joined.where("common is not null").mapInArrow(lambda batches: _cut(batches, shards), "shard bigint, block binary")
+    clear = pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_clear, "key bigint, place bigint, lo bigint, hi bigint")
     clear = clear.groupBy("key").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("clear"))
     removed = F.arrow_udf(_removed, "struct<removed:array<struct<start:bigint,end:bigint>>,kept:binary>")
-    done = joined.join(clear, "key", "left").select("row", removed("place", "text", "common", "hot", "clear").alias("made"))
-    return done.select(*(F.col("row").getField(c).alias(c) for c in own), "made.removed", "made.kept")
+    done = joined.join(clear, "key", "left").select("row", "text", removed("place", F.col("text").cast("binary"), "common", "hot", "clear").alias("made"))
+    return done.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own), "made.removed", "made.kept")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def as_text(kept: Column) -> Column:
+    """kept as a string; what a cut left of a multi-byte character goes."""
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([(b or b"").decode("utf-8", "ignore") for b in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(of, "string")(kept)
