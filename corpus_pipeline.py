@@ -1,23 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again by a runner or chained by run()."""
+"""The corpus pipeline over documents.
+
+Each stage takes what its predecessor kept, whole; a runner writes and rereads
+between stages, and run() chains them. SQL can't express the stages: tests hold
+them against brute force on small tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.llm import mixing, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from foliospark.llm.common import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among docs, does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages; documents of which nothing is left go."""
+    left = suffix_dedup.strip_repeats(docs)
+    text = F.when(F.size("removed") > 0, suffix_dedup.as_text(F.col("kept"))).otherwise(F.col("text"))
+    cut = left.withColumn("text", text).where("size(removed) = 0 or text <> ''")
+    return cut.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
 
-from foliospark.llm.simhash import keep_one
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mix takes, whole documents only."""
+    return mixing.mix(docs).select(*docs.columns)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with their SentencePiece ids, and whether decoding them gives the text back."""
+    model = sentencepiece_codec.default_model()
+    done = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    same = F.col("decoded") == F.coalesce(F.replace("text", F.lit(sentencepiece_codec.SPACE), F.lit(" ")), F.lit(""))
+    return done.withColumn("round_trip", same).drop("decoded")
 
 
-STAGES = [("simhash", near_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
