@@ -135,7 +135,7 @@ def search(docs: DataFrame, postings: DataFrame, doc_stats: DataFrame, queries:
     """queries (query_id, query) -> (query_id, place, file_id, tier, score): the best `limit` for each.
 
     Tiers: exact title, exact name, exact path, title contains, text match,
-    substring alone; then rank, newest, file id. Filter docs beforehand; the
+    substring alone; then rank (to nine places), newest, file id. Filter docs beforehand; the
     index stays that of the corpus. score is null where only a substring hit.
     """
     limit = max(1, min(MOST_RESULTS, DEFAULT_LIMIT if limit is None else int(limit)))
@@ -148,7 +148,7 @@ def search(docs: DataFrame, postings: DataFrame, doc_stats: DataFrame, queries:
     facts = seen.select("file_id", "title", "file_name", "path", "updated_at")
     rows = both.join(facts, "file_id").join(F.broadcast(asked.select("query_id", T.ascii_lower("query").alias("exact"), T.ascii_lower(T.plain_path("query")).alias("as_path"))), "query_id")
     tier = F.when(T.ascii_lower("title") == F.col("exact"), 0).when(T.ascii_lower("file_name") == F.col("exact"), 1).when(T.ascii_lower("path") == F.col("as_path"), 2).when(F.col("in_title"), 3).when(F.col("rank").isNotNull(), 4).otherwise(5)
-    order = Window.partitionBy("query_id").orderBy("tier", F.coalesce("rank", F.lit(NO_RANK)), F.desc("updated_at"), "file_id")
+    order = Window.partitionBy("query_id").orderBy("tier", F.round(F.coalesce("rank", F.lit(NO_RANK)), 9), F.desc("updated_at"), "file_id")
     return rows.withColumn("tier", tier).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "file_id", "tier", F.col("rank").alias("score"))
 
 

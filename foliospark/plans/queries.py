@@ -44,12 +44,6 @@ def oracle_sql() -> dict[str, str]:
 # Full text
 
 
-@query("q8_search")
-def _(lib):
-    postings, stats = Q.build_index(lib.docs)
-    return Q.search(lib.docs, postings, stats, lib.queries, EVERYONE, 10).withColumn("score", F.round("score", 6))
-
-
 @query("q1_filter", "SELECT file_id, path FROM sdocs WHERE lower(language) = 'en' AND path LIKE '/en/%' AND (',' || lower(tags_text) || ',') LIKE '%,good,%' AND project_slug = 'src1'")
 def _(lib):
     return Q.filter_documents(lib.docs, project=" SRC1 ", directory="/EN/", language="En", tags=["Good", " "]).select("file_id", "path")
@@ -93,11 +87,34 @@ def _(lib):
     return Q.bm25(matches, stats).withColumn("rank", F.round("rank", 6))
 
 
-@query("q7_substring", "SELECT query_id, file_id, lower(title) LIKE '%' || lower(query) || '%' AS in_title FROM sdocs JOIN queries ON lower(title) LIKE '%' || lower(query) || '%' OR lower(file_name) LIKE '%' || lower(query) || '%' OR lower(path) LIKE '%' || lower(query) || '%' OR lower(description) LIKE '%' || lower(query) || '%' OR lower(content) LIKE '%' || lower(query) || '%' OR lower(tags_text) LIKE '%' || lower(query) || '%' WHERE query_id <> 10005")
+def _low(c):
+    return f"translate({c}, '{T.UPPER}', '{T.LOWER}')"
+
+
+ANY = " OR ".join(f"{_low(c)} LIKE '%' || lower(query) || '%'" for c in ("title", "file_name", "path", "description", "content", "tags_text"))
+
+
+@query("q7_substring", f"SELECT query_id, file_id, {_low('title')} LIKE '%' || lower(query) || '%' AS in_title FROM sdocs JOIN queries ON {ANY} WHERE query_id <> 10005")
 def _(lib):
     return Q.substring_match(lib.docs, lib.queries.where("query_id <> 10005"))
 
 
+BM25 = PHRASES + """, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hits GROUP BY ALL), corpus AS (SELECT count(*) AS docs, avg(length) AS mean FROM stats),
+    parts AS (SELECT h.query_id, h.file_id, h.n_phrases, (CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END) * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * length / mean)) AS part FROM hits h JOIN per USING (query_id, phrase_no) JOIN stats s ON s.file_id = h.file_id CROSS JOIN corpus),
+    ranks AS (SELECT query_id, file_id, -sum(part) AS rank FROM parts GROUP BY query_id, file_id, n_phrases HAVING count(*) = n_phrases)"""
+
+
+@query("q8_search", f"""WITH {BM25}, likes AS (SELECT query_id, file_id FROM sdocs JOIN queries ON {ANY} WHERE query_id <= 10001),
+    found AS (SELECT query_id, file_id FROM likes UNION SELECT query_id, file_id FROM ranks),
+    tiered AS (SELECT f.query_id, f.file_id, r.rank, d.updated_at, CASE WHEN {_low('title')} = {_low('query')} THEN 0 WHEN {_low('file_name')} = {_low('query')} THEN 1 WHEN {_low('title')} LIKE '%' || lower(query) || '%' THEN 3 WHEN r.rank IS NOT NULL THEN 4 ELSE 5 END AS tier
+      FROM found f JOIN sdocs d ON d.file_id = f.file_id AND d.visibility = 'public' JOIN queries q ON q.query_id = f.query_id LEFT JOIN ranks r ON r.query_id = f.query_id AND r.file_id = f.file_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(coalesce(rank, 999999), 9), updated_at DESC, file_id) AS place FROM tiered)
+    SELECT query_id, CAST(place AS INTEGER) AS place, file_id, tier, round(rank, 6) AS score FROM placed WHERE place <= 10""")
+def _(lib):
+    postings, stats = Q.build_index(lib.docs)
+    return Q.search(lib.docs, postings, stats, lib.queries.where("query_id <= 10001"), EVERYONE, 10).withColumn("score", F.round("score", 6))
+
+
 @query("q9_browse", "SELECT file_id, title, updated_at FROM sdocs WHERE visibility = 'public' ORDER BY updated_at DESC, file_id LIMIT 20")
 def _(lib):
     return Q.browse(lib.docs, EVERYONE, 20)
