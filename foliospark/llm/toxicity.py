@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import binary_parts, name, ranges, table, with_fields
-from foliospark.llm.language_id import sample
 from foliospark.llm.ngrams import hashed, inside, lower
 
 #: The fitted sample: about this many labelled texts of each class.
@@ -124,10 +123,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     Null labels teach nothing; a document labelled twice counts twice.
     """
-    known = labels.where("toxic is not null").select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.join(known, docs["doc_id"] == known["labelled"]).select("doc_id", "text", "toxic")
-    got = sample(rows, "doc_id", "text", "toxic", PER_CLASS, 2, SEED)
-    return train([t for t, _ in got], [x != "0" for _, x in got])
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("labelled"), (F.col("toxic") != 0).alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = lambda c: int(min(1.0, PER_CLASS / max(counts.get(c, 0), 1)) * (1 << 30))
+    spot = F.pmod(F.xxhash64(F.lit(SEED), "labelled"), F.lit(1 << 30))
+    # the labels are chosen before any text is touched, and so few that all tasks may have them
+    chosen = known.withColumn("spot", spot).where(F.col("spot") < F.when(F.col("toxic"), share(True)).otherwise(share(False))).limit(4 * PER_CLASS)
+    rows = docs.where("text is not null").join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled"]).select("spot", "doc_id", F.col("text").cast("binary").alias("text"), "toxic").limit(4 * PER_CLASS).collect()
+    got = sorted(rows, key=lambda r: (r["spot"], r["doc_id"], r["text"], r["toxic"]))
+    return train([bytes(r["text"]) for r in got], [r["toxic"] for r in got])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
