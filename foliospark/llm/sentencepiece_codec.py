@@ -29,8 +29,9 @@ from foliospark.llm.common import binary_parts, list_array, name, ranges, table,
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Characters of text encoded at once, and how many words' pieces a worker remembers.
-BATCH, REMEMBERED = 1 << 21, 200_000
+NEVER = float("inf")
+#: Characters of text encoded at once, and how many words and pairs of pieces a worker remembers.
+BATCH, REMEMBERED, PAIRS = 1 << 20, 600_000, 2_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -88,6 +89,7 @@ class Model:
         self.keys, self.ids = keys[order], np.fromiter(self.by_text.values(), dtype=np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.rank = {p: -float(self.scores[i]) for p, i in self.by_text.items()}
         self.alphabet = {p for p in self.by_text if len(p) == 1}
         self.lengths = np.array([len(p) for p in self.pieces])
         self.piece_bytes = [b"" if lib.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
@@ -95,6 +97,8 @@ class Model:
             self.piece_bytes[i] = bytes([b])
         self.piece_bytes[self.unknown] = b" \xe2\x81\x87 "
         self.pair_keys, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.fresh: dict[int, bool] = {}
+        self.joints = {p[i : i + 2] for p in self.by_text for i in range(len(p) - 1)}
         self.words: dict[str, int] = {}
         self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
@@ -107,16 +111,19 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure on a short text: best score first, leftmost among equals."""
-        parts, by_text, scores = list(text), self.by_text, self.scores
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                found = by_text.get(parts[i] + parts[i + 1])
-                if found is not None and scores[found] > best:
-                    best, at = scores[found], i
-            if at < 0:
+        parts, rank = list(text), self.rank
+        found = [rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while found:
+            best = min(found)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = found.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i < len(found):
+                found[i] = rank.get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                found[i - 1] = rank.get(parts[i - 1] + parts[i], NEVER)
         return parts
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -125,20 +132,29 @@ class Model:
         spot = np.searchsorted(self.pair_keys, key)
         spot[spot == len(self.pair_keys)] = 0
         known = self.pair_keys[spot] == key if len(self.pair_keys) else np.zeros(len(key), dtype=bool)
+        out = np.zeros(len(key), dtype=bool)
+        out[known] = self.pair_fits[spot[known]]
         if not known.all():
-            new = np.unique(key[~known])
-            fits = [self.merged(p + q) == [p, q] for p, q in ((self.pieces[k // len(self.pieces)], self.pieces[k % len(self.pieces)]) for k in new.tolist())]
-            if len(self.pair_keys) > 4_000_000:
-                self.pair_keys, self.pair_fits = self.pair_keys[:0], self.pair_fits[:0]
-                return self._fit(left, right)
-            keys, verdicts = np.concatenate((self.pair_keys, new)), np.concatenate((self.pair_fits, np.array(fits, dtype=bool)))
-            order = np.argsort(keys)
-            self.pair_keys, self.pair_fits = keys[order], verdicts[order]
-            spot = np.searchsorted(self.pair_keys, key)
-        return self.pair_fits[spot]
-
-    def _viterbi(self, words: list[str], n: int) -> list[np.ndarray]:
-        """Pieces of words of n characters, all of the model's alphabet."""
+            new, back = np.unique(key[~known], return_inverse=True)
+            verdicts = []
+            for k in new.tolist():
+                if (verdict := self.fresh.get(k)) is None:
+                    p, q = self.pieces[k // len(self.pieces)], self.pieces[k % len(self.pieces)]
+                    verdict = self.fresh[k] = self.merged(p + q) == [p, q]
+                verdicts.append(verdict)
+            out[~known] = np.array(verdicts, dtype=bool)[back]
+            if len(self.fresh) > max(4096, len(self.pair_keys) // 4):
+                if len(self.pair_keys) > PAIRS:
+                    self.pair_keys, self.pair_fits = self.pair_keys[:0], self.pair_fits[:0]
+                keys = np.concatenate((self.pair_keys, np.fromiter(self.fresh, dtype=np.int64)))
+                fits = np.concatenate((self.pair_fits, np.fromiter(self.fresh.values(), dtype=bool)))
+                order = np.argsort(keys)
+                self.pair_keys, self.pair_fits = keys[order], fits[order]
+                self.fresh.clear()
+        return out
+
+    def _viterbi(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of n characters, all of the model's alphabet, end to end, and how many each has."""
         m = len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(m, n).T.astype(np.uint64)
         codes = codes * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(0x94D049BB133111EB)
@@ -153,21 +169,22 @@ class Model:
         last = np.full((n + 1, m), -1, dtype=np.int64)
         for j in range(1, n + 1):
             reach = min(j, self.longest)
-            score, piece = np.full((reach, m), -np.inf), np.full((reach, m), -1, dtype=np.int64)
+            piece = np.full((reach, m), -1, dtype=np.int64)
             for size in range(1, reach + 1):
                 key = prefix[j] - prefix[j - size] * power[size]
                 spot = np.searchsorted(self.keys, key)
                 spot[spot == len(self.keys)] = 0
-                hit = np.flatnonzero((self.keys[spot] == key) & (best[j - size] > -np.inf))
-                if not len(hit):
-                    continue
-                found = self.ids[spot[hit]]
-                before = last[j - size][hit]
-                if self.kind == BPE and j > size:
-                    ok = self._fit(before, found)
-                    hit, found = hit[ok], found[ok]
-                score[size - 1, hit] = best[j - size][hit] + self.scores[found]
-                piece[size - 1, hit] = found
+                hit = (self.keys[spot] == key) & (best[j - size] > -np.inf)
+                piece[size - 1] = np.where(hit, self.ids[spot], -1)
+            if self.kind == BPE:
+                # one path is left to each place, so a lone candidate needs no test
+                size, word = np.nonzero((piece >= 0) & ((piece >= 0).sum(axis=0) > 1))
+                before = last[j - 1 - size, word]
+                inner = before >= 0
+                size, word, before = size[inner], word[inner], before[inner]
+                bad = ~self._fit(before, piece[size, word])
+                piece[size[bad], word[bad]] = -1
+            score = np.where(piece >= 0, best[j - reach : j][::-1] + self.scores[piece], -np.inf)
             choice = np.argmax(score, axis=0)
             best[j], last[j] = score[choice, np.arange(m)], piece[choice, np.arange(m)]
         at, rows = np.full(m, n), np.arange(m)
@@ -177,46 +194,56 @@ class Model:
             back.append(now)
             at = np.where(at > 0, at - self.lengths[now], 0)
         steps = np.array(back[::-1]).T
-        return [row[row >= 0] for row in steps]
+        return steps[steps >= 0], (steps >= 0).sum(axis=1)
 
     def _fallback(self, character: str) -> list[int]:
         return [self.bytes[b] for b in character.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
+    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Remember words with their pieces, given end to end."""
+        k, n = len(self.words), len(ids)
+        if self.used + n > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(n, len(self.flat)), dtype=self.flat.dtype)))
+        if k + len(words) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((v, np.zeros(max(len(words), len(v)), dtype=v.dtype))) for v in (self.starts, self.sizes))
+        self.flat[self.used : self.used + n] = ids
+        self.starts[k : k + len(words)] = self.used + np.cumsum(counts) - counts
+        self.sizes[k : k + len(words)] = counts
+        self.words.update(zip(words, range(k, k + len(words)), strict=True))
+        self.used += n
+
+    def _gather(self, seats: np.ndarray) -> np.ndarray:
+        """The pieces of remembered words, end to end."""
+        sizes = self.sizes[seats]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[seats] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
     def _learn(self, words: list[str]) -> None:
-        """Work out words not seen yet."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-            self.used = 0
-        split = {w: self._split(w) for w in words}
-        runs = {r for parts in split.values() for r in parts if r[0] in self.alphabet}
+        """Work out words not seen yet, by way of their runs."""
+        split = [self._split(w) for w in words]
         by_length: dict[int, list[str]] = {}
-        for r in runs:
-            by_length.setdefault(len(r), []).append(r)
-        done: dict[str, np.ndarray] = {}
+        other: list[str] = []
+        for r in dict.fromkeys(r for parts in split for r in parts):
+            if r not in self.words:
+                (by_length.setdefault(len(r), []) if r[0] in self.alphabet else other).append(r)
         for n, same in by_length.items():
             step = max(1, (1 << 18) // n)
             for i in range(0, len(same), step):
-                done |= zip(same[i : i + step], self._viterbi(same[i : i + step], n), strict=True)
-        for w, parts in split.items():
-            ids = np.concatenate([done[r] if r[0] in self.alphabet else np.array([b for c in r for b in self._fallback(c)]) for r in parts])
-            k, n = len(self.words), len(ids)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            if k == len(self.starts):
-                self.starts, self.sizes = (np.concatenate((v, np.zeros_like(v))) for v in (self.starts, self.sizes))
-            self.flat[self.used : self.used + n] = ids
-            self.starts[k], self.sizes[k], self.words[w] = self.used, n, k
-            self.used += n
+                self._keep(same[i : i + step], *self._viterbi(same[i : i + step], n))
+        if other:
+            bytes_of = [[b for c in r for b in self._fallback(c)] for r in other]
+            self._keep(other, np.array([b for bs in bytes_of for b in bs], dtype=np.int64), np.array([len(bs) for bs in bytes_of]))
+        joined = [(w, parts) for w, parts in zip(words, split, strict=True) if len(parts) > 1]
+        if joined:
+            seats = np.fromiter((self.words[r] for _, parts in joined for r in parts), dtype=np.int64)
+            cuts = np.cumsum([0, *(len(parts) for _, parts in joined[:-1])])
+            self._keep([w for w, _ in joined], self._gather(seats), np.add.reduceat(self.sizes[seats], cuts))
 
     def _split(self, word: str) -> list[str]:
-        """Runs of characters that the model has, and of others."""
-        alphabet, cuts, known = self.alphabet, [0], None
-        for i, c in enumerate(word):
-            now = c in alphabet
-            if known is not None and now != known:
-                cuts.append(i)
-            known = now
-        return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
+        """The word, parted where no piece has both neighbours, so that nothing can span the cut."""
+        joints = self.joints
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joints]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and how many each text has."""
@@ -229,17 +256,13 @@ class Model:
                 counts[i] = len(found)
         local = dict.fromkeys(words)
         new = [w for w in local if w not in self.words]
-        if new:
-            if len(self.words) + len(new) > REMEMBERED:
-                self._learn(list(local))
-            else:
-                self._learn(new)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            self.used, new = 0, list(local)
+        self._learn(new)
         seat = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        sizes, starts = self.sizes[seat], self.starts[seat]
-        total = int(sizes.sum())
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        ids = self._gather(seat)
+        bounds = np.concatenate(([0], np.cumsum(self.sizes[seat])))[np.concatenate(([0], np.cumsum(counts)))]
         return ids, np.diff(bounds)
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -266,14 +289,10 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
         codec = model_of(model)
         for batch in batches:
             data, limits = binary_parts(batch)
-            whole, at = data.tobytes(), limits.tolist()
-            flat, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
-            for r0, r1 in ranges(np.diff(limits), BATCH):
-                ids, counts = codec.encode([whole[at[r] : at[r + 1]].decode("utf-8", "replace") for r in range(r0, r1)])
-                flat.append(ids)
-                sizes.append(counts)
-            lists = list_array(pa.array(np.concatenate(flat), pa.int32()), np.concatenate(sizes))
-            yield pa.StructArray.from_arrays([lists], names=["pieces"])
+            for r0, r1 in ranges(np.diff(limits), BATCH):  # a part at a time: a batch's ids would take more room than its text
+                whole, at = data[limits[r0] : limits[r1]].tobytes(), (limits[r0 : r1 + 1] - limits[r0]).tolist()
+                ids, counts = codec.encode([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])
+                yield pa.StructArray.from_arrays([list_array(pa.array(ids, pa.int32()), counts)], names=["pieces"])
 
     return with_fields(docs, F.arrow_udf(of, "struct<pieces:array<int>>")(name(text).cast("binary")), ["pieces"])
 
@@ -284,7 +303,9 @@ def decode(docs: DataFrame, model: bytes, pieces: str = "pieces") -> DataFrame:
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = model_of(model)
         for batch in batches:
-            yield pa.StructArray.from_arrays([pa.array([codec.decode(ids.values.to_numpy().tolist()) if ids.is_valid else "" for ids in batch], pa.string())], names=["decoded"])
+            for i in range(0, len(batch), 500):
+                part = batch.slice(i, 500)
+                yield pa.StructArray.from_arrays([pa.array([codec.decode(ids.values.to_numpy().tolist()) if ids.is_valid else "" for ids in part], pa.string())], names=["decoded"])
 
     return with_fields(docs, F.arrow_udf(of, "struct<decoded:string>")(name(pieces)), ["decoded"])
 
