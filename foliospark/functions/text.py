@@ -121,7 +121,7 @@ def canonical_json(value: Column) -> Column:
     """JSON with nulls written; give struct fields in key order. Control characters are escaped in lower case."""
     out = F.to_json(value, {"ignoreNullFields": "false"})
     for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
-        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\\\u00{code.lower()}")
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
     return out
 
 

@@ -39,9 +39,9 @@ def canonical_url(href: Column | str, base: Column | str, prefix: str = "/", kee
     """href made absolute against base, without fragment and end slash (and query); null for another scheme, host or path."""
     href, base = T.strip(href), T.col(base)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:]/)[^/]*$|(?<=^[a-z]{4,5}://[^/]{1,250})$", "")
     path = F.regexp_replace(base, r"[?#].*$", "")
-    joined = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z]+:)", 1), href)).when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("?"), F.concat(path, href)).when(href.startswith("#") | (href == ""), path).otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), href))
+    folder = F.when(path == origin, path).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
+    joined = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z]+:)", 1), href)).when(href.startswith("/"), F.concat(origin, href)).when(href.startswith("?"), F.concat(path, href)).when(href.startswith("#") | (href == ""), path).otherwise(F.concat(folder, F.lit("/"), href))
     bare = F.regexp_replace(joined, r"#.*$", "")
     query = F.regexp_extract(bare, r"(\?.*)$", 1)
     plain = F.regexp_replace(F.regexp_replace(bare, r"\?.*$", ""), "/+$", "")

@@ -46,5 +46,6 @@ def common_item(kv: DataFrame, requests: DataFrame) -> DataFrame:
 
 def list_common(kv: DataFrame) -> DataFrame:
     """Entries of index:common that have a key and a title."""
-    entries = kv.where("key = 'index:common'").select(F.explode(F.from_json("value", "array<struct<key:string,title:string,description:string>>")).alias("e"))
+    parts = kv.where("key = 'index:common'").select(F.explode(F.from_json("value", "array<string>")).alias("part"))
+    entries = parts.select(F.from_json("part", "struct<key:string,title:string,description:string>").alias("e"))
     return entries.select("e.*").where("key is not null and title is not null")

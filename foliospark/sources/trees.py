@@ -14,6 +14,7 @@ from foliospark.operators import normalize as N
 
 #: Config files of a project and a folder, and the defaults of what they leave out. Fixed values.
 PROJECT_FILE, FOLDER_FILE = "_project.yaml", "_folder.yaml"
+MOST_CONFIGS, MOST_LEVELS = 10_000, 16
 DEFAULT_VISIBILITY, DEFAULT_LANGUAGE = "private", "zh-CN"
 
 
@@ -35,6 +36,29 @@ def read_content_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("project_dir", "rel_path", "source_path", F.when(fine, F.col("content").cast("string")).alias("raw"), fine.alias("utf8"))
 
 
+def _config_files(spark: SparkSession, root: str) -> DataFrame:
+    """The config files of a tree like _tree's rows. Spark's readers pass over names with a leading _, so
+    the driver lists and reads them: one small file for each project and folder, MOST_CONFIGS at most."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(base).toString().rstrip("/")
+    rows = []
+    for depth in range(1, MOST_LEVELS + 1):
+        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(top + "/*" * depth + f"/{{{PROJECT_FILE},{FOLDER_FILE}}}")) or ():
+            source = found.getPath().toString()[len(top) + 1 :]
+            stream = fs.open(found.getPath())
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            project, _, rest = source.partition("/")
+            rows.append((project, rest, source, bytearray(text.encode())))
+            if len(rows) > MOST_CONFIGS:
+                raise ValueError(f"more than {MOST_CONFIGS} config files under {root}")
+    return spark.createDataFrame(rows, "project_dir string, rel_path string, source_path string, content binary")
+
+
 def read_configs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Projects and folders of a tree, with defaults; a config that can't be read has its reason in error."""
     kind = "project_dir string, rel_path string, source_path string, id string, slug string, name string, description string, visibility string, default_language string, prune boolean, enabled boolean, sort_order int, metadata_json string, error string"
@@ -56,8 +80,7 @@ def read_configs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
 
-    found = _tree(spark, root, "_*.yaml")
-    configs = found.mapInPandas(of, kind)
+    configs = _config_files(spark, root).mapInPandas(of, kind)
     name = F.substring_index("source_path", "/", -1)
     projects = configs.where(name == PROJECT_FILE).drop("rel_path", "sort_order")
     return projects, configs.where(name == FOLDER_FILE).drop("slug", "name", "default_language", "prune", "enabled")
