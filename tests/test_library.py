@@ -24,7 +24,7 @@ def one(spark, *columns):
 
 
 def test_index_names_keys_and_delays(spark):
-    names = [("Shadcn UI Docs", "shadcn-ui-docs"), ("prompt_library", "prompt_library"), ("a" * 65, None), ("!!", None)]
+    names = [("My UI Docs", "my-ui-docs"), ("doc_library", "doc_library"), ("a" * 65, None), ("!!", None)]
     for r in spark.createDataFrame(names, "slug string, want string").withColumn("got", outbox.instance_id("slug")).collect():
         assert r["got"] == r["want"]
     keys = [("guides\\content-sync.md", "guides/content-sync.md"), ("/components/./button.md", "components/button.md"), ("../secret.md", None), ("/", None)]
@@ -42,8 +42,8 @@ def test_uris_round_trip_and_refuse_bad_ones(spark):
 
 
 def test_links_of_all_kinds(spark):
-    want = "/p/prompt-library/guides/content-sync.md"
-    links = ["prompt://prompt-library/guides/content-sync.md", "prompt-library:/guides/content-sync.md", "https://x.example/p/prompt-library/guides/content-sync.md", "/p/prompt-library/guides/content-sync.md", "https://x.example/raw/prompt-library/guides/content-sync.md", "https://x.example/raw?identifier=prompt-library%3A%2Fguides%2Fcontent-sync.md", "https://x.example/api/files/fetch?identifier=prompt%3A%2F%2Fprompt-library%2Fguides%2Fcontent-sync.md", "prompt-library/guides/content-sync.md"]
+    want = "/p/doc-library/guides/content-sync.md"
+    links = ["prompt://doc-library/guides/content-sync.md", "doc-library:/guides/content-sync.md", "https://x.example/p/doc-library/guides/content-sync.md", "/p/doc-library/guides/content-sync.md", "https://x.example/raw/doc-library/guides/content-sync.md", "https://x.example/raw?identifier=doc-library%3A%2Fguides%2Fcontent-sync.md", "https://x.example/api/files/fetch?identifier=prompt%3A%2F%2Fdoc-library%2Fguides%2Fcontent-sync.md", "doc-library/guides/content-sync.md"]
     out = catalog.normalize_links(spark.createDataFrame([(x,) for x in links], "link string")).collect()
     assert [r["viewer_path"] for r in out] == [want] * len(links)
     bare = catalog.normalize_links(spark.createDataFrame([("doc-1",), (None,), (" ",)], "link string")).collect()
