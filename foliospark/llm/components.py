@@ -12,9 +12,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """Links (a long, b long) -> (node, root): every linked node and one node of its component.
 
     Each round points every node at its least neighbour, follows the pointers
-    three times, and replaces the ends of each link by what they point at;
-    links inside one node vanish. Only aggregates and equi-joins move data, so
-    no component is ever gathered in one task. Nulls and self-links are left out.
+    to their end, and replaces the ends of each link by it; links inside one
+    node vanish, and half the nodes at least. Only aggregates and equi-joins
+    move data, so no component is ever gathered in one task. Nulls and
+    self-links are left out.
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     edges = reliable(links)
@@ -23,10 +24,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         point = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
         point = reliable(point)
-        for _ in range(3):
+        while True:  # each turn doubles how far a pointer reaches, until all reach the end of their chain
             after = point.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            point = point.join(after, "p").select("a", F.col("q").alias("p"))
-        point = reliable(point)
+            further = reliable(point.join(after, "p").select("a", "q", (F.col("p") != F.col("q")).alias("moved")))
+            point = further.select("a", F.col("q").alias("p"))
+            if further.where("moved").isEmpty():
+                break
         to = point.select(F.col("a").alias("root"), "p")
         found = reliable(found.join(to, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         ends = edges.join(point, "a").select(F.col("p").alias("x"), "b")
