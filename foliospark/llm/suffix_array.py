@@ -147,6 +147,8 @@ def _order(rank: np.ndarray, tied: np.ndarray, reach: int = 1) -> np.ndarray:
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array of small unsigned symbols; the last one must be the only smallest."""
+    if len(t) == 1:
+        return np.zeros(1, dtype=np.int64)
     k = int(t.max()) + 1
     starts = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=k)))).astype(np.int64)
     small = classify(t)

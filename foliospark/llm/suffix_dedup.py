@@ -31,6 +31,8 @@ HOT = 20_000
 #: Bytes of text hashed at once, and of pieces in a suffix array. A row longer
 #: than the first is hashed in overlapping parts.
 BUFFER, SHARD = 1 << 19, 1 << 20
+#: Bytes of text whose pieces are gathered at once, equal ones merged.
+PART = 1 << 23
 LAST = (1 << 63) - 1
 
 _SPOT = np.uint64((1 << 24) - 1)
@@ -103,6 +105,12 @@ def _anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         data, limits = binary_parts(batch)
         h, _, _, row = owners(data, limits)
+        # a third time in one text tells nothing more
+        order = np.lexsort((h, row))
+        x, r = h[order], row[order]
+        third = np.zeros(len(h), dtype=bool)
+        third[2:] = (x[2:] == x[:-2]) & (r[2:] == r[:-2])
+        h, row = x[~third], r[~third]
         yield list_array(pa.array(h.view(np.int64)), np.bincount(row, minlength=len(batch)))
 
 
@@ -112,31 +120,38 @@ def _flat(lists: pa.Array) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """key, place, text, common, hot -> the pieces of repeated anchors, packed; equal ones of a batch once, the first of them."""
+    """key, place, text, common, hot -> the pieces of repeated anchors, packed; equal ones of PART bytes of text once, the first of them."""
     for batch in batches:
-        key, place = batch.column("key").to_pylist(), batch.column("place").to_pylist()
-        data, limits = binary_parts(batch.column("text").cast(pa.binary()))
-        common, hot = _flat(batch.column("common")), _flat(batch.column("hot"))
-        h, first, last, row = owners(data, limits)
-        often = np.isin(h, hot) if len(hot) else np.zeros(len(h), dtype=bool)
-        keep = often | np.isin(h, common)
-        h, first, last, row, often = (v[keep] for v in (h, first, last, row, often))
-        if often.any():
-            size = np.where(often, last - first + 1, 1)
-            which = np.repeat(np.arange(len(h)), size)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            first, last = first[which] + step, np.where(often[which], first[which] + step, last[which])
-            h, row, often = h[which], row[which], often[which]
-        found: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        whole, bases = data.tobytes(), limits.tolist()
-        for x, a, z, r, single in zip(h.view(np.int64).tolist(), first.tolist(), last.tolist(), row.tolist(), often.tolist(), strict=True):
-            piece = whole[a : z + WINDOW]
-            me = (place[r], key[r], a - bases[r])
-            at = (xxhash.xxh64_intdigest(piece) - (1 << 63) if single else x, piece)
-            if (was := found.get(at)) is None or me < was:
-                found[at] = me
-        if found:
-            yield from _packed(found, shards)
+        keys, places = batch.column("key").to_pylist(), batch.column("place").to_pylist()
+        texts, bounds = binary_parts(batch.column("text").cast(pa.binary()))
+        for r0, r1 in ranges(np.diff(bounds), PART):
+            part = batch.slice(r0, r1 - r0)
+            found = _pieces(keys[r0:r1], places[r0:r1], texts[bounds[r0] : bounds[r1]], bounds[r0 : r1 + 1] - bounds[r0], _flat(part.column("common")), _flat(part.column("hot")))
+            if found:
+                yield from _packed(found, shards)
+        pa.default_memory_pool().release_unused()
+
+
+def _pieces(key: list[int], place: list[int], data: np.ndarray, limits: np.ndarray, common: np.ndarray, hot: np.ndarray) -> dict[tuple[int, bytes], tuple[int, int, int]]:
+    h, first, last, row = owners(data, limits)
+    often = np.isin(h, hot) if len(hot) else np.zeros(len(h), dtype=bool)
+    keep = often | np.isin(h, common)
+    h, first, last, row, often = (v[keep] for v in (h, first, last, row, often))
+    if often.any():
+        size = np.where(often, last - first + 1, 1)
+        which = np.repeat(np.arange(len(h)), size)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        first, last = first[which] + step, np.where(often[which], first[which] + step, last[which])
+        h, row, often = h[which], row[which], often[which]
+    found: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+    whole, bases = data.tobytes(), limits.tolist()
+    for x, a, z, r, single in zip(h.view(np.int64).tolist(), first.tolist(), last.tolist(), row.tolist(), often.tolist(), strict=True):
+        piece = whole[a : z + WINDOW]
+        me = (place[r], key[r], a - bases[r])
+        at = (xxhash.xxh64_intdigest(piece) - (1 << 63) if single else x, piece)
+        if (was := found.get(at)) is None or me < was:
+            found[at] = me
+    return found
 
 
 def _packed(found: dict[tuple[int, bytes], tuple[int, int, int]], shards: int) -> Iterator[pa.RecordBatch]:
@@ -265,37 +280,43 @@ def _strip(data: np.ndarray, limits: np.ndarray, hashes: np.ndarray, clears: lis
 
 
 def _removed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    for place, text, common, hot, clear in batches:
-        data, limits = binary_parts(text)
-        places, clears = place.to_pylist(), clear.to_pylist()
-        spans: list[list[tuple[int, int]]] = [[] for _ in places]
-        marked = np.flatnonzero(np.asarray(common.is_valid()))
-        counts = np.zeros(len(places), dtype=np.int64)
-        counts[marked] = np.diff(limits)[marked]
-        for r0, r1 in ranges(counts, BUFFER):
-            rows = marked[(marked >= r0) & (marked < r1)]
-            if not len(rows):
-                continue
-            hashes = np.concatenate((_flat(common.slice(r0, r1 - r0)), _flat(hot.slice(r0, r1 - r0))))
-            part = np.concatenate([data[limits[r] : limits[r + 1]] for r in rows])
-            own = np.concatenate(([0], np.cumsum([limits[r + 1] - limits[r] for r in rows])))
-            known = [(i, c["lo"], c["hi"]) for i, r in enumerate(rows.tolist()) for c in clears[r] or () if c["place"] == places[r]]
-            for i, a, z in _strip(part, own, hashes, known):
-                spans[rows[i]].append((a, z))
-        whole, bases = data.tobytes(), limits.tolist()
-        kept = []
-        for i, gone in enumerate(spans):
-            one = whole[bases[i] : bases[i + 1]]
-            if gone:
-                at, left = 0, []
-                for a, z in gone:
-                    left.append(one[at:a])
-                    at = z
-                one = b"".join([*left, one[at:]])
-            kept.append(one)
-        flat = [x for gone in spans for x in gone]
-        pairs = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.int64()) for i in range(2)], names=["start", "end"])
-        yield pa.StructArray.from_arrays([list_array(pairs, [len(x) for x in spans]), pa.array(kept, pa.binary())], names=["removed", "kept"])
+    for batch in batches:
+        yield _removed_batch(*batch)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def _removed_batch(place: pa.Array, text: pa.Array, common: pa.Array, hot: pa.Array, clear: pa.Array) -> pa.Array:
+    data, limits = binary_parts(text)
+    places, clears = place.to_pylist(), clear.to_pylist()
+    spans: list[list[tuple[int, int]]] = [[] for _ in places]
+    marked = np.flatnonzero(np.asarray(common.is_valid()))
+    counts = np.zeros(len(places), dtype=np.int64)
+    counts[marked] = np.diff(limits)[marked]
+    for r0, r1 in ranges(counts, BUFFER):
+        rows = marked[(marked >= r0) & (marked < r1)]
+        if not len(rows):
+            continue
+        hashes = np.concatenate((_flat(common.slice(r0, r1 - r0)), _flat(hot.slice(r0, r1 - r0))))
+        part = np.concatenate([data[limits[r] : limits[r + 1]] for r in rows])
+        own = np.concatenate(([0], np.cumsum([limits[r + 1] - limits[r] for r in rows])))
+        known = [(i, c["lo"], c["hi"]) for i, r in enumerate(rows.tolist()) for c in clears[r] or () if c["place"] == places[r]]
+        for i, a, z in _strip(part, own, hashes, known):
+            spans[rows[i]].append((a, z))
+    whole, bases = data.tobytes(), limits.tolist()
+    kept = []
+    for i, gone in enumerate(spans):
+        one = whole[bases[i] : bases[i + 1]]
+        if gone:
+            at, left = 0, []
+            for a, z in gone:
+                left.append(one[at:a])
+                at = z
+            one = b"".join([*left, one[at:]])
+        kept.append(one)
+    flat = [x for gone in spans for x in gone]
+    pairs = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.int64()) for i in range(2)], names=["start", "end"])
+    return pa.StructArray.from_arrays([list_array(pairs, [len(x) for x in spans]), pa.array(kept, pa.binary())], names=["removed", "kept"])
 
 
 def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
