@@ -675,16 +675,19 @@ def _(lib):
 
 
 def _outcomes(lib):
-    h = F.crc32("dedupe_key") % 4
+    h = F.col("attempts") % 4
     return lib.jobs.where("status = 'processing'").select("dedupe_key", F.when(h == 0, "completed").when(h == 1, "skipped").otherwise("error").alias("result"), F.lit("broken").alias("message"), (h == 3).alias("permanent"))
 
 
-@query("o10_outcomes")
+BROKEN, OVER = "(status = 'processing' AND attempts % 4 >= 2)", "(attempts >= 5 OR attempts % 4 = 3)"
+
+
+@query("o10_outcomes", f"SELECT dedupe_key, CASE WHEN status <> 'processing' THEN status WHEN attempts % 4 < 2 THEN 'completed' WHEN {OVER} THEN 'failed' ELSE 'retry' END AS status, CASE WHEN {BROKEN} THEN {TS} + CAST(least(3600, 30 * power(2, greatest(0, attempts - 1))) AS INTEGER) * INTERVAL 1 SECOND ELSE next_attempt_at END AS next_attempt_at, CASE WHEN {BROKEN} THEN 'broken' WHEN status <> 'processing' THEN last_error END AS last_error, CASE WHEN status = 'processing' AND attempts % 4 < 2 THEN {TS} END AS completed_at FROM jobs")
 def _(lib):
     return O.apply_outcomes(lib.jobs, _outcomes(lib), now()).select("dedupe_key", "status", "next_attempt_at", "last_error", "completed_at")
 
 
-@query("o10_summary")
+@query("o10_summary", f"SELECT count(*) AS claimed, count(*) FILTER (attempts % 4 = 0) AS completed, count(*) FILTER (attempts % 4 = 1) AS skipped, count(*) FILTER (attempts % 4 >= 2 AND NOT {OVER}) AS retried, count(*) FILTER (attempts % 4 >= 2 AND {OVER}) AS failed FROM jobs WHERE status = 'processing'")
 def _(lib):
     return O.outcome_summary(lib.jobs, _outcomes(lib))
 
