@@ -86,6 +86,14 @@ class Library:
 
         return build_search_documents(self.nodes, self.projects, self.files)
 
+    @cached_property
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """The full-text index, built once for a query that reads it several times; a library at scale stores it."""
+        from foliospark.operators.fulltext import build_index
+
+        postings, stats = build_index(self.docs)
+        return postings.persist(), stats.persist()
+
     # the previous snapshot
 
     @cached_property

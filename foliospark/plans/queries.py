@@ -76,13 +76,13 @@ PHRASES = TOKENS + """, words AS (SELECT query_id, list_filter(regexp_split_to_a
 
 @query("q5_match", f"WITH {PHRASES} SELECT query_id, phrase_no, n_phrases, file_id, freq FROM hits")
 def _(lib):
-    postings, _ = Q.build_index(lib.docs)
+    postings, _ = lib.index
     return Q.match(postings, Q.parse_queries(lib.queries.where("query_id < 10000"))).withColumn("phrase_no", F.col("phrase_no").cast("bigint")).withColumn("n_phrases", F.col("n_phrases").cast("bigint"))
 
 
 @query("q6_bm25", f"WITH {PHRASES}, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hits GROUP BY ALL), corpus AS (SELECT count(*) AS docs, avg(length) AS mean FROM stats), parts AS (SELECT h.query_id, h.file_id, h.n_phrases, (CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END) * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * length / mean)) AS part FROM hits h JOIN per USING (query_id, phrase_no) JOIN stats s ON s.file_id = h.file_id CROSS JOIN corpus) SELECT query_id, file_id, round(-sum(part), 6) AS rank FROM parts GROUP BY query_id, file_id, n_phrases HAVING count(*) = n_phrases")
 def _(lib):
-    postings, stats = Q.build_index(lib.docs)
+    postings, stats = lib.index
     matches = Q.match(postings, Q.parse_queries(lib.queries.where("query_id < 10000")))
     return Q.bm25(matches, stats).withColumn("rank", F.round("rank", 6))
 
@@ -111,7 +111,7 @@ BM25 = PHRASES + """, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hit
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(coalesce(rank, 999999), 9), updated_at DESC, file_id) AS place FROM tiered)
     SELECT query_id, CAST(place AS INTEGER) AS place, file_id, tier, round(rank, 6) AS score FROM placed WHERE place <= 10""")
 def _(lib):
-    postings, stats = Q.build_index(lib.docs)
+    postings, stats = lib.index
     return Q.search(lib.docs, postings, stats, lib.queries.where("query_id <= 10001"), EVERYONE, 10).withColumn("score", F.round("score", 6))
 
 
