@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import mixing, sentencepiece_codec, simhash, suffix_dedup, toxicity
-from foliospark.llm.common import table
+from foliospark.llm.common import small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +22,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; documents of which nothing is left go."""
-    left = suffix_dedup.strip_repeats(docs)
-    text = F.when(F.size("removed") > 0, suffix_dedup.as_text(F.col("kept"))).otherwise(F.col("text"))
+    small_batches(spark)
+    left = suffix_dedup.strip_repeats(docs, as_text=True)
+    text = F.when(F.size("removed") > 0, F.col("kept")).otherwise(F.col("text"))
     cut = left.withColumn("text", text).where("size(removed) = 0 or text <> ''")
     return cut.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
@@ -40,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with their SentencePiece ids, and whether decoding them gives the text back."""
+    small_batches(spark)
     model = sentencepiece_codec.default_model()
-    done = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    done = sentencepiece_codec.encode_and_decode(docs, model)
     same = F.col("decoded") == F.coalesce(F.replace("text", F.lit(sentencepiece_codec.SPACE), F.lit(" ")), F.lit(""))
     return done.withColumn("round_trip", same).drop("decoded")
 

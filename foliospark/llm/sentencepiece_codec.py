@@ -31,7 +31,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NEVER = float("inf")
 #: Characters of text encoded at once, and how many words and pairs of pieces a worker remembers.
-BATCH, REMEMBERED, PAIRS = 1 << 20, 600_000, 2_000_000
+BATCH, REMEMBERED, PAIRS = 1 << 20, 300_000, 1_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -99,6 +99,10 @@ class Model:
         self.pair_keys, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.fresh: dict[int, bool] = {}
         self.joints = {p[i : i + 2] for p in self.by_text for i in range(len(p) - 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the words seen, so that an idle worker holds the model alone."""
         self.words: dict[str, int] = {}
         self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
@@ -257,8 +261,8 @@ class Model:
         local = dict.fromkeys(words)
         new = [w for w in local if w not in self.words]
         if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            self.used, new = 0, list(local)
+            self.forget()
+            new = list(local)
         self._learn(new)
         seat = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
         ids = self._gather(seat)
@@ -278,23 +282,40 @@ def model_of(data: bytes) -> Model:
     return Model(data)
 
 
+def _transcoded(docs: DataFrame, model: bytes, text: str, fields: tuple[str, ...]) -> DataFrame:
+    kind = {"pieces": "array<int>", "decoded": "string"}
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = model_of(model)
+        for batch in batches:
+            data, limits = binary_parts(batch)
+            for r0, r1 in ranges(np.diff(limits), BATCH):  # a part at a time: a batch's ids would take more room than its text
+                yield part(codec, data[limits[r0] : limits[r1]].tobytes(), (limits[r0 : r1 + 1] - limits[r0]).tolist())
+        codec.forget()
+
+    def part(codec: Model, whole: bytes, at: list[int]) -> pa.Array:
+        ids, counts = codec.encode([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])
+        made = [list_array(pa.array(ids, pa.int32()), counts)]
+        if "decoded" in fields:
+            cuts = np.concatenate(([0], np.cumsum(counts))).tolist()
+            made.append(pa.array([codec.decode(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string()))
+        return pa.StructArray.from_arrays(made, names=list(fields))
+
+    return with_fields(docs, F.arrow_udf(of, "struct<" + ",".join(f"{f}:{kind[f]}" for f in fields) + ">")(name(text).cast("binary")), fields)
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """docs plus pieces array<int>: the SentencePiece ids of the whole text (null and empty: no ids).
 
     model: the bytes of a model file, half a megabyte or so; they go with the tasks.
     A column named pieces gives way. Rows are independent: nothing is shuffled.
     """
+    return _transcoded(docs, model, text, ("pieces",))
 
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = model_of(model)
-        for batch in batches:
-            data, limits = binary_parts(batch)
-            for r0, r1 in ranges(np.diff(limits), BATCH):  # a part at a time: a batch's ids would take more room than its text
-                whole, at = data[limits[r0] : limits[r1]].tobytes(), (limits[r0 : r1 + 1] - limits[r0]).tolist()
-                ids, counts = codec.encode([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])
-                yield pa.StructArray.from_arrays([list_array(pa.array(ids, pa.int32()), counts)], names=["pieces"])
 
-    return with_fields(docs, F.arrow_udf(of, "struct<pieces:array<int>>")(name(text).cast("binary")), ["pieces"])
+def encode_and_decode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """docs plus pieces and decoded, the text of those ids: as encode and then decode, in one pass of one worker."""
+    return _transcoded(docs, model, text, ("pieces", "decoded"))
 
 
 def decode(docs: DataFrame, model: bytes, pieces: str = "pieces") -> DataFrame:
@@ -327,5 +348,5 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: bytes | None = No
     """doc_id, n_pieces, pieces_sha256, and whether decoding gives the text back."""
     model = model or default_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = decode(encode(docs, model), model)
+    out = encode_and_decode(docs, model)
     return out.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), digest().alias("pieces_sha256"), (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import binary_parts, list_array, name, ranges, table
@@ -279,14 +279,14 @@ def _strip(data: np.ndarray, limits: np.ndarray, hashes: np.ndarray, clears: lis
     return list(zip(row.tolist(), (start - limits[row]).tolist(), (end - limits[row]).tolist(), strict=True))
 
 
-def _removed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+def _removed(batches: Iterator[tuple[pa.Array, ...]], as_text: bool) -> Iterator[pa.Array]:
     for batch in batches:
-        yield _removed_batch(*batch)
+        yield _removed_batch(*batch, as_text)
         del batch
         pa.default_memory_pool().release_unused()
 
 
-def _removed_batch(place: pa.Array, text: pa.Array, common: pa.Array, hot: pa.Array, clear: pa.Array) -> pa.Array:
+def _removed_batch(place: pa.Array, text: pa.Array, common: pa.Array, hot: pa.Array, clear: pa.Array, as_text: bool) -> pa.Array:
     data, limits = binary_parts(text)
     places, clears = place.to_pylist(), clear.to_pylist()
     spans: list[list[tuple[int, int]]] = [[] for _ in places]
@@ -314,12 +314,13 @@ def _removed_batch(place: pa.Array, text: pa.Array, common: pa.Array, hot: pa.Ar
                 at = z
             one = b"".join([*left, one[at:]])
         kept.append(one)
+    left = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
     flat = [x for gone in spans for x in gone]
     pairs = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.int64()) for i in range(2)], names=["start", "end"])
-    return pa.StructArray.from_arrays([list_array(pairs, [len(x) for x in spans]), pa.array(kept, pa.binary())], names=["removed", "kept"])
+    return pa.StructArray.from_arrays([list_array(pairs, [len(x) for x in spans]), left], names=["removed", "kept"])
 
 
-def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, as_text: bool = False) -> DataFrame:
     """docs plus removed array<struct<start,end>> (maximal byte runs) and kept (the other bytes, binary).
 
     A byte goes if a WINDOW-byte string that covers it also starts earlier: in
@@ -327,7 +328,8 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     documents of one id (or of none) are ordered by a hash of their text, and
     rows equal in both are one document, each row with the same result. Null
     and short texts lose nothing. Other columns stay; ones named removed or
-    kept give way. A cut may part a multi-byte character: kept is bytes.
+    kept give way. A cut may part a multi-byte character: kept is bytes, or, with as_text,
+    a string without what is left of such characters.
     """
     own = [c for c in docs.columns if c not in ("removed", "kept")]
     base = docs.select(
@@ -346,7 +348,11 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     pieces = joined.where("common is not null").mapInArrow(lambda batches: _cut(batches, shards), "shard bigint, block binary")
     clear = pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_clear, "key bigint, place bigint, lo bigint, hi bigint")
     clear = clear.groupBy("key").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("clear"))
-    removed = F.arrow_udf(_removed, "struct<removed:array<struct<start:bigint,end:bigint>>,kept:binary>")
+
+    def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from _removed(batches, as_text)
+
+    removed = F.arrow_udf(of, f"struct<removed:array<struct<start:bigint,end:bigint>>,kept:{'string' if as_text else 'binary'}>")
     done = joined.join(clear, "key", "left").select("row", "text", removed("place", F.col("text").cast("binary"), "common", "hot", "clear").alias("made"))
     return done.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own), "made.removed", "made.kept")
 
@@ -355,13 +361,3 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def as_text(kept: Column) -> Column:
-    """kept as a string; what a cut left of a multi-byte character goes."""
-
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([(b or b"").decode("utf-8", "ignore") for b in batch.to_pylist()], pa.string())
-
-    return F.arrow_udf(of, "string")(kept)
