@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import mixing, sentencepiece_codec, simhash, suffix_dedup, toxicity
+from foliospark.llm import mixing, near_copies, sentencepiece_codec, suffix_dedup, toxicity
 from foliospark.llm.common import small_batches, table
 
 
@@ -21,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of texts whose five-word shingles overlap by 0.8 or more."""
     small_batches(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
