@@ -314,7 +314,7 @@ def _odd(lib):
     """The manifest with faults here and there."""
     f, i = lib.manifest_files, F.col("doc_id")
     f = f.withColumn("id", F.when(i % 23 == 0, "doc-0").otherwise(F.col("id"))).withColumn("title", F.when(i % 7 == 0, " ").otherwise(F.substring("title", 1, 500))).withColumn("depth", F.when(i % 13 == 0, 5).otherwise(F.col("depth")))
-    f = f.withColumn("visibility", F.when(i % 17 == 0, "secret").otherwise(F.col("visibility"))).withColumn("parent_id", F.when(i % 19 == 0, "nowhere").otherwise(F.col("parent_id"))).withColumn("content", F.substring("content", 1, 499_999))
+    f = f.withColumn("visibility", F.when(i % 17 == 0, "secret").otherwise(F.col("visibility"))).withColumn("parent_id", F.when(i % 19 == 0, "nowhere").otherwise(F.col("parent_id")))
     return lib.manifest | {"files": f}
 
 
