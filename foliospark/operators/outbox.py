@@ -241,10 +241,12 @@ def decide_deletes(jobs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFr
     return rows.withColumn("decision", decision).select("dedupe_key", "file_id", "decision", F.when(gone, F.col("item_id")).alias("delete_item_id"), F.when(gone & before, F.col("previous_item_id")).alias("delete_previous_item_id"))
 
 
-def apply_remote_status(items: DataFrame, report: DataFrame, now: Column, limit: int) -> tuple[DataFrame, DataFrame]:
-    """report (file_id, remote_status, chunks_count) into waiting items, oldest-checked first -> items, and file ids to queue anew."""
-    waiting = items.where("status in ('queued', 'processing')").orderBy(F.coalesce("checked_at", "created_at"), "file_id").limit(limit).select("file_id")
-    r = report.join(F.broadcast(waiting), "file_id", "left_semi").select("file_id", "remote_status", F.col("chunks_count").alias("remote_chunks"), F.lit(True).alias("seen"))
+def apply_remote_status(items: DataFrame, report: DataFrame, now: Column, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """report (file_id, remote_status, chunks_count) into all waiting items, or the `limit` oldest-checked ones -> items, and file ids to queue anew."""
+    waiting = items.where("status in ('queued', 'processing')")
+    if limit is not None:
+        waiting = waiting.orderBy(F.coalesce("checked_at", "created_at"), "file_id").limit(limit)
+    r = report.join(waiting.select("file_id"), "file_id", "left_semi").select("file_id", "remote_status", F.col("chunks_count").alias("remote_chunks"), F.lit(True).alias("seen"))
     rows = items.join(r, "file_id", "left")
     remote = F.col("remote_status")
     done, bad = remote == "completed", remote.isin("error", "skipped", "outdated")

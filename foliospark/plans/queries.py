@@ -711,7 +711,7 @@ def _(lib):
 def _(lib):
     n = F.regexp_extract("item_id", "([0-9]+)$", 1).cast("bigint")
     report = lib.items.select("file_id", F.when(n % 3 == 0, "completed").when(n % 3 == 1, "outdated").otherwise("running").alias("remote_status"), F.lit(3).alias("chunks_count"))
-    return O.apply_remote_status(lib.items, report, now(), 1_000_000)[0].select("file_id", "status")
+    return O.apply_remote_status(lib.items, report, now())[0].select("file_id", "status")
 
 
 @query("o14_swaps", "SELECT project_id, m.instance_id, replacement_instance_id FROM mapping m WHERE replacement_instance_id <> m.instance_id AND NOT EXISTS (SELECT 1 FROM sdocs d LEFT JOIN items i ON i.file_id = d.file_id WHERE d.project_id = m.project_id AND (i.file_id IS NULL OR i.instance_id <> m.replacement_instance_id OR i.status = 'error'))")

@@ -4,7 +4,9 @@ import shutil
 
 from pyspark.sql import functions as F
 
+from foliospark.operators import outbox
 from foliospark.plans import queries as library
+from foliospark.plans.library import Library, now
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +20,16 @@ def test_too_long_contents_are_reported(spark, tmp_path):
     docs.withColumn("text", text).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     got = library.queries()["v2_fields"](spark, folder).where("rule = 'content_too_long'").collect()
     assert [r["entity_id"] for r in got] == ["doc-1"]
+
+
+def test_remote_status_reaches_all_waiting_items(spark, monkeypatch):
+    lib = Library(spark, SF)
+    report = lib.items.select("file_id", F.lit("completed").alias("remote_status"), F.lit(3).alias("chunks_count"))
+    after, again = outbox.apply_remote_status(lib.items, report, now())
+    assert after.where("status in ('queued', 'processing')").count() == 0 and again.count() == 0
+    waiting = lib.items.where("status in ('queued', 'processing')").count()
+    assert waiting > 3 and outbox.apply_remote_status(lib.items, report, now(), 3)[0].where("status in ('queued', 'processing')").count() == waiting - 3
+    asked, whole = [], outbox.apply_remote_status
+    monkeypatch.setattr(outbox, "apply_remote_status", lambda items, report, now, limit=None: asked.append(limit) or whole(items, report, now, limit))
+    library.queries()["o13_remote"](spark, SF)
+    assert asked == [None]
