@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 
 LIMIT, MOST, THRESHOLD, CONTEXT, MOST_CONTEXT, LONGEST_QUERY, MOST_CHUNKS = 10, 20, 0.4, 0, 3, 1000, 50
-#: Query vectors sent to all tasks at most.
-MOST_QUERIES = 20_000
+#: Query and chunk vectors that meet in one cell, and of these so many at once.
+QUERY_BLOCK, CHUNK_BLOCK, QUERY_ROWS, CHUNK_ROWS = 5000, 20_000, 512, 8192
 
 
 def _parameter(url: Column, key: str) -> Column:
@@ -84,31 +84,41 @@ def searchable_instances(projects: DataFrame, mapping: DataFrame, access: Sequen
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD, access: Sequence[str] | None = None) -> DataFrame:
     """(query_id, place, chunk_id, score): the k best chunks by cosine at the threshold or above, ties to smaller ids.
 
-    Hidden chunks are left out first. A bounded set of queries goes to every
-    task, which keeps a partial top k of its blocks; only those meet.
+    Hidden chunks are left out first. Queries and chunks are dealt by hash into
+    blocks; each pair of blocks is a cell of its own that keeps a partial top k,
+    and only those meet.
     """
     if access is not None:
         chunks = chunks.where(F.col("visibility").isin(*access))
-    asked = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in a batch")
-    ids = np.array([r["query_id"] for r in asked], dtype=np.int64)
-    q = np.array([r["vector"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            chunk = batch.column(0).to_numpy()
-            score = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            # all that tie with the k-th stay, so that ties are settled once all have met
-            kth = np.partition(score, -min(k, len(x)), axis=1)[:, -min(k, len(x))]
-            a, b = np.nonzero((score >= np.maximum(kth, threshold)[:, None] - 1e-12) & (score >= threshold))
-            yield pa.record_batch([pa.array(ids[a]), pa.array(chunk[b]), pa.array(score[a, b])], names=["query_id", "chunk_id", "score"])
-
-    met = chunks.select("chunk_id", "vector").mapInArrow(best, "query_id bigint, chunk_id bigint, score double")
+    asked = queries.select("query_id", F.col("vector").alias("asked"))
+    held = chunks.select("chunk_id", "vector")
+    n_asked, n_held = max(-(-asked.count() // QUERY_BLOCK), 1), max(-(-held.count() // CHUNK_BLOCK), 1)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", block("query_id", n_asked).alias("row"), each(n_held).alias("column"))
+    right = held.select("*", block("chunk_id", n_held).alias("column"), each(n_asked).alias("row"))
+
+    def vectors(table: pa.Table, column: str) -> np.ndarray:
+        flat = table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.astype(np.float64).reshape(table.num_rows, -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(some: pa.Table, others: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        if some.num_rows and others.num_rows:
+            ids, chunk = some.column("query_id").to_numpy(), others.column("chunk_id").to_numpy()
+            q, x = vectors(some, "asked"), vectors(others, "vector")
+            for i in range(0, len(q), QUERY_ROWS):
+                for j in range(0, len(x), CHUNK_ROWS):
+                    score = q[i : i + QUERY_ROWS] @ x[j : j + CHUNK_ROWS].T
+                    # all that tie with the k-th stay, so that ties are settled once all have met
+                    few = min(k, score.shape[1])
+                    kth = np.partition(score, -few, axis=1)[:, -few]
+                    a, b = np.nonzero((score >= np.maximum(kth, threshold)[:, None] - 1e-12) & (score >= threshold))
+                    found.append((ids[i + a], chunk[j + b], score[a, b]))
+        return pa.table(dict(zip(("query_id", "chunk_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    met = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(best, "query_id bigint, chunk_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return met.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "chunk_id", "score")
 

@@ -2,9 +2,10 @@
 
 import shutil
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from foliospark.operators import outbox
+from foliospark.operators import outbox, semantic
 from foliospark.plans import queries as library
 from foliospark.plans.library import Library, now
 
@@ -33,3 +34,13 @@ def test_remote_status_reaches_all_waiting_items(spark, monkeypatch):
     monkeypatch.setattr(outbox, "apply_remote_status", lambda items, report, now, limit=None: asked.append(limit) or whole(items, report, now, limit))
     library.queries()["o13_remote"](spark, SF)
     assert asked == [None]
+
+
+def test_vector_topk_takes_any_number_of_queries(spark):
+    n = 20_003
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0)).alias("vector"))
+    angles = np.arange(40) * 0.157
+    chunks = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)], "chunk_id bigint, vector array<double>")
+    got = {(r["query_id"], r["place"]): r["chunk_id"] for r in semantic.vector_topk(chunks, q, 2, 0.2).collect()}
+    order = np.argsort(-np.cos(np.arange(n)[:, None] - angles[None, :]), axis=1)
+    assert got == {(i, p + 1): int(order[i, p]) for i in range(n) for p in range(2)}
