@@ -8,6 +8,7 @@ name an operator also returns is replaced by the operator's column.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,22 +36,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a session on one machine may go without and get a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of spark.checkpoint.dir.
+    """Cut the lineage with a checkpoint in the shared folder.
 
-    The folder comes from the session; only where it is unset, as in tests on
-    one machine, a temporary one is made.
+    Sessions with spark.cleaner.referenceTracking.cleanCheckpoints drop the
+    files once nothing refers to them.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """All of df's columns in one struct named row, and the needed ones beside it, so that no name can clash."""
+    return df.select(F.struct(F.lit(0).alias("-"), *(name(c) for c in df.columns)).alias("row"), *(name(c) for c in needed))
+
+
+def unpacked(columns: Sequence[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def with_fields(df: DataFrame, made: Column, fields: Sequence[str]) -> DataFrame:
     """df plus the named fields of the struct column made; input columns of those names give way."""
     kept = [c for c in df.columns if c not in fields]

@@ -1,4 +1,11 @@
-"""Near copies by the overlap of word shingles: candidates share a min-wise fingerprint, and each is checked exactly."""
+"""Near copies by the overlap of word shingles: SimHash candidates, each checked exactly.
+
+Two texts whose shingle sets overlap by 0.8 differ in 15% of SimHash bits, more
+than one fingerprint's trie join can bridge. So a text gets PRINTS fingerprints,
+and each of their blocks is a chance: texts that agree in a block meet in one
+group, where the trie join walks the other bits and drops a pair as soon as it
+differs more than similar texts would. What is left is settled by the shingles.
+"""
 
 from __future__ import annotations
 
@@ -10,59 +17,196 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import binary_parts, list_array, name, reliable, with_fields
+from foliospark.llm.common import binary_parts, list_array, name, packed, reliable, unpacked, with_fields
 from foliospark.llm.components import connected_components
+from foliospark.llm.simhash import trie_pairs
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Fingerprints of a text and least hashes in each: a pair of similarity s shares one with 1 - (1 - s^6)^20, 0.998 at 0.8.
-PRINTS, DEPTH, SEED = 20, 6, 17
-ROWS = 4096
+#: Fingerprints of a text, bits of a block, and blocks of a fingerprint. At 0.8 a block agrees with a chance of 0.037,
+#: one of all 120 with 0.99. A bit more halves the groups and costs 15% of that chance.
+PRINTS, BLOCK, PER = 40, 20, 3
+REST = 64 - BLOCK
+SEED = 17
+#: Bits that may differ by the depth in the trie: the mean at SIMILAR and two and a half standard deviations, two at least.
+_MISS = np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi
+_DEPTH = np.arange(REST + 1)
+BUDGETS = np.maximum(np.floor(_MISS * _DEPTH + 2.5 * np.sqrt(_MISS * (1 - _MISS) * _DEPTH)), 2).astype(np.int64)
+#: Rows of a group that are walked at once, and rows of a part of a larger group.
+CELL = 4096
+#: Shingles hashed at once; a byte counts up to 255 of them.
+ROWS = 1 << 13
 _rng = np.random.default_rng(SEED)
-FLIPS, FACTORS = (_rng.integers(0, 1 << 64, size=PRINTS * DEPTH, dtype=np.uint64) for _ in range(2))
+FLIPS, FACTORS = (_rng.integers(0, 1 << 64, size=PRINTS, dtype=np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
-STEPS = _rng.integers(0, 1 << 64, size=max(SHINGLE, DEPTH), dtype=np.uint64) | np.uint64(1)
-SALTS = _rng.integers(0, 1 << 64, size=PRINTS, dtype=np.uint64)
+STEP = np.uint64(_rng.integers(0, 1 << 64, dtype=np.uint64)) | np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """The distinct 64-bit hashes of all word shingles, ascending; a shorter text is one shingle, a wordless one has none."""
-    words = text.lower().split()
+def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The distinct 64-bit hashes of all word shingles, ascending; fewer words are one shingle, no words none."""
     if len(words) <= size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
     of_words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
     n = len(words) - size + 1
     total = np.zeros(n, dtype=np.uint64)
     for k in range(size):
-        total = (total ^ of_words[k : k + n]) * STEPS[0]
+        total = (total ^ of_words[k : k + n]) * STEP
         total ^= total >> np.uint64(29)
     return np.unique(total)
 
 
-def marks(hashes: np.ndarray) -> np.ndarray:
-    """PRINTS fingerprints of a set of shingles, each from DEPTH least hashes."""
-    least = np.full(PRINTS * DEPTH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), ROWS):
-        np.minimum(least, ((hashes[i : i + ROWS, None] ^ FLIPS) * FACTORS).min(axis=0), out=least)
-    return (least.reshape(PRINTS, DEPTH) * STEPS[:DEPTH]).sum(axis=1, dtype=np.uint64) ^ SALTS
+def prints(sets: list[np.ndarray]) -> np.ndarray:
+    """(texts, PRINTS) fingerprints: in each bit the majority of the text's shingles."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    ones = np.zeros((len(sets), PRINTS, 64), dtype=np.int32)
+    whole, owner = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    for i in range(0, len(whole), ROWS):
+        h, own = whole[i : i + ROWS], owner[i : i + ROWS]
+        fresh = np.concatenate(([True], own[1:] != own[:-1]))
+        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        heads = np.flatnonzero((np.arange(len(h)) - first) % 255 == 0)
+        x = (h[:, None] ^ FLIPS) * FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        for s in range(8):
+            lanes = np.add.reduceat((x >> np.uint64(s)) & _LANES, heads, axis=0)
+            np.add.at(ones, (own[heads], slice(None), slice(s, 64, 8)), lanes.view(np.uint8).reshape(len(heads), PRINTS, 8))
+    return np.packbits(2 * ones > sizes[:, None, None], axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+
 
+def _each(kind: str):
+    """text -> copy (a hash of the lower-cased words, 0 without any) and its prints or its shingles."""
 
-def _each(made, kind: str):
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             data, limits = binary_parts(batch)
-            whole = data.tobytes()
-            copies, lists = np.zeros(len(batch), dtype=np.uint64), []
+            whole, copies, lists, made = data.tobytes(), np.zeros(len(batch), dtype=np.uint64), [], []
             for i, (a, b) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)):
-                text = whole[a:b]
-                words = text.lower().split()
+                words = whole[a:b].lower().split()
                 copies[i] = xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
-                lists.append(made(shingles(text)) if words else np.zeros(0, dtype=np.uint64))
-            values = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(copies.view(np.int64)), list_array(values, [len(v) for v in lists])], names=["copy", kind])
+                lists.append(shingles(words))
+                if kind == "prints" and len(lists) == 64:
+                    made.append(prints(lists))
+                    lists = []
+            if kind == "prints":
+                values = np.concatenate([*made, prints(lists)]) if lists or made else np.zeros((0, PRINTS), dtype=np.uint64)
+                lists = list(values)
+            flat = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64))
+            yield pa.StructArray.from_arrays([pa.array(copies.view(np.int64)), list_array(flat, [len(v) for v in lists])], names=["copy", kind])
 
     return F.arrow_udf(of, f"struct<copy:bigint,{kind}:array<bigint>>")
 
 
+def _turned(value, turn: int):
+    """value with its bits from `turn` on brought to the top."""
+    return F.shiftleft(value, turn).bitwiseOR(F.shiftrightunsigned(value, 64 - turn)) if turn else value
+
+
+def _groups(slot: np.ndarray, rot: np.ndarray, copy: np.ndarray, hot: bool = False) -> Iterator[pa.RecordBatch]:
+    """Whole groups, sorted -> pairs (slot -1, a, b); the members of dense groups too (slot, a copy, b bits)."""
+
+    def out(slot, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.broadcast_to(np.int32(slot), a.shape)), pa.array(a), pa.array(b)], names=["slot", "a", "b"])
+
+    bits = rot.view(np.uint64)
+    group = bits >> np.uint64(REST)
+    heads = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (slot[1:] != slot[:-1]))))
+    sizes = np.diff(np.concatenate((heads, [len(slot)])))
+    many = np.repeat(sizes > 1, sizes)
+    slot, rot, copy, bits = slot[many], rot[many], copy[many], bits[many]
+    sizes = sizes[sizes > 1]
+    if not len(sizes):
+        return
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    found = None if hot else trie_pairs(bits & np.uint64((1 << REST) - 1), number, REST, BUDGETS, 8 * len(bits) + 64)
+    if found is not None:
+        a, b = copy[found[0]], copy[found[1]]
+        yield out(-1, np.minimum(a, b), np.maximum(a, b))
+    elif len(sizes) > 1:
+        cut = int(np.cumsum(sizes)[(len(sizes) - 1) // 2])
+        for part in (slice(0, cut), slice(cut, None)):
+            yield from _groups(slot[part], rot[part], copy[part])
+    else:
+        least = int(np.argmin(copy))
+        close = np.bitwise_count(bits ^ bits[least]) <= BUDGETS[-1]
+        close[least] = False
+        yield out(-1, np.full(int(close.sum()), copy[least]), copy[close])
+        yield pa.record_batch([pa.array(slot), pa.array(copy), pa.array(rot)], names=["slot", "a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slot and bits, a run of whole groups at a time; a long group passes in parts, as a dense one."""
+    held: list[np.ndarray] | None = None
+    hot = False
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "rot", "copy")]
+        if not len(rows[0]):
+            continue
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        key = (rows[1].view(np.uint64) >> np.uint64(REST)) + (rows[0].astype(np.uint64) << np.uint64(BLOCK))
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        first, last = (int(cuts[0]), int(cuts[-1])) if len(cuts) else (len(key), 0)
+        if hot and last:  # the rest of a group whose parts have gone
+            yield from _groups(*(x[:first] for x in rows), hot=True)
+            rows, hot, last = [x[first:] for x in rows], False, last - first
+        if last:
+            yield from _groups(*(x[:last] for x in rows))
+        held = [x[last:] for x in rows]
+        if len(held[0]) > 2 * CELL:
+            yield from _groups(*held, hot=True)
+            held, hot = [x[:1] for x in held], True
+    if held is not None:
+        yield from _groups(*held, hot=hot)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(copy, prints) -> (slot, a, b): pairs a, b with slot -1, and the members of dense groups with a copy a and bits b.
+
+    A group is dense if more pairs would come of it than eight for each row:
+    there, only pairs with its least member come now.
+    """
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("copy", F.posexplode("prints").alias("no", "f"))
+    turns = F.array(*(F.struct((F.col("no") * PER + k).alias("slot"), _turned(F.col("f"), k * BLOCK).alias("rot")) for k in range(PER)))
+    dealt = spread.select("copy", F.explode(turns).alias("t")).select("t.slot", "t.rot", "copy")
+    dealt = dealt.repartition(parts, "slot", F.shiftrightunsigned("rot", REST)).sortWithinPartitions("slot", "rot", "copy")
+    return dealt.mapInArrow(_meet, "slot int, a bigint, b bigint")
+
+
+def _between(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Close pairs (a, b) of dense groups whose copies are in different components.
+
+    Within a component nothing needs comparing. The rows of a group's largest
+    one and the others are dealt into parts of about CELL rows; two parts that
+    may hold such a pair meet in a task of their own.
+    """
+    at = members.select("slot", F.shiftrightunsigned("b", REST).alias("value"), F.col("b").alias("rot"), F.col("a").alias("copy")).distinct()
+    at = at.join(roots.select(F.col("node").alias("copy"), "root"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    sizes = at.groupBy("slot", "value", "root").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("slot", "value").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
+    count = lambda c: F.ceil(c / CELL).cast("int")
+    groups = groups.select("slot", "value", F.col("big.root").alias("most"), count(F.col("big.n")).alias("inner"), count(F.col("total") - F.col("big.n")).alias("outer"))
+    at = at.join(groups, ["slot", "value"]).withColumn("own", F.col("root") == F.col("most"))
+    part = F.when(F.col("own"), F.pmod(F.xxhash64("copy"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("copy"), F.col("outer"))).cast("int")
+    other = F.explode(F.sequence(F.when(F.col("own"), F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1))
+    cells = at.select("slot", "value", "rot", "copy", "root", part.alias("part"), other.alias("other"))
+    cells = cells.select("slot", "value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "rot", "copy", "root")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        bits, copy, root = (rows.column(c).to_numpy() for c in ("rot", "copy", "root"))
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(bits), 256):
+            near = np.bitwise_count((bits[i : i + 256, None] ^ bits[None, :]).view(np.uint64)) <= BUDGETS[-1]
+            near &= (root[i : i + 256, None] != root[None, :]) & (copy[i : i + 256, None] < copy[None, :])
+            x, y = np.nonzero(near)
+            a.append(copy[i + x])
+            b.append(copy[y])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return cells.groupBy("slot", "value", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose sets (copy, shingles) have a Jaccard overlap of `least` or more."""
     x = sets.select(F.col("copy").alias("a"), F.col("shingles").alias("x"))
@@ -71,49 +215,63 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFr
     return both.where(F.col("same") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy) of all rows, and (copy, no_id, kept_id, kept_copy) of all copies: the first of the copy's component."""
+    narrow = docs.select(name(doc_id).alias("doc_id"), name(text).cast("binary").alias("text"))
+    prints = reliable(with_fields(narrow, _each("prints")(F.col("text")), ["copy", "prints"]).drop("text"))
+    distinct = prints.groupBy("copy").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("least"), F.first("prints").alias("prints"))
+    found = reliable(candidates(distinct.select("copy", "prints")))
+    pairs, members = found.where("slot < 0 and a <> b").select("a", "b"), found.where("slot >= 0")
+    # shingles of the texts in any pair or dense group, one for each distinct text
+    needed = reliable(found.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct())
+    ids = prints.join(needed, "copy", "left_semi").groupBy("copy").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct()
+    rows = narrow.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    sets = with_fields(rows.select("text"), _each("shingles")(F.col("text")), ["copy", "shingles"]).drop("text")
+    sets = reliable(sets.join(needed, "copy", "left_semi").dropDuplicates(["copy"]))
+    # one pair for each text first; of the others only those that are still apart
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = reliable(similar(first, sets))
+    roots = reliable(connected_components(near))
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = pairs.union(_between(members, roots)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+    roots = connected_components(near.union(similar(rest, sets)))
+    whole = distinct.select("copy", "least").join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    best = whole.groupBy("root").agg(F.min(F.struct("least.no_id", "least.doc_id", "copy")).alias("kept"))
+    return prints.select("doc_id", "copy"), whole.join(best, "root").select("copy", F.col("kept.doc_id").alias("kept_id"), F.col("kept.copy").alias("kept_copy"))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, component_id (the smallest id reachable by similar texts).
 
     Texts are similar if their sets of five-word shingles (lower-cased, A-Z
     alone) overlap by 0.8 or more (Jaccard). Null and wordless texts are one
-    group. Equal texts collapse before anything is compared. In each bucket of
-    a shared fingerprint all texts are checked against the first; then all
-    pairs of a bucket that are still in different groups are checked, so that
-    a large group of near copies doesn't make its square of pairs.
+    group; equal texts collapse before anything is compared, so repeated rows
+    and copies cost nothing. An id of null comes after all others. An empty
+    table gives no rows; other columns of docs don't matter.
     """
-    narrow = docs.select(name(doc_id).alias("doc_id"), name(text).cast("binary").alias("text"))
-    prints = reliable(with_fields(narrow, _each(marks, "marks")(F.col("text")), ["copy", "marks"]).drop("text"))
-    distinct = prints.groupBy("copy").agg(F.min("doc_id").alias("least"), F.first("marks").alias("marks"))
-    dealt = distinct.select("copy", F.explode("marks").alias("mark"))
-    firsts = dealt.groupBy("mark").agg(F.min("copy").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = reliable(dealt.join(firsts, "mark").select("mark", "a", "copy"))
-    stars = shared.where("a <> copy").select("a", F.col("copy").alias("b")).distinct()
-    # shingles of the texts that share a fingerprint, one for each distinct text
-    needed = shared.select("copy").distinct()
-    ids = distinct.join(needed, "copy", "left_semi").select(F.col("least").alias("wanted"))
-    rows = narrow.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = with_fields(rows.select("text"), _each(lambda h: h, "shingles")(F.col("text")), ["copy", "shingles"]).drop("text")
-    sets = reliable(sets.join(needed, "copy", "left_semi").dropDuplicates(["copy"]))
-    near = reliable(similar(stars, sets))
-    roots = connected_components(near)
-    at = shared.join(roots.select(F.col("node").alias("copy"), "root"), "copy", "left").select("mark", "copy", F.coalesce("root", "copy").alias("root"))
-    mixed = at.groupBy("mark").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("mark")
-    at = reliable(at.join(mixed, "mark", "left_semi"))
-    left, right = at.select("mark", F.col("copy").alias("a"), F.col("root").alias("ra")), at.select("mark", F.col("copy").alias("b"), F.col("root").alias("rb"))
-    others = left.join(right, "mark").where("a < b and ra <> rb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = similar(others, sets)
-    roots = connected_components(near.union(more))
-    whole = distinct.select("copy", "least").join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
-    best = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "copy").join(whole.join(best, "root").select("copy", "component_id"), "copy").select("doc_id", "component_id")
+    rows, kept = _grouped(docs, doc_id, text)
+    return rows.join(kept, "copy").select("doc_id", F.col("kept_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group of near copies; all columns as they were.
+    """The rows of docs that hold the first document of their group of near copies, all columns as they were.
 
-    A row with a null id stays only if no row of its group has an id. Rows that
-    repeat the kept id and text stay with it; distinct rows are the caller's to ensure.
+    The first document has the smallest id, and of several texts under that id
+    the one with the least hash; with a null id it is first only where no row
+    of the group has an id. Rows that repeat its id and words are the same
+    document and stay. Null and wordless texts are one group.
     """
-    groups = near_copies(docs, doc_id, text)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, name(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")
+    _, kept = _grouped(docs, doc_id, text)
+    first = kept.where("copy = kept_copy").select("kept_id", "kept_copy")
+    rows = with_fields(packed(docs, doc_id).withColumn("words", F.col("row").getField(text).cast("binary")), _copies()(F.col("words")), ["copy"])
+    return rows.join(first, name(doc_id).eqNullSafe(F.col("kept_id")) & (F.col("copy") == F.col("kept_copy")), "left_semi").select(*unpacked(docs.columns))
+
+
+def _copies():
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            copies = [xxhash.xxh64_intdigest(b" ".join(w), 42) if (w := (x or b"").lower().split()) else 0 for x in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array(np.array(copies, dtype=np.uint64).view(np.int64))], names=["copy"])
+
+    return F.arrow_udf(of, "struct<copy:bigint>")

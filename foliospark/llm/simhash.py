@@ -54,29 +54,34 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
     return with_fields(docs, of(name(text).cast("binary")), ["fingerprint"])
 
 
-def trie_pairs(keys: np.ndarray, groups: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(keys: np.ndarray, groups: np.ndarray, bits: int, budget: int | np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """Index pairs of keys of one group that differ in `budget` bits at most.
 
-    keys: distinct within a group, sorted by (group, key), of `bits` low bits.
-    A trie node is an index range. All node pairs of one depth advance together:
-    equal bits cost nothing, unequal ones cost one, and a pair past the budget
-    is dropped with everything below it. A pair of two single keys is settled
-    by its remaining bits at once.
+    keys: sorted by (group, key), of `bits` low bits. A budget of bits + 1
+    numbers says how many of the first 0, 1, ... bits may differ. A trie node
+    is an index range. All node pairs of one depth advance together: equal bits
+    cost nothing, unequal ones cost one, and a pair past the budget is dropped
+    with everything below it. A pair of two single keys is settled by all its
+    bits at once. None if more than `most` pairs come of it, or are open at a depth.
     """
+    allowed = np.broadcast_to(budget, (bits + 1,))
     edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
     lo, hi = edges[:-1], edges[1:]
     wide = hi - lo > 1
     a0, a1 = lo[wide], hi[wide]
     b0, b1, cost = a0, a1, np.zeros(len(a0), dtype=np.int64)
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    left, right, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
     for bit in range(bits - 1, -2, -1):
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         if single.any():
             x, y = a0[single], b0[single]
-            near = np.bitwise_count(keys[x] ^ keys[y]) <= budget
+            near = np.bitwise_count(keys[x] ^ keys[y]) <= allowed[-1]
             left.append(x[near])
             right.append(y[near])
+            found += len(left[-1])
             a0, a1, b0, b1, cost = (v[~single] for v in (a0, a1, b0, b1, cost))
+        if most is not None and found + len(a0) > most:
+            return None
         if bit < 0 or not len(a0):
             break
         ones = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1)))).astype(np.int64)
@@ -84,8 +89,18 @@ def trie_pairs(keys: np.ndarray, groups: np.ndarray, bits: int, budget: int) ->
         same = a0 == b0
         made = [(a0, am, b0, bm, cost, a0 == a0), (am, a1, bm, b1, cost, a0 == a0), (a0, am, bm, b1, cost + 1, a0 == a0), (am, a1, b0, bm, cost + 1, ~same)]
         a0, a1, b0, b1, cost, ok = (np.concatenate(v) for v in zip(*made, strict=True))
-        ok &= (a1 > a0) & (b1 > b0) & (cost <= budget) & ((a0 != b0) | (a1 - a0 > 1))
+        ok &= (a1 > a0) & (b1 > b0) & (cost <= allowed[bits - bit]) & ((a0 != b0) | (a1 - a0 > 1))
         a0, a1, b0, b1, cost = (v[ok] for v in (a0, a1, b0, b1, cost))
+    if len(a0):  # ranges of equal keys
+        each = (a1 - a0) * (b1 - b0)
+        if most is not None and found + each.sum() > most:
+            return None
+        which = np.repeat(np.arange(len(a0)), each)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+        x, y = a0[which] + step // (b1 - b0)[which], b0[which] + step % (b1 - b0)[which]
+        once = (a0 != b0)[which] | (x < y)
+        left.append(x[once])
+        right.append(y[once])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -139,17 +154,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of their near-duplicate group; all columns as they were.
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by three-word shingles at two differing bits: near_duplicates, the fingerprint in hexadecimal.
 
-    A row with a null id stays only if no row of its group has an id. Rows that
-    repeat the kept id and text stay with it; distinct rows are the caller's to ensure.
+    Null, empty and wordless texts have fingerprint zero and are linked like
+    any other; repeated rows each get their row; an empty table gives none.
     """
-    groups = near_duplicates(docs, doc_id, text, shingle)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, name(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")
-
-
-def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     spot = F.pmod(F.xxhash64(F.lit(SEED), "labelled"), F.lit(1 << 30))
     # the labels are chosen before any text is touched, and so few that all tasks may have them
     chosen = known.withColumn("spot", spot).where(F.col("spot") < F.when(F.col("toxic"), share(True)).otherwise(share(False))).limit(4 * PER_CLASS)
-    rows = docs.where("text is not null").join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled"]).select("spot", "doc_id", F.col("text").cast("binary").alias("text"), "toxic").limit(4 * PER_CLASS).collect()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["labelled"]).select("spot", "doc_id", "text", "toxic").limit(4 * PER_CLASS).collect()
     got = sorted(rows, key=lambda r: (r["spot"], r["doc_id"], r["text"], r["toxic"]))
     return train([bytes(r["text"]) for r in got], [r["toxic"] for r in got])
 
