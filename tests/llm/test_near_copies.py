@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 
 from foliospark.llm import near_copies
@@ -61,3 +63,41 @@ def test_the_stage_drops_copies_with_a_few_changed_words(spark):
     texts = [(i, changed(rng, base, n)) for i, n in enumerate((0, 1, 2, 2, 3))] + [(9, " ".join(f"v{i}" for i in range(200)))]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 9]
+
+
+def test_fingerprints_are_majorities():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (0, 1, 2, 300, 254, 255, 256, 20_000)]
+    for h, row in zip(sets, near_copies.prints(sets), strict=True):
+        x = (h[:, None] ^ near_copies.FLIPS) * near_copies.FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        for k in (0, 7, near_copies.PRINTS - 1):
+            want = sum(1 << b for b in range(64) if 2 * int(((x[:, k] >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
+            assert int(row[k]) == want
+
+
+def test_dense_groups_lose_no_link(spark, monkeypatch):
+    """Families too dense for their pairs: several small parts, many roots in a group."""
+    monkeypatch.setattr(near_copies, "CELL", 40)
+    rng, texts = random.Random(11), {}
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    for _ in range(300):
+        texts[len(texts)] = changed(rng, base, rng.choice((0, 1, 2, 25, 40)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = brute_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert all(want[got[i]] == want[i] for i in got)
+    assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
+
+
+def test_one_text_of_an_id_stays(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(1, " ".join(base), 1), (1, changed(rng, base, 1), 1), (2, " ".join(base), 1), (3, "quite another text", 1), (None, "quite another text", 1), (None, "alone", 1), (4, None, 1), (5, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept_id int")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in near_copies.keep_one(docs).collect())
+    assert [x for x, _ in got] == ["1", "3", "4", "None"] and ("None", "alone") in got
+    assert near_copies.keep_one(docs.where("false")).count() == 0

@@ -156,8 +156,6 @@ def test_simhash_groups(docs, none):
         members = [i for i, f in prints if f in group[r["fingerprint"] & (2**64 - 1)] and i is not None]
         assert r["component_id"] == min(members, default=None)
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.where("text is null or trim(text) = ''").count() == 1
 
 
 def test_trie_pairs_are_all_close_pairs():

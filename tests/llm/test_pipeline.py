@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 import sentencepiece
-from tests.llm.test_operators import MODEL, WORDS, brute_fingerprint, brute_repeats, brute_targets
+from pyspark.sql import functions as F
+from tests.llm.test_near_copies import brute_groups
+from tests.llm.test_operators import MODEL, WORDS, brute_repeats, brute_targets, odd_rows
 
 import corpus_pipeline
 from foliospark.llm import toxicity
@@ -42,16 +44,8 @@ def test_toxic_documents_go(spark, kept):
 
 def test_one_of_each_group_stays(kept):
     before, after = rows(kept[1]), rows(kept[2])
-    prints = {i: brute_fingerprint(r["text"]) for i, r in before.items()}
-    label = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for i in prints:
-            best = min(label[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2)
-            if best < label[i]:
-                label[i], changed = best, True
-    assert set(after) == {i for i in prints if label[i] == i}
+    label = brute_groups({i: r["text"] for i, r in before.items()})
+    assert set(after) == {i for i in label if label[i] == i}
 
 
 def test_repeats_are_cut(kept):
@@ -89,3 +83,33 @@ def test_pieces_are_the_librarys(kept):
 def test_run_chains_the_stages(spark, kept):
     count = lambda df: sorted((r["doc_id"], len(r["pieces"])) for r in df.select("doc_id", "pieces").collect())
     assert count(corpus_pipeline.run(spark, SF)) == count(kept[5])
+
+
+CLASHES = ("a.b", "row", "made", "made_", "score", "predicted", "toxic", "spot", "labelled", "kept_id", "kept_copy", "copy", "prints", "words", "removed", "kept", "key", "place", "shard", "turn", "size", "taken", "source_size", "decoded")
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_keep_columns_of_any_name(spark, number):
+    """Odd rows with clashing columns: the stage's rows are those without such columns, and each column keeps its values."""
+    plain = spark.createDataFrame(odd_rows(), "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    wide = plain
+    for c in CLASHES:
+        wide = wide.withColumn(c, F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    stage = corpus_pipeline.STAGES[number][1]
+    out = stage(spark, wide, SF)
+    assert [c for c in out.columns if c not in ("pieces", "round_trip")] == wide.columns
+    got = out.collect()
+    assert all(r[c] == f"{c}:{'?' if r['doc_id'] is None else r['doc_id']}" for r in got for c in CLASHES)
+    less = stage(spark, plain, SF).collect()
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), str(r["source"]), str(r["n_chars"]))
+    assert sorted(map(key, got)) == sorted(map(key, less)) and got
+    bare = stage(spark, plain.drop("n_chars", "lang"), SF)
+    assert bare.count() == len(less) and "n_chars" not in bare.columns
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_empty_and_null_tables(spark, number):
+    stage, schema = corpus_pipeline.STAGES[number][1], "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
+    nulls = stage(spark, spark.createDataFrame([(None, None, None, None, None)] * 2, schema), SF)
+    assert nulls.count() == (0 if number == 3 else 2)
