@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import name, reliable, table
 
-#: The index is fitted on about this many vectors; lists are the root of all, at most MOST_LISTS.
-SAMPLE, MOST_LISTS, ROUNDS, SEED = 12_000, 4096, 12, 5
+#: Lists are the root of the number of vectors, up to MOST_LISTS (a billion vectors); the index is fitted on about
+#: SAMPLE vectors, or three for each list. Lists have no size limit: beyond that many vectors they grow.
+SAMPLE, MOST_LISTS, ROUNDS, SEED = 12_000, 1 << 15, 12, 5
 #: Probes are the fewest that find this share of the sample's own neighbours.
 RECALL = 0.97
 #: Dimensions of a block, and the test's strictness: a partial distance over d
@@ -27,6 +28,15 @@ RECALL = 0.97
 BLOCK, STRICT = 16, 2.1
 #: Candidates and queries that meet in one group, at most about.
 GROUP, QUERIES = 4096, 512
+#: Products of vectors and centres held at once.
+PRODUCTS = 1 << 23
+FOUND = "query_id bigint, vec_id bigint, score double"
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """In double precision, each row times the power of two that brings its largest component to about 1: no square overflows or vanishes."""
+    x = vectors.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))[1])
 
 
 @dataclass(frozen=True)
@@ -36,14 +46,17 @@ class Index:
     probes: int
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        return (unit @ self.rotation).astype(np.float32)
+        x = scaled(vectors)
+        return (x / np.linalg.norm(x, axis=1, keepdims=True) @ self.rotation).astype(np.float32)
 
     def lists(self, turned: np.ndarray, probes: int = 1) -> np.ndarray:
-        near = -(turned @ self.centres.T)
-        if probes >= len(self.centres):
-            return np.argsort(near, axis=1, kind="stable")
-        return np.argpartition(near, probes - 1, axis=1)[:, :probes]
+        """The nearest lists of each vector; all of them, nearest first, where probes reaches their number."""
+        out, step = [np.zeros((0, min(probes, len(self.centres))), dtype=np.int64)], max(PRODUCTS // len(self.centres), 1)
+        for i in range(0, len(turned), step):
+            near = -(turned[i : i + step] @ self.centres.T)
+            whole = probes >= len(self.centres)
+            out.append(np.argsort(near, axis=1, kind="stable") if whole else np.argpartition(near, probes - 1, axis=1)[:, :probes])
+        return np.concatenate(out)
 
 
 def fit(sample: np.ndarray, total: int, k: int) -> Index:
@@ -84,13 +97,13 @@ def scan(index: Index, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarr
     # a limit for each query: the k-th best of those with the least partial distances; equal ids count once
     first = np.argpartition(part, min(4 * k, len(x)) - 1, axis=1)[:, : min(4 * k, len(x))]
     exact = ((q[:, None, :] - x[first]) ** 2).sum(axis=2)
-    exact[np.take_along_axis(part, first, axis=1) == np.inf] = np.inf
+    exact[np.take_along_axis(part, first, axis=1) == np.inf] = np.nan
     limit = np.full(len(q), np.inf)
     for i in range(len(q)):
         least: dict[int, float] = {}
         for v, e in zip(ids[first[i]].tolist(), exact[i].tolist(), strict=True):
-            least[v] = min(e, least.get(v, np.inf))
-        finite = sorted(e for e in least.values() if e < np.inf)
+            least[v] = min(e, least.get(v, e))
+        finite = sorted(e for e in least.values() if e == e)
         if len(finite) >= k:
             limit[i] = finite[k - 1]
     limit = limit * (1 + 1e-5) + 1e-6  # single precision
@@ -103,7 +116,10 @@ def scan(index: Index, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarr
         d = to
         ok = passes(p, d, qi)
         qi, xi, p = qi[ok], xi[ok], p[ok]
-    a, b = queries[qi].astype(np.float64), vectors[xi].astype(np.float64)
+    # those that set the limits are within them, whatever the tests say
+    sure, seat = np.nonzero(exact <= limit[:, None])
+    qi, xi = np.concatenate((qi, sure)), np.concatenate((xi, first[sure, seat]))
+    a, b = scaled(queries)[qi], scaled(vectors)[xi]
     score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     order = np.lexsort((-score, ids[xi], qi))
     qi, xi, score = qi[order], xi[order], score[order]
@@ -121,62 +137,101 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _seek(index: Index, kept: DataFrame, asking: DataFrame, probes: int, dim: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the best candidates in the probed lists; kept (list, id, v), asking (id, v)."""
+    asking = reliable(asking.select("id", "v", F.explode(_lists(index, probes, dim)("v")).alias("list")))
+    # large lists meet many queries in parts: (candidate part) x (query part)
+    halls = kept.groupBy("list").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    askers = asking.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
+    grid = F.broadcast(halls.join(askers, "list"))  # a row for each list, MOST_LISTS at most
+    left = kept.join(grid, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "id", "v")
+    right = asking.join(grid, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("turns")).cast("int").alias("turn"), F.lit(True).alias("asks"), "id", "v")
+    met = left.unionByName(right).groupBy("list", "part", "turn").applyInArrow(lambda rows: _meet(index, rows, dim, k), FOUND)
+    return met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def _lists(index: Index, probes: int, dim: int):
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = index.lists(index.turned(_matrix(batch, dim)), probes)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel().astype(np.int32)))
+
+    return F.arrow_udf(of, "array<int>")
+
+
+def _meet(index: Index, rows: pa.Table, dim: int, k: int) -> pa.Table:
+    asks = rows.column("asks").to_numpy()
+    ids, v = rows.column("id").to_numpy(), _matrix(rows.column("v"), dim)
+    found = scan(index, ids[asks], v[asks], ids[~asks], v[~asks], k) if asks.any() and not asks.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+
+
+def _by_index(rows: DataFrame, dim: int, total: int, every: int, k: int) -> DataFrame:
+    """Rows (id, v) of one dimension -> their queries' best, each with k at least where there are so many candidates."""
+    spot = F.pmod(F.xxhash64(F.lit(SEED), "id", "v"), F.lit(1 << 30))
+    most = max(SAMPLE, 3 * min(round(total**0.5), MOST_LISTS))
+    picked = rows.select(spot.alias("spot"), "id", "v").where(F.col("spot") <= int(min(1.0, most / total) * (1 << 30))).distinct()
+    picked = picked.orderBy("spot", "id", "v").limit(2 * most).toArrow()
+    if not picked.num_rows:
+        picked = rows.select(spot.alias("spot"), "id", "v").orderBy("spot", "id", "v").limit(1).toArrow()
+    index = fit(_matrix(picked.column("v"), dim), total, k)
+    kept = reliable(rows.withColumn("list", _lists(index, 1, dim)("v")[0]))
+    asking = reliable(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")))
+    best, probes = None, index.probes
+    while True:
+        more = reliable(_seek(index, kept, asking, probes, dim, k))
+        best = more if best is None else best.join(asking, best["query_id"] == asking["id"], "left_anti").unionByName(more)
+        if probes >= len(index.centres):
+            return best
+        # queries that found too few, as their lists are small, ask more lists
+        fed = more.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        asking = reliable(asking.join(fed, asking["id"] == fed["query_id"], "left_anti"))
+        if asking.isEmpty():
+            return best
+        probes = min(4 * probes, len(index.centres))
+
+
 def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", *, every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all rows.
 
-    Rows with a null id or vector, a null, infinite or NaN component, no
-    length, or another number of components than most take no part. Rows of
-    one id are one candidate, with its best score; of queries of one id the
-    least vector asks. Fewer candidates give fewer ranks.
+    Rows with a null id or vector, a null, infinite or NaN component, or no
+    length take no part. Vectors of other dimensions are not compared: the most
+    frequent one, and any of more than GROUP vectors, has an index, and the
+    vectors of each other are one list. Rows of one id are one candidate, with
+    its best score; of queries of one id the least vector asks. Ties go to
+    smaller ids. Fewer candidates give fewer ranks, an empty table none; other
+    columns don't matter.
     """
     rows = vectors.select(name(vec_id).cast("bigint").alias("id"), name(vector).alias("v"))
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(sound)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], empty)
-    dim, total = sizes[0]["dim"], sizes[0]["n"]
-    rows = rows.where(F.size("v") == dim)
-    spot = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30))
-    picked = rows.where(spot < int(min(1.0, SAMPLE / total) * (1 << 30)) + 1).select(spot.alias("spot"), "id", "v").limit(2 * SAMPLE).toArrow()
-    if not picked.num_rows:
-        picked = rows.select(spot.alias("spot"), "id", "v").orderBy("spot", "id", "v").limit(1).toArrow()
-    order = np.lexsort((picked.column("id").to_numpy(), picked.column("spot").to_numpy()))
-    index = fit(_matrix(picked.column("v"), dim).astype(np.float64)[order], total, k)
-
-    def lists(probes: int):
-        def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                found = index.lists(index.turned(_matrix(batch, dim)), probes) if len(batch) else np.zeros((0, probes), dtype=np.int64)
-                yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel().astype(np.int32)))
-
-        return F.arrow_udf(of, "array<int>")
-
-    kept = reliable(rows.withColumn("list", lists(1)("v")[0]))
-    asking = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    asking = reliable(asking.select("id", "v", F.explode(lists(index.probes)("v")).alias("list")))
-    # large lists meet many queries in parts: (candidate part) x (query part)
-    halls = kept.groupBy("list").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    askers = asking.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
-    grid = F.broadcast(halls.join(askers, "list"))  # a row for each list
-    left = kept.join(grid, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "id", "v")
-    right = asking.join(grid, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("turns")).cast("int").alias("turn"), F.lit(True).alias("asks"), "id", "v")
-
-    def meet(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        ids, v = table.column("id").to_numpy(), _matrix(table.column("v"), dim)
-        if asks.all() or not asks.any():
-            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        else:
-            found = scan(index, ids[asks], v[asks], ids[~asks], v[~asks], k)
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
-
-    met = left.unionByName(right).groupBy("list", "part", "turn").applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    sizes = reliable(rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")))
+    few = sizes.where(F.col("n") <= GROUP).agg(F.count("*").alias("kinds"), F.max(F.struct("n", "dim")).alias("most")).first()
+    large = sorted(((r["n"], r["dim"]) for r in sizes.where(F.col("n") > GROUP).collect()), reverse=True)
+    if not large and few["kinds"]:
+        large = [tuple(few["most"])]
+    parts = [_by_index(rows.where(F.size("v") == dim), dim, n, every, k) for n, dim in large]
+    if few["kinds"] > (large == [tuple(few["most"] or ())]):
+        rare = rows.where(~F.size("v").isin(*(dim for _, dim in large)))
+        asks = rare.where(F.col("id") % every == 0).groupBy("id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
+        both = rare.select(F.size("v").alias("dim"), F.lit(False).alias("asks"), "id", "v").unionByName(asks.select("dim", F.lit(True).alias("asks"), "id", "v"))
+
+        def one_list(of: pa.Table) -> pa.Table:
+            dim = of.column("dim")[0].as_py()
+            return _meet(Index(np.eye(dim), np.zeros((1, dim), dtype=np.float32), 1), of, dim, k)
+
+        parts.append(both.groupBy("dim").applyInArrow(one_list, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    best = parts[0]
+    for part in parts[1:]:
+        best = best.unionByName(part)
+    if len(parts) > 1:
+        best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of all embeddings, with what nearest says of nulls, ties, repeats and empty tables."""
     return nearest(table(spark, sf_dir, "embeddings"))

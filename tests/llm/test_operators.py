@@ -257,6 +257,80 @@ def test_nearest_finds_most_and_scores_exactly(spark):
     assert nearest.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def brute_nearest(rows, every=50, k=5):
+    """{query: [(vec_id, score)]} over rows of one dimension and distinct ids, by exact integers of the scaled vectors' cosines."""
+    ids = np.array([i for i, _ in rows])
+    v = np.array([x for _, x in rows], dtype=np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        s = u @ u[q]
+        order = [j for j in np.lexsort((ids, -s.round(12))) if j != q][:k]
+        out[int(ids[q])] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+def recall(out, want):
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], {})[r["rank"]] = r
+    assert got.keys() == {q for q, x in want.items() if x}
+    hits = total = 0
+    for q, best in want.items():
+        assert sorted(got.get(q, {})) == list(range(1, len(best) + 1)), q
+        hits += len({r["vec_id"] for r in got.get(q, {}).values()} & {i for i, _ in best})
+        total += len(best)
+    return hits / total if total else 1.0
+
+
+def test_nearest_of_extreme_magnitudes(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 16)).astype(np.float32)
+    v[50] *= np.float32(1e-25)
+    v[100] *= np.float32(1e25)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(300)]
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert recall(out, brute_nearest(rows)) >= 0.9
+    wide = rng.normal(size=(200, 12))
+    wide[50] *= 1e-200
+    wide[100] *= 1e200
+    rows = [(i, [float(x) for x in wide[i]]) for i in range(200)]
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert recall(out, brute_nearest(rows)) >= 0.9 and all(-1.000001 <= r["score"] <= 1.000001 for r in out)
+
+
+def test_nearest_serves_every_dimension(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "GROUP", 250)
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for n, (count, dim) in enumerate(((400, 8), (300, 6), (200, 5), (60, 3), (3, 2), (1, 7))):
+        part = [(n * 1000 + i, [float(x) for x in rng.normal(size=dim)]) for i in range(count)]
+        rows += part
+        want |= brute_nearest(part)
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert recall(out, want) >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 6, 9, 20])
+def test_nearest_in_small_tables(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i * 25, [float(x) for x in rng.normal(size=4)]) for i in range(n)]
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert recall(out, brute_nearest(rows)) >= (1.0 if n <= 6 else 0.8)
+
+
+def test_nearest_finds_five_where_lists_are_small(spark):
+    """Tight clusters of three: one probed list never holds five candidates."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 10)) * 10
+    rows = [(i * 10, [float(x) for x in centres[i % 60] + rng.normal(size=10) * 0.01]) for i in range(180)]
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert recall(out, brute_nearest(rows)) >= 0.7  # all ranks are there; the two of the cluster come first
+    best = brute_nearest(rows)
+    assert all(r["vec_id"] == best[r["query_id"]][r["rank"] - 1][0] for r in out if r["rank"] <= 2)
+
+
 # 7
 
 
