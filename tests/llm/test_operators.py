@@ -413,17 +413,52 @@ def test_scores_are_chances_and_prefer_the_corpus(spark, none):
     assert out[3]["perplexity"] < out[902]["perplexity"]
     assert lm_scoring.score(none, model).count() == 0
     # the chances of all classes at a place sum to one, and each token is predicted without itself
-    padded, at, _ = lm_scoring._padded(model, [b"the cat sat on unknownword".split()])
-    logits = model.hidden(padded, at) @ model.out + model.bias
+    seen, klass, at, _ = lm_scoring._lined_up(model, [[b"the cat sat on unknownword".split()]], {})
+    logits = model.hidden(seen, at) @ model.out + model.bias
     whole = np.log(np.exp(logits - logits.max(1, keepdims=True)).sum(1)) + logits.max(1)
-    klass, share = model.classes(padded[at])
-    by_hand = logits[np.arange(len(at)), klass] - whole + share
-    assert np.allclose(model.log_probs(padded, at), by_hand, atol=1e-4)
-    other = padded.copy()
+    by_hand = logits[np.arange(len(at)), klass[at]] - whole - model.mass[klass[at]]
+    assert np.allclose(model.log_probs(seen, klass, at), by_hand, atol=1e-4)
+    other = seen.copy()
     other[at[2]] = 1
-    assert np.allclose(model.hidden(padded, at[2:3]), model.hidden(other, at[2:3]))
-    counts = {r["word"]: r["n"] for r in lm_scoring.word_counts(docs).collect()}
-    assert counts["the"] == sum(t.split().count("the") for _, t in rows) + 2
+    assert np.allclose(model.hidden(seen, at[2:3]), model.hidden(other, at[2:3]))
+    counts = {bytes(r["word"]): r["n"] for r in lm_scoring.word_counts(docs).collect()}
+    assert counts[b"the"] == sum(t.split().count("the") for _, t in rows) + 2
+
+
+def brute_log_prob(model, counts, text):
+    """One text, word by word."""
+    words = (text or "").encode().lower().split()
+    seen, klass, at, _ = lm_scoring._lined_up(model, [[words]], {})
+    total = 0.0
+    for place, w in zip(at.tolist(), words, strict=True):
+        logits = (model.hidden(seen, np.array([place])) @ model.out + model.bias)[0].astype(float)
+        total += logits[klass[place]] - np.log(np.exp(logits).sum())
+        if w not in model.head:
+            total += np.log(counts.get(w, 1)) - model.mass[klass[place]]
+    return total
+
+
+def test_scores_by_brute_force_on_odd_rows(spark, docs):
+    model = lm_scoring.fit(docs, heads=4)
+    assert len(model.head) == 4
+    counts = {}
+    for _, t, *_ in odd_rows():
+        for w in (t or "").encode().lower().split():
+            counts[w] = counts.get(w, 0) + 1
+    best = sorted(counts, key=lambda w: (-counts[w], w))[:4]
+    assert list(model.head) == best
+    # each class's shares sum to less than one, by the word never seen
+    for c in range(lm_scoring.TAIL):
+        assert sum(n for w, n in counts.items() if w not in best and xxhash.xxh64_intdigest(w, 42) % lm_scoring.TAIL == c) + 1 == pytest.approx(np.exp(model.mass[4 + c]))
+    out = lm_scoring.score(clashing(docs, "perplexity", "n", "key", "share"), model).collect()
+    assert len(out) == len(odd_rows()) and all(r["key"] == "mine" for r in out)
+    want = {(str(i), t): brute_log_prob(model, counts, t) for i, t, *_ in odd_rows() if len(t or "") < 10_000}
+    for r in out:
+        if (str(r["doc_id"]), r["text"]) in want:
+            assert r["log_prob"] == pytest.approx(want[str(r["doc_id"]), r["text"]], abs=1e-3 + 1e-4 * r["n_tokens"])
+            assert r["n_tokens"] == len(WORDS.findall(r["text"] or ""))
+    again = lm_scoring.score(docs.repartition(7), model).collect()
+    assert sorted((str(r["doc_id"]), r["log_prob"]) for r in again) == sorted((str(r["doc_id"]), r["log_prob"]) for r in out)
 
 
 # 10
