@@ -20,17 +20,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import binary_parts, list_array, name, ranges, table
-from foliospark.llm.suffix_array import common_prefixes, suffix_array
+from foliospark.llm.common import binary_parts, give_back, list_array, name, ranges, reliable, table
+from foliospark.llm.suffix_array import common_prefixes, suffix_arrays
 
 WINDOW = 100
 GRAM = 32
-#: An anchor that occurs more often than this has its windows dealt one by one,
-#: each by its own hash, so that no shard gathers all pieces of a frequent anchor.
-HOT = 20_000
+#: An anchor that occurs more often than this, and more than once in HOT_SHARE of all, has its windows dealt one by
+#: one, each by its own hash, so that no shard gathers all pieces of a frequent anchor. There are HOT_SHARE at most.
+HOT, HOT_SHARE = 20_000, 100_000
 #: Bytes of text hashed at once, and of pieces in a suffix array. A row longer
 #: than the first is hashed in overlapping parts.
-BUFFER, SHARD = 1 << 19, 1 << 20
+BUFFER, SHARD = 1 << 19, 1 << 19
+#: Suffix arrays made together.
+AT_ONCE = 8
+#: Bytes of documents for each shard, and for each task that works on shards; MOST_TASKS bounds their number.
+SHARD_OF, TASK_OF, MOST_TASKS = 1 << 23, 1 << 25, 100_000
 #: Bytes of text whose pieces are gathered at once, equal ones merged.
 PART = 1 << 23
 LAST = (1 << 63) - 1
@@ -129,7 +133,7 @@ def _cut(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBa
             found = _pieces(keys[r0:r1], places[r0:r1], texts[bounds[r0] : bounds[r1]], bounds[r0 : r1 + 1] - bounds[r0], _flat(part.column("common")), _flat(part.column("hot")))
             if found:
                 yield from _packed(found, shards)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _pieces(key: list[int], place: list[int], data: np.ndarray, limits: np.ndarray, common: np.ndarray, hot: np.ndarray) -> dict[tuple[int, bytes], tuple[int, int, int]]:
@@ -181,20 +185,25 @@ def _unpacked(block: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, int]]]
         at += z
 
 
-def first_windows(pieces: dict[bytes, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one shard's distinct pieces, each with its first place (place, key, start): the windows equal to no earlier one.
-
-    Returns runs of window starts: piece number, first and last offset.
-    """
-    parts, where = list(pieces), list(pieces.values())
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    t = np.frombuffer(b"\0".join(parts) + b"\0\0", dtype=np.uint8).astype(np.uint16) + 2
+def laid_out(pieces: dict[bytes, tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces as one text with a mark after each and an end, their sizes and where they start."""
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    t = np.frombuffer(b"\0".join(pieces) + b"\0\0", dtype=np.uint8).astype(np.uint16) + 2
     bases = np.cumsum(sizes + 1) - sizes - 1
     t[bases + sizes] = 1  # between pieces
     t[-1] = 0
-    sa = suffix_array(t)
+    return t, sizes, bases
+
+
+def first_windows(pieces: dict[bytes, tuple[int, int, int]], text: tuple[np.ndarray, np.ndarray, np.ndarray], sa: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct pieces, each with its first place (place, key, start), their joined text and its suffix array: the windows equal to no earlier one.
+
+    Returns runs of window starts: piece number, first and last offset.
+    """
+    where = list(pieces.values())
+    t, sizes, bases = text
     shared = common_prefixes(t, sa)
-    piece_of = np.repeat(np.arange(len(parts)), sizes + 1)
+    piece_of = np.repeat(np.arange(len(where)), sizes + 1)
     offset = np.arange(len(t) - 1) - bases[piece_of]
     full = np.zeros(len(t), dtype=bool)
     full[:-1] = offset <= sizes[piece_of] - WINDOW
@@ -216,28 +225,33 @@ def first_windows(pieces: dict[bytes, tuple[int, int, int]]) -> tuple[np.ndarray
 def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by shard -> key, place, first and last start of windows that come first among their equals."""
 
-    def settle(pieces: dict[bytes, tuple[int, int, int]]) -> pa.RecordBatch:
-        piece, lo, hi = first_windows(pieces)
-        where = list(pieces.values())
-        place, key, start = (np.array([w[i] for w in where], dtype=np.int64)[piece] for i in range(3))
-        return pa.record_batch([pa.array(v) for v in (key, place, start + lo, start + hi)], names=["key", "place", "lo", "hi"])
+    def settle(parts: list[dict[bytes, tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
+        texts = [laid_out(pieces) for pieces in parts]
+        for pieces, text, sa in zip(parts, texts, suffix_arrays([t for t, _, _ in texts]), strict=True):
+            piece, lo, hi = first_windows(pieces, text, sa)
+            where = list(pieces.values())
+            place, key, start = (np.array([w[i] for w in where], dtype=np.int64)[piece] for i in range(3))
+            yield pa.record_batch([pa.array(v) for v in (key, place, start + lo, start + hi)], names=["key", "place", "lo", "hi"])
 
     def settled(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """One shard, in parts of whole anchors of about SHARD bytes."""
+        """One shard, in parts of whole anchors of about SHARD bytes, AT_ONCE of them together."""
         rows = sorted((row for block in blocks for row in _unpacked(block)), key=lambda row: row[0])
-        pieces: dict[bytes, tuple[int, int, int]] = {}
+        parts: list[dict[bytes, tuple[int, int, int]]] = [{}]
         size, last = 0, None
         for h, piece, me in rows:
             if size >= SHARD and h != last:
-                yield settle(pieces)
-                pieces, size = {}, 0
+                if len(parts) == AT_ONCE:
+                    yield from settle(parts)
+                    parts = []
+                parts.append({})
+                size = 0
             last = h
-            if (was := pieces.get(piece)) is None:
+            if (was := parts[-1].get(piece)) is None:
                 size += len(piece) + 1
-                pieces[piece] = me
+                parts[-1][piece] = me
             elif me < was:
-                pieces[piece] = me
-        yield settle(pieces)
+                parts[-1][piece] = me
+        yield from settle(parts)
 
     blocks: list[bytes] = []
     current = None
@@ -250,6 +264,7 @@ def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.append(block)
     if blocks:
         yield from settled(blocks)
+    give_back()
 
 
 def _strip(data: np.ndarray, limits: np.ndarray, hashes: np.ndarray, clears: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -283,7 +298,7 @@ def _removed(batches: Iterator[tuple[pa.Array, ...]], as_text: bool) -> Iterator
     for batch in batches:
         yield _removed_batch(*batch, as_text)
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _removed_batch(place: pa.Array, text: pa.Array, common: pa.Array, hot: pa.Array, clear: pa.Array, as_text: bool) -> pa.Array:
@@ -339,11 +354,18 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         name(text).alias("text"),
     )
     anchors = base.select("key", F.explode(F.arrow_udf(_anchors, "array<bigint>")(F.col("text").cast("binary"))).alias("h"))
-    often = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    marked = anchors.join(often, "h").groupBy("key").agg(F.collect_list(F.when(F.col("c") <= HOT, F.col("h"))).alias("common"), F.collect_list(F.when(F.col("c") > HOT, F.col("h"))).alias("hot"))
+    counted = reliable(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    # HOT_SHARE rows at most, as each is one in HOT_SHARE of the repeated ones: all tasks may have them
+    hot = F.broadcast(counted.where(F.col("c") > max(HOT, total // HOT_SHARE)).select("h", F.lit(True).alias("hot")))
+    # frequent anchors need no count, so they join nothing, each under a key of its text
+    told = anchors.join(hot, "h", "left").withColumn("at", F.when(F.col("hot"), F.xxhash64("h", "key")).otherwise(F.col("h")))
+    marked = told.join(counted.select(F.col("h").alias("at"), "c"), "at", "left").where("hot or c is not null")
+    marked = marked.groupBy("key").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("h"))).alias("common"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     joined = base.join(marked, "key", "left")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = 4 * parts
+    n_bytes = docs.agg(F.sum(F.octet_length(name(text)))).first()[0] or 0
+    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // TASK_OF), MOST_TASKS)
+    shards = max(parts, n_bytes // SHARD_OF)
     # row goes along so that both readers of joined share one exchange of the texts
     pieces = joined.where("common is not null").mapInArrow(lambda batches: _cut(batches, shards), "shard bigint, block binary")
     clear = pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_clear, "key bigint, place bigint, lo bigint, hi bigint")

@@ -374,6 +374,7 @@ def brute_repeats(rows, window=suffix_dedup.WINDOW):
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_repeats_go_and_first_ones_stay(spark, docs, none, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**9)
     rows = [r for r in dict.fromkeys(odd_rows()) if r[0] is not None and r[1] != "a second text for id 0"]
     table = spark.createDataFrame(rows, DOCS)
     expected = brute_repeats([(r[0], r[1]) for r in rows])
@@ -391,7 +392,7 @@ def test_suffix_arrays_and_prefixes_by_sorting():
     rng = np.random.default_rng(1)
     for _ in range(200):
         t = np.concatenate((rng.integers(1, rng.integers(2, 6), rng.integers(0, 60)), [0])).astype(np.uint16)
-        sa, want = suffix_array.suffix_array(t), sorted(range(len(t)), key=lambda i: tuple(t[i:]))
+        sa, want = suffix_array.suffix_arrays([t])[0], sorted(range(len(t)), key=lambda i: tuple(t[i:]))
         assert sa.tolist() == want
         shared = suffix_array.common_prefixes(t, sa)
         for a, b in zip(want[1:], want, strict=False):
@@ -399,6 +400,22 @@ def test_suffix_arrays_and_prefixes_by_sorting():
             assert shared[a] == n
 
 
+def test_suffix_arrays_of_several_texts_that_recur_deeply():
+    rng = np.random.default_rng(2)
+    for i in range(300):
+        texts = []
+        for _ in range(rng.integers(1, 6)):
+            x = rng.integers(1, rng.integers(2, 6), rng.integers(0, 90))
+            texts.append(np.concatenate((np.tile(x[: max(1, len(x) // 5)], 6)[: len(x)] if i % 2 else x, [0])).astype(np.uint16))
+        for t, sa in zip(texts, suffix_array.suffix_arrays(texts), strict=True):
+            assert sa.tolist() == sorted(range(len(t)), key=lambda k: tuple(t[k:]))
+    a = [0, 1]
+    for _ in range(12):  # a Fibonacci word: names repeat at every depth
+        a = a[:] + a[: len(a) * 3 // 5]
+    t = np.concatenate((np.array(a) + 1, [0])).astype(np.uint16)[-4000:]
+    assert suffix_array.suffix_arrays([t])[0].tolist() == sorted(range(len(t)), key=lambda k: tuple(t[k:]))
+
+
 # 9
 
 
