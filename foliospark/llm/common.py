@@ -7,6 +7,7 @@ name an operator also returns is replaced by the operator's column.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
 #: Words, as every operator here takes them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,6 +101,13 @@ def ranges(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield first, len(lengths)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the machine: workers outlive their tasks, beside the JVM and each other."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def list_array(values: pa.Array, counts: Sequence[int] | np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])

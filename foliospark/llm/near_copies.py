@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import binary_parts, list_array, name, packed, reliable, unpacked, with_fields
+from foliospark.llm.common import binary_parts, give_back, list_array, name, packed, reliable, unpacked, with_fields
 from foliospark.llm.components import connected_components
 from foliospark.llm.simhash import trie_pairs
 
@@ -33,8 +33,8 @@ _DEPTH = np.arange(REST + 1)
 BUDGETS = np.maximum(np.floor(_MISS * _DEPTH + 2.5 * np.sqrt(_MISS * (1 - _MISS) * _DEPTH)), 2).astype(np.int64)
 #: Rows of a group that are walked at once, and rows of a part of a larger group.
 CELL = 4096
-#: Shingles hashed at once; a byte counts up to 255 of them.
-ROWS = 1 << 13
+#: Groups of 15 shingles hashed at once.
+ROWS = 1 << 9
 _rng = np.random.default_rng(SEED)
 FLIPS, FACTORS = (_rng.integers(0, 1 << 64, size=PRINTS, dtype=np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
@@ -55,23 +55,43 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
+def _added(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Bit-wise sums of 15 words: words whose bits weigh 1, 2, 4 and 8, by full adders."""
+    out, carried = [], words
+    while carried:
+        words, carried = carried, []
+        while len(words) > 2:
+            a, b, c = words[-3:]
+            either = a ^ b
+            carried.append((a & b) | (either & c))
+            words = [*words[:-3], either ^ c]
+        out += words
+    return out
+
+
 def prints(sets: list[np.ndarray]) -> np.ndarray:
     """(texts, PRINTS) fingerprints: in each bit the majority of the text's shingles."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     ones = np.zeros((len(sets), PRINTS, 64), dtype=np.int32)
-    whole, owner = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
-    for i in range(0, len(whole), ROWS):
-        h, own = whole[i : i + ROWS], owner[i : i + ROWS]
+    seats = -(-sizes // 15) * 15
+    whole, real = np.zeros(int(seats.sum()), dtype=np.uint64), np.zeros(int(seats.sum()), dtype=bool)
+    for at, h in zip((np.cumsum(seats) - seats).tolist(), sets, strict=True):
+        whole[at : at + len(h)] = h
+        real[at : at + len(h)] = True
+    owner = np.repeat(np.arange(len(sets)), seats // 15)
+    for i in range(0, len(owner), ROWS):
+        part, own = slice(15 * i, 15 * (i + ROWS)), owner[i : i + ROWS]
         fresh = np.concatenate(([True], own[1:] != own[:-1]))
         first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        heads = np.flatnonzero((np.arange(len(h)) - first) % 255 == 0)
-        x = (h[:, None] ^ FLIPS) * FACTORS
+        heads = np.flatnonzero((np.arange(len(own)) - first) % 255 == 0)
+        x = (whole[part, None] ^ FLIPS) * FACTORS
         x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
-        for s in range(8):
-            lanes = np.add.reduceat((x >> np.uint64(s)) & _LANES, heads, axis=0)
-            np.add.at(ones, (own[heads], slice(None), slice(s, 64, 8)), lanes.view(np.uint8).reshape(len(heads), PRINTS, 8))
+        x[~real[part]] = 0
+        x = x.reshape(-1, 15, PRINTS)
+        for k, word in enumerate(_added([x[:, j] for j in range(15)])):
+            for s in range(8):
+                lanes = np.add.reduceat((word >> np.uint64(s)) & _LANES, heads, axis=0)
+                np.add.at(ones, (own[heads], slice(None), slice(s, 64, 8)), lanes.view(np.uint8).reshape(len(heads), PRINTS, 8).astype(np.int32) << k)
     return np.packbits(2 * ones > sizes[:, None, None], axis=2, bitorder="little").view(np.uint64)[:, :, 0]
 
 
@@ -94,6 +114,8 @@ def _each(kind: str):
                 lists = list(values)
             flat = pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64))
             yield pa.StructArray.from_arrays([pa.array(copies.view(np.int64)), list_array(flat, [len(v) for v in lists])], names=["copy", kind])
+            del batch, data, whole, lists, made, flat
+        give_back()
 
     return F.arrow_udf(of, f"struct<copy:bigint,{kind}:array<bigint>>")
 
@@ -158,6 +180,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, hot = [x[:1] for x in held], True
     if held is not None:
         yield from _groups(*held, hot=hot)
+    give_back()
 
 
 def candidates(distinct: DataFrame) -> DataFrame:

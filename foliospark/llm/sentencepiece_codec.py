@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import binary_parts, list_array, name, ranges, table, with_fields
+from foliospark.llm.common import binary_parts, give_back, list_array, name, ranges, table, with_fields
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -292,6 +292,7 @@ def _transcoded(docs: DataFrame, model: bytes, text: str, fields: tuple[str, ...
             for r0, r1 in ranges(np.diff(limits), BATCH):  # a part at a time: a batch's ids would take more room than its text
                 yield part(codec, data[limits[r0] : limits[r1]].tobytes(), (limits[r0 : r1 + 1] - limits[r0]).tolist())
         codec.forget()
+        give_back()
 
     def part(codec: Model, whole: bytes, at: list[int]) -> pa.Array:
         ids, counts = codec.encode([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])

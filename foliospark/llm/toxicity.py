@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import binary_parts, name, ranges, table, with_fields
+from foliospark.llm.common import binary_parts, give_back, name, ranges, table, with_fields
 from foliospark.llm.ngrams import hashed, inside, lower
 
 #: The fitted sample: about this many labelled texts of each class.
@@ -31,8 +31,8 @@ class ToxicityModel:
     bias: float
     scale: float
 
-    def scores(self, data: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        rows, which = hits(data, limits, seats(self.features))
+    def scores(self, data: np.ndarray, limits: np.ndarray, seat: np.ndarray | None = None) -> np.ndarray:
+        rows, which = hits(data, limits, seats(self.features) if seat is None else seat)
         total = np.bincount(rows, weights=self.weights[which], minlength=len(limits) - 1)
         return 1 / (1 + np.exp(-np.clip(self.scale * (total + self.bias), -500, 500)))
 
@@ -139,11 +139,13 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     """docs plus score (0 to 1) and predicted (1 from 0.5 on), from the whole text alone; null texts score as empty ones."""
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seat = seats(model.features)
         for batch in batches:
             data, limits = binary_parts(batch)
-            parts = [model.scores(data[limits[a] : limits[b]], limits[a : b + 1] - limits[a]) for a, b in ranges(np.diff(limits), BUFFER)]
+            parts = [model.scores(data[limits[a] : limits[b]], limits[a : b + 1] - limits[a], seat) for a, b in ranges(np.diff(limits), BUFFER)]
             out = np.concatenate([np.zeros(0), *parts])
             yield pa.StructArray.from_arrays([pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=list(FIELDS))
+        give_back()
 
     return with_fields(docs, F.arrow_udf(of, "struct<score:double,predicted:int>")(name(text).cast("binary")), FIELDS)
 

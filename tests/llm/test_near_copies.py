@@ -67,12 +67,10 @@ def test_the_stage_drops_copies_with_a_few_changed_words(spark):
 
 def test_fingerprints_are_majorities():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (0, 1, 2, 300, 254, 255, 256, 20_000)]
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (0, 1, 2, 300, 14, 15, 16, 3824, 3825, 3826, 50_000)]
     for h, row in zip(sets, near_copies.prints(sets), strict=True):
         x = (h[:, None] ^ near_copies.FLIPS) * near_copies.FACTORS
         x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
         for k in (0, 7, near_copies.PRINTS - 1):
             want = sum(1 << b for b in range(64) if 2 * int(((x[:, k] >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
             assert int(row[k]) == want
