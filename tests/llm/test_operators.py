@@ -121,12 +121,30 @@ def test_mixing_odd_tables(docs, none):
     assert {r["shard"] for r in out.select("shard").distinct().collect()} <= set(range(5)) and "a.b" in out.columns
 
 
-def test_the_splitting_tree_deals_every_quota(spark):
-    quotas = [100, 7, 0, 300, 1]
-    rows = mixing.splitting_tree(spark.range(1).select(F.array(*(F.lit(q).cast("bigint") for q in quotas)).alias("quotas")), 6).collect()
-    shares = np.array([r["quotas"] for r in rows])
-    assert sorted(r["shard"] for r in rows) == list(range(6)) and shares.sum(axis=0).tolist() == quotas and (shares >= 0).all()
-    assert max(shares.sum(axis=1)) - min(shares.sum(axis=1)) <= 2
+def test_the_splitting_tree_deals_every_quota(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAMILY", 2)
+    quotas = [100, 7, 0, 300, 1, 12, 55]
+    counts = spark.createDataFrame(list(enumerate(quotas)), "place bigint, quota bigint")
+    rows = mixing.deal_quotas(counts, 6).collect()
+    shares = np.zeros((6, len(quotas)), dtype=int)
+    for r in rows:
+        shares[r["shard"], r["place"]] = r["share"]
+    assert len(rows) == 6 * len(quotas) and shares.sum(axis=0).tolist() == quotas and (shares >= 0).all()
+    assert max(shares.sum(axis=1)) - min(shares.sum(axis=1)) <= 1
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_mixing_many_sources(spark, monkeypatch, broadcast):
+    """100,000 sources: no row, task or broadcast holds them all; and a plan too large to send to all tasks."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    n = 100_000 if broadcast else 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    sizes = {f"s{i}": i % 7 for i in range(n)}
+    want = brute_targets(sizes)
+    rows = mixing.mix_plan(docs).select("source", "target", "taken", "size").collect()
+    assert len(rows) == n
+    for r in rows:
+        assert r["target"] == pytest.approx(want[r["source"]]) and abs(r["taken"] - r["target"]) <= 0.5 + 1e-6
 
 
 # 3
