@@ -7,19 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import binary_parts, name, ranges, table
 from foliospark.llm.ngrams import hashed, lower
 
-#: The fitted sample: about PER_LANG texts of each of the MAX_LANGS most frequent languages.
-PER_LANG, MAX_LANGS = 600, 100
+#: The fitted sample: about PER_LANG texts of every language, and fewer of each where that would be more than
+#: MOST_TEXTS; of a text so many characters at most.
+PER_LANG, MOST_TEXTS, EXCERPT = 600, 30_000, 4000
 BITS, WIDTH, ORDERS = 16, 16, (2, 3, 4)
 EPOCHS, RATE, SNIPPETS, SEED = 4, 0.5, 3, 7
 #: Of the calibration texts, the share that accepted predictions may get wrong.
 ERROR = 0.01
-BUFFER = 1 << 20
+#: Bytes of a batch looked at together, and of a very long text at a time.
+BUFFER, PART = 1 << 20, 1 << 20
 FIELDS = ("lang_pred", "score", "rejected")
 
 
@@ -34,18 +36,34 @@ class LanguageModel:
     reject_below: float
 
     def logits(self, data: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        """One row for each of the texts that lie end to end."""
-        data = lower(data)
+        """One row for each of the texts that lie end to end; each is summed by itself, so its neighbours don't matter."""
         sums, counts = np.zeros((len(limits) - 1, len(self.languages))), np.zeros(len(limits) - 1)
-        for n in ORDERS:
+        if len(limits) == 2 and len(data) > PART:
+            for i in range(0, len(data), PART):
+                self._add(data[i : i + PART + max(ORDERS) - 1], np.array([0, min(PART, len(data) - i)]), sums, counts)
+        else:
+            self._add(data, limits, sums, counts)
+        return sums / np.maximum(counts, 1)[:, None] + self.bias
+
+    def _add(self, data: np.ndarray, limits: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
+        """Add the scores of n-grams to each row; one past the last limit is there for those that reach beyond it."""
+        data = lower(data)
+        full = np.flatnonzero(np.diff(limits))
+        for n in ORDERS if len(full) else ():
             ids = hashed(data, n, BITS)
-            ends = np.minimum(np.maximum(limits[1:] - n + 1, limits[:-1]), len(ids))
-            starts = np.minimum(limits[:-1], len(ids))
-            counts += ends - starts
+            whole = np.zeros(limits[-1], dtype=bool)
+            whole[: len(ids)] = True
+            for k in range(1, n):  # an n-gram must not cross into the next text
+                cut = limits[1:-1] - k
+                whole[cut[cut >= 0]] = False
+            if len(limits) == 2:
+                whole[: len(ids)] = True
+            marks = whole.astype(np.float64)
+            counts[full] += np.add.reduceat(marks, limits[:-1][full])
+            seen = np.zeros(limits[-1], dtype=np.int64)
+            seen[: min(len(ids), len(seen))] = ids[: len(seen)]
             for c in range(len(self.languages)):
-                run = np.concatenate(([0.0], np.cumsum(self.table[c][ids], dtype=np.float64)))
-                sums[:, c] += run[ends] - run[starts]
-        return sums / np.maximum(counts, 1)[:, None] + self.bias
+                sums[full, c] += np.add.reduceat(self.table[c][seen] * marks, limits[:-1][full])
 
     def chances(self, data: np.ndarray, limits: np.ndarray) -> np.ndarray:
         return softmax(self.logits(data, limits) / self.temperature)
@@ -114,24 +132,38 @@ def train(texts: list[bytes], langs: list[str], seed: int = SEED) -> LanguageMod
     return LanguageModel(model.languages, model.table, bias, temperature, float(score[order][fine[-1]]) if len(fine) else 1.0)
 
 
-def sample(docs: DataFrame, doc_id: str, text: str, label: str, per_class: int, classes: int, seed: int = SEED) -> list[tuple[bytes, str]]:
-    """About per_class (text, label) rows of each of the most frequent labels, by a hash of the id; no more than twice that in all."""
-    rows = docs.where(name(label).isNotNull() & name(text).isNotNull()).select(name(doc_id).alias("id"), name(text).cast("binary").alias("text"), name(label).cast("string").alias("label"))
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(classes).collect()
-    if not counts:
+def sample(docs: DataFrame, doc_id: str, text: str, label: str, per_class: int = PER_LANG, most: int = MOST_TEXTS, seed: int = SEED) -> list[tuple[bytes, str]]:
+    """About per_class (text, label) rows of every label, fewer of each where that would be more than `most` in all.
+
+    Rows are chosen by a hash of id and text, so the choice is the same on
+    reruns; rows that repeat count once. A text longer than EXCERPT characters
+    gives that many from a place that its hash tells.
+    """
+    rows = docs.where(name(label).isNotNull() & name(text).isNotNull()).select(name(doc_id).alias("id"), name(text).alias("text"), name(label).cast("string").alias("label"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    labels = counts.count()
+    if not labels:
         return []
-    spot = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["label"], int(min(1.0, per_class / r["n"]) * (1 << 30)))))
-    chosen = rows.withColumn("spot", spot).where(F.col("spot") < share[F.col("label")]).limit(2 * per_class * len(counts))
-    return [(bytes(r["text"]), r["label"]) for r in sorted(chosen.collect(), key=lambda r: (r["spot"], r["id"] is None, r["id"], r["text"]))]
+    per = max(min(per_class, most // labels), 1)
+    spot = F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 30))
+    limit = (F.least(F.lit(1.0), F.lit(per + 2 * per**0.5) / F.col("n")) * (1 << 30)).cast("bigint")
+    # a row for each label: Spark sends them to all tasks if they are few
+    chosen = rows.withColumn("spot", spot).join(counts.select("label", limit.alias("limit")), "label").where(F.col("spot") < F.col("limit"))
+    start = F.pmod(F.xxhash64(F.lit(seed), "text"), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
+    chosen = chosen.select("label", "spot", F.substring(F.col("text"), start, F.lit(EXCERPT)).alias("text")).distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy("spot", "text"))
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= per).select("label", "spot", "text").collect()
+    return [(r["text"].encode(), r["label"]) for r in sorted(chosen, key=lambda r: (r["spot"], r["label"], r["text"]))]
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", *, reject: bool = True) -> DataFrame:
     """docs plus lang_pred, score and rejected, from the whole text alone.
 
     lang_pred is `und` where the text is null or has no letter (score 0), and,
-    with reject, where the calibrated score is below the model's limit.
-    Columns named like the results give way; nothing is shuffled.
+    with reject, where the calibrated score is below the model's limit. Equal
+    texts are told alike, repeated rows stay, an empty table gives none; ties go
+    to the first language by code point. Columns named like the results give
+    way; nothing is shuffled.
     """
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -154,9 +186,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", *, rejec
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lang_pred is the best learned value wherever there is a letter; rejected says where the operator would withhold it."""
+    """lang_pred is the best learned value wherever there is a letter; rejected says where the operator would withhold it.
+
+    Every non-null lang outside the held-out third is learned; a null id is held out.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(1))
-    known = sample(docs.where(part != 1), "doc_id", "text", "lang", PER_LANG, MAX_LANGS)
+    known = sample(docs.where(part != 1), "doc_id", "text", "lang")
     model = train([t for t, _ in known], [x for _, x in known])
     return identify(docs.select("doc_id", "text"), model, reject=False).select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score", "rejected")
