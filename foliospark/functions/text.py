@@ -21,14 +21,15 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(col(c), UPPER, LOWER)
 
 
-def _mapped(c: Column | str, change: Callable[[str], str]) -> Column:
-    """A string function through Arrow; null stays null."""
+def _mapped(c: Column | str, change: Callable[[str], str], plain: Callable[[Column], Column] = lambda c: c) -> Column:
+    """A string function through Arrow for rows beyond ASCII; the others take `plain`, a Spark function. Null stays null."""
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([None if s is None else change(s) for s in batch.to_pylist()], pa.string())
 
-    return F.arrow_udf(of, "string")(col(c))
+    odd = col(c).rlike(r"[^\x00-\x7F]")
+    return F.when(odd, F.arrow_udf(of, "string")(F.when(odd, col(c)))).otherwise(plain(col(c)))
 
 
 def nfkc(c: Column | str) -> Column:
@@ -47,7 +48,7 @@ def fold(text: str) -> str:
 
 
 def folded(c: Column | str) -> Column:
-    return _mapped(c, fold)
+    return _mapped(c, fold, F.lower)
 
 
 def strip(c: Column | str) -> Column:

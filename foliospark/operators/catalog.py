@@ -19,7 +19,7 @@ def build_search_documents(nodes: DataFrame, projects: DataFrame, files: DataFra
     n = nodes.where("node_type = 'file' and deleted_at is null").alias("n")
     p = projects.where("deleted_at is null").alias("p")
     parent = nodes.select("id", "path").alias("u")
-    joined = n.join(F.broadcast(p), F.col("n.project_id") == F.col("p.id")).join(files.alias("f"), F.col("f.node_id") == F.col("n.id")).join(parent, F.col("n.parent_id") == F.col("u.id"), "left")
+    joined = n.join(p, F.col("n.project_id") == F.col("p.id")).join(files.alias("f"), F.col("f.node_id") == F.col("n.id")).join(parent, F.col("n.parent_id") == F.col("u.id"), "left")
     own = {"file_id": "n.id", "project_id": "p.id", "project_slug": "p.slug", "project_name": "p.name", "path": "n.path", "file_name": "n.name", "created_at": "f.created_at", "updated_at": "f.updated_at"}
     made = {"parent_path": F.coalesce("u.path", F.lit("/")), "visibility": F.coalesce("n.visibility", "p.visibility")}
     return joined.select(*((made[c] if c in made else F.col(own.get(c, f"f.{c}"))).alias(c) for c in DOCUMENT))
@@ -38,7 +38,7 @@ def refresh_search_documents(docs: DataFrame, before: dict[str, DataFrame], afte
     projects = _changed(before["projects"], after["projects"], "id", ("slug", "name", "visibility", "deleted_at")).select(F.col("id").alias("project_id"))
     every = after["nodes"].select("id", "parent_id", "project_id").unionByName(before["nodes"].select("id", "parent_id", "project_id"))
     below = every.join(nodes.select(F.col("id").alias("parent_id")), "parent_id").select(F.col("id").alias("file_id"))
-    members = every.join(F.broadcast(projects), "project_id").select(F.col("id").alias("file_id"))
+    members = every.join(projects, "project_id").select(F.col("id").alias("file_id"))
     touched = files.union(nodes.select(F.col("id").alias("file_id"))).union(below).union(members).distinct()
     fresh_nodes = after["nodes"].join(touched.select(F.col("file_id").alias("id")), "id", "left_semi")
     parents = after["nodes"].where("node_type = 'folder'")
@@ -61,14 +61,14 @@ def list_directory(nodes: DataFrame, projects: DataFrame, files: DataFrame, requ
     """requests (request_id, project, path) -> direct children in order: folders first, sort order, name. A missing or hidden folder lists nothing."""
     p = visible(projects.where("deleted_at is null"), access).select(F.col("id").alias("project_id"), F.col("slug"), F.col("visibility").alias("project_visibility"))
     wanted = requests.select("request_id", T.ascii_lower(T.strip(T.nfkc("project"))).alias("wanted"), T.normalize_path("path").alias("folder_path"))
-    asked = wanted.join(F.broadcast(p.select("project_id", "project_visibility", F.explode(F.array_distinct(F.array(T.ascii_lower("project_id"), T.ascii_lower("slug")))).alias("wanted"))), "wanted")
+    asked = wanted.join(p.select("project_id", "project_visibility", F.explode(F.array_distinct(F.array(T.ascii_lower("project_id"), T.ascii_lower("slug")))).alias("wanted")), "wanted")
     asked = asked.groupBy("request_id", "folder_path").agg(F.min(F.struct("project_id", "project_visibility")).alias("p")).select("request_id", "folder_path", "p.*")
-    live = nodes.where("deleted_at is null").join(F.broadcast(p.drop("slug")), "project_id").withColumn("seen_as", F.coalesce("visibility", "project_visibility")).where(F.col("seen_as").isin(*access))
+    live = nodes.where("deleted_at is null").join(p.drop("slug"), "project_id").withColumn("seen_as", F.coalesce("visibility", "project_visibility")).where(F.col("seen_as").isin(*access))
     folders = live.where("node_type = 'folder'").select("project_id", F.col("path").alias("folder_path"), F.col("id").alias("folder_id"))
     found = asked.join(folders, ["project_id", "folder_path"], "left").where("folder_path = '/' or folder_id is not null")
     children = live.join(files.select(F.col("node_id").alias("id"), "title", "language", "role"), "id", "left")
     c, f = children.alias("c"), found.alias("f")
-    rows = c.join(F.broadcast(f), (F.col("c.project_id") == F.col("f.project_id")) & F.col("c.parent_id").eqNullSafe(F.col("f.folder_id")))
+    rows = c.join(f, (F.col("c.project_id") == F.col("f.project_id")) & F.col("c.parent_id").eqNullSafe(F.col("f.folder_id")))
     order = Window.partitionBy("request_id").orderBy(F.when(F.col("node_type") == "folder", 0).otherwise(1), "sort_order", T.ascii_lower("name"), "id")
     return rows.select("f.request_id", "c.id", "c.node_type", "c.name", "c.path", "c.sort_order", "c.title", "c.language", "c.role").withColumn("place", F.row_number().over(order))
 
@@ -111,7 +111,7 @@ def resolve_resource(docs: DataFrame, nodes: DataFrame, projects: DataFrame, req
     seen = visible(docs, access)
     f = seen.select(F.explode(F.array_distinct(F.array(T.ascii_lower("project_id"), T.ascii_lower("project_slug")))).alias("wanted"), F.col("path").alias("lookup"), F.col("file_id"))
     p = visible(projects.where("deleted_at is null"), access).select(F.col("id").alias("project_id"), F.explode(F.array_distinct(F.array(T.ascii_lower("id"), T.ascii_lower("slug")))).alias("wanted"), F.col("visibility").alias("inherited"))
-    folders = nodes.where("node_type = 'folder' and deleted_at is null").join(F.broadcast(p), "project_id").where(F.coalesce("visibility", "inherited").isin(*access)).select("wanted", F.col("path").alias("lookup"), F.col("id").alias("folder_id"))
+    folders = nodes.where("node_type = 'folder' and deleted_at is null").join(p, "project_id").where(F.coalesce("visibility", "inherited").isin(*access)).select("wanted", F.col("path").alias("lookup"), F.col("id").alias("folder_id"))
     folders = folders.union(p.select("wanted", F.lit("/"), F.col("project_id")))
     files = asked.join(f, [T.ascii_lower(asked["lookup"]) == T.ascii_lower(f["lookup"]), asked["wanted"] == f["wanted"]]).groupBy("request_id").agg(F.min("file_id").alias("file_id"))
     dirs = asked.join(folders, ["wanted", "lookup"]).groupBy("request_id").agg(F.min("folder_id").alias("folder_id"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,6 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 NO_RANK = 999999.0
 DEFAULT_LIMIT, MOST_RESULTS = 10, 50
-_SPLIT = regex.compile(r"[^\p{L}\p{N}\p{Co}]+")
 
 
 def filter_documents(docs: DataFrame, *, project: str | None = None, directory: str | None = None, recursive: bool = True, language: str | None = None, role: str | None = None, tags: Sequence[str] = ()) -> DataFrame:
@@ -39,34 +36,25 @@ def filter_documents(docs: DataFrame, *, project: str | None = None, directory:
     return docs
 
 
-def tokens(text: str | None) -> list[str]:
-    """Runs of letters and numbers, lower-cased, without diacritics."""
-    return [t for t in _SPLIT.split(T.fold(text)) if t] if text else []
+TOKEN_EDGE = r"[^\p{L}\p{N}\p{Co}]+"
+
+
+def tokens(c: Column | str) -> Column:
+    """Runs of letters and numbers, lower-cased, without diacritics; none for null."""
+    return F.filter(F.split(T.folded(F.coalesce(T.col(c), F.lit(""))), TOKEN_EDGE), lambda t: t != "")
 
 
 def build_index(docs: DataFrame, key: str = "file_id") -> tuple[DataFrame, DataFrame]:
     """Postings (term, file_id, field, positions) and doc_stats (file_id, length).
 
-    Tokens are grouped inside their document, so one row for each distinct
-    term, field and document is all that moves.
+    Lengths come of the tokens alone. Occurrences of a term in a field are
+    gathered by a grouping that starts where the document is read.
     """
-
-    def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for fields in zip(*(a.to_pylist() for a in batch), strict=True):
-                found: dict[tuple[str, int], list[int]] = {}
-                for f, text in enumerate(fields):
-                    for at, term in enumerate(tokens(text)):
-                        found.setdefault((term, f), []).append(at)
-                rows.append([{"term": t, "field": f, "positions": p} for (t, f), p in found.items()])
-            yield pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("field", pa.int32()), ("positions", pa.list_(pa.int32()))])))
-
-    made = F.arrow_udf(of, "array<struct<term:string,field:int,positions:array<int>>>")(*FIELDS)
-    grouped = docs.select(F.col(key).alias("file_id"), made.alias("terms"))
-    postings = grouped.select("file_id", F.explode("terms").alias("t")).select("t.term", "file_id", "t.field", "t.positions")
-    length = F.aggregate("terms", F.lit(0).cast("bigint"), lambda n, t: n + F.size(t["positions"]))
-    return postings, grouped.select("file_id", length.alias("length"))
+    split = docs.select(F.col(key).alias("file_id"), F.array(*(tokens(f) for f in FIELDS)).alias("fields"))
+    each = split.select("file_id", F.posexplode("fields").alias("field", "terms")).select("file_id", "field", F.posexplode("terms").alias("at", "term"))
+    postings = each.groupBy("term", "file_id", "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    length = F.aggregate("fields", F.lit(0).cast("bigint"), lambda n, t: n + F.size(t))
+    return postings, split.select("file_id", length.alias("length"))
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -74,8 +62,7 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     words = F.split(T.strip(T.nfkc(F.coalesce("query", F.lit("")))), r"(?U)\s+")
     cleaned = F.filter(F.transform(words, lambda w: T.strip(F.regexp_replace(w, r'["*:^(){}\[\]]', ""))), lambda w: w != "")
     rows = queries.select("query_id", cleaned.alias("words")).select("query_id", F.size("words").alias("n_phrases"), F.posexplode("words").alias("phrase_no", "word"))
-    split = F.filter(F.split(T.folded("word"), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
-    return rows.select("query_id", "phrase_no", "n_phrases", split.alias("tokens"))
+    return rows.select("query_id", "phrase_no", "n_phrases", tokens("word").alias("tokens"))
 
 
 def match(postings: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -88,7 +75,7 @@ def match(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     wanted = phrases.select("query_id", "phrase_no", "n_phrases", F.size("tokens").alias("n"), F.posexplode("tokens").alias("no", "token"))
     wanted = wanted.withColumn("last", F.col("no") == F.col("n") - 1).withColumn("head", F.substring("token", 1, 1))
     terms = postings.select("term").distinct().withColumn("head", F.substring("term", 1, 1))
-    widened = terms.join(F.broadcast(wanted), "head").where((F.col("term") == F.col("token")) | (F.col("last") & F.col("term").startswith(F.col("token"))))
+    widened = terms.join(wanted, "head").where((F.col("term") == F.col("token")) | (F.col("last") & F.col("term").startswith(F.col("token"))))
     hits = postings.join(widened.drop("head", "token", "last"), "term")
     single = hits.where("n = 1").groupBy("query_id", "phrase_no", "n_phrases", "file_id").agg(F.sum(F.size("positions")).alias("freq"))
     runs = hits.where("n > 1").select("query_id", "phrase_no", "n_phrases", "n", "file_id", "field", "no", F.explode("positions").alias("at"))
@@ -100,7 +87,7 @@ def bm25(matches: DataFrame, doc_stats: DataFrame) -> DataFrame:
     """(query_id, file_id, rank) of documents with every phrase; lower is better. Statistics are those of the whole corpus."""
     corpus = doc_stats.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     spread = matches.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n"))
-    rows = matches.join(F.broadcast(spread), ["query_id", "phrase_no"]).join(doc_stats, "file_id").join(F.broadcast(corpus))
+    rows = matches.join(spread, ["query_id", "phrase_no"]).join(doc_stats, "file_id").crossJoin(F.broadcast(corpus))  # one row
     raw = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     part = idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -108,27 +95,57 @@ def bm25(matches: DataFrame, doc_stats: DataFrame) -> DataFrame:
     return whole.where("found = n_phrases").select("query_id", "file_id", (-F.col("score")).alias("rank"))
 
 
-def _pattern(query: Column) -> Column:
-    """%query% with the query's own % and _ live; the engine's escape character is doubled."""
-    return F.concat(F.lit("%"), F.replace(F.lower(query), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+def _asked(queries: DataFrame) -> DataFrame:
+    """query_id, and the query as it is looked for in folded fields: with a live % or _ as a pattern, else as it is."""
+    low = F.lower(F.col("query"))
+    pattern = F.concat(F.lit("%"), F.replace(low, F.lit("\\"), F.lit("\\\\")), F.lit("%"))  # the engine's escape character is doubled
+    return queries.select("query_id", low.alias("low"), pattern.alias("pattern"), F.col("query").rlike("[%_]").alias("wild"))
+
+
+def _folded(docs: DataFrame, *others: str) -> DataFrame:
+    """file_id and the fields as substrings are looked for in them: each document is folded once, whatever the queries."""
+    return docs.select("file_id", *others, *(F.coalesce(T.ascii_lower(f), F.lit("")).alias(f"low_{f}") for f in FIELDS))
 
 
-def _holds(field: str, low: Column, pattern: Column, wild: Column) -> Column:
-    value = T.ascii_lower(field)
-    return F.when(wild, F.like(value, pattern)).otherwise(value.contains(low))
+def _holds(field: str) -> Column:
+    return F.when(F.col("wild"), F.like(F.col(f"low_{field}"), F.col("pattern"))).otherwise(F.col(f"low_{field}").contains(F.col("low")))
 
 
-def substring_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, file_id, in_title) of documents with the query in a field, short fields tested first.
+def _grams(term: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(term) - size + 1, F.lit(1))), lambda i: F.substring(term, i, F.lit(size)))
 
-    The stated queries are sent to all tasks; documents stay where they are.
+
+def substring_candidates(postings: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, file_id), all pairs that may hold the query as a substring, and more.
+
+    A document that holds a query has a term that holds the query's longest
+    token, so the distinct terms tell, found by the token's first letters (three
+    at most). Only a query without letters and numbers asks every document.
     """
-    asked = queries.select("query_id", F.lower(F.col("query")).alias("low"), _pattern(F.col("query")).alias("pattern"), F.col("query").rlike("[%_]").alias("wild"))
-    test = [_holds(f, F.col("low"), F.col("pattern"), F.col("wild")) for f in ("title", "file_name", "path", "description", "tags_text", "content")]
-    either = test[0]
-    for t in test[1:]:
-        either = either | t
-    return docs.join(F.broadcast(asked), either).select("query_id", "file_id", test[0].alias("in_title"))
+    all_tokens = tokens("query")
+    longest = F.array_max(F.transform(all_tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("token"))))["token"]
+    asked = queries.where("query is not null").select("query_id", longest.alias("token"))
+    keyed = asked.where("token is not null").withColumn("gram", F.substring("token", 1, 3))
+    kinds = F.array_distinct(F.concat(*(_grams(F.col("term"), n) for n in (1, 2, 3))))
+    terms = postings.select("term").distinct().select("term", F.explode(kinds).alias("gram"))
+    held = terms.join(keyed, "gram").where(F.col("term").contains(F.col("token"))).select("query_id", "term").distinct()
+    by_term = postings.select("term", "file_id").join(held, "term").select("query_id", "file_id").distinct()
+    return by_term.unionByName(asked.where("token is null").select("query_id").crossJoin(docs.select("file_id")))
+
+
+def substring_match(docs: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, file_id, in_title) of documents with the query in a field; postings are those of docs, or of more."""
+    pairs = substring_candidates(postings, docs, queries)
+    rows = pairs.join(_folded(docs), "file_id").join(_asked(queries), "query_id")
+    return rows.where(_any_field()).select("query_id", "file_id", _holds("title").alias("in_title"))
+
+
+def _any_field() -> Column:
+    """Short fields first."""
+    found = _holds("title")
+    for f in ("file_name", "path", "description", "tags_text", "content"):
+        found = found | _holds(f)
+    return found
 
 
 def search(docs: DataFrame, postings: DataFrame, doc_stats: DataFrame, queries: DataFrame, access: Sequence[str], limit: int | None = None, requested: str | None = None) -> DataFrame:
@@ -142,14 +159,14 @@ def search(docs: DataFrame, postings: DataFrame, doc_stats: DataFrame, queries:
     asked = queries.withColumn("query", T.blank_to_null(T.nfkc("query"))).where("query is not null")
     seen = visible(docs, access, requested)
     ranked = bm25(match(postings, parse_queries(asked)), doc_stats)
-    ranked = ranked.join(seen.select("file_id"), "file_id", "left_semi")
-    parts = substring_match(seen, asked)
-    both = ranked.join(parts, ["query_id", "file_id"], "full")
-    facts = seen.select("file_id", "title", "file_name", "path", "updated_at")
-    rows = both.join(facts, "file_id").join(F.broadcast(asked.select("query_id", T.ascii_lower("query").alias("exact"), T.ascii_lower(T.plain_path("query")).alias("as_path"))), "query_id")
-    tier = F.when(T.ascii_lower("title") == F.col("exact"), 0).when(T.ascii_lower("file_name") == F.col("exact"), 1).when(T.ascii_lower("path") == F.col("as_path"), 2).when(F.col("in_title"), 3).when(F.col("rank").isNotNull(), 4).otherwise(5)
+    both = substring_candidates(postings, seen, asked).join(ranked, ["query_id", "file_id"], "full")
+    facts = _folded(seen, "updated_at")
+    exact = _asked(asked).join(asked.select("query_id", T.ascii_lower("query").alias("exact"), T.ascii_lower(T.plain_path("query")).alias("as_path")), "query_id")
+    rows = both.join(facts, "file_id").join(exact, "query_id").where(F.col("rank").isNotNull() | _any_field())
+    tier = F.when(F.col("low_title") == F.col("exact"), 0).when(F.col("low_file_name") == F.col("exact"), 1).when(F.col("low_path") == F.col("as_path"), 2).when(_holds("title"), 3).when(F.col("rank").isNotNull(), 4).otherwise(5)
     order = Window.partitionBy("query_id").orderBy("tier", F.round(F.coalesce("rank", F.lit(NO_RANK)), 9), F.desc("updated_at"), "file_id")
-    return rows.withColumn("tier", tier).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "file_id", "tier", F.col("rank").alias("score"))
+    rows = rows.select("query_id", "file_id", "rank", "updated_at", tier.alias("tier"))
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "file_id", "tier", F.col("rank").alias("score"))
 
 
 def browse(docs: DataFrame, access: Sequence[str], limit: int | None = None, requested: str | None = None) -> DataFrame:

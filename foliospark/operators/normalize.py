@@ -199,11 +199,11 @@ def build_manifest(raw: DataFrame, projects: DataFrame, folders: DataFrame) -> d
     """
     p = add_config_hash(projects, "project")
     own = p.select("project_dir", F.col("id").alias("project_id"), F.col("default_language").alias("project_language"))
-    d = path_fields(folders.join(F.broadcast(own), "project_dir"))
+    d = path_fields(folders.join(own, "project_dir"))
     d = d.withColumn("id", F.coalesce("id", T.stable_id("folder-", "project_id", "path")))
     ids = d.select("project_id", F.col("path").alias("parent_path"), F.col("id").alias("parent_id"))
-    d = add_config_hash(d.join(F.broadcast(ids), ["project_id", "parent_path"], "left"), "folder")
-    f = path_fields(raw.join(F.broadcast(own), "project_dir"))
+    d = add_config_hash(d.join(ids, ["project_id", "parent_path"], "left"), "folder")
+    f = path_fields(raw.join(own, "project_dir"))
     f = detect_format(parse_front_matter(split_front_matter(f)))
     f = f.withColumn("content", normalize_body("body")).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
     v = lambda n: F.col(f"fields.{n}")
@@ -211,7 +211,7 @@ def build_manifest(raw: DataFrame, projects: DataFrame, folders: DataFrame) -> d
     f = f.withColumn("id", filled("id", T.stable_id("file-", "project_id", "path"))).withColumn("title", filled("title", default_title("body", "stem"))).withColumn("description", filled("description", default_description("body"))).withColumn("language", filled("language", F.col("project_language"))).withColumn("role", filled("role", F.lit("template"))).withColumn("visibility", filled("visibility", F.lit(None)))
     empty = F.array().cast("array<string>")
     f = f.withColumn("tags", F.coalesce(v("tags"), empty)).withColumn("variables", extract_variables(v("variables"), "body")).withColumn("sort_order", F.coalesce(v("sort"), F.lit(0))).withColumn("metadata_json", F.coalesce(v("metadata_json"), F.lit("{}")))
-    f = f.withColumn("errors", F.array_compact(F.concat(F.array("error", "format_error"), F.coalesce(v("errors"), empty)))).join(F.broadcast(ids), ["project_id", "parent_path"], "left")
+    f = f.withColumn("errors", F.array_compact(F.concat(F.array("error", "format_error"), F.coalesce(v("errors"), empty)))).join(ids, ["project_id", "parent_path"], "left")
     f = f.withColumn("variables_json", F.to_json("variables")).withColumn("tags_text", F.array_join("tags", ","))
     return {"projects": p, "folders": d, "files": add_hashes(f).drop("fields", "raw", "header", "body", "stem", "error", "format_error", "project_language")}
 

@@ -61,7 +61,7 @@ def _live_files(nodes: DataFrame) -> DataFrame:
 def fan_out_project_changes(changed: DataFrame, ledger: DataFrame, nodes: DataFrame) -> DataFrame:
     """changed (project_id, content_hash) -> an upsert for each live file of the projects; files stream past the few changed projects."""
     files = ledger.where("entity_type = 'file'").select("entity_id", "project_id", F.col("content_hash").alias("file_hash")).join(_live_files(nodes), "entity_id", "left_semi")
-    rows = files.join(F.broadcast(changed.select("project_id", F.col("content_hash").alias("config_hash"))), "project_id")
+    rows = files.join(changed.select("project_id", F.col("content_hash").alias("config_hash")), "project_id")
     return rows.select(*upsert_job(F.col("project_id"), F.col("entity_id"), F.col("file_hash"), F.col("config_hash"), False))
 
 
@@ -74,7 +74,7 @@ def ledger_changes_to_jobs(before: DataFrame, after: DataFrame, nodes: DataFrame
     projects = changed.where("entity_type = 'project'")
     ensure = projects.select(*ensure_job(F.col("project_id"), F.col("content_hash")))
     current = after.where("entity_type = 'project'").select(F.col("entity_id").alias("project_id"), F.col("content_hash").alias("config_hash"))
-    files = changed.where("entity_type = 'file'").join(_live_files(nodes), "entity_id", "left_semi").join(F.broadcast(current), "project_id")
+    files = changed.where("entity_type = 'file'").join(_live_files(nodes), "entity_id", "left_semi").join(current, "project_id")
     upsert = files.select(*upsert_job(F.col("project_id"), F.col("entity_id"), F.col("content_hash"), F.col("config_hash"), False))
     gone = b.where("entity_type = 'file'").join(a, "sync_key", "left_anti").select(F.col("entity_id").alias("file_id"))
     delete = delete_jobs(items.join(gone, "file_id", "left_semi"))
@@ -95,7 +95,7 @@ def reconcile_projects(projects: DataFrame, ledger: DataFrame, mapping: DataFram
 def _indexable(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     files = ledger.where("entity_type = 'file'").select(F.col("entity_id").alias("file_id"), F.col("content_hash").alias("file_hash"))
     projects = ledger.where("entity_type = 'project'").select(F.col("entity_id").alias("project_id"), F.col("content_hash").alias("config_hash"))
-    return docs.join(files, "file_id").join(F.broadcast(projects), "project_id")
+    return docs.join(files, "file_id").join(projects, "project_id")
 
 
 def reconcile_files(docs: DataFrame, ledger: DataFrame, items: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def recover_failed(jobs: DataFrame, patterns: Sequence[str], now: Column, operat
 def retry_failed(jobs: DataFrame, now: Column, limit: int = 20) -> DataFrame:
     """The `limit` (1 to 100) longest untouched failed jobs go to retry."""
     oldest = jobs.where("status = 'failed'").orderBy("updated_at", "dedupe_key").limit(max(1, min(100, limit))).select("dedupe_key", F.lit(True).alias("chosen"))
-    rows = jobs.join(F.broadcast(oldest), "dedupe_key", "left")
+    rows = jobs.join(oldest, "dedupe_key", "left")
     return _reopened(rows, F.coalesce("chosen", F.lit(False)), now).select(*jobs.columns)
 
 
@@ -173,7 +173,7 @@ def ready_jobs(jobs: DataFrame, now: Column, limit: int = 3) -> DataFrame:
 
 def claim_jobs(jobs: DataFrame, ready: DataFrame, now: Column) -> DataFrame:
     mine = ready.select("dedupe_key", F.lit(True).alias("claimed"))
-    rows = jobs.join(F.broadcast(mine), "dedupe_key", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    rows = jobs.join(mine, "dedupe_key", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
     made = {"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "lease_expires_at": now + F.expr(f"interval {LEASE} seconds"), "updated_at": now}
     return rows.select(*(F.when(F.col("claimed"), made[c]).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in jobs.columns))
 
@@ -269,7 +269,7 @@ def ready_swaps(mapping: DataFrame, docs: DataFrame, items: DataFrame, jobs: Dat
     """Projects whose replacement index is complete: every document indexed there and no active job."""
     m = mapping.where("replacement_instance_id is not null and replacement_instance_id <> instance_id").select("project_id", "instance_id", "replacement_instance_id")
     own = items.select("file_id", F.col("instance_id").alias("at"), "status")
-    lacking = docs.select("file_id", "project_id").join(F.broadcast(m), "project_id").join(own, "file_id", "left").where("at is null or at <> replacement_instance_id or status <> 'indexed'")
+    lacking = docs.select("file_id", "project_id").join(m, "project_id").join(own, "file_id", "left").where("at is null or at <> replacement_instance_id or status <> 'indexed'")
     busy = jobs.where(F.col("status").isin(*ACTIVE))
     return m.join(lacking.select("project_id").distinct(), "project_id", "left_anti").join(busy.select("project_id").distinct(), "project_id", "left_anti")
 

@@ -77,7 +77,7 @@ def parse_search_requests(df: DataFrame, url: str = "url", route_project: str |
 def searchable_instances(projects: DataFrame, mapping: DataFrame, access: Sequence[str]) -> DataFrame:
     """(project_id, instance_id): current and replacement index of live, visible projects that are ready."""
     p = projects.where(F.col("deleted_at").isNull() & F.col("visibility").isin(*access)).select(F.col("id").alias("project_id"))
-    m = mapping.where("status = 'ready'").join(F.broadcast(p), "project_id")
+    m = mapping.where("status = 'ready'").join(p, "project_id")
     return m.select("project_id", F.explode(F.array_distinct(F.array_compact(F.array("instance_id", "replacement_instance_id")))).alias("instance_id"))
 
 

@@ -39,7 +39,7 @@ def classify_entities(manifest: dict[str, DataFrame], ledger: DataFrame) -> Data
 def plan_deletions(manifest: dict[str, DataFrame], ledger: DataFrame, prune: bool) -> DataFrame:
     """Ledger rows to remove: not projects, of projects that prune, absent from the manifest; none unless prune is asked for."""
     pruning = manifest["projects"].where("prune").select(F.col("id").alias("project_id"))
-    gone = ledger.where("entity_type <> 'project'").join(F.broadcast(pruning), "project_id", "left_semi").join(entities(manifest).select("sync_key"), "sync_key", "left_anti")
+    gone = ledger.where("entity_type <> 'project'").join(pruning, "project_id", "left_semi").join(entities(manifest).select("sync_key"), "sync_key", "left_anti")
     return (gone if prune else gone.where("false")).select("sync_key", "entity_type", "entity_id", "project_id")
 
 

@@ -84,7 +84,7 @@ def reference_violations(manifest: Mapping[str, DataFrame]) -> DataFrame:
     folders = manifest["folders"].select("project_id", F.col("id").alias("parent_id"), F.col("path").alias("parent_path"), F.lit(True).alias("parent_known"))
     cols = ("id", "project_id", "parent_id", "path", "name", "depth")
     nodes = manifest["folders"].select(F.lit("folder").alias("kind"), *cols).unionByName(manifest["files"].select(F.lit("file").alias("kind"), *cols))
-    rows = nodes.join(F.broadcast(projects), "project_id", "left").join(folders, ["project_id", "parent_id"], "left")
+    rows = nodes.join(projects, "project_id", "left").join(folders, ["project_id", "parent_id"], "left")
     above = F.regexp_replace("path", "/[^/]*$", "")
     slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))) - 1
     rules = (

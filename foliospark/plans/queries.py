@@ -49,7 +49,10 @@ def _(lib):
     return Q.filter_documents(lib.docs, project=" SRC1 ", directory="/EN/", language="En", tags=["Good", " "]).select("file_id", "path")
 
 
-TOKENS = "tok AS (SELECT file_id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(title || ' ' || file_name || ' ' || path || ' ' || description || ' ' || content || ' ' || tags_text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM sdocs)"
+#: Tokens of every document by field and place.
+TOKENS = """parted AS (SELECT file_id, unnest([0, 1, 2, 3, 4, 5]) AS field, unnest([title, file_name, path, description, content, tags_text]) AS value FROM sdocs),
+    listed AS (SELECT file_id, field, list_filter(regexp_split_to_array(lower(strip_accents(value)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS terms FROM parted),
+    tok AS (SELECT file_id, field, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM listed)"""
 
 
 @query("q3_index_terms", f"WITH {TOKENS} SELECT term, count(DISTINCT file_id) AS n_docs, count(*) AS n_hits FROM tok GROUP BY term")
@@ -68,22 +71,24 @@ def _(lib):
     return Q.parse_queries(lib.queries).withColumn("tokens", F.array_join("tokens", " "))
 
 
-PHRASES = TOKENS + """, words AS (SELECT query_id, list_filter(regexp_split_to_array(lower(strip_accents(trim(query))), '\\s+'), lambda w: w <> '') AS ws FROM queries WHERE query_id < 10000),
-    phr AS (SELECT query_id, len(ws) AS n_phrases, no - 1 AS phrase_no, list_filter(regexp_split_to_array(ws[no], '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS toks FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS no FROM words)),
-    hits AS (SELECT query_id, phrase_no, n_phrases, file_id, count(*) AS freq FROM phr JOIN tok ON starts_with(term, toks[1]) WHERE len(toks) = 1 GROUP BY ALL),
-    stats AS (SELECT file_id, count(*) AS length FROM tok GROUP BY file_id)"""
+PHRASES = TOKENS + """, words AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(trim(query), '\\s+'), lambda w: regexp_replace(w, '["*:^(){}\\[\\]]', '', 'g')), lambda w: w <> '') AS ws FROM queries),
+    phr AS (SELECT query_id, len(ws) AS n_phrases, no - 1 AS phrase_no, list_filter(regexp_split_to_array(lower(strip_accents(ws[no])), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS toks FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS no FROM words)),
+    wanted AS (SELECT query_id, phrase_no, n_phrases, len(toks) AS n, unnest(toks) AS token, unnest(range(len(toks))) AS no FROM phr),
+    starts AS (SELECT query_id, phrase_no, n_phrases, file_id, field, pos - no AS start FROM wanted JOIN tok ON term = token OR (no = n - 1 AND starts_with(term, token)) GROUP BY query_id, phrase_no, n_phrases, n, file_id, field, pos - no HAVING count(*) = n),
+    hits AS (SELECT query_id, phrase_no, n_phrases, file_id, count(*) AS freq FROM starts GROUP BY ALL),
+    stats AS (SELECT file_id, CAST(sum(len(terms)) AS BIGINT) AS length FROM listed GROUP BY file_id)"""
 
 
 @query("q5_match", f"WITH {PHRASES} SELECT query_id, phrase_no, n_phrases, file_id, freq FROM hits")
 def _(lib):
     postings, _ = lib.index
-    return Q.match(postings, Q.parse_queries(lib.queries.where("query_id < 10000"))).withColumn("phrase_no", F.col("phrase_no").cast("bigint")).withColumn("n_phrases", F.col("n_phrases").cast("bigint"))
+    return Q.match(postings, Q.parse_queries(lib.queries)).withColumn("phrase_no", F.col("phrase_no").cast("bigint")).withColumn("n_phrases", F.col("n_phrases").cast("bigint"))
 
 
 @query("q6_bm25", f"WITH {PHRASES}, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hits GROUP BY ALL), corpus AS (SELECT count(*) AS docs, avg(length) AS mean FROM stats), parts AS (SELECT h.query_id, h.file_id, h.n_phrases, (CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END) * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * length / mean)) AS part FROM hits h JOIN per USING (query_id, phrase_no) JOIN stats s ON s.file_id = h.file_id CROSS JOIN corpus) SELECT query_id, file_id, round(-sum(part), 6) AS rank FROM parts GROUP BY query_id, file_id, n_phrases HAVING count(*) = n_phrases")
 def _(lib):
     postings, stats = lib.index
-    matches = Q.match(postings, Q.parse_queries(lib.queries.where("query_id < 10000")))
+    matches = Q.match(postings, Q.parse_queries(lib.queries))
     return Q.bm25(matches, stats).withColumn("rank", F.round("rank", 6))
 
 
@@ -94,9 +99,9 @@ def _low(c):
 ANY = " OR ".join(f"{_low(c)} LIKE '%' || lower(query) || '%'" for c in ("title", "file_name", "path", "description", "content", "tags_text"))
 
 
-@query("q7_substring", f"SELECT query_id, file_id, {_low('title')} LIKE '%' || lower(query) || '%' AS in_title FROM sdocs JOIN queries ON {ANY} WHERE query_id <> 10005")
+@query("q7_substring", f"SELECT query_id, file_id, {_low('title')} LIKE '%' || lower(query) || '%' AS in_title FROM sdocs JOIN queries ON {ANY}")
 def _(lib):
-    return Q.substring_match(lib.docs, lib.queries.where("query_id <> 10005"))
+    return Q.substring_match(lib.docs, lib.index[0], lib.queries)
 
 
 BM25 = PHRASES + """, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hits GROUP BY ALL), corpus AS (SELECT count(*) AS docs, avg(length) AS mean FROM stats),
@@ -104,15 +109,15 @@ BM25 = PHRASES + """, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hit
     ranks AS (SELECT query_id, file_id, -sum(part) AS rank FROM parts GROUP BY query_id, file_id, n_phrases HAVING count(*) = n_phrases)"""
 
 
-@query("q8_search", f"""WITH {BM25}, likes AS (SELECT query_id, file_id FROM sdocs JOIN queries ON {ANY} WHERE query_id <= 10001),
+@query("q8_search", f"""WITH {BM25}, likes AS (SELECT query_id, file_id FROM sdocs JOIN queries ON {ANY} WHERE trim(query) <> ''),
     found AS (SELECT query_id, file_id FROM likes UNION SELECT query_id, file_id FROM ranks),
-    tiered AS (SELECT f.query_id, f.file_id, r.rank, d.updated_at, CASE WHEN {_low('title')} = {_low('query')} THEN 0 WHEN {_low('file_name')} = {_low('query')} THEN 1 WHEN {_low('title')} LIKE '%' || lower(query) || '%' THEN 3 WHEN r.rank IS NOT NULL THEN 4 ELSE 5 END AS tier
+    tiered AS (SELECT f.query_id, f.file_id, r.rank, d.updated_at, CASE WHEN {_low('title')} = {_low('query')} THEN 0 WHEN {_low('file_name')} = {_low('query')} THEN 1 WHEN {_low('path')} = '/' || {_low('query')} THEN 2 WHEN {_low('title')} LIKE '%' || lower(query) || '%' THEN 3 WHEN r.rank IS NOT NULL THEN 4 ELSE 5 END AS tier
       FROM found f JOIN sdocs d ON d.file_id = f.file_id AND d.visibility = 'public' JOIN queries q ON q.query_id = f.query_id LEFT JOIN ranks r ON r.query_id = f.query_id AND r.file_id = f.file_id),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(coalesce(rank, 999999), 9), updated_at DESC, file_id) AS place FROM tiered)
     SELECT query_id, CAST(place AS INTEGER) AS place, file_id, tier, round(rank, 6) AS score FROM placed WHERE place <= 10""")
 def _(lib):
     postings, stats = lib.index
-    return Q.search(lib.docs, postings, stats, lib.queries.where("query_id <= 10001"), EVERYONE, 10).withColumn("score", F.round("score", 6))
+    return Q.search(lib.docs, postings, stats, lib.queries, EVERYONE, 10).withColumn("score", F.round("score", 6))
 
 
 @query("q9_browse", "SELECT file_id, title, updated_at FROM sdocs WHERE visibility = 'public' ORDER BY updated_at DESC, file_id LIMIT 20")
@@ -553,11 +558,11 @@ def _(lib):
     return M.searchable_instances(lib.projects, lib.mapping, EVERYONE)
 
 
-@query("m3_vector_topk", "SELECT query_id, CAST(place AS INTEGER) AS place, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) WHERE score >= 0.2) WHERE place <= 5")
+@query("m3_vector_topk", "SELECT query_id, CAST(place AS INTEGER) AS place, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0) WHERE score >= 0.2) WHERE place <= 5")
 def _(lib):
     e = lib.raw("embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return M.vector_topk(chunks, asked, 5, 0.2).withColumn("score", F.round("score", 6))
 
 
