@@ -19,6 +19,7 @@ KNOWN = ("id", "title", "description", "language", "role", "prompt_role", "visib
 #: Variables as they are found in a body: letters of any script.
 VARIABLE = r"(?U)\{\{\s*([\w.-]+)\s*\}\}"
 MOST_DESCRIPTION = 300
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 HEADER = "struct<id:string,title:string,description:string,language:string,role:string,visibility:string,tags:array<string>,variables:array<string>,sort:int,metadata_json:string,errors:array<string>>"
 
 
@@ -110,28 +111,20 @@ def default_title(body: Column | str, stem: Column | str) -> Column:
     return F.when(found != "", found).otherwise(T.col(stem))
 
 
-def first_paragraph(body: str) -> str:
-    """Lines outside fences, headings and rules up to a blank one, joined by spaces and cut."""
-    lines: list[str] = []
-    fenced = False
-    for line in map(str.strip, body.splitlines()):
-        if line.startswith("```"):
-            fenced = not fenced
-        elif fenced or line.startswith(("#", "---")):
-            continue
-        elif line:
-            lines.append(line)
-        elif lines:
-            break
-    return " ".join(lines)[:MOST_DESCRIPTION].strip()
-
-
 def default_description(body: Column | str) -> Column:
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([first_paragraph(b or "") for b in batch.to_pylist()], pa.string())
-
-    return F.arrow_udf(of, "string")(T.col(body))
+    """The first run of lines that aren't blank, joined by spaces and cut; fenced lines, headings and rules are passed over."""
+    lines = F.transform(F.split(F.coalesce(T.col(body), F.lit("")), LINE_END), T.strip)
+    start = F.struct(F.lit(False).alias("fenced"), F.lit(False).alias("done"), F.lit("").alias("text"))
+
+    def step(a: Column, line: Column) -> Column:
+        fence = line.startswith("```")
+        skipped = fence | a["fenced"] | line.startswith("#") | line.startswith("---")
+        full = F.length(a["text"]) > 0
+        text = F.when(a["done"] | skipped | (line == ""), a["text"]).when(full, F.concat(a["text"], F.lit(" "), line)).otherwise(line)
+        done = a["done"] | (~skipped & (line == "") & full) | (F.length(a["text"]) > MOST_DESCRIPTION)
+        return F.struct((a["fenced"] != fence).alias("fenced"), done.alias("done"), text.alias("text"))
+
+    return T.strip(F.substring(F.aggregate(lines, start, step)["text"], 1, MOST_DESCRIPTION))
 
 
 def extract_variables(declared: Column | str, body: Column | str) -> Column:

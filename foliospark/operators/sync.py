@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators.normalize import manifest_fingerprint
 
 ENTITY = ("sync_key", "entity_type", "entity_id", "project_id", "source_path", "content_hash")
 CHANGE_NOTES = ("Initial content sync", "Updated by content sync")
@@ -197,13 +198,15 @@ def sync(tables: dict[str, DataFrame], manifest: dict[str, DataFrame], *, prune:
 
     Entities whose hash is the ledger's own get the ledger row alone, even
     where a table has drifted. A dry run returns the tables as they were. The
-    result adds stats; writers put it beside the old version and swap.
+    result adds stats and run, the row for the run log; writers put it beside
+    the old version and swap.
     """
     classified = classify_entities(manifest, tables["ledger"])
     gone = plan_deletions(manifest, tables["ledger"], prune)
     stats = plan_stats(classified, gone)
+    run = run_log(run_id, manifest_fingerprint(manifest), "dry_run" if dry_run else "applied", prune, stats, now)
     if dry_run:
-        return tables | {"stats": stats}
+        return tables | {"stats": stats, "run": run}
     todo = changed_entities(classified).select(F.col("entity_type"), F.col("entity_id").alias("id"))
     part = {k: manifest[k].join(todo.where(F.col("entity_type") == kind).select("id"), "id", "left_semi") for k, kind in (("projects", "project"), ("folders", "folder"), ("files", "file"))}
     nodes, ledger = apply_deletions(tables["nodes"], tables["ledger"], gone, now)
@@ -217,6 +220,7 @@ def sync(tables: dict[str, DataFrame], manifest: dict[str, DataFrame], *, prune:
         "file_tags": links,
         "ledger": merge_ledger(ledger, manifest, run_id, now),
         "stats": stats,
+        "run": run,
     }
     return tables | out
 

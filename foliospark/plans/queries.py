@@ -381,7 +381,10 @@ def _(lib):
     return lib.raw("documents").select("doc_id", N.default_title(body, F.lit("stem")).alias("title"))
 
 
-@query("n4_description")
+LINES = "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: NOT starts_with(x, '#') AND NOT starts_with(x, '---')), chr(10)) AS kept FROM documents"
+
+
+@query("n4_description", f"SELECT doc_id, trim(substr(replace(string_split(ltrim(kept, chr(10)), chr(10) || chr(10))[1], chr(10), ' '), 1, 300)) AS description FROM ({LINES})")
 def _(lib):
     return lib.raw("documents").select("doc_id", N.default_description(F.concat(F.lit("# Title\n\n"), "text")).alias("description"))
 
@@ -443,7 +446,7 @@ def _(lib):
     return lib.raw("documents").select("doc_id", F.sha2(N.normalize_body(F.when(F.col("doc_id") % 5 == 0, F.lit(" \n")).otherwise(F.concat("text", F.lit(" \t\n\n")))), 256).alias("body_sha"))
 
 
-@query("n15_fingerprint")
+@query("n15_fingerprint", "WITH e AS (SELECT id AS project_id, sha256('projects|' || id || '|' || source_path || '|' || config_hash) AS h FROM projects UNION ALL SELECT project_id, sha256('folders|' || id || '|' || source_path || '|' || config_hash) FROM folders UNION ALL SELECT project_id, sha256('files|' || id || '|' || source_path || '|' || sync_hash) FROM mfiles), parts AS (SELECT project_id, substr(h, 1, 2) AS part, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM e GROUP BY ALL), each AS (SELECT project_id, sha256(string_agg(h, ',' ORDER BY part)) AS h FROM parts GROUP BY project_id) SELECT 'sha256:' || sha256(string_agg(h, ',' ORDER BY project_id)) AS manifest_hash FROM each")
 def _(lib):
     return N.manifest_fingerprint(lib.manifest)
 
@@ -770,3 +773,6 @@ def _(lib):
 def _(lib):
     asked = lib.raw("conversations").where("turn = 0").select(F.col("conv_id").alias("request_id"), F.concat(F.lit(" common:"), "conv_id").alias("key"))
     return P.common_item(lib.kv, asked).select("request_id", "key")
+
+
+from foliospark.plans import round_trips  # noqa: E402, F401 (it registers its queries)

@@ -64,7 +64,7 @@ def test_front_matter(spark):
     read = normalize.read_header("title: ' T '\nsort: true\ntags: [a, ' b', a]\nextra: {b: 1, a: 2}\nmetadata: {k: v}")
     assert read["title"] == "T" and read["tags"] == ["a", "b"] and read["errors"] == ["sort: integer expected"] and read["metadata_json"] == '{"extra":{"a":2,"b":1},"k":"v"}'
     assert normalize.read_header("published: 2026-07-19")["errors"] == ["metadata: not JSON"] and normalize.read_header("[1]")["errors"] and normalize.read_header(": :\n -")["errors"]
-    assert normalize.first_paragraph("# T\n\n```\ncode\n```\nfirst\n---\nline\n\nsecond") == "first line"
+    assert one(spark, normalize.default_description(F.lit("# T\n\n```\ncode\n```\nfirst\n---\nline\n\nsecond")))[0] == "first line"
 
 
 def test_variables_keep_their_order(spark):
