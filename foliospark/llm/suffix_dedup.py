@@ -1,8 +1,9 @@
 """Exact substring de-duplication with suffix arrays, over all documents.
 
 Every window of WINDOW bytes is owned by one anchor: the GRAM bytes in it with
-the least hash, so equal windows have equal anchors. Only anchors that occur
-twice or more can own a repeated window; the bytes around those, the pieces,
+the least hash, so equal windows have equal anchors. Whole copies of a text go
+at once; only anchors of two different texts, or found twice in one, can own
+another repeated window; the bytes around those, the pieces,
 are dealt by the anchor's hash into shards, and a shard's suffix array and
 permuted common prefixes tell which of its windows are equal. The first of
 equal windows is cleared; all other windows of repeated anchors are repeats.
@@ -105,17 +106,22 @@ def owners(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, first, last, row
 
 
-def _anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        data, limits = binary_parts(batch)
+def _anchors(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(text, hash of it) -> its anchors, each with that hash, and once more with another one if the text has it twice."""
+    for texts, hashes in batches:
+        data, limits = binary_parts(texts)
         h, _, _, row = owners(data, limits)
         # a third time in one text tells nothing more
         order = np.lexsort((h, row))
-        x, r = h[order], row[order]
+        h, row = h[order], row[order]
+        again = np.zeros(len(h), dtype=bool)
+        again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
         third = np.zeros(len(h), dtype=bool)
-        third[2:] = (x[2:] == x[:-2]) & (r[2:] == r[:-2])
-        h, row = x[~third], r[~third]
-        yield list_array(pa.array(h.view(np.int64)), np.bincount(row, minlength=len(batch)))
+        third[2:] = again[2:] & again[1:-1]
+        h, row, again = h[~third], row[~third], again[~third]
+        whose = hashes.to_numpy(zero_copy_only=False)[row] ^ again
+        yield list_array(pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(whose)], names=["h", "whose"]), np.bincount(row, minlength=len(texts)))
+    give_back()
 
 
 def _flat(lists: pa.Array) -> np.ndarray:
@@ -353,8 +359,14 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         F.coalesce(name(doc_id).cast("bigint"), F.lit(LAST)).alias("place"),
         name(text).alias("text"),
     )
-    anchors = base.select("key", F.explode(F.arrow_udf(_anchors, "array<bigint>")(F.col("text").cast("binary"))).alias("h"))
-    counted = reliable(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    # all of a whole copy goes but for the first one's, whatever else repeats
+    long = base.where(F.octet_length("text") >= WINDOW).select(F.md5("text").alias("content"), F.struct("place", "key").alias("at"))
+    firsts = long.groupBy("content").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
+    copies = long.join(firsts, "content").where("at <> first").select("at.key").distinct().withColumn("copy", F.lit(True))
+    anchors = base.select("key", F.explode(F.arrow_udf(_anchors, "array<struct<h:bigint,whose:bigint>>")(F.col("text").cast("binary"), F.xxhash64("text"))).alias("a")).select("key", "a.h", "a.whose")
+    # an anchor of one text and its copies can't own a repeat between different texts
+    counted = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("whose").alias("least"), F.max("whose").alias("most"))
+    counted = reliable(counted.where("least <> most").select("h", "c"))
     total = counted.agg(F.sum("c")).first()[0] or 0
     # HOT_SHARE rows at most, as each is one in HOT_SHARE of the repeated ones: all tasks may have them
     hot = F.broadcast(counted.where(F.col("c") > max(HOT, total // HOT_SHARE)).select("h", F.lit(True).alias("hot")))
@@ -362,12 +374,12 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     told = anchors.join(hot, "h", "left").withColumn("at", F.when(F.col("hot"), F.xxhash64("h", "key")).otherwise(F.col("h")))
     marked = told.join(counted.select(F.col("h").alias("at"), "c"), "at", "left").where("hot or c is not null")
     marked = marked.groupBy("key").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("h"))).alias("common"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    joined = base.join(marked, "key", "left")
+    joined = base.join(marked, "key", "left").join(copies, "key", "left")
     n_bytes = docs.agg(F.sum(F.octet_length(name(text)))).first()[0] or 0
     parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // TASK_OF), MOST_TASKS)
     shards = max(parts, n_bytes // SHARD_OF)
     # row goes along so that both readers of joined share one exchange of the texts
-    pieces = joined.where("common is not null").mapInArrow(lambda batches: _cut(batches, shards), "shard bigint, block binary")
+    pieces = joined.where("common is not null and copy is null").select("key", "place", "text", "common", "hot", "row").mapInArrow(lambda batches: _cut(batches, shards), "shard bigint, block binary")
     clear = pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_clear, "key bigint, place bigint, lo bigint, hi bigint")
     clear = clear.groupBy("key").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("clear"))
 
@@ -375,8 +387,12 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         yield from _removed(batches, as_text)
 
     removed = F.arrow_udf(of, f"struct<removed:array<struct<start:bigint,end:bigint>>,kept:{'string' if as_text else 'binary'}>")
-    done = joined.join(clear, "key", "left").select("row", "text", removed("place", F.col("text").cast("binary"), "common", "hot", "clear").alias("made"))
-    return done.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own), "made.removed", "made.kept")
+    other = F.col("copy").isNull()
+    done = joined.join(clear, "key", "left").select("row", "text", "copy", removed("place", F.col("text").cast("binary"), F.when(other, F.col("common")), F.when(other, F.col("hot")), "clear").alias("made"))
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.octet_length("text").cast("bigint").alias("end")))
+    nothing = F.lit("") if as_text else F.lit(b"")
+    done = done.select("row", "text", F.when(F.col("copy"), whole).otherwise(F.col("made.removed")).alias("removed"), F.when(F.col("copy"), nothing).otherwise(F.col("made.kept")).alias("kept"))
+    return done.select(*(F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own), "removed", "kept")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,29 +18,74 @@ HOST_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 @dataclass(frozen=True)
 class Pattern:
-    """A regular expression on the lower-cased url, and tokens that any match has in the url."""
+    """A regular expression on the lower-cased url, and tokens that any match has in the url as a whole."""
 
     regex: str
     tokens: tuple[str, ...]
 
 
-#: What blocks a url that no host rule judges.
-PATTERNS = (
-    Pattern(r"(^|[^a-z0-9])spam-farm\.", ("spam", "farm")),
-    Pattern(r"(^|[^a-z0-9])cheap-pills\.", ("cheap", "pills")),
-    Pattern(r"(^|[^a-z0-9])casino[^a-z0-9]", ("casino",)),
-    Pattern(r"(^|[^a-z0-9])free-download[^a-z0-9]", ("free", "download")),
-    Pattern(r"://ads\.", ("ads",)),
-    Pattern(r"://(www\.)?click-bait\.", ("click", "bait")),
-    Pattern(r"/wp-admin/", ("wp", "admin")),
-    Pattern(r"/tag/[^/]*/page/[0-9]+$", ("tag", "page")),
-    Pattern(r"[?&]sessionid=[0-9a-f]+", ("sessionid",)),
-    Pattern(r"[?&]page=[0-9]+&ref=[a-z]+&.*#top$", ("page", "ref", "top")),
-    Pattern(r"[?&]utm_source=feed&.*utm_medium=", ("utm", "source", "feed", "medium")),
-    Pattern(r"/login/?([?#]|$)", ("login",)),
-)
-
 _TOKEN = "[a-z0-9]+"
+_EDGE = "(?:^|[^a-z0-9]|$)"
+
+
+def parse_rule(rule: str) -> Pattern:
+    """A rule in the common form of filter lists: plain text, * for anything, ^ for what parts tokens or an end of the url, | for its start or end.
+
+    Letters and digits between two characters that part tokens, literal ones or
+    ^, or at a marked end, are tokens of every url that the rule matches.
+    """
+    text = rule.strip().lower()
+    start, end = text.startswith("|"), text.endswith("|") and len(text) > 1
+    body = text[start : len(text) - end]
+    parts = re.findall(rf"{_TOKEN}|\*+|\^|[^a-z0-9*^]", body)
+    regex = "".join(_EDGE if p == "^" else ".*" if p[0] == "*" else re.escape(p) for p in parts)
+    parting = lambda i, marked: marked if not 0 <= i < len(parts) else parts[i][0] != "*"
+    tokens = tuple(dict.fromkeys(p for i, p in enumerate(parts) if re.fullmatch(_TOKEN, p) and parting(i - 1, start) and parting(i + 1, end)))
+    return Pattern(("^" if start else "") + regex + ("$" if end else ""), tokens)
+
+
+def parse_rules(lines: Iterable[str]) -> tuple[Pattern, ...]:
+    """The patterns of a rule list; blank lines and those that start with ! are none."""
+    return tuple(parse_rule(line) for line in lines if line.strip() and not line.strip().startswith("!"))
+
+
+#: What blocks a url that no host rule judges.
+RULES = """
+! adverts and trackers
+://ads.
+^adserver^
+^doubleclick.
+^banner^ad^
+?utm_source=*&utm_medium=
+&utm_source=*&utm_medium=
+! sessions, accounts and shops
+?sessionid=
+&sessionid=
+;jsessionid=
+?phpsessid=
+/wp-admin/
+/wp-login.php
+/login|
+/login?
+/login/
+/signin^
+/cart^
+/checkout^
+! lists of lists
+/tag/*/page/
+/search?
+^calendar^*?month=
+! what is no prose
+^casino^
+^poker^
+^viagra^
+^pills.
+^xxx^
+^porn^
+^torrent^
+^free-download^
+""".splitlines()
+PATTERNS = parse_rules(RULES)
 
 
 def lower(column: Column) -> Column:
@@ -63,21 +108,26 @@ def host_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
 
 def token_counts(urls: DataFrame, url: str, tokens: Sequence[str]) -> dict[str, int]:
     """How many urls hold each of the rules' tokens. As many rows as the rules have tokens come back."""
-    own = F.array_distinct(F.array_intersect(F.regexp_extract_all(lower(name(url)), F.lit(f"({_TOKEN})")), F.array(*map(F.lit, tokens))))
-    return {r["token"]: r["n"] for r in urls.select(F.explode(own).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    if not tokens:
+        return {}
+    known = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    held = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(lower(name(url)), F.lit(f"({_TOKEN})")))).alias("token"))
+    return {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).join(known, "token").collect()}
 
 
 def index_patterns(patterns: Sequence[Pattern], counts: dict[str, int]) -> dict[str, list[str]]:
-    """Rarest token (by the urls' counts, then by name) -> the regular expressions it fetches."""
+    """Rarest token (by the urls' counts, then by name) -> the regular expressions it fetches; those of no token under an empty one."""
     index: dict[str, list[str]] = {}
     for p in patterns:
-        index.setdefault(min(p.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(p.regex)
+        index.setdefault(min(p.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(p.regex)
     return index
 
 
 def judge_urls(pages: DataFrame, url: str = "url", patterns: Sequence[Pattern] = PATTERNS, rules: Sequence[tuple[str, str, str]] = HOST_RULES) -> DataFrame:
     """pages plus host, path, rule and verdict (allow or block).
 
+    Equal urls are judged alike, and repeated rows stay; an empty table gives none.
+
     Without a host rule the patterns decide: a url's tokens fetch candidate
     patterns, only those run, and one match blocks. A null url, or one without
     ://, has an empty host and path; a null one is allowed. Columns named like
@@ -92,7 +142,7 @@ def judge_urls(pages: DataFrame, url: str = "url", patterns: Sequence[Pattern] =
             out = []
             for u in batch.to_pylist():
                 u = u or ""
-                out.append(any(x.search(u) for t in set(tokens.findall(u)) & compiled.keys() for x in compiled[t]))
+                out.append(any(x.search(u) for t in (set(tokens.findall(u)) | {""}) & compiled.keys() for x in compiled[t]))
             yield pa.array(out, pa.bool_())
 
     host, path = host_and_path(name(url))
@@ -104,6 +154,7 @@ def judge_urls(pages: DataFrame, url: str = "url", patterns: Sequence[Pattern] =
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' urls by the host rules and RULES; nulls, repeats and empty tables as judge_urls says."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 

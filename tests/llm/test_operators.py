@@ -365,10 +365,25 @@ def test_url_filters_run_all_patterns_by_brute_force(spark):
         assert out[i]["verdict"] == (rule[2] if rule else "block" if blocked else "allow"), u
 
 
-def test_every_pattern_holds_its_tokens():
+def test_rules_and_their_tokens():
+    got = {r: url_filters.parse_rule(r) for r in ("^ads^", "||x", "/wp-admin/", "shop*cart", "|http://a.net/", "/login|", "*", "?q=")}
+    assert got["^ads^"].tokens == ("ads",) and got["/wp-admin/"].tokens == ("wp", "admin") and got["shop*cart"].tokens == ()
+    assert got["|http://a.net/"].tokens == ("http", "a", "net") and got["/login|"].tokens == ("login",) and got["*"].tokens == () and got["?q="].tokens == ("q",)
+    assert url_filters.index_patterns([url_filters.Pattern("a-b", ("a", "b")), url_filters.Pattern("x", ())], {"a": 5, "b": 2}) == {"b": ["a-b"], "": ["x"]}
     for p in url_filters.PATTERNS:
-        assert all(t in p.regex for t in p.tokens)
-    assert url_filters.index_patterns([url_filters.Pattern("a-b", ("a", "b"))], {"a": 5, "b": 2}) == {"b": ["a-b"]}
+        assert p.tokens
+
+
+def test_an_index_of_thousands_of_rules(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 4)))
+    rules = url_filters.parse_rules({rng.choice(("^", "/", "|http://", "", "."))+ word() + rng.choice(("^", "/", "-", "*", "=")) + word() + rng.choice(("^", "", "|", "?")) for _ in range(5000)})
+    urls = [f"http://{word()}.{word()}/{word()}-{word()}/{word()}?{word()}={word()}" for _ in range(300)]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    out = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(table, patterns=rules, rules=()).collect()}
+    every = [re.compile(p.regex) for p in rules]
+    assert out == {i: "block" if any(x.search(u) for x in every) else "allow" for i, u in enumerate(urls)}
+    assert url_filters.judge_urls(table.where("false")).count() == 0
 
 
 # 8
@@ -394,6 +409,8 @@ def test_repeats_go_and_first_ones_stay(spark, docs, none, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**9)
     rows = [r for r in dict.fromkeys(odd_rows()) if r[0] is not None and r[1] != "a second text for id 0"]
+    copied = rows[-8][1] if len(rows[-8][1] or "") > 300 else next(r[1] for r in rows if len(r[1] or "") > 300)
+    rows += [(i, t, "en", "s1", 1) for i, t in ((60, copied), (61, copied), (62, f"before {copied} after"), (63, copied[:150]), (64, copied[:150]), (65, copied[:99]), (66, copied[:99]))]
     table = spark.createDataFrame(rows, DOCS)
     expected = brute_repeats([(r[0], r[1]) for r in rows])
     for r in suffix_dedup.strip_repeats(clashing(table, "kept", "key", "place")).collect():
