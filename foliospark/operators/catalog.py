@@ -66,11 +66,12 @@ def list_directory(nodes: DataFrame, projects: DataFrame, files: DataFrame, requ
     live = nodes.where("deleted_at is null").join(p.drop("slug"), "project_id").withColumn("seen_as", F.coalesce("visibility", "project_visibility")).where(F.col("seen_as").isin(*access))
     folders = live.where("node_type = 'folder'").select("project_id", F.col("path").alias("folder_path"), F.col("id").alias("folder_id"))
     found = asked.join(folders, ["project_id", "folder_path"], "left").where("folder_path = '/' or folder_id is not null")
-    children = live.join(files.select(F.col("node_id").alias("id"), "title", "language", "role"), "id", "left")
-    c, f = children.alias("c"), found.alias("f")
+    # the asked folders' children first; only they meet the files
+    c, f = live.alias("c"), found.alias("f")
     rows = c.join(f, (F.col("c.project_id") == F.col("f.project_id")) & F.col("c.parent_id").eqNullSafe(F.col("f.folder_id")))
+    rows = rows.select("f.request_id", "c.id", "c.node_type", "c.name", "c.path", "c.sort_order").join(files.select(F.col("node_id").alias("id"), "title", "language", "role"), "id", "left")
     order = Window.partitionBy("request_id").orderBy(F.when(F.col("node_type") == "folder", 0).otherwise(1), "sort_order", T.ascii_lower("name"), "id")
-    return rows.select("f.request_id", "c.id", "c.node_type", "c.name", "c.path", "c.sort_order", "c.title", "c.language", "c.role").withColumn("place", F.row_number().over(order))
+    return rows.select("request_id", "id", "node_type", "name", "path", "sort_order", "title", "language", "role").withColumn("place", F.row_number().over(order))
 
 
 def identifiers(requests: DataFrame) -> DataFrame:

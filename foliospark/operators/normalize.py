@@ -16,7 +16,7 @@ from foliospark.functions import text as T
 EXTENSIONS = {"md": "markdown", "txt": "text", "json": "json"}
 #: Header keys with a meaning of their own; all others are metadata. Fixed values.
 KNOWN = ("id", "title", "description", "language", "role", "prompt_role", "visibility", "tags", "variables", "sort", "metadata")
-#: Variables as they are found in a body: letters of any script.
+#: Variables as they are found in a body: letters of any script. Fixed value.
 VARIABLE = r"(?U)\{\{\s*([\w.-]+)\s*\}\}"
 MOST_DESCRIPTION = 300
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"

@@ -126,7 +126,7 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float
 def expand_context(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """hits (query_id, item_id, ordinal) plus text of the k chunks before and after in the item, in order, joined by blank lines."""
     near = Window.partitionBy("item_id").orderBy("ordinal").rowsBetween(-k, k)
-    wide = chunks.select("item_id", "ordinal", F.array_join(F.collect_list("text").over(near), "\n\n").alias("context"))
+    wide = chunks.join(hits.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "ordinal", F.array_join(F.collect_list("text").over(near), "\n\n").alias("context"))
     return hits.join(wide, ["item_id", "ordinal"])
 
 

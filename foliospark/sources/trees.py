@@ -58,14 +58,16 @@ def read_content_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def _config_files(spark: SparkSession, root: str) -> DataFrame:
     """The config files of a tree like _tree's rows. Spark's readers pass over names with a leading _, so
-    the driver lists and reads them: one small file for each project and folder, MOST_CONFIGS at most."""
+    the driver lists and reads them: one small file for each project and folder. More than MOST_CONFIGS, or deeper ones than MOST_LEVELS, are an error."""
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     top = fs.makeQualified(base).toString().rstrip("/")
     rows = []
-    for depth in range(1, MOST_LEVELS + 1):
+    for depth in range(1, MOST_LEVELS + 2):
         for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(top + "/*" * depth + f"/{{{PROJECT_FILE},{FOLDER_FILE}}}")) or ():
+            if depth > MOST_LEVELS:
+                raise ValueError(f"config files more than {MOST_LEVELS} levels below {root}")
             source = found.getPath().toString()[len(top) + 1 :]
             stream = fs.open(found.getPath())
             try:

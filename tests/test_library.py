@@ -63,13 +63,13 @@ def test_front_matter(spark):
     assert (out[0]["header"], out[0]["body"]) == ("title: A", "body") and out[1]["error"] and out[2]["header"] is None and out[3]["body"] == "" and out[4]["body"] == "b\n"
     read = normalize.read_header("title: ' T '\nsort: true\ntags: [a, ' b', a]\nextra: {b: 1, a: 2}\nmetadata: {k: v}")
     assert read["title"] == "T" and read["tags"] == ["a", "b"] and read["errors"] == ["sort: integer expected"] and read["metadata_json"] == '{"extra":{"a":2,"b":1},"k":"v"}'
-    assert normalize.read_header("published: 2026-07-19")["errors"] == ["metadata: not JSON"] and normalize.read_header("[1]")["errors"] and normalize.read_header(": :\n -")["errors"]
+    assert normalize.read_header("seen: 2025-01-31")["errors"] == ["metadata: not JSON"] and normalize.read_header("[1]")["errors"] and normalize.read_header(": :\n -")["errors"]
     assert one(spark, normalize.default_description(F.lit("# T\n\n```\ncode\n```\nfirst\n---\nline\n\nsecond")))[0] == "first line"
 
 
 def test_variables_keep_their_order(spark):
-    got = one(spark, normalize.extract_variables(F.array(F.lit("topic")), F.lit("{{ audience }} {{größe}} {{topic}}")).alias("v"))["v"]
-    assert got == ["topic", "audience", "größe"]
+    got = one(spark, normalize.extract_variables(F.array(F.lit("subject")), F.lit("{{ reader }} {{größe}} {{subject}}")).alias("v"))["v"]
+    assert got == ["subject", "reader", "größe"]
 
 
 def test_canonical_json_escapes_like_json(spark):
@@ -206,7 +206,7 @@ def test_trees_and_manifests(spark, tmp_path):
     (root / "one/guides").mkdir(parents=True)
     (root / "one/_project.yaml").write_text("id: p1\nslug: one\nname: One\nsync: {prune: true}\n")
     (root / "one/guides/_folder.yaml").write_text("sort: 3\n")
-    (root / "one/guides/example.md").write_text("---\ntitle: Example\ntags: [a]\nvariables: [topic]\n---\n# H\n\nHello {{ audience }} {{topic}}\n\n")
+    (root / "one/guides/example.md").write_text("---\ntitle: Example\ntags: [a]\nvariables: [subject]\n---\n# H\n\nHello {{ reader }} {{subject}}\n\n")
     (root / "one/guides/.hidden.md").write_text("x")
     (root / "one/data.json").write_text("{bad")
     raw = trees.read_content_tree(spark, str(root))
@@ -214,7 +214,7 @@ def test_trees_and_manifests(spark, tmp_path):
     m = normalize.build_manifest(raw, projects, folders)
     rows = {r["path"]: r for r in m["files"].collect()}
     e = rows["/guides/example.md"]
-    assert e["title"] == "Example" and e["variables"] == ["topic", "audience"] and e["language"] == "zh-CN" and e["content"].endswith("{{topic}}\n") and e["parent_id"] == m["folders"].first()["id"]
+    assert e["title"] == "Example" and e["variables"] == ["subject", "reader"] and e["language"] == "zh-CN" and e["content"].endswith("{{subject}}\n") and e["parent_id"] == m["folders"].first()["id"]
     assert rows["/data.json"]["errors"] == ["invalid json"] and set(rows) == {"/guides/example.md", "/data.json"}
     trees.write_manifest(m, str(tmp_path / "m"))
     back = trees.read_manifest(spark, str(tmp_path / "m"))
