@@ -98,11 +98,13 @@ def judge_quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null and empty texts have no words, a null ratio, and are not kept. Lines
     are parted by \\n alone, and one without a word is no line. Columns named
-    like the fields give way. Rows are judged alone: nothing is shuffled.
+    like the fields give way. Rows are judged alone, so repeated rows are judged
+    alike and stay, an empty table gives none, and nothing is shuffled.
     """
     kind = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,ratio:double,bad_chunks:bigint,kept:boolean>"
     return with_fields(docs, F.arrow_udf(_judge, kind)(name(text).cast("binary")), FIELDS)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every document; nulls, repeated rows and empty tables as judge_quality says."""
     return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

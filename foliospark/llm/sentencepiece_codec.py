@@ -346,7 +346,11 @@ def default_model() -> bytes:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: bytes | None = None) -> DataFrame:
-    """doc_id, n_pieces, pieces_sha256, and whether decoding gives the text back."""
+    """doc_id, n_pieces, pieces_sha256, and whether decoding gives the text back.
+
+    Null texts are empty ones, without pieces; repeated rows stay; an empty
+    table gives none.
+    """
     model = model or default_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = encode_and_decode(docs, model)

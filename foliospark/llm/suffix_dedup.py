@@ -13,6 +13,7 @@ Texts that hold none are read, and nothing of them is moved but their hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -240,24 +241,36 @@ def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(v) for v in (key, place, start + lo, start + hi)], names=["key", "place", "lo", "hi"])
 
     def settled(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """One shard, in parts of whole anchors of about SHARD bytes, AT_ONCE of them together."""
+        """One shard, in parts of whole anchors of about SHARD bytes, AT_ONCE of them together.
+
+        An anchor whose pieces are all equal has nothing to sort: no two windows
+        of one piece are equal, as its anchor is in another place of each.
+        """
         rows = sorted((row for block in blocks for row in _unpacked(block)), key=lambda row: row[0])
         parts: list[dict[bytes, tuple[int, int, int]]] = [{}]
-        size, last = 0, None
-        for h, piece, me in rows:
-            if size >= SHARD and h != last:
+        alone: list[tuple[int, int, int, int]] = []
+        size = 0
+        for _, same in groupby(rows, key=lambda row: row[0]):
+            pieces: dict[bytes, tuple[int, int, int]] = {}
+            for _, piece, me in same:
+                if (was := pieces.get(piece)) is None or me < was:
+                    pieces[piece] = me
+            if len(pieces) == 1:
+                (piece, (place, key, start)), *_ = pieces.items()
+                alone.append((key, place, start, start + len(piece) - WINDOW))
+                continue
+            if size >= SHARD:
                 if len(parts) == AT_ONCE:
                     yield from settle(parts)
                     parts = []
                 parts.append({})
                 size = 0
-            last = h
-            if (was := parts[-1].get(piece)) is None:
-                size += len(piece) + 1
-                parts[-1][piece] = me
-            elif me < was:
-                parts[-1][piece] = me
-        yield from settle(parts)
+            parts[-1].update(pieces)
+            size += sum(map(len, pieces)) + len(pieces)
+        if alone:
+            yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*alone, strict=True)], names=["key", "place", "lo", "hi"])
+        if parts[-1]:
+            yield from settle(parts)
 
     blocks: list[bytes] = []
     current = None
@@ -396,6 +409,7 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strip_repeats removes of all documents, and the hash of what is left; null texts are empty, repeats and ties as it says."""
     out = strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     return out.select("doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
