@@ -222,7 +222,28 @@ def _induce_many(t: np.ndarray, ends: np.ndarray, placed: np.ndarray, starts: np
 
 
 def _sorted_names(t: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffix arrays, one after the other, of texts of names as _induce_many takes them."""
+    """The suffix arrays, one after the other, of texts of names as _induce_many takes them.
+
+    A name that occurs once places its suffix, and no comparison goes past it:
+    of such names only those after a repeated one stay, to end what is before.
+    """
+    sizes = np.bincount(t)
+    alone = sizes[t] == 1
+    gone = alone & np.concatenate(([True], alone[:-1]))
+    gone[ends] = False
+    kept = np.flatnonzero(~gone)
+    if len(kept) < len(t):
+        short = t[kept]
+        order = kept[_induced((np.cumsum(np.bincount(short) > 0) - 1)[short], np.searchsorted(kept, ends))]
+        out, placed = np.empty(len(t), dtype=np.int64), np.zeros(len(t), dtype=bool)
+        seats = (np.cumsum(sizes) - sizes)[t[gone]]
+        out[seats], placed[seats] = np.flatnonzero(gone), True
+        out[~placed] = order
+        return out
+    return _induced(t, ends)
+
+
+def _induced(t: np.ndarray, ends: np.ndarray) -> np.ndarray:
     starts = np.concatenate(([0], np.cumsum(np.bincount(t)))).astype(np.int64)
     cuts = leftmost_smaller(classify(t))
     sa = _induce_many(t, ends, cuts, starts)
