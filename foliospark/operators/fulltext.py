@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +48,25 @@ def tokens(c: Column | str) -> Column:
 def build_index(docs: DataFrame, key: str = "file_id") -> tuple[DataFrame, DataFrame]:
     """Postings (term, file_id, field, positions) and doc_stats (file_id, length).
 
-    Lengths come of the tokens alone. Occurrences of a term in a field are
-    gathered by a grouping that starts where the document is read.
+    Fields are split by Spark, and lengths come of that alone. A document's
+    tokens are grouped where it is read, in Arrow batches, so one row for each
+    distinct term, field and document is all that moves.
     """
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for fields in batch.to_pylist():
+                found: dict[tuple[str, int], list[int]] = {}
+                for f, terms in enumerate(fields):
+                    for at, term in enumerate(terms):
+                        found.setdefault((term, f), []).append(at)
+                rows.append([{"term": t, "field": f, "positions": p} for (t, f), p in found.items()])
+            yield pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("field", pa.int32()), ("positions", pa.list_(pa.int32()))])))
+
     split = docs.select(F.col(key).alias("file_id"), F.array(*(tokens(f) for f in FIELDS)).alias("fields"))
-    each = split.select("file_id", F.posexplode("fields").alias("field", "terms")).select("file_id", "field", F.posexplode("terms").alias("at", "term"))
-    postings = each.groupBy("term", "file_id", "field").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    made = F.arrow_udf(of, "array<struct<term:string,field:int,positions:array<int>>>")("fields")
+    postings = split.select("file_id", F.explode(made).alias("t")).select("t.term", "file_id", "t.field", "t.positions")
     length = F.aggregate("fields", F.lit(0).cast("bigint"), lambda n, t: n + F.size(t))
     return postings, split.select("file_id", length.alias("length"))
 
