@@ -123,3 +123,13 @@ def binary_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = array.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     return whole[limits[0] : limits[-1]], limits - limits[0]
+
+
+def sql_crc32(value: str) -> str:
+    """DuckDB SQL: the unsigned crc32 of a text's UTF-8 bytes, in a query from crc_table besides."""
+    each = f"list_transform(range(CAST(octet_length(encode({value})) AS BIGINT)), lambda k: CAST('0x' || substr(hex(encode({value})), 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {each}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: DuckDB SQL: the CTE that sql_crc32 needs, made by the polynomial's rule.
+SQL_CRC_TABLE = "crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i))"
