@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_suffix_array_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op9_lm_scoring": ["doc_id", "n_tokens", "log_prob", "perplexity"],
     "op10_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "bad_chunks", "kept"],
+    "op11_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op12_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op13_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 
 
