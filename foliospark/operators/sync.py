@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators.normalize import manifest_fingerprint
+from foliospark.sources.versions import Snapshot, VersionedStore
 
 ENTITY = ("sync_key", "entity_type", "entity_id", "project_id", "source_path", "content_hash")
 CHANGE_NOTES = ("Initial content sync", "Updated by content sync")
@@ -225,6 +226,19 @@ def sync(tables: dict[str, DataFrame], manifest: dict[str, DataFrame], *, prune:
     return tables | out
 
 
+def sync_store(store: VersionedStore, manifest: dict[str, DataFrame], *, prune: bool, run_id: str, now: Column) -> Snapshot:
+    """A sync of the store's latest version, committed as the next one: all its tables, or none.
+
+    The run log gets its row in the same version; stats is that of the last
+    sync. Of two syncs at once, one raises Conflict and has to start anew.
+    """
+    base = store.snapshot()
+    tables = base.all()
+    out = sync({k: t for k, t in tables.items() if k not in ("stats", "runs")}, manifest, prune=prune, run_id=run_id, now=now)
+    run = out.pop("run")
+    return store.commit(base, put={k: t for k, t in out.items() if t is not tables.get(k)}, add={"runs": run})
+
+
 def migrate_flat(items: DataFrame, versions: DataFrame) -> dict[str, DataFrame]:
     """Flat rows (id, slug, title, description, content, category, visibility, deleted_at, created_at, updated_at) and their versions as nodes and files.
 

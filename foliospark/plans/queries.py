@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from foliospark.operators import sync as Y
 from foliospark.operators import templates as P
 from foliospark.operators import validate as V
 from foliospark.plans.library import SQL, Library, now
+from foliospark.sources.trees import shared_folder
+from foliospark.sources.versions import VersionedStore
 
 REGISTRY: dict[str, tuple[Callable[[Library], DataFrame], str | None]] = {}
 TS = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -295,7 +298,11 @@ def _tables(lib):
 
 @query("y14_sync", f"WITH g AS ({GONE}), o AS (SELECT n.id, n.name, f.k FROM nodes n LEFT JOIN mfiles f ON f.id = n.id UNION ALL SELECT 'doc-' || (doc_id + 1000000), (doc_id + 1000000) || '.md', 4 FROM mfiles WHERE k = 4) SELECT id, name, CASE WHEN id IN (SELECT entity_id FROM g) THEN {TS} END AS deleted_at FROM o")
 def _(lib):
-    return Y.sync(_tables(lib), lib.manifest, prune=True, run_id="run-2", now=now())["nodes"].select("id", "name", "deleted_at")
+    """The tables committed as one version, synced into the next, and read from there."""
+    store = VersionedStore(lib.spark, f"{shared_folder(lib.spark)}/kept-{uuid.uuid4().hex}")
+    store.commit(store.snapshot(), put=_tables(lib))
+    Y.sync_store(store, lib.manifest, prune=True, run_id="run-2", now=now())
+    return store.snapshot().table("nodes").select("id", "name", "deleted_at")
 
 
 @query("y14_sync_files", f"SELECT id AS node_id, CASE WHEN k IN (1, 3) THEN 2 ELSE 1 END AS current_version, title, CASE WHEN k IN (0, 1, 3) THEN {TS} ELSE TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 500) * INTERVAL 1 HOUR END AS updated_at FROM mfiles")
