@@ -164,9 +164,11 @@ def retry_failed(jobs: DataFrame, now: Column, limit: int = 20) -> DataFrame:
     return _reopened(rows, F.coalesce("chosen", F.lit(False)), now).select(*jobs.columns)
 
 
-def ready_jobs(jobs: DataFrame, now: Column, limit: int = 3) -> DataFrame:
-    """Jobs that may run, ensure before delete before upsert, oldest first; 1 to 10 of them."""
+def ready_jobs(jobs: DataFrame, now: Column, limit: int | None = 3) -> DataFrame:
+    """Jobs that may run, ensure before delete before upsert, oldest first; 1 to 10 of them, or with no limit all, in no order."""
     ready = jobs.where(F.col("status").isin(*ACTIVE) & (F.col("next_attempt_at") <= now) & (F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") <= now)))
+    if limit is None:
+        return ready
     kind = F.when(F.col("operation") == "ensure_instance", 0).when(F.col("operation") == "delete_file", 1).otherwise(2)
     return ready.orderBy(kind, "created_at", "dedupe_key").limit(max(1, min(10, limit)))
 

@@ -28,6 +28,10 @@ class Library:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def n_docs(self) -> int:
+        return self.raw("documents").count()
+
     @cached_property
     def docs0(self) -> DataFrame:
         labels = self.raw("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
@@ -99,7 +103,7 @@ class Library:
 
     @cached_property
     def old_nodes(self) -> DataFrame:
-        ghost = F.col("doc_id") + 1_000_000
+        ghost = F.concat(F.lit("ghost-"), "doc_id")  # no live id looks so, however many there are
         f = self.manifest_files
         g = f.where("k = 4").select(F.concat(F.lit("doc-"), ghost).alias("id"), "project_id", "parent_id", F.concat(ghost, F.lit(".md")).alias("name"), F.concat(F.lit("/"), "language", F.lit("/"), ghost, F.lit(".md")).alias("path"), "depth", "sort_order", "visibility", F.lit("file").alias("node_type"))
         cols = g.columns
@@ -122,7 +126,7 @@ class Library:
         f = self.manifest_files
         k = F.col("k")
         file = f.where(k != 0).select(F.concat(F.lit("file:"), "id").alias("sync_key"), F.lit("file").alias("entity_type"), F.col("id").alias("entity_id"), "project_id", F.when(k.isin(2, 3), F.concat(F.lit("old/"), "source_path")).otherwise(F.col("source_path")).alias("source_path"), F.when(k.isin(1, 3), "sha256:old").otherwise(F.col("sync_hash")).alias("content_hash"))
-        gid = F.concat(F.lit("doc-"), F.col("doc_id") + 1_000_000)
+        gid = F.concat(F.lit("doc-ghost-"), "doc_id")
         ghost = f.where(k == 4).select(F.concat(F.lit("file:"), gid), F.lit("file"), gid, "project_id", F.concat(F.lit("ghost/"), gid), F.lit("sha256:ghost"))
         p = self.projects.select(F.concat(F.lit("project:"), "id"), F.lit("project"), "id", "id", "source_path", "config_hash")
         d = self.folders.select(F.concat(F.lit("folder:"), "id"), F.lit("folder"), "id", "project_id", "source_path", "config_hash")
@@ -143,7 +147,7 @@ class Library:
         status = F.element_at(F.array(*map(F.lit, ("indexed", "queued", "processing", "error"))), (F.col("doc_id") % 4 + 1).cast("int"))
         stamp = lambda n: F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + n)
         live = d.select(F.col("id").alias("file_id"), "project_id", F.substring("project_id", 9, 1000).alias("instance_id"), F.concat(F.lit("item-"), "doc_id").alias("item_id"), F.substring("path", 2, 1000).alias("item_key"), F.when(F.col("doc_id") % 11 == 0, "stale").otherwise(F.concat("sync_hash", F.lit("|"), "config_hash")).alias("index_hash"), "content_hash", status.alias("status"), F.when(status == "indexed", (F.col("doc_id") % 9).cast("int")).alias("chunks_count"), F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("indexed_at"), F.when(F.col("doc_id") % 3 == 0, stamp(F.col("doc_id") * 60)).alias("checked_at"), F.when(F.col("doc_id") % 5 == 0, "older").alias("previous_instance_id"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("before-"), "doc_id")).alias("previous_item_id"), stamp(F.col("doc_id")).alias("created_at"), stamp(F.lit(0)).alias("updated_at"))
-        orphan = live.where(F.substring("item_id", 6, 20).cast("long") % 13 == 0).withColumn("file_id", F.concat(F.lit("doc-"), F.substring("item_id", 6, 20).cast("long") + 1_000_000)).withColumn("item_id", F.concat(F.lit("orphan-"), "item_id"))
+        orphan = live.where(F.substring("item_id", 6, 20).cast("long") % 13 == 0).withColumn("file_id", F.concat(F.lit("doc-ghost-"), F.substring("item_id", 6, 20))).withColumn("item_id", F.concat(F.lit("orphan-"), "item_id"))
         return live.unionByName(orphan)
 
     @cached_property
@@ -159,7 +163,7 @@ class Library:
         operation = F.element_at(F.array(*map(F.lit, ("ensure_instance", "upsert_file", "delete_file"))), (i % 3 + 1).cast("int"))
         status = F.element_at(F.array(*map(F.lit, ("pending", "retry", "processing", "failed", "completed"))), (i % 5 + 1).cast("int"))
         start = F.unix_timestamp(F.lit(NOW))
-        return e.select(F.concat(F.lit("job:"), "user_id", F.lit(":"), "event_type").alias("dedupe_key"), operation.alias("operation"), F.concat(F.lit("project-src"), i % 20).alias("project_id"), F.when(operation != "ensure_instance", F.concat(F.lit("doc-"), i % 1000)).alias("file_id"), F.concat(F.lit("hash-"), i % 17).alias("expected_hash"), status.alias("status"), (i % 7).cast("int").alias("attempts"), F.timestamp_seconds(start + (i % 100 - 70) * 60).alias("next_attempt_at"), F.when(i % 4 == 0, F.timestamp_seconds(start + (i % 9 - 4) * 60)).alias("lease_expires_at"), F.when(status.isin("failed", "retry"), F.when(i % 2 == 0, F.lit("Request Timeout after 30 s")).otherwise("bad input")).alias("last_error"), F.date_trunc("second", "created_at").alias("created_at"), F.timestamp_seconds(start - (i % 1000) * 60).alias("updated_at"), F.lit(None).cast("timestamp").alias("completed_at"))
+        return e.select(F.concat(F.lit("job:"), "user_id", F.lit(":"), "event_type").alias("dedupe_key"), operation.alias("operation"), F.concat(F.lit("project-src"), i % 20).alias("project_id"), F.when(operation != "ensure_instance", F.concat(F.lit("doc-"), i % self.n_docs)).alias("file_id"), F.concat(F.lit("hash-"), i % 17).alias("expected_hash"), status.alias("status"), (i % 7).cast("int").alias("attempts"), F.timestamp_seconds(start + (i % 100 - 70) * 60).alias("next_attempt_at"), F.when(i % 4 == 0, F.timestamp_seconds(start + (i % 9 - 4) * 60)).alias("lease_expires_at"), F.when(status.isin("failed", "retry"), F.when(i % 2 == 0, F.lit("Request Timeout after 30 s")).otherwise("bad input")).alias("last_error"), F.date_trunc("second", "created_at").alias("created_at"), F.timestamp_seconds(start - (i % 1000) * 60).alias("updated_at"), F.lit(None).cast("timestamp").alias("completed_at"))
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -176,7 +180,7 @@ class Library:
         s = F.col("conv_id").cast("string")
         js = lambda **f: F.to_json(F.struct(*(v.alias(k) for k, v in f.items())))
         bundles = c.select(F.concat(F.lit("bundle:"), s).alias("key"), js(content=F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("text"))).alias("value"))
-        pointers = c.where("conv_id % 2 = 0").select(F.concat(F.lit("manifest:bootstrap:client"), s, F.lit(":default")), js(bundleKey=F.concat(F.lit("bundle:"), (F.col("conv_id") + F.when(F.col("conv_id") % 3 == 0, 10_000_000).otherwise(0)).cast("string"))))
+        pointers = c.where("conv_id % 2 = 0").select(F.concat(F.lit("manifest:bootstrap:client"), s, F.lit(":default")), js(bundleKey=F.concat(F.lit("bundle:"), F.when(F.col("conv_id") % 3 == 0, "gone-").otherwise(""), s)))
         common = c.where("conv_id % 2 = 1").select(F.concat(F.lit("common:"), s), js(key=F.concat(F.lit("common:"), s), title=F.substring("text", 1, 20)))
         return bundles.union(pointers).union(common)
 
@@ -197,17 +201,17 @@ sdocs AS (SELECT f.id AS file_id, f.project_id, p.slug AS project_slug, p.name A
 entities AS (SELECT 'project:' || id AS sync_key, 'project' AS entity_type, id AS entity_id, id AS project_id, source_path, config_hash AS content_hash FROM projects
   UNION ALL SELECT 'folder:' || id, 'folder', id, project_id, source_path, config_hash FROM folders UNION ALL SELECT 'file:' || id, 'file', id, project_id, source_path, sync_hash FROM mfiles),
 ledger AS (SELECT 'file:' || id AS sync_key, 'file' AS entity_type, id AS entity_id, project_id, CASE WHEN k IN (2, 3) THEN 'old/' || source_path ELSE source_path END AS source_path, CASE WHEN k IN (1, 3) THEN 'sha256:old' ELSE sync_hash END AS content_hash FROM mfiles WHERE k <> 0
-  UNION ALL SELECT 'file:doc-' || (doc_id + 1000000), 'file', 'doc-' || (doc_id + 1000000), project_id, 'ghost/doc-' || (doc_id + 1000000), 'sha256:ghost' FROM mfiles WHERE k = 4
+  UNION ALL SELECT 'file:doc-ghost-' || doc_id, 'file', 'doc-ghost-' || doc_id, project_id, 'ghost/doc-ghost-' || doc_id, 'sha256:ghost' FROM mfiles WHERE k = 4
   UNION ALL SELECT * FROM entities WHERE entity_type <> 'file'),
 items0 AS (SELECT f.id AS file_id, f.project_id, f.source AS instance_id, 'item-' || doc_id AS item_id, substr(f.path, 2) AS item_key, CASE WHEN doc_id % 11 = 0 THEN 'stale' ELSE f.sync_hash || '|' || p.config_hash END AS index_hash, f.content_hash, CASE doc_id % 4 WHEN 0 THEN 'indexed' WHEN 1 THEN 'queued' WHEN 2 THEN 'processing' ELSE 'error' END AS status, doc_id,
     CASE WHEN doc_id % 5 = 0 THEN 'older' END AS previous_instance_id, CASE WHEN doc_id % 5 = 0 THEN 'before-' || doc_id END AS previous_item_id, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE END AS checked_at, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 SECOND AS created_at
   FROM mfiles f JOIN projects p ON p.id = f.project_id WHERE doc_id % 7 <> 0),
-items AS (SELECT * FROM items0 UNION ALL SELECT 'doc-' || (doc_id + 1000000), project_id, instance_id, 'orphan-' || item_id, item_key, index_hash, content_hash, status, doc_id, previous_instance_id, previous_item_id, checked_at, created_at FROM items0 WHERE doc_id % 13 = 0),
+items AS (SELECT * FROM items0 UNION ALL SELECT 'doc-ghost-' || doc_id, project_id, instance_id, 'orphan-' || item_id, item_key, index_hash, content_hash, status, doc_id, previous_instance_id, previous_item_id, checked_at, created_at FROM items0 WHERE doc_id % 13 = 0),
 mapping AS (SELECT id AS project_id, CASE WHEN n % 6 = 4 THEN 'legacy-' || slug ELSE slug END AS instance_id, CASE WHEN n % 3 = 1 THEN slug END AS replacement_instance_id, CASE WHEN n % 4 = 3 THEN 'pending' ELSE 'ready' END AS status FROM projects WHERE n % 6 <> 5),
-jobs AS (SELECT 'job:' || user_id || ':' || event_type AS dedupe_key, operation, 'project-src' || (i % 20) AS project_id, CASE WHEN operation <> 'ensure_instance' THEN 'doc-' || (i % 1000) END AS file_id, 'hash-' || (i % 17) AS expected_hash, status, CAST(i % 7 AS INTEGER) AS attempts, TIMESTAMP '2024-06-01 00:00:00' + (i % 100 - 70) * INTERVAL 1 MINUTE AS next_attempt_at, CASE WHEN i % 4 = 0 THEN TIMESTAMP '2024-06-01 00:00:00' + (i % 9 - 4) * INTERVAL 1 MINUTE END AS lease_expires_at, CASE WHEN status IN ('failed', 'retry') THEN CASE WHEN i % 2 = 0 THEN 'Request Timeout after 30 s' ELSE 'bad input' END END AS last_error, date_trunc('second', ts) AS created_at, TIMESTAMP '2024-06-01 00:00:00' - (i % 1000) * INTERVAL 1 MINUTE AS updated_at
+jobs AS (SELECT 'job:' || user_id || ':' || event_type AS dedupe_key, operation, 'project-src' || (i % 20) AS project_id, CASE WHEN operation <> 'ensure_instance' THEN 'doc-' || (i % (SELECT count(*) FROM documents)) END AS file_id, 'hash-' || (i % 17) AS expected_hash, status, CAST(i % 7 AS INTEGER) AS attempts, TIMESTAMP '2024-06-01 00:00:00' + (i % 100 - 70) * INTERVAL 1 MINUTE AS next_attempt_at, CASE WHEN i % 4 = 0 THEN TIMESTAMP '2024-06-01 00:00:00' + (i % 9 - 4) * INTERVAL 1 MINUTE END AS lease_expires_at, CASE WHEN status IN ('failed', 'retry') THEN CASE WHEN i % 2 = 0 THEN 'Request Timeout after 30 s' ELSE 'bad input' END END AS last_error, date_trunc('second', ts) AS created_at, TIMESTAMP '2024-06-01 00:00:00' - (i % 1000) * INTERVAL 1 MINUTE AS updated_at
   FROM (SELECT user_id, event_type, max(event_id) AS i, max(ts) AS ts, CASE max(event_id) % 3 WHEN 0 THEN 'ensure_instance' WHEN 1 THEN 'upsert_file' ELSE 'delete_file' END AS operation, CASE max(event_id) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'retry' WHEN 2 THEN 'processing' WHEN 3 THEN 'failed' ELSE 'completed' END AS status FROM events GROUP BY user_id, event_type)),
 queries AS (SELECT CAST(item_id AS BIGINT) AS query_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS query FROM benchmark UNION ALL SELECT * FROM (VALUES (-1, '%'), (-2, '_'), (-3, '---'), (-4, 'THE Of'), (-5, 'éle'), (-6, '  '), (-7, '中文'), (-8, 'th'), (-9, '10.md')) v(query_id, query)),
 kv AS (SELECT 'bundle:' || conv_id AS key, CAST(NULL AS VARCHAR) AS bundle_key, CASE WHEN conv_id % 5 = 0 THEN '' ELSE text END AS content, conv_id, text FROM conversations WHERE turn = 0
-  UNION ALL SELECT 'manifest:bootstrap:client' || conv_id || ':default', 'bundle:' || (conv_id + CASE WHEN conv_id % 3 = 0 THEN 10000000 ELSE 0 END), NULL, conv_id, text FROM conversations WHERE turn = 0 AND conv_id % 2 = 0
+  UNION ALL SELECT 'manifest:bootstrap:client' || conv_id || ':default', 'bundle:' || CASE WHEN conv_id % 3 = 0 THEN 'gone-' ELSE '' END || conv_id, NULL, conv_id, text FROM conversations WHERE turn = 0 AND conv_id % 2 = 0
   UNION ALL SELECT 'common:' || conv_id, NULL, NULL, conv_id, text FROM conversations WHERE turn = 0 AND conv_id % 2 = 1)
 """

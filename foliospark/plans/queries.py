@@ -246,7 +246,7 @@ def _(lib):
     return Y.merge_projects(lib.projects, lib.projects.withColumn("name", F.when(n % 3 == 0, "renamed").otherwise(F.col("name"))), now()).select("id", "name", "visibility", "updated_at")
 
 
-@query("y6_merge_nodes", f"SELECT id, name, path, node_type, CASE WHEN k IN (0, 3) THEN {TS} ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at FROM (SELECT n.*, f.k FROM nodes n LEFT JOIN mfiles f ON f.id = n.id) UNION ALL SELECT 'doc-' || (doc_id + 1000000), (doc_id + 1000000) || '.md', '/' || lang || '/' || (doc_id + 1000000) || '.md', 'file', TIMESTAMP '2024-01-01 00:00:00' FROM mfiles WHERE k = 4")
+@query("y6_merge_nodes", f"SELECT id, name, path, node_type, CASE WHEN k IN (0, 3) THEN {TS} ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at FROM (SELECT n.*, f.k FROM nodes n LEFT JOIN mfiles f ON f.id = n.id) UNION ALL SELECT 'doc-ghost-' || doc_id, 'ghost-' || doc_id || '.md', '/' || lang || '/' || 'ghost-' || doc_id || '.md', 'file', TIMESTAMP '2024-01-01 00:00:00' FROM mfiles WHERE k = 4")
 def _(lib):
     return Y.merge_nodes(lib.old_nodes, Y.manifest_nodes(lib.folders, lib.manifest_files), now()).select("id", "name", "path", "node_type", "updated_at")
 
@@ -269,7 +269,7 @@ def _(lib):
     return links.join(tags.select("normalized_name"), "normalized_name", "left_semi").groupBy("normalized_name").agg(F.count("*").alias("n_files"))
 
 
-@query("y10_deletions", f"WITH g AS ({GONE}), o AS (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM mfiles WHERE k = 0) UNION ALL SELECT 'doc-' || (doc_id + 1000000) FROM mfiles WHERE k = 4) SELECT id, CASE WHEN id IN (SELECT entity_id FROM g) THEN {TS} END AS deleted_at FROM o")
+@query("y10_deletions", f"WITH g AS ({GONE}), o AS (SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM mfiles WHERE k = 0) UNION ALL SELECT 'doc-ghost-' || doc_id FROM mfiles WHERE k = 4) SELECT id, CASE WHEN id IN (SELECT entity_id FROM g) THEN {TS} END AS deleted_at FROM o")
 def _(lib):
     nodes, _ = Y.apply_deletions(lib.old_nodes, lib.ledger, Y.plan_deletions(lib.manifest, lib.ledger, True), now())
     return nodes.select("id", "deleted_at")
@@ -296,7 +296,7 @@ def _tables(lib):
     return {"projects": lib.projects, "nodes": lib.old_nodes, "files": lib.old_files, "versions": lib.versions, "tags": tags, "file_tags": links, "ledger": lib.ledger}
 
 
-@query("y14_sync", f"WITH g AS ({GONE}), o AS (SELECT n.id, n.name, f.k FROM nodes n LEFT JOIN mfiles f ON f.id = n.id UNION ALL SELECT 'doc-' || (doc_id + 1000000), (doc_id + 1000000) || '.md', 4 FROM mfiles WHERE k = 4) SELECT id, name, CASE WHEN id IN (SELECT entity_id FROM g) THEN {TS} END AS deleted_at FROM o")
+@query("y14_sync", f"WITH g AS ({GONE}), o AS (SELECT n.id, n.name, f.k FROM nodes n LEFT JOIN mfiles f ON f.id = n.id UNION ALL SELECT 'doc-ghost-' || doc_id, 'ghost-' || doc_id || '.md', 4 FROM mfiles WHERE k = 4) SELECT id, name, CASE WHEN id IN (SELECT entity_id FROM g) THEN {TS} END AS deleted_at FROM o")
 def _(lib):
     """The tables committed as one version, synced into the next, and read from there."""
     store = VersionedStore(lib.spark, f"{shared_folder(lib.spark)}/kept-{uuid.uuid4().hex}")
@@ -585,10 +585,10 @@ def _(lib):
 def _chunks(lib):
     """Events as scored chunks: a user is a query."""
     i = F.col("event_id")
-    return lib.raw("events").select(F.col("user_id").alias("query_id"), i.alias("position"), F.col("value").alias("score"), F.when(i % 4 == 0, F.lit(float("nan"))).when(i % 4 == 1, (i % 1000) / 100.0).alias("rerank_score"), F.concat(F.lit("doc-"), i % 700).alias("file_id"))
+    return lib.raw("events").select(F.col("user_id").alias("query_id"), i.alias("position"), F.col("value").alias("score"), F.when(i % 4 == 0, F.lit(float("nan"))).when(i % 4 == 1, (i % 1000) / 100.0).alias("rerank_score"), F.concat(F.lit("doc-"), i % lib.n_docs).alias("file_id"))
 
 
-EVENTS = "chunks AS (SELECT user_id AS query_id, event_id AS position, value AS score, CASE WHEN event_id % 4 = 1 THEN (event_id % 1000) / 100.0 END AS rerank, 'doc-' || (event_id % 700) AS file_id FROM events), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank, score) DESC, position) AS place FROM chunks)"
+EVENTS = "chunks AS (SELECT user_id AS query_id, event_id AS position, value AS score, CASE WHEN event_id % 4 = 1 THEN (event_id % 1000) / 100.0 END AS rerank, 'doc-' || (event_id % (SELECT count(*) FROM documents)) AS file_id FROM events), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(rerank, score) DESC, position) AS place FROM chunks)"
 
 
 @query("m5_order", f"WITH {EVENTS} SELECT query_id, position, CAST(place AS INTEGER) AS place FROM placed")
@@ -637,7 +637,7 @@ def _(lib):
 FAN = "SELECT 'upsert:' || f.id || ':' || f.sync_hash || ':' || p.config_hash AS dedupe_key, 'upsert_file' AS operation, f.project_id, f.id AS file_id FROM mfiles f JOIN projects p ON p.id = f.project_id"
 
 
-@query("o2_changes", f"{FAN} WHERE k IN (0, 1, 3) UNION ALL SELECT DISTINCT 'delete:' || i.file_id || ':' || i.item_id, 'delete_file', i.project_id, i.file_id FROM items i JOIN mfiles f ON 'doc-' || (f.doc_id + 1000000) = i.file_id WHERE f.k = 4")
+@query("o2_changes", f"{FAN} WHERE k IN (0, 1, 3) UNION ALL SELECT DISTINCT 'delete:' || i.file_id || ':' || i.item_id, 'delete_file', i.project_id, i.file_id FROM items i JOIN mfiles f ON 'doc-ghost-' || f.doc_id = i.file_id WHERE f.k = 4")
 def _(lib):
     after = lib.full_ledger
     return O.ledger_changes_to_jobs(lib.ledger, after, lib.nodes, lib.items).select("dedupe_key", "operation", "project_id", "file_id")

@@ -13,7 +13,9 @@ from foliospark.operators import templates as P
 from foliospark.plans.library import now
 from foliospark.plans.queries import BROKEN, FAN, GONE, CLASSIFIED, OVER, READY, TS, _outcomes, _tables, query
 from foliospark.sources import trees
+from foliospark.sources.versions import VersionedStore
 from foliospark.streaming import jobs as J
+from foliospark.streaming import leases as L
 
 
 def _folder(lib) -> str:
@@ -89,22 +91,29 @@ def _(lib):
     return Y.sync(_tables(lib), lib.manifest, prune=True, run_id="run-2", now=now())["run"].select("id", "status", "prune_requested", "stats_json")
 
 
+_ENSURE = "'ensure:' || p.id || ':' || p.config_hash || ':readable-v1:' || p.slug"
+_UNREADY = "m.project_id IS NULL OR m.status <> 'ready' OR (m.instance_id <> p.slug AND m.replacement_instance_id IS DISTINCT FROM p.slug)"
+_STALE = "doc_id % 7 = 0 OR doc_id % 4 = 3 OR doc_id % 11 = 0"
+
+
 def _changes(lib):
-    """The change log of a sync, every row twice, and the deletions."""
+    """The change log of a sync, every row twice, at times spread over days and in no order, and the deletions."""
+    at = lambda c, n: F.timestamp_seconds(F.unix_timestamp(now()) - F.pmod(F.xxhash64(c, F.lit(n)), F.lit(500_000)))
     changed = Y.classify_entities(lib.manifest, lib.ledger).where("created or updated")
-    rows = changed.select(now().alias("changed_at"), F.lit("update").alias("change"), "entity_type", "entity_id", "project_id", "content_hash")
-    gone = lib.ledger.join(lib.full_ledger.select("sync_key"), "sync_key", "left_anti").select(now().alias("changed_at"), F.lit("delete").alias("change"), "entity_type", "entity_id", "project_id", "content_hash")
-    return rows.union(rows).union(gone)
+    rows = [changed.select(at("entity_id", n).alias("changed_at"), F.lit("update").alias("change"), "entity_type", "entity_id", "project_id", "content_hash") for n in range(2)]
+    gone = lib.ledger.join(lib.full_ledger.select("sync_key"), "sync_key", "left_anti").select(at("entity_id", 2).alias("changed_at"), F.lit("delete").alias("change"), "entity_type", "entity_id", "project_id", "content_hash")
+    return rows[0].union(rows[1]).union(gone)
 
 
-CHANGED = f"{FAN} WHERE k IN (0, 1, 3) UNION ALL SELECT DISTINCT 'delete:' || i.file_id || ':' || i.item_id, 'delete_file', i.project_id, i.file_id FROM items i JOIN mfiles f ON 'doc-' || (f.doc_id + 1000000) = i.file_id WHERE f.k = 4"
+CHANGED = f"{FAN} WHERE k IN (0, 1, 3) UNION ALL SELECT DISTINCT 'delete:' || i.file_id || ':' || i.item_id, 'delete_file', i.project_id, i.file_id FROM items i JOIN mfiles f ON 'doc-ghost-' || f.doc_id = i.file_id WHERE f.k = 4"
 
 
-def _stream(lib, folder):
+def _stream(lib, folder, tables=None):
+    """The log as a stream of several micro-batches."""
     rows = _changes(lib)
-    rows.write.parquet(f"{folder}/log")
-    source = lib.spark.readStream.schema(rows.schema).parquet(f"{folder}/log")
-    return J.stream_jobs(source, {"nodes": lib.nodes, "ledger": lib.full_ledger, "items": lib.items})
+    rows.repartition(4).write.parquet(f"{folder}/log")
+    source = lib.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    return J.stream_jobs(source, tables or {"nodes": lib.nodes, "ledger": lib.full_ledger, "items": lib.items})
 
 
 @query("t1_stream_jobs", CHANGED)
@@ -115,22 +124,47 @@ def _(lib):
     return lib.spark.read.parquet(f"{folder}/jobs").select("dedupe_key", "operation", "project_id", "file_id")
 
 
-@query("t2_maintenance", f"SELECT dedupe_key, operation, 'pending' AS status, 0 AS attempts FROM ({CHANGED})")
+@query(
+    "t2_maintenance",
+    f"""WITH due AS (SELECT dedupe_key, operation, file_id, 'change' AS origin FROM ({CHANGED}) UNION
+      SELECT {_ENSURE}, 'ensure_instance', NULL, 'reconcile' FROM projects p LEFT JOIN mapping m ON m.project_id = p.id WHERE {_UNREADY} UNION
+      SELECT 'upsert:' || f.id || ':' || f.sync_hash || ':' || p.config_hash || ':readable-v1', 'upsert_file', f.id, 'reconcile' FROM mfiles f JOIN projects p ON p.id = f.project_id WHERE {_STALE} UNION
+      SELECT 'delete:' || file_id || ':' || item_id, 'delete_file', file_id, 'change' FROM items WHERE file_id NOT IN (SELECT file_id FROM sdocs))
+      SELECT DISTINCT d.dedupe_key, d.operation, CASE WHEN d.operation = 'upsert_file' AND i.status = 'indexed' AND i.index_hash = f.sync_hash || '|' || p.config_hash THEN 'completed' ELSE 'processing' END AS status, 1 AS attempts
+      FROM due d LEFT JOIN mfiles f ON f.id = d.file_id LEFT JOIN projects p ON p.id = f.project_id LEFT JOIN items i ON i.file_id = d.file_id""",
+)
 def _(lib):
-    """Every batch is merged twice, as after a failure."""
+    """Rounds of upkeep over the stream, each of them repeated as after a failure."""
     folder = _folder(lib)
-    empty = lib.jobs.limit(0)
-    empty.write.parquet(f"{folder}/v0")
-    versions = [f"{folder}/v0"]
-
-    def load(spark):
-        return spark.read.schema(empty.schema).parquet(versions[-1])
-
-    def save(jobs, number):
-        for again in ("", "-again"):
-            path = f"{folder}/v{number + 1}{again}"
-            (jobs if not again else O.merge_jobs(load(jobs.sparkSession), jobs.select(*O.JOB), now())).write.mode("overwrite").parquet(path)
-            versions.append(path)
-
-    J.stream_maintenance(_stream(lib, folder), load, save, now, f"{folder}/state", once=True).awaitTermination()
-    return lib.spark.read.schema(empty.schema).parquet(versions[-1]).select("dedupe_key", "operation", "status", "attempts")
+    store = VersionedStore(lib.spark, f"{folder}/store")
+    store.commit(store.snapshot(), put={"projects": lib.projects, "docs": lib.docs, "files": lib.files, "ledger": lib.full_ledger, "mapping": lib.mapping, "items": lib.items, "jobs": lib.jobs.limit(0)})
+    tables = {"nodes": lib.nodes, "ledger": store.snapshot().table("ledger"), "items": store.snapshot().table("items")}
+    J.stream_maintenance(_stream(lib, folder, tables), store, now, f"{folder}/state", once=True).awaitTermination()
+    done = store.snapshot()
+    again = J.maintain(store, done.table("jobs"), now(), batch=0)
+    return again.table("jobs").select("dedupe_key", "operation", "status", "attempts")
+
+
+@query(
+    "t2_leases",
+    """SELECT dedupe_key, CASE WHEN kind = 0 THEN 'completed' WHEN kind = 1 THEN 'failed' ELSE 'processing' END AS status, CASE WHEN kind = 2 THEN 2 ELSE 1 END AS attempts,
+      CASE WHEN kind = 2 THEN TIMESTAMP '2024-06-01 00:00:00' + (start + 160) * INTERVAL 1 SECOND WHEN kind = 3 THEN TIMESTAMP '2024-06-01 00:00:00' + (start + 120) * INTERVAL 1 SECOND END AS lease_expires_at
+      FROM (SELECT 'event:' || event_id AS dedupe_key, user_id % 60 AS start, event_id % 4 AS kind FROM events)""",
+)
+def _(lib):
+    """A job for each event: it ends well, fails for good, comes back after half a minute, or is never heard of."""
+    folder = _folder(lib)
+    e, s = lib.raw("events"), F.col("user_id") % 60
+    kind = F.col("event_id") % 4
+    at = lambda n: F.timestamp_seconds(F.unix_timestamp(now()) + n)
+    none = F.lit(None).cast("string")
+    key = F.concat(F.lit("event:"), "event_id")
+    jobs = e.select(at(s).alias("at"), F.lit("job").alias("kind"), key.alias("dedupe_key"), none.alias("result"), none.alias("message"), F.lit(False).alias("permanent"))
+    outcomes = e.where(kind < 3).select(at(s + 10).alias("at"), F.lit("outcome").alias("kind"), key.alias("dedupe_key"), F.when(kind == 0, "completed").otherwise("error").alias("result"), F.lit("broken").alias("message"), (kind == 1).alias("permanent"))
+    ticks = lib.spark.range(2).select(at(F.lit(119)).alias("at"), F.lit("tick").alias("kind"), none.alias("dedupe_key"), none.alias("result"), none.alias("message"), F.lit(False).alias("permanent"))
+    for i, part in enumerate((jobs, outcomes, ticks, ticks)):
+        part.coalesce(1).write.parquet(f"{folder}/log/{i}")
+    source = lib.spark.readStream.schema(jobs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    L.stream_leases(source).writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    last = lib.spark.read.parquet(f"{folder}/changes").groupBy("dedupe_key").agg(F.max_by(F.struct("status", "attempts", "lease_expires_at"), "step").alias("last"))
+    return last.select("dedupe_key", "last.status", "last.attempts", "last.lease_expires_at")

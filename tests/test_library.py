@@ -9,7 +9,6 @@ from foliospark.functions import text as T
 from foliospark.operators import catalog, collect, fulltext, markdown, normalize, outbox, semantic, sync, templates, validate
 from foliospark.plans.library import Library, now
 from foliospark.sources import trees
-from foliospark.streaming import jobs as streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -223,26 +222,3 @@ def test_trees_and_manifests(spark, tmp_path):
     assert doc == "---\ntitle: 'T: x'\ndescription: d\n---\n\nbody\n"
     (tmp_path / "kv.json").write_text('[{"key": "a", "value": "{}"}]')
     assert trees.read_kv(spark, str(tmp_path / "kv.json")).first()["key"] == "a"
-
-
-def test_the_stream_makes_the_batch_jobs(spark, lib, tmp_path):
-    changed = sync.classify_entities(lib.manifest, lib.ledger).where("created or updated")
-    rows = changed.select(now().alias("changed_at"), F.lit("update").alias("change"), "entity_type", "entity_id", "project_id", "content_hash")
-    rows.union(rows).write.parquet(str(tmp_path / "log"))
-    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "log"))
-    tables = {"nodes": lib.nodes, "ledger": lib.full_ledger, "items": lib.items}
-    jobs = streams.stream_jobs(source, tables)
-    stored = str(tmp_path / "jobs")
-    empty = lib.jobs.limit(0)
-    empty.write.parquet(f"{stored}/v0")
-    state = {"v": 0}
-
-    def save(df, number):
-        df.write.mode("overwrite").parquet(f"{stored}/v{number + 1}")
-        state["v"] = number + 1
-
-    q = streams.stream_maintenance(jobs, lambda s: s.read.schema(empty.schema).parquet(f"{stored}/v{state['v']}"), save, now, str(tmp_path / "cp"), once=True)
-    q.awaitTermination(120)
-    got = {r["dedupe_key"] for r in spark.read.parquet(f"{stored}/v{state['v']}").collect()}
-    want = {r["dedupe_key"] for r in outbox.ledger_changes_to_jobs(lib.ledger, lib.full_ledger, lib.nodes, lib.items).where("operation <> 'delete_file'").collect()}
-    assert got == want
