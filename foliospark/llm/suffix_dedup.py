@@ -28,13 +28,14 @@ from foliospark.llm.suffix_array import common_prefixes, suffix_arrays
 WINDOW = 100
 GRAM = 32
 #: An anchor that occurs more often than this, and more than once in HOT_SHARE of all, has its windows dealt one by
-#: one, each by its own hash, so that no shard gathers all pieces of a frequent anchor. There are HOT_SHARE at most.
-HOT, HOT_SHARE = 20_000, 100_000
+#: one, each by its own hash, so that no shard gathers all pieces of a frequent anchor. There are HOT_SHARE at most
+#: (some tens of megabytes).
+HOT, HOT_SHARE = 5_000, 1_000_000
 #: Bytes of text hashed at once, and of pieces in a suffix array. A row longer
 #: than the first is hashed in overlapping parts.
 BUFFER, SHARD = 1 << 19, 1 << 19
-#: Suffix arrays made together.
-AT_ONCE = 8
+#: Suffix arrays made together, and bytes of pieces in all of them: frequent anchors make long ones.
+AT_ONCE, ALL_AT_ONCE = 8, 1 << 21
 #: Bytes of documents for each shard, and for each task that works on shards; MOST_TASKS bounds their number.
 SHARD_OF, TASK_OF, MOST_TASKS = 1 << 23, 1 << 25, 100_000
 #: Bytes of text whose pieces are gathered at once, equal ones merged.
@@ -249,7 +250,7 @@ def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((row for block in blocks for row in _unpacked(block)), key=lambda row: row[0])
         parts: list[dict[bytes, tuple[int, int, int]]] = [{}]
         alone: list[tuple[int, int, int, int]] = []
-        size = 0
+        size = total = 0
         for _, same in groupby(rows, key=lambda row: row[0]):
             pieces: dict[bytes, tuple[int, int, int]] = {}
             for _, piece, me in same:
@@ -260,13 +261,14 @@ def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 alone.append((key, place, start, start + len(piece) - WINDOW))
                 continue
             if size >= SHARD:
-                if len(parts) == AT_ONCE:
+                if len(parts) == AT_ONCE or total >= ALL_AT_ONCE:
                     yield from settle(parts)
-                    parts = []
+                    parts, total = [], 0
                 parts.append({})
                 size = 0
             parts[-1].update(pieces)
-            size += sum(map(len, pieces)) + len(pieces)
+            more = sum(map(len, pieces)) + len(pieces)
+            size, total = size + more, total + more
         if alone:
             yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*alone, strict=True)], names=["key", "place", "lo", "hi"])
         if parts[-1]:
