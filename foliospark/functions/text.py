@@ -21,15 +21,14 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(col(c), UPPER, LOWER)
 
 
-def _mapped(c: Column | str, change: Callable[[str], str], plain: Callable[[Column], Column] = lambda c: c) -> Column:
-    """A string function through Arrow for rows beyond ASCII; the others take `plain`, a Spark function. Null stays null."""
+def _mapped(c: Column | str, change: Callable[[str], str]) -> Column:
+    """A string function in Arrow batches; its input stands in the plan once, so that calls can nest. Null stays null."""
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([None if s is None else change(s) for s in batch.to_pylist()], pa.string())
 
-    odd = col(c).rlike(r"[^\x00-\x7F]")
-    return F.when(odd, F.arrow_udf(of, "string")(F.when(odd, col(c)))).otherwise(plain(col(c)))
+    return F.arrow_udf(of, "string")(col(c))
 
 
 def nfkc(c: Column | str) -> Column:
@@ -42,13 +41,15 @@ def nfc(c: Column | str) -> Column:
 
 def fold(text: str) -> str:
     """Lower case without diacritics."""
+    text = text.lower()
     if text.isascii():
-        return text.lower()
-    return "".join(ch for ch in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(ch) != "Mn")
+        return text
+    # no mark stands before U+0300
+    return "".join([ch for ch in unicodedata.normalize("NFD", text) if ch < "\u0300" or unicodedata.category(ch) != "Mn"])
 
 
 def folded(c: Column | str) -> Column:
-    return _mapped(c, fold, F.lower)
+    return _mapped(c, fold)
 
 
 def strip(c: Column | str) -> Column:

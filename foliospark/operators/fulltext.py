@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators.catalog import visible
+from foliospark.sources.trees import stored
 
 FIELDS = ("title", "file_name", "path", "description", "content", "tags_text")
 K1, B = 1.2, 0.75
@@ -45,30 +50,58 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(T.folded(F.coalesce(T.col(c), F.lit(""))), TOKEN_EDGE), lambda t: t != "")
 
 
+_WORDS, _ASCII_WORDS = regex.compile(r"[\p{L}\p{N}\p{Co}]+"), re.compile("[a-z0-9]+")
+
+
+def _terms(text: str | None) -> list[str]:
+    """tokens() of one text."""
+    low = T.fold(text or "")
+    return (_ASCII_WORDS if low.isascii() else _WORDS).findall(low)
+
+
+def _posted(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """The fields of each document -> its distinct terms by field with their places, grouped where the document is read."""
+    for batch in batches:
+        terms: list[str] = []
+        fields: list[int] = []
+        counts, places, sizes = [0], [0], array("i")
+        for document in zip(*(c.to_pylist() for c in batch), strict=True):
+            for f, text in enumerate(document):
+                found: dict[str, list[int]] = {}
+                for at, term in enumerate(_terms(text)):
+                    found.setdefault(term, []).append(at)
+                terms += found
+                fields += [f] * len(found)
+                for at in found.values():
+                    sizes.extend(at)
+                    places.append(len(sizes))
+            counts.append(len(terms))
+        positions = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.frombuffer(sizes, dtype=np.int32) if sizes else [], pa.int32()))
+        posted = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(fields, pa.int32()), positions], names=["term", "field", "positions"])
+        yield pa.ListArray.from_arrays(pa.array(counts, pa.int32()), posted)
+
+
+def _lengths(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([sum(len(_terms(text)) for text in document) for document in zip(*(c.to_pylist() for c in batch), strict=True)], pa.int64())
+
+
 def build_index(docs: DataFrame, key: str = "file_id") -> tuple[DataFrame, DataFrame]:
     """Postings (term, file_id, field, positions) and doc_stats (file_id, length).
 
-    Fields are split by Spark, and lengths come of that alone. A document's
-    tokens are grouped where it is read, in Arrow batches, so one row for each
-    distinct term, field and document is all that moves.
+    A document's fields are folded, split and grouped in one step where it is
+    read: one row for each distinct term, field and document is all that moves.
     """
+    fields = [F.col(f) for f in FIELDS]
+    posted = F.arrow_udf(_posted, "array<struct<term:string,field:int,positions:array<int>>>")(*fields)
+    postings = docs.select(F.col(key).alias("file_id"), posted.alias("posted")).select("file_id", F.explode("posted").alias("t")).select("t.term", "file_id", "t.field", "t.positions")
+    return postings, docs.select(F.col(key).alias("file_id"), F.arrow_udf(_lengths, "bigint")(*fields).alias("length"))
 
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for fields in batch.to_pylist():
-                found: dict[tuple[str, int], list[int]] = {}
-                for f, terms in enumerate(fields):
-                    for at, term in enumerate(terms):
-                        found.setdefault((term, f), []).append(at)
-                rows.append([{"term": t, "field": f, "positions": p} for (t, f), p in found.items()])
-            yield pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("field", pa.int32()), ("positions", pa.list_(pa.int32()))])))
 
-    split = docs.select(F.col(key).alias("file_id"), F.array(*(tokens(f) for f in FIELDS)).alias("fields"))
-    made = F.arrow_udf(of, "array<struct<term:string,field:int,positions:array<int>>>")("fields")
-    postings = split.select("file_id", F.explode(made).alias("t")).select("t.term", "file_id", "t.field", "t.positions")
-    length = F.aggregate("fields", F.lit(0).cast("bigint"), lambda n, t: n + F.size(t))
-    return postings, split.select("file_id", length.alias("length"))
+def dictionary(postings: DataFrame) -> DataFrame:
+    """(range, term): the distinct terms in ranges of their order, in the shared folder; a range is one task's share."""
+    ordered = postings.select("term").distinct().repartitionByRange("term").withColumn("range", F.spark_partition_id())
+    return stored(ordered.select("range", "term"))
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -79,18 +112,30 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "phrase_no", "n_phrases", tokens("word").alias("tokens"))
 
 
-def match(postings: DataFrame, phrases: DataFrame) -> DataFrame:
+def widen(terms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (token, last and more) -> with term, a row for each term that is the token or, where last, begins with it.
+
+    terms is a dictionary: what begins with a token is one interval of it, so
+    a token meets only the ranges that its interval touches.
+    """
+    ends = terms.groupBy("range").agg(F.min("term").alias("low"), F.max("term").alias("high"))  # a row for each range
+    high = F.when(F.col("last"), F.concat("token", F.lit("\U0010ffff"))).otherwise(F.col("token"))
+    sent = wanted.join(F.broadcast(ends), (F.col("token") <= F.col("high")) & (high >= F.col("low"))).drop("low", "high")
+    fits = (F.col("term") == F.col("token")) | (F.col("last") & F.col("term").startswith(F.col("token")))
+    return terms.join(sent, "range").where(fits).drop("range")
+
+
+def match(postings: DataFrame, phrases: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, phrase_no, n_phrases, file_id, freq): occurrences of each phrase in each document.
 
-    Prefixes are widened on the distinct terms, joined on their first
-    character, and only then meet the postings. A phrase without a token has no
+    Prefixes are widened on the dictionary (terms, or one made of the postings)
+    and only then meet the postings. A phrase without a token has no
     occurrence, so its query matches nothing.
     """
     wanted = phrases.select("query_id", "phrase_no", "n_phrases", F.size("tokens").alias("n"), F.posexplode("tokens").alias("no", "token"))
-    wanted = wanted.withColumn("last", F.col("no") == F.col("n") - 1).withColumn("head", F.substring("token", 1, 1))
-    terms = postings.select("term").distinct().withColumn("head", F.substring("term", 1, 1))
-    widened = terms.join(wanted, "head").where((F.col("term") == F.col("token")) | (F.col("last") & F.col("term").startswith(F.col("token"))))
-    hits = postings.join(widened.drop("head", "token", "last"), "term")
+    wanted = wanted.withColumn("last", F.col("no") == F.col("n") - 1)
+    widened = widen(dictionary(postings) if terms is None else terms, wanted)
+    hits = postings.join(widened.drop("token", "last"), "term")
     single = hits.where("n = 1").groupBy("query_id", "phrase_no", "n_phrases", "file_id").agg(F.sum(F.size("positions")).alias("freq"))
     runs = hits.where("n > 1").select("query_id", "phrase_no", "n_phrases", "n", "file_id", "field", "no", F.explode("positions").alias("at"))
     runs = runs.groupBy("query_id", "phrase_no", "n_phrases", "n", "file_id", "field", (F.col("at") - F.col("no")).alias("start")).agg(F.count_distinct("no").alias("found")).where("found = n")
@@ -129,7 +174,7 @@ def _grams(term: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(term) - size + 1, F.lit(1))), lambda i: F.substring(term, i, F.lit(size)))
 
 
-def substring_candidates(postings: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+def substring_candidates(postings: DataFrame, docs: DataFrame, queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, file_id), all pairs that may hold the query as a substring, and more.
 
     A document that holds a query has a term that holds the query's longest
@@ -141,15 +186,16 @@ def substring_candidates(postings: DataFrame, docs: DataFrame, queries: DataFram
     asked = queries.where("query is not null").select("query_id", longest.alias("token"))
     keyed = asked.where("token is not null").withColumn("gram", F.substring("token", 1, 3))
     kinds = F.array_distinct(F.concat(*(_grams(F.col("term"), n) for n in (1, 2, 3))))
-    terms = postings.select("term").distinct().select("term", F.explode(kinds).alias("gram"))
+    known = postings.select("term").distinct() if terms is None else terms
+    terms = known.select("term", F.explode(kinds).alias("gram"))
     held = terms.join(keyed, "gram").where(F.col("term").contains(F.col("token"))).select("query_id", "term").distinct()
     by_term = postings.select("term", "file_id").join(held, "term").select("query_id", "file_id").distinct()
     return by_term.unionByName(asked.where("token is null").select("query_id").crossJoin(docs.select("file_id")))
 
 
-def substring_match(docs: DataFrame, postings: DataFrame, queries: DataFrame) -> DataFrame:
+def substring_match(docs: DataFrame, postings: DataFrame, queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, file_id, in_title) of documents with the query in a field; postings are those of docs, or of more."""
-    pairs = substring_candidates(postings, docs, queries)
+    pairs = substring_candidates(postings, docs, queries, terms)
     rows = pairs.join(_folded(docs), "file_id").join(_asked(queries), "query_id")
     return rows.where(_any_field()).select("query_id", "file_id", _holds("title").alias("in_title"))
 
@@ -162,18 +208,19 @@ def _any_field() -> Column:
     return found
 
 
-def search(docs: DataFrame, postings: DataFrame, doc_stats: DataFrame, queries: DataFrame, access: Sequence[str], limit: int | None = None, requested: str | None = None) -> DataFrame:
+def search(docs: DataFrame, postings: DataFrame, doc_stats: DataFrame, queries: DataFrame, access: Sequence[str], limit: int | None = None, requested: str | None = None, terms: DataFrame | None = None) -> DataFrame:
     """queries (query_id, query) -> (query_id, place, file_id, tier, score): the best `limit` for each.
 
     Tiers: exact title, exact name, exact path, title contains, text match,
     substring alone; then rank (to nine places), newest, file id. Filter docs beforehand; the
-    index stays that of the corpus. score is null where only a substring hit.
+    index stays that of the corpus; terms is its dictionary. score is null where only a substring hit.
     """
     limit = max(1, min(MOST_RESULTS, DEFAULT_LIMIT if limit is None else int(limit)))
-    asked = queries.withColumn("query", T.blank_to_null(T.nfkc("query"))).where("query is not null")
+    asked = stored(queries.select("query_id", T.blank_to_null(T.nfkc("query")).alias("query")).where("query is not null"))  # read many times
+    terms = dictionary(postings) if terms is None else terms
     seen = visible(docs, access, requested)
-    ranked = bm25(match(postings, parse_queries(asked)), doc_stats)
-    both = substring_candidates(postings, seen, asked).join(ranked, ["query_id", "file_id"], "full")
+    ranked = bm25(match(postings, parse_queries(asked), terms), doc_stats)
+    both = substring_candidates(postings, seen, asked, terms).join(ranked, ["query_id", "file_id"], "full")
     facts = _folded(seen, "updated_at")
     exact = _asked(asked).join(asked.select("query_id", T.ascii_lower("query").alias("exact"), T.ascii_lower(T.plain_path("query")).alias("as_path")), "query_id")
     rows = both.join(facts, "file_id").join(exact, "query_id").where(F.col("rank").isNotNull() | _any_field())

@@ -111,7 +111,7 @@ CHANGED = f"{FAN} WHERE k IN (0, 1, 3) UNION ALL SELECT DISTINCT 'delete:' || i.
 def _stream(lib, folder, tables=None):
     """The log as a stream of several micro-batches."""
     rows = _changes(lib)
-    rows.repartition(4).write.parquet(f"{folder}/log")
+    rows.repartition(2).write.parquet(f"{folder}/log")
     source = lib.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     return J.stream_jobs(source, tables or {"nodes": lib.nodes, "ledger": lib.full_ledger, "items": lib.items})
 

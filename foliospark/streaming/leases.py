@@ -36,8 +36,9 @@ class Leases(StatefulProcessor):
 
     def _write(self, rows: list, key: str, at: int, status: str, attempts: int, due: int | None, error: str | None, step: int) -> None:
         """The job's new state, its timer, and the row that tells of it. due: when the lease ends, or the next attempt."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        old = self.job.get()[2] if step > 1 else None
+        if old is not None and old > at:
+            self.handle.deleteTimer(old)  # one that is over has fired or passes over a state that has gone on
         if due is not None:
             self.handle.registerTimer(due)
         self.job.update((status, attempts, due, error, step))
