@@ -90,13 +90,20 @@ class Library:
 
         return build_search_documents(self.nodes, self.projects, self.files)
 
+    @cached_property
+    def search_table(self) -> DataFrame:
+        """docs, stored in the shared folder for a query that reads them several times."""
+        from foliospark.sources.trees import stored
+
+        return stored(self.docs)
+
     @cached_property
     def index(self) -> tuple[DataFrame, DataFrame]:
         """The full-text index, stored in the shared folder for a query that reads it several times."""
         from foliospark.operators.fulltext import build_index
         from foliospark.sources.trees import stored
 
-        postings, stats = build_index(self.docs)
+        postings, stats = build_index(self.search_table)
         return stored(postings), stored(stats)
 
     # the previous snapshot

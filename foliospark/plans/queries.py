@@ -14,6 +14,7 @@ from foliospark.operators import collect as C
 from foliospark.operators import fulltext as Q
 from foliospark.operators import normalize as N
 from foliospark.operators import outbox as O
+from foliospark.operators import segments as S
 from foliospark.operators import semantic as M
 from foliospark.operators import sync as Y
 from foliospark.operators import templates as P
@@ -64,6 +65,18 @@ def _(lib):
     return postings.groupBy("term").agg(F.count_distinct("file_id").alias("n_docs"), F.sum(F.size("positions")).alias("n_hits"))
 
 
+@query("q3_segments", f"WITH {TOKENS} SELECT term, count(DISTINCT file_id) AS n_docs, count(*) AS n_hits FROM tok GROUP BY term")
+def _(lib):
+    """The index of an older state, brought up to date twice and merged, has the terms of a new one."""
+    store = VersionedStore(lib.spark, f"{shared_folder(lib.spark)}/kept-{uuid.uuid4().hex}")
+    now_, k = lib.search_table, F.crc32(F.col("file_id").cast("binary")) % 10
+    S.update(store, now_.where(k < 8).withColumn("title", F.when(k < 2, "older").otherwise(F.col("title"))).withColumn("file_id", F.when(k == 3, F.concat(F.lit("gone-"), "file_id")).otherwise(F.col("file_id"))))
+    S.update(store, now_.where(k < 9))
+    S.update(store, now_)
+    postings, _ = S.live(S.merge(store, most=1))
+    return postings.groupBy("term").agg(F.count_distinct("file_id").alias("n_docs"), F.sum(F.size("positions")).alias("n_hits"))
+
+
 @query("q3_index_lengths", f"WITH {TOKENS} SELECT file_id, count(*) AS length FROM tok GROUP BY file_id")
 def _(lib):
     return Q.build_index(lib.docs)[1]
@@ -104,7 +117,7 @@ ANY = " OR ".join(f"{_low(c)} LIKE '%' || lower(query) || '%'" for c in ("title"
 
 @query("q7_substring", f"SELECT query_id, file_id, {_low('title')} LIKE '%' || lower(query) || '%' AS in_title FROM sdocs JOIN queries ON {ANY}")
 def _(lib):
-    return Q.substring_match(lib.docs, lib.index[0], lib.queries)
+    return Q.substring_match(lib.search_table, lib.index[0], lib.queries)
 
 
 BM25 = PHRASES + """, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hits GROUP BY ALL), corpus AS (SELECT count(*) AS docs, avg(length) AS mean FROM stats),
@@ -120,7 +133,7 @@ BM25 = PHRASES + """, per AS (SELECT query_id, phrase_no, count(*) AS n FROM hit
     SELECT query_id, CAST(place AS INTEGER) AS place, file_id, tier, round(rank, 6) AS score FROM placed WHERE place <= 10""")
 def _(lib):
     postings, stats = lib.index
-    return Q.search(lib.docs, postings, stats, lib.queries, EVERYONE, 10).withColumn("score", F.round("score", 6))
+    return Q.search(lib.search_table, postings, stats, lib.queries, EVERYONE, 10).withColumn("score", F.round("score", 6))
 
 
 @query("q9_browse", "SELECT file_id, title, updated_at FROM sdocs WHERE visibility = 'public' ORDER BY updated_at DESC, file_id LIMIT 20")
