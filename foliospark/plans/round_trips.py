@@ -48,6 +48,16 @@ def _(lib):
     return lib.spark.read.schema("path string, document string, source string").json(folder).select("source", "path", F.sha2("document", 256).alias("document_sha"))
 
 
+@query("s5_kv", "SELECT 'note:' || conv_id AS key, text AS value FROM conversations WHERE turn = 0 AND text IS NOT NULL")
+def _(lib):
+    """Seed files of a thousand conversations each, written and read again."""
+    c = lib.raw("conversations").where("turn = 0 and text is not null")
+    entry = F.struct(F.concat(F.lit("note:"), "conv_id").alias("key"), F.col("text").alias("value"))
+    folder = _folder(lib)
+    c.groupBy(F.expr("conv_id DIV 1000").alias("file")).agg(F.to_json(F.collect_list(entry)).alias("value")).write.partitionBy("file").text(folder)
+    return trees.read_kv(lib.spark, folder).select("key", "value")
+
+
 @query("s6_table_store", "SELECT id, node_type, path FROM nodes")
 def _(lib):
     folder = _folder(lib)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import normalize as N
+from foliospark.sources.shared import clear_stored, shared_folder, stored  # noqa: F401
 
 #: Config files of a project and a folder, and the defaults of what they leave out. Fixed values.
 PROJECT_FILE, FOLDER_FILE = "_project.yaml", "_folder.yaml"
@@ -20,24 +19,6 @@ MOST_CONFIGS, MOST_LEVELS = 10_000, 16
 DEFAULT_VISIBILITY, DEFAULT_LANGUAGE = "private", "zh-CN"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only a session on one machine may go without and get a temporary one."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder, and read again."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """Files under root as (project_dir, rel_path, source_path, content); the first folder is the project's."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -115,7 +96,12 @@ def write_manifest(manifest: Mapping[str, DataFrame], folder: str) -> None:
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("projects", "folders", "files")}
+    """What write_manifest wrote; an error if its fingerprint isn't that of the tables, as where a writer broke off."""
+    manifest = {name: spark.read.parquet(f"{folder}/{name}") for name in ("projects", "folders", "files")}
+    made = N.manifest_fingerprint(manifest)
+    if spark.read.schema(made.schema).json(f"{folder}/fingerprint").collect() != made.collect():
+        raise ValueError(f"the manifest in {folder} doesn't have the hash that was written beside it")
+    return manifest
 
 
 def render_documents(df: DataFrame) -> DataFrame:

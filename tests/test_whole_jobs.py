@@ -1,24 +1,25 @@
 """Queries and operators on more than the given tables hold."""
 
-import shutil
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import outbox, semantic
 from foliospark.plans import queries as library
 from foliospark.plans.library import Library, now
+from foliospark.sources import trees
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_too_long_contents_are_reported(spark, tmp_path):
-    folder = str(tmp_path / "data")
-    shutil.copytree(SF, folder)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = F.when(F.col("doc_id") == 1, F.repeat(F.lit("a"), 500_001)).when(F.col("doc_id") == 2, F.repeat(F.lit("a"), 500_000)).otherwise(F.col("text"))
-    (tmp_path / "data/documents.parquet").chmod(0o755)
-    docs.withColumn("text", text).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    folder = str(tmp_path)
+    docs.withColumn("text", text).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
     got = library.queries()["v2_fields"](spark, folder).where("rule = 'content_too_long'").collect()
     assert [r["entity_id"] for r in got] == ["doc-1"]
 
@@ -44,3 +45,18 @@ def test_vector_topk_takes_any_number_of_queries(spark):
     got = {(r["query_id"], r["place"]): r["chunk_id"] for r in semantic.vector_topk(chunks, q, 2, 0.2).collect()}
     order = np.argsort(-np.cos(np.arange(n)[:, None] - angles[None, :]), axis=1)
     assert got == {(i, p + 1): int(order[i, p]) for i in range(n) for p in range(2)}
+
+
+def test_a_manifest_that_was_changed_is_refused(spark, tmp_path):
+    lib, folder = Library(spark, SF), str(tmp_path / "m")
+    trees.write_manifest(lib.manifest, folder)
+    assert trees.read_manifest(spark, folder)["files"].count() == lib.manifest_files.count()
+    lib.manifest_files.limit(5).write.mode("overwrite").parquet(f"{folder}/files")
+    with pytest.raises(ValueError, match="hash"):
+        trees.read_manifest(spark, folder)
+
+
+def test_what_was_stored_can_be_cleared(spark):
+    kept = trees.stored(spark.range(5))
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert Path(path).exists() and trees.clear_stored(spark) >= 1 and not Path(path).exists()
