@@ -8,8 +8,6 @@ name an operator also returns is replaced by the operator's column.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.sources.shared import shared_folder, stored  # noqa: F401
+
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
 
 #: Words, as every operator here takes them: runs of anything but ASCII white space.
@@ -39,17 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only a session on one machine may go without and get a temporary one."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder.
 
@@ -60,13 +49,6 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder, and read again."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
