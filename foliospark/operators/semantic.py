@@ -124,10 +124,19 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float
 
 
 def expand_context(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """hits (query_id, item_id, ordinal) plus text of the k chunks before and after in the item, in order, joined by blank lines."""
-    near = Window.partitionBy("item_id").orderBy("ordinal").rowsBetween(-k, k)
-    wide = chunks.join(hits.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "ordinal", F.array_join(F.collect_list("text").over(near), "\n\n").alias("context"))
-    return hits.join(wide, ["item_id", "ordinal"])
+    """hits (query_id, item_id, ordinal) plus text of the k chunks before and after in the item, in order, joined by blank lines.
+
+    Ordinals count an item's chunks one by one. Hits ask for their neighbours
+    by place, each place once: only those chunks move, whatever the item's
+    length, and no task gathers an item.
+    """
+    places = hits.select("item_id", "ordinal").distinct()
+    steps = F.array(*map(F.lit, range(-k, k + 1)))
+    asked = places.select("item_id", F.col("ordinal").alias("hit"), F.explode(steps).alias("step")).withColumn("ordinal", F.col("hit") + F.col("step"))
+    wanted = chunks.join(asked.select("item_id", "ordinal").distinct(), ["item_id", "ordinal"], "left_semi").select("item_id", "ordinal", "text")
+    met = asked.join(wanted, ["item_id", "ordinal"]).groupBy("item_id", F.col("hit").alias("ordinal"))
+    wide = met.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "text"))), lambda x: x["text"]), "\n\n").alias("context"), F.max(F.col("step") == 0).alias("there"))
+    return hits.join(wide.where("there").drop("there"), ["item_id", "ordinal"])
 
 
 def order_chunks(chunks: DataFrame, rerank: bool, merged: bool) -> DataFrame:

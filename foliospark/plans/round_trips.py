@@ -13,6 +13,7 @@ from foliospark.operators import templates as P
 from foliospark.plans.library import now
 from foliospark.plans.queries import BROKEN, FAN, GONE, CLASSIFIED, OVER, READY, TS, _outcomes, _tables, query
 from foliospark.sources import trees
+from foliospark.sources.document_files import write_document_files
 from foliospark.sources.versions import VersionedStore
 from foliospark.streaming import jobs as J
 from foliospark.streaming import leases as L
@@ -42,10 +43,11 @@ def _(lib):
 
 @query("s4_documents", "SELECT source, path, sha256('---' || chr(10) || 'title: Document' || chr(10) || 'description: ''''' || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(text, '\\s+$', '') || chr(10)) AS document_sha FROM docs0")
 def _(lib):
+    """A file for each document, read again as a content tree."""
     folder = _folder(lib)
-    rows = lib.docs0.select("source", "path", F.lit("Document").alias("title"), F.lit("").alias("description"), F.col("text").alias("body"))
-    trees.write_documents(rows, folder, "source")
-    return lib.spark.read.schema("path string, document string, source string").json(folder).select("source", "path", F.sha2("document", 256).alias("document_sha"))
+    rows = lib.docs0.select(F.concat("source", "path").alias("path"), F.lit("Document").alias("title"), F.lit("").alias("description"), F.col("text").alias("body"))
+    write_document_files(trees.render_documents(rows), folder)
+    return trees.read_content_tree(lib.spark, folder).select(F.col("project_dir").alias("source"), F.concat(F.lit("/"), "rel_path").alias("path"), F.sha2("raw", 256).alias("document_sha"))
 
 
 @query("s5_kv", "SELECT 'note:' || conv_id AS key, text AS value FROM conversations WHERE turn = 0 AND text IS NOT NULL")

@@ -60,3 +60,15 @@ def test_what_was_stored_can_be_cleared(spark):
     kept = trees.stored(spark.range(5))
     path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert Path(path).exists() and trees.clear_stored(spark) >= 1 and not Path(path).exists()
+
+
+def test_context_moves_neighbours_alone(spark):
+    """An item of 200,000 chunks with three hits, and short items: at the ends, beside each other, and of two queries."""
+    chunks = spark.range(200_000).select(F.lit("long").alias("item_id"), F.col("id").alias("ordinal"), F.concat(F.lit("t"), "id").alias("text"))
+    chunks = chunks.union(spark.createDataFrame([("short", i, f"s{i}") for i in range(3)], "item_id string, ordinal bigint, text string"))
+    hits = spark.createDataFrame([(1, "long", 0), (1, "long", 77_777), (2, "long", 77_778), (2, "long", 199_999), (3, "short", 1), (4, "short", 1), (5, "short", 9), (6, "none", 0)], "query_id int, item_id string, ordinal bigint")
+    got = {(r["query_id"], r["item_id"], r["ordinal"]): r["context"] for r in semantic.expand_context(hits, chunks, 2).collect()}
+    t = lambda a, z: "\n\n".join(f"t{i}" for i in range(a, z + 1))
+    assert got == {(1, "long", 0): t(0, 2), (1, "long", 77_777): t(77_775, 77_779), (2, "long", 77_778): t(77_776, 77_780), (2, "long", 199_999): t(199_997, 199_999), (3, "short", 1): "s0\n\ns1\n\ns2", (4, "short", 1): "s0\n\ns1\n\ns2"}
+    plan = semantic.expand_context(hits, chunks, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
