@@ -58,10 +58,25 @@ def _live_files(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_type = 'file' and deleted_at is null").select(F.col("id").alias("entity_id"))
 
 
+#: A project with more than one in SPREAD of all files is dealt to so many parts.
+SPREAD = 64
+
+
 def fan_out_project_changes(changed: DataFrame, ledger: DataFrame, nodes: DataFrame) -> DataFrame:
-    """changed (project_id, content_hash) -> an upsert for each live file of the projects; files stream past the few changed projects."""
-    files = ledger.where("entity_type = 'file'").select("entity_id", "project_id", F.col("content_hash").alias("file_hash")).join(_live_files(nodes), "entity_id", "left_semi")
-    rows = files.join(changed.select("project_id", F.col("content_hash").alias("config_hash")), "project_id")
+    """changed (project_id, content_hash) -> an upsert for each live file of the projects.
+
+    Files of large projects, by their count, meet their project in SPREAD parts,
+    so that no task has a large project's files alone.
+    """
+    listed = ledger.where("entity_type = 'file'").select("entity_id", "project_id", F.col("content_hash").alias("file_hash"))
+    counts = listed.groupBy("project_id").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("total"))  # one row
+    large = F.broadcast(counts.crossJoin(F.broadcast(whole)).where(F.col("n") * SPREAD > F.col("total")).select("project_id", F.lit(True).alias("large")))  # fewer than SPREAD rows
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("entity_id"), F.lit(SPREAD))).otherwise(F.lit(0).cast("bigint"))
+    files = listed.join(_live_files(nodes), "entity_id", "left_semi").join(large, "project_id", "left").withColumn("part", part).drop("large")
+    parts = F.when(F.col("large"), F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    asked = changed.select("project_id", F.col("content_hash").alias("config_hash")).join(large, "project_id", "left").select("project_id", "config_hash", F.explode(parts).alias("part"))
+    rows = files.join(asked, ["project_id", "part"])
     return rows.select(*upsert_job(F.col("project_id"), F.col("entity_id"), F.col("file_hash"), F.col("config_hash"), False))
 
 

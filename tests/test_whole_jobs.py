@@ -72,3 +72,25 @@ def test_context_moves_neighbours_alone(spark):
     assert got == {(1, "long", 0): t(0, 2), (1, "long", 77_777): t(77_775, 77_779), (2, "long", 77_778): t(77_776, 77_780), (2, "long", 199_999): t(199_997, 199_999), (3, "short", 1): "s0\n\ns1\n\ns2", (4, "short", 1): "s0\n\ns1\n\ns2"}
     plan = semantic.expand_context(hits, chunks, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_a_large_project_is_dealt_to_many_tasks(spark):
+    """One project has nine files of ten; without broadcasts and without help at run time no task has more than its share."""
+    n = 20_000
+    project = F.when(F.col("id") % 10 == 0, F.concat(F.lit("p"), F.col("id") % 70)).otherwise("big")
+    files = spark.range(n).select(F.concat(F.lit("f"), "id").alias("entity_id"), project.alias("project_id"))
+    ledger = files.select("entity_id", "project_id", F.lit("file").alias("entity_type"), F.lit("h").alias("content_hash"))
+    nodes = files.select(F.col("entity_id").alias("id"), F.lit("file").alias("node_type"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    changed = spark.createDataFrame([("big", "c"), ("p10", "c"), ("none", "c")], "project_id string, content_hash string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("-1", "false", "32"), strict=True):
+            spark.conf.set(k, v)
+        rows = outbox.fan_out_project_changes(changed, ledger, nodes).select("file_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {f"f{i}" for i in range(n) if i % 10 or i % 70 == 10}
+    assert len(rows) == len(want) and {r["file_id"] for r in rows} == want
+    tasks = [r["task"] for r in rows]
+    assert max(map(tasks.count, set(tasks))) < n / 6
