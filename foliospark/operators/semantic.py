@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.sources.shared import stored
 
 LIMIT, MOST, THRESHOLD, CONTEXT, MOST_CONTEXT, LONGEST_QUERY, MOST_CHUNKS = 10, 20, 0.4, 0, 3, 1000, 50
 #: Query and chunk vectors that meet in one cell, and of these so many at once.
 QUERY_BLOCK, CHUNK_BLOCK, QUERY_ROWS, CHUNK_ROWS = 5000, 20_000, 512, 8192
+PIVOTS = 512
 
 
 def _parameter(url: Column, key: str) -> Column:
@@ -81,33 +83,83 @@ def searchable_instances(projects: DataFrame, mapping: DataFrame, access: Sequen
     return m.select("project_id", F.explode(F.array_distinct(F.array_compact(F.array("instance_id", "replacement_instance_id")))).alias("instance_id"))
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD, access: Sequence[str] | None = None) -> DataFrame:
-    """(query_id, place, chunk_id, score): the k best chunks by cosine at the threshold or above, ties to smaller ids.
-
-    Hidden chunks are left out first. Queries and chunks are dealt by hash into
-    blocks; each pair of blocks is a cell of its own that keeps a partial top k,
-    and only those meet.
+def _unit(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors at length one, and which of them have a direction."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.maximum(size, 1e-300), size[:, 0] > 0
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+
+def _grouped(chunks: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """chunks plus group, the nearest pivot's number, and angle, how far off it is; vectors without a direction are a group of their own."""
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            if not len(batch):
+                yield pa.StructArray.from_arrays([pa.array([], pa.int32()), pa.array([], pa.float64())], names=["group", "angle"])
+                continue
+            x, fine = _unit(batch)
+            far = _angles(x, pivots)
+            group = np.where(fine, far.argmin(axis=1), len(pivots)).astype(np.int32)
+            yield pa.StructArray.from_arrays([pa.array(group), pa.array(np.where(fine, far.min(axis=1), np.pi))], names=["group", "angle"])
+
+    return chunks.withColumn("at", F.arrow_udf(of, "struct<group:int,angle:double>")("vector")).select("chunk_id", "vector", "at.group", "at.angle")
+
+
+def _visits(asked: DataFrame, pivots: np.ndarray, groups: dict[int, tuple[float, int]], k: int, threshold: float) -> DataFrame:
+    """asked with a row for each group that may hold something at the threshold: most, no chunk of it scores higher, and
+    first, whether it is among the most promising ones, which have k chunks between them."""
+    numbers = np.array(sorted(groups), dtype=np.int32)
+    radius, sizes = (np.array([groups[g][i] for g in numbers.tolist()]) for i in range(2))
+    near = np.vstack((pivots, np.zeros((1, pivots.shape[1]))))[numbers]
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            lists, counts = [], [0]
+            if len(batch):
+                x, fine = _unit(batch)
+                # angles between directions obey the triangle's inequality
+                most = np.cos(np.maximum(_angles(x, near) - radius, 0)) + 2e-9  # places are by nine digits
+                most[:, numbers == len(pivots)] = 1
+                most[~fine] = 1
+                order = np.argsort(-most, axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                for row, places, held in zip(most, order, before, strict=True):
+                    keep = (row[places] >= threshold) | (held < k)
+                    lists.append((numbers[places[keep]], row[places[keep]], (held < k)[keep]))
+                    counts.append(counts[-1] + int(keep.sum()))
+            columns = [np.concatenate(c) for c in zip(*lists, strict=True)] or [np.zeros(0, dtype=t) for t in (np.int32, np.float64, bool)]
+            yield pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["group", "most", "first"]))
+
+    made = F.arrow_udf(of, "array<struct<group:int,most:double,first:boolean>>")("asked")
+    return asked.withColumn("v", F.explode(made)).select("query_id", "asked", "v.group", "v.most", "v.first")
+
+
+def _met(asked: DataFrame, held: DataFrame, groups: dict[int, tuple[float, int]], k: int, threshold: float) -> DataFrame:
+    """asked (query_id, asked, group) and held (chunk_id, vector, group) -> the best k, and what ties with them, of each cell.
+
+    A group's queries and chunks are dealt by hash into blocks, and each pair of
+    them is a cell: no cell grows with the data.
     """
-    if access is not None:
-        chunks = chunks.where(F.col("visibility").isin(*access))
-    asked = queries.select("query_id", F.col("vector").alias("asked"))
-    held = chunks.select("chunk_id", "vector")
-    n_asked, n_held = max(-(-asked.count() // QUERY_BLOCK), 1), max(-(-held.count() // CHUNK_BLOCK), 1)
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("*", block("query_id", n_asked).alias("row"), each(n_held).alias("column"))
-    right = held.select("*", block("chunk_id", n_held).alias("column"), each(n_asked).alias("row"))
-
-    def vectors(table: pa.Table, column: str) -> np.ndarray:
-        flat = table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat.astype(np.float64).reshape(table.num_rows, -1)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    spark = asked.sparkSession
+    counts = {r["group"]: r["count"] for r in asked.groupBy("group").count().collect()}  # a row for each group
+    grid = [(g, max(-(-n // QUERY_BLOCK), 1), max(-(-groups[g][1] // CHUNK_BLOCK), 1)) for g, n in counts.items()]
+    grid = F.broadcast(spark.createDataFrame(grid, "group int, rows int, columns int"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "group").select("group", "query_id", "asked", block("query_id", "rows").alias("row"), each("columns").alias("column"))
+    right = held.join(grid, "group").select("group", "chunk_id", "vector", block("chunk_id", "columns").alias("column"), each("rows").alias("row"))
 
     def best(some: pa.Table, others: pa.Table) -> pa.Table:
         found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
         if some.num_rows and others.num_rows:
             ids, chunk = some.column("query_id").to_numpy(), others.column("chunk_id").to_numpy()
-            q, x = vectors(some, "asked"), vectors(others, "vector")
+            q, x = _unit(some.column("asked"))[0], _unit(others.column("vector"))[0]
             for i in range(0, len(q), QUERY_ROWS):
                 for j in range(0, len(x), CHUNK_ROWS):
                     score = q[i : i + QUERY_ROWS] @ x[j : j + CHUNK_ROWS].T
@@ -118,7 +170,36 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float
                     found.append((ids[i + a], chunk[j + b], score[a, b]))
         return pa.table(dict(zip(("query_id", "chunk_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
-    met = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(best, "query_id bigint, chunk_id bigint, score double")
+    key = ("group", "row", "column")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, "query_id bigint, chunk_id bigint, score double")
+
+
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD, access: Sequence[str] | None = None) -> DataFrame:
+    """(query_id, place, chunk_id, score): the k best chunks by cosine at the threshold or above, ties to smaller ids.
+
+    Hidden chunks are left out first. Chunks are grouped by the nearest of up to
+    PIVOTS pivots, chunks themselves; a group's radius bounds what a query can
+    find in it. Each query first meets the most promising groups that have k
+    chunks between them, and then those alone whose bound is not below its k-th
+    score so far: the result is exact, and pivots decide the work only.
+    """
+    if access is not None:
+        chunks = chunks.where(F.col("visibility").isin(*access))
+    spark = queries.sparkSession
+    given = chunks.select("chunk_id", "vector")
+    n = max(2, min(PIVOTS, 4 * int(given.count() ** 0.5)))
+    drawn = given.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n).select("vector").toArrow().column("vector")
+    if not len(drawn):
+        return spark.createDataFrame([], "query_id bigint, place int, chunk_id bigint, score double")
+    pivots = _unit(drawn)[0]
+    held = stored(_grouped(given, pivots))
+    groups = {r["group"]: (r["radius"], r["n"]) for r in held.groupBy("group").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # PIVOTS + 1 rows
+    visits = stored(_visits(queries.select("query_id", F.col("vector").alias("asked")), pivots, groups, k, threshold))
+    first = stored(_met(visits.where("first"), held, groups, k, threshold))
+    scores = F.sort_array(F.collect_list("score"), asc=False)
+    kth = first.groupBy("query_id").agg(F.try_element_at(scores, F.lit(k)).alias("kth"))
+    more = visits.where("not first").join(kth, "query_id", "left").where(F.col("most") >= F.greatest(F.coalesce("kth", F.lit(threshold)), F.lit(threshold)))
+    met = first.union(_met(more.select("query_id", "asked", "group"), held, groups, k, threshold))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return met.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "chunk_id", "score")
 

@@ -94,3 +94,33 @@ def test_a_large_project_is_dealt_to_many_tasks(spark):
     assert len(rows) == len(want) and {r["file_id"] for r in rows} == want
     tasks = [r["task"] for r in rows]
     assert max(map(tasks.count, set(tasks))) < n / 6
+
+
+@pytest.mark.parametrize("kind", ["clusters", "spread"])
+def test_vector_topk_leaves_out_groups_by_their_bounds(spark, monkeypatch, kind):
+    """Exact against all pairs; of clustered chunks a query meets a small part. Ties, vectors without a direction, hidden chunks, few chunks."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 16)) * (0.05 if kind == "clusters" else 3)
+    x[7] = x[8] = x[9]
+    x[10] = 0
+    q = np.vstack((x[::40] + rng.normal(size=(75, 16)) * 0.01, np.zeros((1, 16))))
+    hidden = rng.integers(0, 5, 3000) == 0
+    chunks = spark.createDataFrame([(i, v.tolist(), "private" if h else "public") for i, (v, h) in enumerate(zip(x, hidden, strict=True))], "chunk_id bigint, vector array<double>, visibility string").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, vector array<double>")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = unit(q) @ unit(x).T
+    met, whole = [], semantic._met
+    monkeypatch.setattr(semantic, "_met", lambda asked, held, groups, *a: met.append(sum(groups[r["group"]][1] for r in asked.collect())) or whole(asked, held, groups, *a))
+    for k, threshold in ((7, 0.3), (3, -1.0)):
+        met.clear()
+        got = {}
+        for r in semantic.vector_topk(chunks, queries, k, threshold, ("public",)).collect():
+            got.setdefault(r["query_id"], {})[r["place"]] = r["chunk_id"]
+        for i in range(len(q)):
+            best = sorted((-round(scores[i, c], 9), c) for c in np.flatnonzero(~hidden) if scores[i, c] >= threshold)[:k]
+            assert got.get(i, {}) == {p + 1: c for p, (_, c) in enumerate(best)}, i
+        if kind == "clusters":
+            assert sum(met) < 0.2 * len(q) * (~hidden).sum()
+    few = semantic.vector_topk(chunks.limit(2), queries.limit(3), 5, -1.0).collect()
+    assert len(few) == 6 and semantic.vector_topk(chunks.limit(0), queries, 5).count() == 0 and semantic.vector_topk(chunks, queries.limit(0), 5).count() == 0
