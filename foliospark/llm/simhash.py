@@ -17,6 +17,8 @@ from foliospark.llm.components import connected_components
 #: most, one block at least is equal. A wider budget needs more blocks.
 BLOCKS = ((42, 22), (21, 21), (0, 21))
 BUDGET = len(BLOCKS) - 1
+#: Rows of groups that a worker joins together (a larger group stands alone), and of a task.
+AT_ONCE, TASK_ROWS = 1 << 20, 1 << 22
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -113,14 +115,29 @@ def links(distinct: DataFrame, column: str = "fingerprint") -> DataFrame:
     """
     value = name(column)
     spread = distinct.select(value.alias("f"), F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (first, width) in enumerate(BLOCKS)))).alias("at"))
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.select("f", "at.block", "at.value").repartition(parts, "block", "value")
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(BLOCKS) * distinct.count() // TASK_ROWS)
+    dealt = spread.select("f", "at.block", "at.value").repartition(parts, "block", "value").sortWithinPartitions("block", "value")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        f, block = (np.concatenate(v) for v in zip(*got, strict=True))
+        """Whole groups, as many at once as have AT_ONCE rows."""
+        held: list[tuple[np.ndarray, ...]] = []
+        size, enough = 0, AT_ONCE
+        for batch in batches:
+            rows = tuple(c.to_numpy() for c in batch.columns)
+            held.append(rows)
+            size += len(rows[0])
+            if size < enough:
+                continue
+            f, block, value = (np.concatenate(v) for v in zip(*held, strict=True))
+            last = int(np.argmax((block == block[-1]) & (value == value[-1])))  # the last group may go on
+            if last:
+                yield from close(f[:last], block[:last])
+            held, size = [(f[last:], block[last:], value[last:])], len(f) - last
+            enough = max(AT_ONCE, 2 * size)
+        if held:
+            yield from close(*(np.concatenate(v) for v in list(zip(*held, strict=True))[:2]))
+
+    def close(f: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
         f = f.view(np.uint64)
         for k, (first, width) in enumerate(BLOCKS):
             own = np.unique(f[block == k])
@@ -132,7 +149,7 @@ def links(distinct: DataFrame, column: str = "fingerprint") -> DataFrame:
             for i in range(0, len(x), 100_000):
                 yield pa.record_batch([pa.array(back[z[i : i + 100_000]].view(np.int64)) for z in (x, y)], names=["a", "b"])
 
-    return dealt.select("f", "block").mapInArrow(join, "a bigint, b bigint")
+    return dealt.mapInArrow(join, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:

@@ -255,3 +255,21 @@ def test_slices_cut_no_run(monkeypatch):
     text = "abcdefghijk lm, nopq" * 5 + "é" * 30
     assert "".join(spelling._slices(text)) == text
     assert [w for s in spelling._slices(text) for w in spelling.RUN.findall(s)] == spelling.RUN.findall(text)
+
+
+# 3: groups one after another
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_links_whatever_is_joined_at_once(spark, monkeypatch, at_once):
+    from foliospark.llm import simhash
+
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    rng = random.Random(9)
+    prints = {rng.getrandbits(64) for _ in range(40)}
+    prints |= {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in list(prints) for _ in range(12)}
+    signed = [p - (1 << 64) * (p >> 63) for p in prints]
+    rows = spark.createDataFrame([(p,) for p in signed], "fingerprint bigint").repartition(3)
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    got = {frozenset((unsigned(r["a"]), unsigned(r["b"]))) for r in simhash.links(rows).collect()}
+    assert got == {frozenset((p, q)) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= 2}
