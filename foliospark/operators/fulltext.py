@@ -132,25 +132,45 @@ def match(postings: DataFrame, phrases: DataFrame, terms: DataFrame | None = Non
     and only then meet the postings. A phrase without a token has no
     occurrence, so its query matches nothing.
     """
+    return occurrences(postings.join(asked_terms(phrases, dictionary(postings) if terms is None else terms), "term"))
+
+
+def asked_terms(phrases: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, phrase_no, n_phrases, n, no, term): the terms that may stand for token `no` of a phrase's n tokens."""
     wanted = phrases.select("query_id", "phrase_no", "n_phrases", F.size("tokens").alias("n"), F.posexplode("tokens").alias("no", "token"))
-    wanted = wanted.withColumn("last", F.col("no") == F.col("n") - 1)
-    widened = widen(dictionary(postings) if terms is None else terms, wanted)
-    hits = postings.join(widened.drop("token", "last"), "term")
+    return widen(terms, wanted.withColumn("last", F.col("no") == F.col("n") - 1)).drop("token", "last")
+
+
+def occurrences(hits: DataFrame) -> DataFrame:
+    """Postings with the places of phrases that they may stand for -> (query_id, phrase_no, n_phrases, file_id, freq)."""
     single = hits.where("n = 1").groupBy("query_id", "phrase_no", "n_phrases", "file_id").agg(F.sum(F.size("positions")).alias("freq"))
     runs = hits.where("n > 1").select("query_id", "phrase_no", "n_phrases", "n", "file_id", "field", "no", F.explode("positions").alias("at"))
     runs = runs.groupBy("query_id", "phrase_no", "n_phrases", "n", "file_id", "field", (F.col("at") - F.col("no")).alias("start")).agg(F.count_distinct("no").alias("found")).where("found = n")
     return single.unionByName(runs.groupBy("query_id", "phrase_no", "n_phrases", "file_id").agg(F.count("*").alias("freq")))
 
 
-def bm25(matches: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    """(query_id, file_id, rank) of documents with every phrase; lower is better. Statistics are those of the whole corpus."""
-    corpus = doc_stats.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    spread = matches.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n"))
-    rows = matches.join(spread, ["query_id", "phrase_no"]).join(doc_stats, "file_id").crossJoin(F.broadcast(corpus))  # one row
+def corpus_of(doc_stats: DataFrame) -> DataFrame:
+    """One row (docs, mean)."""
+    return doc_stats.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+
+
+def part_of_score(freq: str, length: str) -> Column:
+    """What a phrase that n documents have adds to the score; more the more frequent it is and the shorter the document."""
     raw = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
-    part = idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    whole = rows.withColumn("part", part).groupBy("query_id", "file_id", "n_phrases").agg(F.count("*").alias("found"), F.sum("part").alias("score"))
+    return idf * F.col(freq) * (K1 + 1) / (F.col(freq) + K1 * (1 - B + B * F.col(length) / F.col("mean")))
+
+
+def bm25(matches: DataFrame, doc_stats: DataFrame, spread: DataFrame | None = None) -> DataFrame:
+    """(query_id, file_id, rank) of documents with every phrase; lower is better. Statistics are those of the whole corpus.
+
+    spread (query_id, phrase_no, n), how many documents have each phrase, is
+    needed where matches are not all there are.
+    """
+    corpus = corpus_of(doc_stats)
+    spread = matches.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n")) if spread is None else spread
+    rows = matches.join(spread, ["query_id", "phrase_no"]).join(doc_stats, "file_id").crossJoin(F.broadcast(corpus))  # one row
+    whole = rows.withColumn("part", part_of_score("freq", "length")).groupBy("query_id", "file_id", "n_phrases").agg(F.count("*").alias("found"), F.sum("part").alias("score"))
     return whole.where("found = n_phrases").select("query_id", "file_id", (-F.col("score")).alias("rank"))
 
 
