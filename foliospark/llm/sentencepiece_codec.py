@@ -32,6 +32,8 @@ UNIGRAM, BPE = 1, 2
 NEVER = float("inf")
 #: Characters of text encoded at once, and how many words and pairs of pieces a worker remembers.
 BATCH, REMEMBERED, PAIRS = 1 << 20, 300_000, 1_000_000
+#: Leading bits of a hash that tell whether a piece may have it.
+MAYBE = 20
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -98,7 +100,9 @@ class Model:
         self.piece_bytes[self.unknown] = b" \xe2\x81\x87 "
         self.pair_keys, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.fresh: dict[int, bool] = {}
-        self.joints = {p[i : i + 2] for p in self.by_text for i in range(len(p) - 1)}
+        self.maybe = np.zeros(1 << MAYBE, dtype=bool)
+        self.maybe[self.keys >> np.uint64(64 - MAYBE)] = True
+        self.joints = np.array(sorted({-1} | {ord(a) << 21 | ord(b) for p in self.by_text for a, b in zip(p, p[1:])}))
         self.forget()
 
     def forget(self) -> None:
@@ -176,10 +180,12 @@ class Model:
             piece = np.full((reach, m), -1, dtype=np.int64)
             for size in range(1, reach + 1):
                 key = prefix[j] - prefix[j - size] * power[size]
+                seat = np.flatnonzero(self.maybe[key >> np.uint64(64 - MAYBE)] & (best[j - size] > -np.inf))
+                key = key[seat]
                 spot = np.searchsorted(self.keys, key)
                 spot[spot == len(self.keys)] = 0
-                hit = (self.keys[spot] == key) & (best[j - size] > -np.inf)
-                piece[size - 1] = np.where(hit, self.ids[spot], -1)
+                hit = self.keys[spot] == key
+                piece[size - 1, seat[hit]] = self.ids[spot[hit]]
             if self.kind == BPE:
                 # one path is left to each place, so a lone candidate needs no test
                 size, word = np.nonzero((piece >= 0) & ((piece >= 0).sum(axis=0) > 1))
@@ -224,7 +230,7 @@ class Model:
 
     def _learn(self, words: list[str]) -> None:
         """Work out words not seen yet, by way of their runs."""
-        split = [self._split(w) for w in words]
+        split = self._split(words) if words else []
         by_length: dict[int, list[str]] = {}
         other: list[str] = []
         for r in dict.fromkeys(r for parts in split for r in parts):
@@ -243,11 +249,25 @@ class Model:
             cuts = np.cumsum([0, *(len(parts) for _, parts in joined[:-1])])
             self._keep([w for w, _ in joined], self._gather(seats), np.add.reduceat(self.sizes[seats], cuts))
 
-    def _split(self, word: str) -> list[str]:
-        """The word, parted where no piece has both neighbours, so that nothing can span the cut."""
-        joints = self.joints
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joints]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+    def _split(self, words: list[str]) -> list[list[str]]:
+        """Each word, parted where no piece has both neighbours, so that nothing can span the cut."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(sizes)
+        pair = codes[:-1] << 21 | codes[1:]
+        spot = np.searchsorted(self.joints, pair)
+        spot[spot == len(self.joints)] = 0
+        apart = self.joints[spot] != pair
+        apart[ends[:-1] - 1] = False  # the next word begins there
+        at = np.flatnonzero(apart) + 1
+        word = np.searchsorted(ends, at, side="right")
+        cuts: dict[int, list[int]] = {}
+        for w, c in zip(word.tolist(), (at - (ends - sizes)[word]).tolist(), strict=True):
+            cuts.setdefault(w, [0]).append(c)
+        out = [[w] for w in words]
+        for w, starts in cuts.items():
+            out[w] = [words[w][a:b] for a, b in zip(starts, [*starts[1:], None], strict=True)]
+        return out
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and how many each text has."""
