@@ -31,8 +31,10 @@ SEED = 17
 _MISS = np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi
 _DEPTH = np.arange(REST + 1)
 BUDGETS = np.maximum(np.floor(_MISS * _DEPTH + 2.5 * np.sqrt(_MISS * (1 - _MISS) * _DEPTH)), 2).astype(np.int64)
-#: Rows of a group that are walked at once, and rows of a part of a larger group.
-CELL = 4096
+#: Rows of a group that are walked at once, and rows of a part of a larger group; the shingles of a part.
+CELL, HELD = 4096, 1_000_000
+#: Pairs for each row of a group from which on it is dense: then its texts are compared where they meet, not pair by pair.
+DENSE = 1
 #: Groups of 15 shingles hashed at once.
 ROWS = 1 << 9
 _rng = np.random.default_rng(SEED)
@@ -141,7 +143,7 @@ def _groups(slot: np.ndarray, rot: np.ndarray, copy: np.ndarray, hot: bool = Fal
     if not len(sizes):
         return
     number = np.repeat(np.arange(len(sizes)), sizes)
-    found = None if hot else trie_pairs(bits & np.uint64((1 << REST) - 1), number, REST, BUDGETS, 8 * len(bits) + 64)
+    found = None if hot else trie_pairs(bits & np.uint64((1 << REST) - 1), number, REST, BUDGETS, DENSE * len(bits) + 4)
     if found is not None:
         a, b = copy[found[0]], copy[found[1]]
         yield out(-1, np.minimum(a, b), np.maximum(a, b))
@@ -186,7 +188,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(distinct: DataFrame) -> DataFrame:
     """(copy, prints) -> (slot, a, b): pairs a, b with slot -1, and the members of dense groups with a copy a and bits b.
 
-    A group is dense if more pairs would come of it than eight for each row:
+    A group is dense if more pairs would come of it than DENSE for each row:
     there, only pairs with its least member come now.
     """
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -197,35 +199,69 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_meet, "slot int, a bigint, b bigint")
 
 
-def _between(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Close pairs (a, b) of dense groups whose copies are in different components.
+def _linked(bits: np.ndarray, label: np.ndarray, flat: np.ndarray, limits: np.ndarray, least: float = SIMILAR) -> Iterator[tuple[int, int]]:
+    """Rows of a dense group, their components and their shingles (flat, cut at limits) -> similar rows (i, j), as few as join all that are.
+
+    Rows that came together are not compared again.
+    """
+    n, sizes = len(bits), np.diff(limits)
+    owner = np.repeat(np.arange(n), sizes)
+    _, here, times = np.unique(flat, return_inverse=True, return_counts=True)
+    here, label = here.reshape(-1), np.unique(label, return_inverse=True)[1].reshape(-1)
+    # shingles of many rows are counted by products; of the rarer ones two rows share no more than the one with fewer has
+    often = times >= max(2, n / 8)
+    held = np.zeros((n, int(often.sum())), dtype=np.float32)
+    held[owner[often[here]], (np.cumsum(often) - 1)[here[often[here]]]] = 1
+    rare = np.bincount(owner[(times[here] > 1) & ~often[here]], minlength=n)
+    mark = np.zeros(len(times), dtype=bool)
+    for top in range(0, n - 1, 256):
+        both = held[top : top + 256] @ held[top:].T
+        for i in range(top, min(top + 256, n - 1)):
+            later = slice(i + 1, None)
+            enough = both[i - top, i + 1 - top :] + np.minimum(rare[later], rare[i]) >= (least * (sizes[later] + sizes[i]) - 1e-9) / (1 + least)
+            enough &= (label[later] != label[i]) & (np.bitwise_count((bits[later] ^ bits[i]).view(np.uint64)) <= BUDGETS[-1])
+            other = i + 1 + np.flatnonzero(enough)
+            if not len(other):
+                continue
+            mine = here[limits[i] : limits[i + 1]]
+            mark[mine] = True
+            for j in other.tolist():
+                if label[j] != label[i] and mark[here[limits[j] : limits[j + 1]]].sum() >= (least * (sizes[j] + len(mine)) - 1e-9) / (1 + least):
+                    label[label == label[j]] = label[i]
+                    yield i, j
+            mark[mine] = False
+
+
+def _between(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar texts (a, b) of dense groups that are in different components; of each two parts of a group as few as join what they join.
 
     Within a component nothing needs comparing. The rows of a group's largest
-    one and the others are dealt into parts of about CELL rows; two parts that
-    may hold such a pair meet in a task of their own.
+    one and the others are dealt into parts of about CELL rows, fewer if texts
+    are long; two parts that may hold such a pair meet in a task of their own,
+    with their shingles.
     """
+    about = sets.select("copy", F.size("shingles").alias("size")).join(roots.withColumnRenamed("node", "copy"), "copy", "left")
     at = members.select("slot", F.shiftrightunsigned("b", REST).alias("value"), F.col("b").alias("rot"), F.col("a").alias("copy")).distinct()
-    at = at.join(roots.select(F.col("node").alias("copy"), "root"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
-    sizes = at.groupBy("slot", "value", "root").agg(F.count("*").alias("n"))
+    at = at.join(about, "copy").withColumn("root", F.coalesce("root", "copy"))
+    weight = F.greatest(F.count("*") / CELL, F.sum("size") / HELD)
+    sizes = at.groupBy("slot", "value", "root").agg(weight.alias("n"))
     groups = sizes.groupBy("slot", "value").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
-    count = lambda c: F.ceil(c / CELL).cast("int")
+    count = lambda c: F.greatest(F.ceil(c), F.lit(1)).cast("int")
     groups = groups.select("slot", "value", F.col("big.root").alias("most"), count(F.col("big.n")).alias("inner"), count(F.col("total") - F.col("big.n")).alias("outer"))
     at = at.join(groups, ["slot", "value"]).withColumn("own", F.col("root") == F.col("most"))
     part = F.when(F.col("own"), F.pmod(F.xxhash64("copy"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("copy"), F.col("outer"))).cast("int")
     other = F.explode(F.sequence(F.when(F.col("own"), F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1))
-    cells = at.select("slot", "value", "rot", "copy", "root", part.alias("part"), other.alias("other"))
-    cells = cells.select("slot", "value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "rot", "copy", "root")
+    cells = at.join(sets, "copy").select("slot", "value", "rot", "copy", "root", "shingles", part.alias("part"), other.alias("other"))
+    cells = cells.select("slot", "value", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "rot", "copy", "root", "shingles")
 
     def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
         bits, copy, root = (rows.column(c).to_numpy() for c in ("rot", "copy", "root"))
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for i in range(0, len(bits), 256):
-            near = np.bitwise_count((bits[i : i + 256, None] ^ bits[None, :]).view(np.uint64)) <= BUDGETS[-1]
-            near &= (root[i : i + 256, None] != root[None, :]) & (copy[i : i + 256, None] < copy[None, :])
-            x, y = np.nonzero(near)
-            a.append(copy[i + x])
-            b.append(copy[y])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        lists = rows.column("shingles").combine_chunks()
+        limits = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
+        links = np.array(list(_linked(bits, root, lists.flatten().to_numpy(), limits)), dtype=np.int64).reshape(-1, 2)
+        ends = copy[links]
+        return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
     return cells.groupBy("slot", "value", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -256,7 +292,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     near = reliable(similar(first, sets))
     roots = reliable(connected_components(near))
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = pairs.union(_between(members, roots)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = reliable(near.union(_between(members, roots, sets)))
+    roots = reliable(connected_components(near))
+    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
     roots = connected_components(near.union(similar(rest, sets)))
     whole = distinct.select("copy", "least").join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))

@@ -99,3 +99,34 @@ def test_one_text_of_an_id_stays(spark):
     got = sorted((str(r["doc_id"]), r["text"]) for r in near_copies.keep_one(docs).collect())
     assert [x for x, _ in got] == ["1", "3", "4", "None"] and ("None", "alone") in got
     assert near_copies.keep_one(docs.where("false")).count() == 0
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Texts that are near each other, most of them not similar: few pairs are compared one by one, and no link is lost."""
+    rng, texts, seen = random.Random(17), {}, []
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    for _ in range(400):
+        texts[len(texts)] = changed(rng, base, rng.choice((4, 5, 6)))
+    similar = near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, sets: (seen.append(pairs.count()), similar(pairs, sets))[1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = brute_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    linked = [i for i in want if want[i] != i]
+    assert all(want[got[i]] == want[i] for i in got)
+    assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
+    assert sum(seen) < 25_000, seen  # of 79,800
+
+
+def test_a_dense_group_gives_as_few_links_as_join_it():
+    rng = random.Random(19)
+    texts = {}
+    for g in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(100):
+            texts[len(texts)] = changed(rng, base, rng.choice((0, 2, 4, 6)))
+    hashes = [near_copies.shingles(t.encode().split()).view(np.int64) for t in texts.values()]
+    limits = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+    links = list(near_copies._linked(np.zeros(len(texts), dtype=np.int64), np.arange(len(texts)), np.concatenate(hashes), limits))
+    want = brute_groups(texts)
+    assert len(links) == len(texts) - len(set(want.values())) and all(want[i] == want[j] for i, j in links)
