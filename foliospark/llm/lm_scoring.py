@@ -20,7 +20,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ SIDES, HEAD, TAIL = 64, 2048, 2048
 CELLS = HEAD + TAIL
 #: Words seen on each side, and the network's width.
 SIDE, WIDTH = 2, 24
-#: In each of ROUNDS rounds a shard trains on one in STRIDE segments of SEGMENT words of its texts, SHARD words or so.
-ROUNDS, STRIDE, SEGMENT, SHARD, BATCH, RATE, SEED = 2, 8, 32, 2_000_000, 2048, 0.1, 3
+#: Every word of every distinct text is learned from once, in one of ROUNDS rounds, by shards of SHARD words or so.
+ROUNDS, SHARD, BATCH, RATE, SEED = 2, 2_000_000, 2048, 0.1, 3
+#: The counts of so many words at most, the most frequent ones, go along with the scoring tasks; all others are joined.
+COMMON = 1 << 17
 #: Parameters travel in chunks, as whole numbers of 1 / SCALE times a weight, so that their sums are exact.
 CHUNK, SCALE = 64, 1 << 16
 #: Scoring takes hidden units as whole numbers of 1 / UNIT, and weights too, within MOST: sums of WIDTH products stay below 2 ** 24.
@@ -53,8 +56,10 @@ def offsets() -> list[int]:
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-    logits /= logits.sum(axis=1, keepdims=True)
+    """Of each column, in place."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
     return logits
 
 
@@ -95,12 +100,16 @@ class Network:
 
 @dataclass(frozen=True)
 class WindowModel:
-    """head: words with a cell of their own. mass: log of the words in each cell, and one more; 0 for the head's."""
+    """head: words with a cell of their own. mass: log of the words in each cell, and one more; 0 for the head's.
+
+    common: 0 for the head's words, LOGS times the log of their count for other frequent words.
+    """
 
     head: dict[bytes, int]
     mass: np.ndarray
     net: Network
     counts: DataFrame | None = None  # (word hash h, n) of all words
+    common: dict[bytes, int] = field(default_factory=dict)
 
     def cells(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
         """The cell of each word, from 1, as the inputs have it; known remembers them."""
@@ -188,75 +197,83 @@ class Trainer:
         self.pace = replace(net, **{f.name: np.full(getattr(net, f.name).shape, 1e-6, dtype=np.float32) for f in fields(net)})
         self.used = 0
 
-    def _step(self, value: np.ndarray, pace: np.ndarray, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
-        """Adagrad on all of value, or on the given rows, each of which may come more than once in grad."""
-        if rows is None:
-            pace += grad**2
-            value -= RATE * grad / np.sqrt(pace)
-        else:
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            grad, rows = np.add.reduceat(grad[order], first), rows[first]
-            now = pace[rows] + grad**2
-            pace[rows] = now
-            value[rows] -= RATE * grad / np.sqrt(now)
-
-    def learn(self, seen: np.ndarray) -> None:
-        """From all places of seen that aren't edges, in a fixed random order."""
+    def _step(self, value: np.ndarray, pace: np.ndarray, grad: np.ndarray) -> None:
+        pace += grad**2
+        value -= RATE * grad / np.sqrt(pace)
+
+    def _embed(self, inputs: np.ndarray, back: np.ndarray) -> None:
+        """Adagrad on the inputs' rows. inputs: (2 * SIDE, places); an input may come more than once."""
+        value, pace = (v.embed.reshape(-1, WIDTH) for v in (self.net, self.pace))
+        rows = (inputs + np.arange(2 * SIDE, dtype=np.uint16)[:, None] * np.uint16(1 + CELLS)).ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        grad, rows = np.add.reduceat(back.take(order % len(back), axis=0), first), rows[first].astype(np.int64)
+        now = pace.take(rows, axis=0)
+        now += grad * grad
+        pace[rows] = now
+        value[rows] -= RATE * grad / np.sqrt(now)
+
+    def learn(self, seen: np.ndarray, at: np.ndarray) -> None:
+        """From the places `at` of seen, in a fixed random order; places are columns."""
         net, pace = self.net, self.pace
-        at = np.flatnonzero(seen)
         self.used += len(at)
         at = at[np.random.default_rng(SEED).permutation(len(at))]
         for i in range(0, len(at), BATCH):
             spot = at[i : i + BATCH]
             each = np.arange(len(spot))
-            rows, places = np.divmod(seen[spot].astype(np.int64) - 1, SIDES)
+            rows, places = np.divmod(seen.take(spot).astype(np.int64) - 1, SIDES)
             hidden = net.hidden(seen, spot)
-            gate = net.gate[rows]
+            gate = net.gate.take(rows, axis=0)
             gated = hidden * gate
-            of_row, of_place = softmax(hidden @ net.row + net.row_bias), softmax(gated @ net.place + net.place_bias[rows])
-            of_row[each, rows] -= 1
-            of_place[each, places] -= 1
-            of_row /= len(spot)
-            of_place /= len(spot)
-            to_gated = of_place @ net.place.T
-            back = (of_row @ net.row.T + to_gated * gate) * (1 - hidden**2)
-            self._step(net.row, pace.row, hidden.T @ of_row)
-            self._step(net.row_bias, pace.row_bias, of_row.sum(axis=0))
-            self._step(net.place, pace.place, gated.T @ of_place)
-            self._step(net.place_bias, pace.place_bias, of_place, rows)
-            self._step(net.gate, pace.gate, to_gated * hidden, rows)
-            for k, step in enumerate(offsets()):
-                self._step(net.embed[k], pace.embed[k], back, seen[spot + step])
-
-
-def segments(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
-    """(turn, high, low, part, cells): what each round learns from each distinct text, in parts.
-
-    The share is one segment in STRIDE for each round, from a place that the
-    text's hash (high, low) tells. cells: 16-bit inputs, SIDE edges around each
-    segment.
+            of_row = net.row.T @ hidden.T
+            of_row += net.row_bias[:, None]
+            of_place = net.place.T @ gated.T
+            of_place += np.ascontiguousarray(net.place_bias.T).take(rows, axis=1)
+            for chances, own in ((softmax(of_row), rows), (softmax(of_place), places)):
+                chances[own, each] -= 1
+                chances /= len(spot)
+            to_gated = (net.place @ of_place).T
+            back = ((net.row @ of_row).T + to_gated * gate) * (1 - hidden**2)
+            in_row = np.zeros((SIDES, len(spot)), dtype=np.float32)
+            in_row[rows, each] = 1
+            self._step(net.row, pace.row, (of_row @ hidden).T)
+            self._step(net.row_bias, pace.row_bias, of_row.sum(axis=1))
+            self._step(net.place, pace.place, (of_place @ gated).T)
+            self._step(net.place_bias, pace.place_bias, in_row @ of_place.T)
+            self._step(net.gate, pace.gate, in_row @ (to_gated * hidden))
+            self._embed(np.stack([seen.take(spot + step) for step in offsets()]), back)
+
+
+def _with_context(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The cells of a text's parts, each with the SIDE inputs before and after it: its neighbours', or edges."""
+    edge = np.zeros(SIDE, dtype=np.uint16)
+    before, now = edge, next(parts, None)
+    while now is not None:
+        after = next(parts, None)
+        # a part is BUFFER bytes or so of words, more than SIDE unless it is the last or the words are huge
+        yield np.concatenate((before, now, edge if after is None else np.concatenate((after[:SIDE], edge))[:SIDE]))
+        before, now = np.concatenate((before, now))[-SIDE:], after
+
+
+def lessons(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
+    """(turn, high, low, part, cells): the words of each distinct text, in parts, each part with the round that learns from it.
+
+    The text's hash (high, low) tells the round. cells: 16-bit inputs, with the
+    SIDE inputs before and after the part, from which it learns nothing.
     """
-    bare = replace(model, counts=None)
+    bare = replace(model, counts=None, common={})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        edge = np.zeros(SIDE, dtype=np.uint16)
         for batch in batches:
             made: list[tuple[int, int, int, int, bytes]] = []
             for value in batch.column(0):
                 raw = value.as_py() or b""
                 key = xxhash.xxh3_128_intdigest(raw)
                 high, low = (x - (1 << 64) * (x >> 63) for x in (key >> 64, key & ((1 << 64) - 1)))
-                for part, words in enumerate(split(raw)):
-                    for turn in range(ROUNDS):
-                        first = (key + part + turn * (STRIDE // ROUNDS)) % STRIDE * SEGMENT
-                        taken = [words[i : i + SEGMENT] for i in range(first, len(words), STRIDE * SEGMENT)]
-                        if taken:
-                            cells = bare.cells([w for t in taken for w in t], known)
-                            ends = np.cumsum([len(t) for t in taken])[:-1]
-                            made.append((turn, high, low, part, np.concatenate([x for t in np.split(cells, ends) for x in (edge, t, edge)]).tobytes()))
+                for part, cells in enumerate(_with_context(bare.cells(words, known) for words in split(raw) if words)):
+                    made.append((((key >> 64) + part) % ROUNDS, high, low, part, cells.tobytes()))
             columns = list(zip(*made, strict=True)) or [()] * 5
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["turn", "high", "low", "part", "cells"])
@@ -267,7 +284,7 @@ def segments(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFra
 
 
 def trained(rows: DataFrame, model: WindowModel, shards: int) -> WindowModel:
-    """One round over its segments: each shard goes on from the model, and Spark averages what they end with.
+    """One round over its texts: each shard goes on from the model, and Spark averages what they end with.
 
     A shard counts by the words it learned from, in steps of 256.
     """
@@ -281,7 +298,8 @@ def trained(rows: DataFrame, model: WindowModel, shards: int) -> WindowModel:
 
         def learn() -> None:
             if held:
-                trainer.learn(np.concatenate((*held, np.zeros(SIDE, dtype=np.uint16))))
+                limits = np.cumsum([0, *map(len, held)])
+                trainer.learn(np.concatenate(held), np.concatenate([np.arange(a + SIDE, b - SIDE) for a, b in zip(limits[:-1], limits[1:], strict=True)]))
                 held.clear()
 
         def end() -> None:
@@ -324,11 +342,17 @@ def trained(rows: DataFrame, model: WindowModel, shards: int) -> WindowModel:
     return replace(model, net=net.like(flat.ravel()))
 
 
-def _lined_up(model: WindowModel, texts: Sequence[Iterable[list[bytes]]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lined_up(model: WindowModel, texts: Sequence[Iterable[list[bytes]]], known: dict[bytes, int], logs: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts as runs of words -> inputs with SIDE edges around each text, the words' places in them, and words of each text.
 
-    Only a run's words are held, so a very long text costs a number a word.
+    logs takes what model.common says of each word, -1 where it says nothing.
+    Only a run's words are held, so a very long text costs a number or two a word.
     """
+    def take(run: list[bytes]) -> None:
+        got.append(model.cells(run, known))
+        if logs is not None:
+            logs.append(np.fromiter(map(model.common.get, run, repeat(-1)), dtype=np.int64, count=len(run)))
+
     got, sizes = [], np.zeros(len(texts), dtype=np.int64)
     run: list[bytes] = []
     for i, text in enumerate(texts):
@@ -336,9 +360,9 @@ def _lined_up(model: WindowModel, texts: Sequence[Iterable[list[bytes]]], known:
             sizes[i] += len(words)
             run += words
             if len(run) > REMEMBERED:
-                got.append(model.cells(run, known))
+                take(run)
                 run = []
-    got.append(model.cells(run, known))
+    take(run)
     at = np.arange(int(sizes.sum())) + SIDE + np.repeat(2 * SIDE * np.arange(len(sizes)), sizes)
     seen = np.zeros(int(sizes.sum()) + 2 * SIDE * len(sizes) + SIDE, dtype=np.uint16)
     seen[at] = np.concatenate(got)
@@ -346,7 +370,7 @@ def _lined_up(model: WindowModel, texts: Sequence[Iterable[list[bytes]]], known:
 
 
 def fit(docs: DataFrame, text: str = "text", heads: int = HEAD) -> WindowModel:
-    """Counts of every word of all documents, kept in a table in the shared folder, and a network trained on a share of every document's words.
+    """Counts of every word of all documents, kept in a table in the shared folder, and a network trained on every word of every distinct text.
 
     Copies of a text count each, and teach once. The model is the same however
     the documents are laid out.
@@ -357,14 +381,32 @@ def fit(docs: DataFrame, text: str = "text", heads: int = HEAD) -> WindowModel:
     h = F.xxhash64(F.col("word"))
     for r in counts.groupBy(h.bitwiseAND(F.lit(TAIL - 1)).alias("tail")).agg(F.sum("n").alias("n")).collect():
         mass[r["tail"]] = r["n"]
-    shards = max(1, int(mass.sum()) // (STRIDE * SHARD))
+    shards = max(1, int(mass.sum()) // (ROUNDS * SHARD))
     for w, n in head:
         mass[xxhash.xxh64_intdigest(w, 42) % TAIL] -= n
     model = start(head, mass, counts.select(h.alias("h"), "n"))
-    rows = stored(segments(docs, model, text))
+    rows = stored(lessons(docs, model, text))
     for turn in range(ROUNDS):
         model = trained(rows.where(F.col("turn") == turn), model, shards)
-    return model
+    return replace(model, common=common(counts, model.head))
+
+
+def _log(n):
+    return F.round(F.log(n.cast("double")) * LOGS).cast("bigint")
+
+
+def common(counts: DataFrame, head: dict[bytes, int], most: int | None = None) -> dict[bytes, int]:
+    """What WindowModel's common says of the head's words and of `most` (COMMON) others at most, those of the largest counts."""
+    size = F.floor(F.log2("n") * 4)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > len(head) + (COMMON if most is None else most):
+            break
+        least = r["size"]
+    rows = counts.where(size >= least).select("word", _log(F.col("n")).alias("log")).toArrow() if least is not None else None
+    found = dict(zip(rows.column("word").to_pylist(), rows.column("log").to_pylist(), strict=True)) if rows is not None else {}
+    return found | dict.fromkeys(head, 0)
 
 
 #: A text's identity: 128 bits.
@@ -376,7 +418,7 @@ def _key(text: str) -> list:
 
 
 def _terms(model: WindowModel):
-    """(key, more, text) batches -> (key, more, h, n) of the words beyond the head; texts of one key in a batch are counted together."""
+    """(key, more, text) batches -> (key, more, h, n) of the words that aren't common; texts of one key in a batch are counted together."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,9 +438,7 @@ def _terms(model: WindowModel):
                     continue
                 done.add(key)
                 for words in split(value.as_py() or b""):
-                    found = Counter(words)
-                    for w in found.keys() & model.head.keys():
-                        del found[w]
+                    found = Counter(filterfalse(model.common.__contains__, words))
                     hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, [42] * len(found)), dtype=np.uint64, count=len(found))
                     n = np.fromiter(found.values(), dtype=np.int64, count=len(found)) * times[key]
                     rows.append(np.stack((np.full(len(n), key[0]), np.full(len(n), key[1]), hashes.view(np.int64), n)))
@@ -419,7 +459,7 @@ def score(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
     give way, an empty table gives none. A word that the counts don't have
     counts as one seen once.
     """
-    bare = replace(model, counts=None)
+    bare = replace(model, counts=None, common=model.common or dict.fromkeys(model.head, 0))
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[bytes, int] = {}
@@ -428,9 +468,11 @@ def score(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
             whole, ends = data.tobytes(), limits.tolist()
             counts, tails, sums = ([np.zeros(0, dtype=np.int64)] for _ in range(3))
             for a, b in ranges(np.diff(limits), BUFFER):
-                seen, at, sizes = _lined_up(bare, [split(whole[ends[r] : ends[r + 1]]) for r in range(a, b)], known)
+                logs: list[np.ndarray] = []
+                seen, at, sizes = _lined_up(bare, [split(whole[ends[r] : ends[r + 1]]) for r in range(a, b)], known, logs)
                 counts.append(sizes)
-                for values, into in ((np.rint(bare.log_probs(seen, at) * LOGS).astype(np.int64), sums), ((seen[at] > HEAD).astype(np.int64), tails)):
+                own = np.concatenate(logs)
+                for values, into in ((np.rint(bare.log_probs(seen, at) * LOGS).astype(np.int64) + np.maximum(own, 0), sums), ((own < 0).astype(np.int64), tails)):
                     mine = np.zeros(len(sizes), dtype=np.int64)
                     full = np.flatnonzero(sizes)
                     if len(full):
@@ -446,7 +488,7 @@ def score(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
     texts = docs.select(F.coalesce(name(text).cast("binary"), F.lit(b"")).alias("text"))
     terms = texts.select(*_key("text"), "text").mapInArrow(_terms(bare), "key bigint, more bigint, h bigint, n bigint")
     if model.counts is not None:
-        share = terms.join(model.counts.withColumnRenamed("n", "all"), "h", "left").withColumn("log", F.round(F.log(F.coalesce("all", F.lit(1)).cast("double")) * LOGS).cast("bigint"))
+        share = terms.join(model.counts.withColumnRenamed("n", "all"), "h", "left").withColumn("log", _log(F.coalesce("all", F.lit(1))))
         share = share.groupBy(*KEY).agg(F.sum(F.col("n") * F.col("log")).alias("share"), F.sum("n").alias("n"))
         rows = rows.join(share, list(KEY), "left")
     else:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -538,6 +539,41 @@ def test_scores_do_not_depend_on_the_layout(spark, docs, monkeypatch, shard):
     assert model.net.flat().tobytes() != lm_scoring.start([], np.zeros(lm_scoring.TAIL)).net.flat().tobytes()
 
 
+def test_every_word_is_learned_from_once(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BUFFER", 50)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 700))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, texts[5])], "doc_id bigint, text string")
+    model = lm_scoring.start([(f"w{i}".encode(), 1) for i in range(40)], np.ones(lm_scoring.TAIL))
+    rows = lm_scoring.lessons(docs, model).collect()
+    side = lm_scoring.SIDE
+    assert {r["turn"] for r in rows} == set(range(lm_scoring.ROUNDS))
+    parts = {}
+    for r in sorted(rows, key=lambda r: (r["high"], r["low"], r["part"])):
+        parts.setdefault((r["high"], r["low"]), []).append(np.frombuffer(r["cells"], dtype=np.uint16))
+    got = sorted(np.concatenate([c[side:-side] for c in p]).tolist() for p in parts.values())
+    assert got == sorted([model.head[w] + 1 for w in t.encode().split()] for t in set(texts) if t)
+    # a place's neighbours are the text's, across parts too
+    steps = [np.concatenate(([0] * side, g, [0] * side)) for g in (np.concatenate([c[side:-side] for c in p]) for p in parts.values())]
+    for whole, p in zip(steps, parts.values(), strict=True):
+        at = 0
+        for c in p:
+            assert c.tolist() == whole[at : at + len(c)].tolist()
+            at += len(c) - 2 * side
+    trainer = lm_scoring.Trainer(model.net)
+    trainer.learn(steps[0].astype(np.uint16), np.flatnonzero(steps[0]))
+    assert trainer.used == np.count_nonzero(steps[0])
+
+
+def test_scores_do_not_depend_on_which_counts_are_joined(spark, docs):
+    model = lm_scoring.fit(docs, heads=4)
+    none, some = ({w: v for w, v in model.common.items() if w in model.head or w in few} for few in (set(), set(list(model.common)[::3])))
+    assert len(model.common) > len(some) > len(none) == 4
+    runs = [sorted((str(r["doc_id"]), r["n_tokens"], r["log_prob"]) for r in lm_scoring.score(docs, replace(model, common=c)).collect()) for c in (model.common, some, none)]
+    assert runs[0] == runs[1] == runs[2]
+    assert len(lm_scoring.common(model.counts.select(F.col("h").cast("string").cast("binary").alias("word"), "n"), {}, 3)) <= 3
+
+
 def test_strong_weights_stay_finite():
     model = lm_scoring.start([(b"the", 5)], np.ones(lm_scoring.TAIL))
     for weights in (model.net.row, model.net.place, model.net.gate, model.net.embed):
