@@ -242,7 +242,7 @@ def _between(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     """
     about = sets.select("copy", F.size("shingles").alias("size")).join(roots.withColumnRenamed("node", "copy"), "copy", "left")
     at = members.select("slot", F.shiftrightunsigned("b", REST).alias("value"), F.col("b").alias("rot"), F.col("a").alias("copy")).distinct()
-    at = at.join(about, "copy").withColumn("root", F.coalesce("root", "copy"))
+    at = reliable(at.join(about, "copy").withColumn("root", F.coalesce("root", "copy")))
     weight = F.greatest(F.count("*") / CELL, F.sum("size") / HELD)
     sizes = at.groupBy("slot", "value", "root").agg(weight.alias("n"))
     groups = sizes.groupBy("slot", "value").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
