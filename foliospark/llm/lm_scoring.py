@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, fields, replace
-from itertools import filterfalse, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import binary_parts, give_back, name, packed, ranges, stored, table, unpacked
+from foliospark.llm.common import binary_parts, give_back, list_array, name, packed, ranges, stored, table, unpacked
 
 #: Rows of cells and places in a row; cells of one word each, and cells by hash (a power of two).
 #: Without the head no word is more than one in HEAD of all, so no join key is hot.
@@ -55,14 +55,20 @@ def offsets() -> list[int]:
     return [k for k in range(-SIDE, SIDE + 1) if k]
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    """Of each column, in place."""
+def softmax(logits: np.ndarray, whole: float = 1.0) -> np.ndarray:
+    """Of each column, in place; a column sums to 1 / whole."""
     logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=0)
+    logits *= np.float32(1 / whole) / logits.sum(axis=0)
     return logits
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and how long it is."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1])))
+    return first, np.diff(first, append=len(values))
+
+
 def exact(values: np.ndarray) -> np.ndarray:
     """Parameters as whole numbers of 1 / UNIT."""
     return np.rint(np.clip(values, -MOST, MOST) * UNIT).astype(np.float32)
@@ -82,10 +88,10 @@ class Network:
 
     def hidden(self, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
         """From the inputs around the places `at`; a place's own input has no part."""
-        total = 0
+        total = np.zeros((len(at), WIDTH), dtype=np.float32)
         for k, step in enumerate(offsets()):
-            total = total + self.embed[k].take(seen.take(at + step), axis=0)
-        return np.tanh(total)
+            total += self.embed[k].take(seen.take(at + step), axis=0)
+        return np.tanh(total, out=total)
 
     def parts(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
@@ -111,14 +117,10 @@ class WindowModel:
     counts: DataFrame | None = None  # (word hash h, n) of all words
     common: dict[bytes, int] = field(default_factory=dict)
 
-    def cells(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-        """The cell of each word, from 1, as the inputs have it; known remembers them."""
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            i = self.head.get(w)
-            known[w] = 1 + (HEAD + xxhash.xxh64_intdigest(w, 42) % TAIL if i is None else i)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint16, count=len(words))
+    def known(self) -> dict[bytes, int]:
+        """Of the head's and common's words the cell, from 1, as the inputs have it, and 65,536 times one more than what common says."""
+        said = dict.fromkeys(self.head, 0) | self.common
+        return {w: (1 + log) << 16 | 1 + (self.head[w] if w in self.head else HEAD + xxhash.xxh64_intdigest(w, 42) % TAIL) for w, log in said.items()}
 
     def log_probs(self, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log chance of each place's cell, and of a word seen once in it; a place's result depends on its window alone."""
@@ -128,20 +130,24 @@ class WindowModel:
         row_bias, place_bias = net.row_bias[:, None], np.ascontiguousarray(net.place_bias.T)
         for i in range(0, len(at), BLOCK):
             part = at[i : i + BLOCK]
-            cell = seen[part].astype(np.int64) - 1
-            rows, places = np.divmod(cell, SIDES)
+            cell = seen.take(part) - np.uint16(1)
+            # places of one row stand together and share its biases; a place alone goes twice, as sums over one column run in another order
+            order = np.argsort(cell, kind="stable") if len(cell) > 1 else np.zeros(2, dtype=np.int64)
+            part, cell = part[order], cell[order]
+            rows, places = np.divmod(cell, np.uint16(SIDES))
+            first, times = runs(rows)
             h = np.rint(net.hidden(seen, part) * np.float32(UNIT))
             gated = np.rint(h * gate.take(rows, axis=0))
             np.clip(gated, -UNIT, UNIT, out=gated)
             total = np.zeros(len(part))
-            for values, weights, bias, own in ((h, row, row_bias, rows), (gated, place, place_bias.take(rows, axis=1), places)):
+            for values, weights, bias, own in ((h, row, row_bias, rows), (gated, place, place_bias.take(rows[first], axis=1).repeat(times, axis=1), places)):
                 logits = weights @ values.T
                 logits += bias
                 logits -= logits.max(axis=0)
                 total += logits[own, np.arange(len(part))]
                 np.exp(logits, out=logits)
                 total -= np.log(logits.sum(axis=0).astype(np.float64))
-            out[i : i + BLOCK] = total - self.mass[cell]
+            out[i + order] = total - self.mass[cell]
         return out
 
 
@@ -206,13 +212,29 @@ class Trainer:
         value, pace = (v.embed.reshape(-1, WIDTH) for v in (self.net, self.pace))
         rows = (inputs + np.arange(2 * SIDE, dtype=np.uint16)[:, None] * np.uint16(1 + CELLS)).ravel()
         order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        grad, rows = np.add.reduceat(back.take(order % len(back), axis=0), first), rows[first].astype(np.int64)
-        now = pace.take(rows, axis=0)
-        now += grad * grad
+        rows, order = rows[order], np.tile(np.arange(len(back)), 2 * SIDE)[order]
+        first, times = runs(rows)
+        often = np.argsort(-times, kind="stable")
+        first, times = first[often], times[often]
+        grad, rows = back.take(order[first], axis=0), rows[first].astype(np.int64)
+        # second, third ... comings are added while many inputs have them, then all others at once
+        k, more = 1, np.count_nonzero(times > 1)
+        while more > SIDES:
+            grad[:more] += back.take(order[first[:more] + k], axis=0)
+            k += 1
+            more = np.count_nonzero(times[:more] > k)
+        if more:
+            left = times[:more] - k
+            begin = np.cumsum(left) - left
+            grad[:more] += np.add.reduceat(back.take(order[np.repeat(first[:more] + k - begin, left) + np.arange(left.sum())], axis=0), begin)
+        now = grad * grad
+        now += pace.take(rows, axis=0)
         pace[rows] = now
-        value[rows] -= RATE * grad / np.sqrt(now)
+        np.sqrt(now, out=now)
+        np.divide(grad, now, out=now)
+        now *= -RATE
+        now += value.take(rows, axis=0)
+        value[rows] = now
 
     def learn(self, seen: np.ndarray, at: np.ndarray) -> None:
         """From the places `at` of seen, in a fixed random order; places are columns."""
@@ -221,66 +243,121 @@ class Trainer:
         at = at[np.random.default_rng(SEED).permutation(len(at))]
         for i in range(0, len(at), BATCH):
             spot = at[i : i + BATCH]
-            each = np.arange(len(spot))
-            rows, places = np.divmod(seen.take(spot).astype(np.int64) - 1, SIDES)
+            cell = seen.take(spot) - np.uint16(1)
+            order = np.argsort(cell, kind="stable")  # places of one row stand together: its biases and sums come at once
+            spot = spot[order]
+            rows, places = np.divmod(cell[order], np.uint16(SIDES))
+            first, times = runs(rows)
+            each, mine, share = np.arange(len(spot)), rows[first].astype(np.int64), np.float32(1 / len(spot))
             hidden = net.hidden(seen, spot)
             gate = net.gate.take(rows, axis=0)
             gated = hidden * gate
             of_row = net.row.T @ hidden.T
             of_row += net.row_bias[:, None]
             of_place = net.place.T @ gated.T
-            of_place += np.ascontiguousarray(net.place_bias.T).take(rows, axis=1)
-            for chances, own in ((softmax(of_row), rows), (softmax(of_place), places)):
-                chances[own, each] -= 1
-                chances /= len(spot)
-            to_gated = (net.place @ of_place).T
-            back = ((net.row @ of_row).T + to_gated * gate) * (1 - hidden**2)
-            in_row = np.zeros((SIDES, len(spot)), dtype=np.float32)
-            in_row[rows, each] = 1
+            of_place += net.place_bias.T.take(mine, axis=1).repeat(times, axis=1)
+            for chances, own in ((softmax(of_row, len(spot)), rows), (softmax(of_place, len(spot)), places)):
+                chances[own, each] -= share
+            to_gated = of_place.T @ net.place.T
+            back = to_gated * gate
+            back += of_row.T @ net.row.T
+            back *= 1 - hidden**2
+            of_bias, of_gate = np.zeros_like(net.place_bias), np.zeros_like(net.gate)
+            of_bias[mine] = np.add.reduceat(of_place, first, axis=1).T
+            of_gate[mine] = np.add.reduceat(to_gated * hidden, first)
             self._step(net.row, pace.row, (of_row @ hidden).T)
             self._step(net.row_bias, pace.row_bias, of_row.sum(axis=1))
             self._step(net.place, pace.place, (of_place @ gated).T)
-            self._step(net.place_bias, pace.place_bias, in_row @ of_place.T)
-            self._step(net.gate, pace.gate, in_row @ (to_gated * hidden))
+            self._step(net.place_bias, pace.place_bias, of_bias)
+            self._step(net.gate, pace.gate, of_gate)
             self._embed(np.stack([seen.take(spot + step) for step in offsets()]), back)
 
 
-def _with_context(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
-    """The cells of a text's parts, each with the SIDE inputs before and after it: its neighbours', or edges."""
-    edge = np.zeros(SIDE, dtype=np.uint16)
-    before, now = edge, next(parts, None)
-    while now is not None:
-        after = next(parts, None)
-        # a part is BUFFER bytes or so of words, more than SIDE unless it is the last or the words are huge
-        yield np.concatenate((before, now, edge if after is None else np.concatenate((after[:SIDE], edge))[:SIDE]))
-        before, now = np.concatenate((before, now))[-SIDE:], after
+def _lined_up(model: WindowModel, texts: Sequence[Iterable[list[bytes]]], known: dict[bytes, int], said: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as runs of words -> inputs with SIDE edges around each text, the words' places in them, and words of each text.
+
+    known: model.known(), filled in here if empty. said takes of each run that
+    has words the text's place, the number of words, the sum of what
+    model.common says of them, and the hashes of the words of which it says
+    nothing. Only a run's words are held, so a very long text costs a number a
+    word.
+    """
+    if not known:
+        known.update(model.known())
+    got, sizes = [np.zeros(0, dtype=np.uint16)], np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        for words in filter(None, text):
+            numbers = np.fromiter(map(known.get, words, repeat(0)), dtype=np.int64, count=len(words))
+            rare = np.flatnonzero(numbers == 0)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(words.__getitem__, rare.tolist()), repeat(42)), dtype=np.uint64, count=len(rare))
+            numbers[rare] = 1 + HEAD + (hashes % np.uint64(TAIL)).astype(np.int64)
+            if said is not None:
+                said.append((i, len(words), int((numbers >> 16).sum()) - len(words) + len(rare), hashes.view(np.int64)))
+            got.append((numbers & 0xFFFF).astype(np.uint16))
+            sizes[i] += len(words)
+    at = np.arange(int(sizes.sum())) + SIDE + np.repeat(2 * SIDE * np.arange(len(sizes)), sizes)
+    seen = np.zeros(int(sizes.sum()) + 2 * SIDE * len(sizes) + SIDE, dtype=np.uint16)
+    seen[at] = np.concatenate(got)
+    return seen, at, sizes
+
+
+def _counted(hashes: list[np.ndarray]) -> pa.ListArray:
+    """Of each list its distinct hashes h, and how often each comes (n)."""
+    of, h = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes]), np.concatenate([np.zeros(0, dtype=np.int64), *hashes])
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), dtype=bool), (h[1:] != h[:-1]) | (of[1:] != of[:-1]))))
+    pairs = pa.StructArray.from_arrays([pa.array(h[first]), pa.array(np.diff(first, append=len(h)))], names=["h", "n"])
+    return list_array(pairs, np.bincount(of[first], minlength=len(hashes)))
+
+
+#: A text's identity: 128 bits.
+KEY = ("high", "low")
+
+
+def _key(text: str) -> list:
+    return [F.xxhash64(text, F.length(text)).alias("high"), F.xxhash64(F.lit(SEED), text).alias("low")]
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """The texts (binary, null ones empty) and their keys."""
+    return docs.select(F.coalesce(name(text).cast("binary"), F.lit(b"")).alias("text")).select(*_key("text"), "text")
 
 
 def lessons(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
-    """(turn, high, low, part, cells): the words of each distinct text, in parts, each part with the round that learns from it.
+    """(turn, high, low, part, cells, own, rare): the words of each distinct text, in parts, each part with the round that learns from it.
 
-    The text's hash (high, low) tells the round. cells: 16-bit inputs, with the
-    SIDE inputs before and after the part, from which it learns nothing.
+    The text's key (high, low) tells the round. cells: 16-bit inputs, with the
+    SIDE inputs before and after the part, from which it learns nothing. own:
+    the sum of what model.common says of the part's words; rare: (hash h, n) of
+    those of which it says nothing.
     """
-    bare = replace(model, counts=None, common={})
+    known, bare = model.known(), replace(model, head={}, counts=None, common={})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
-            made: list[tuple[int, int, int, int, bytes]] = []
-            for value in batch.column(0):
-                raw = value.as_py() or b""
-                key = xxhash.xxh3_128_intdigest(raw)
-                high, low = (x - (1 << 64) * (x >> 63) for x in (key >> 64, key & ((1 << 64) - 1)))
-                for part, cells in enumerate(_with_context(bare.cells(words, known) for words in split(raw) if words)):
-                    made.append((((key >> 64) + part) % ROUNDS, high, low, part, cells.tobytes()))
-            columns = list(zip(*made, strict=True)) or [()] * 5
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["turn", "high", "low", "part", "cells"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True))
+            data, limits = binary_parts(batch.column("text"))
+            whole, ends = data.tobytes(), limits.tolist()
+            for a, b in ranges(np.diff(limits), BUFFER):
+                said: list[tuple[int, int, int, np.ndarray]] = []
+                seen, _, _ = _lined_up(bare, [split(whole[ends[r] : ends[r + 1]]) for r in range(a, b)], known, said)
+                made: list[tuple[int, int, int, int, bytes, int]] = []
+                now, part, start = -1, 0, 0
+                for i, n, own, _ in said:
+                    # texts stand 2 * SIDE edges apart, those without words too
+                    now, part, start = (i, part + 1, start) if i == now else (i, 0, start + 2 * SIDE * (i - max(now, 0)))
+                    high, low = keys[a + i]
+                    made.append(((high + part) % ROUNDS, high, low, part, seen[start : start + n + 2 * SIDE].tobytes(), own))
+                    start += n
+                columns = list(zip(*made, strict=True)) or [()] * 6
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+                columns = [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), _counted([hashes for *_, hashes in said])]
+                yield pa.record_batch(columns, names=["turn", "high", "low", "part", "cells", "own", "rare"])
         give_back()
 
-    made = docs.select(name(text).cast("binary").alias("text")).mapInArrow(work, "turn int, high bigint, low bigint, part int, cells binary")
-    return made.groupBy("turn", "high", "low", "part").agg(F.first("cells").alias("cells"))  # copies have the same cells
+    made = _texts(docs, text).mapInArrow(work, "turn int, high bigint, low bigint, part int, cells binary, own bigint, rare array<struct<h:bigint,n:bigint>>")
+    return made.groupBy("turn", "high", "low", "part").agg(*(F.first(c).alias(c) for c in ("cells", "own", "rare")))  # copies have the same
 
 
 def trained(rows: DataFrame, model: WindowModel, shards: int) -> WindowModel:
@@ -342,39 +419,9 @@ def trained(rows: DataFrame, model: WindowModel, shards: int) -> WindowModel:
     return replace(model, net=net.like(flat.ravel()))
 
 
-def _lined_up(model: WindowModel, texts: Sequence[Iterable[list[bytes]]], known: dict[bytes, int], logs: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts as runs of words -> inputs with SIDE edges around each text, the words' places in them, and words of each text.
-
-    logs takes what model.common says of each word, -1 where it says nothing.
-    Only a run's words are held, so a very long text costs a number or two a word.
-    """
-    def take(run: list[bytes]) -> None:
-        got.append(model.cells(run, known))
-        if logs is not None:
-            logs.append(np.fromiter(map(model.common.get, run, repeat(-1)), dtype=np.int64, count=len(run)))
-
-    got, sizes = [], np.zeros(len(texts), dtype=np.int64)
-    run: list[bytes] = []
-    for i, text in enumerate(texts):
-        for words in text:
-            sizes[i] += len(words)
-            run += words
-            if len(run) > REMEMBERED:
-                take(run)
-                run = []
-    take(run)
-    at = np.arange(int(sizes.sum())) + SIDE + np.repeat(2 * SIDE * np.arange(len(sizes)), sizes)
-    seen = np.zeros(int(sizes.sum()) + 2 * SIDE * len(sizes) + SIDE, dtype=np.uint16)
-    seen[at] = np.concatenate(got)
-    return seen, at, sizes
-
-
-def fit(docs: DataFrame, text: str = "text", heads: int = HEAD) -> WindowModel:
-    """Counts of every word of all documents, kept in a table in the shared folder, and a network trained on every word of every distinct text.
-
-    Copies of a text count each, and teach once. The model is the same however
-    the documents are laid out.
-    """
+def _begun(docs: DataFrame, text: str = "text", heads: int = HEAD) -> tuple[WindowModel, DataFrame, int]:
+    """A model that knows the counts of every word of all documents, kept in a table in the shared folder, and no context;
+    what there is to learn, kept there too; and into how many shards."""
     counts = stored(word_counts(docs, text))
     head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(heads).collect()]
     mass = np.zeros(TAIL)
@@ -385,10 +432,23 @@ def fit(docs: DataFrame, text: str = "text", heads: int = HEAD) -> WindowModel:
     for w, n in head:
         mass[xxhash.xxh64_intdigest(w, 42) % TAIL] -= n
     model = start(head, mass, counts.select(h.alias("h"), "n"))
-    rows = stored(lessons(docs, model, text))
+    model = replace(model, common=common(counts, model.head))
+    return model, stored(lessons(docs, model, text)), shards
+
+
+def _learned(model: WindowModel, rows: DataFrame, shards: int) -> WindowModel:
     for turn in range(ROUNDS):
         model = trained(rows.where(F.col("turn") == turn), model, shards)
-    return replace(model, common=common(counts, model.head))
+    return model
+
+
+def fit(docs: DataFrame, text: str = "text", heads: int = HEAD) -> WindowModel:
+    """Counts of every word of all documents, kept in a table in the shared folder, and a network trained on every word of every distinct text.
+
+    Copies of a text count each, and teach once. The model is the same however
+    the documents are laid out.
+    """
+    return _learned(*_begun(docs, text, heads))
 
 
 def _log(n):
@@ -409,98 +469,55 @@ def common(counts: DataFrame, head: dict[bytes, int], most: int | None = None) -
     return found | dict.fromkeys(head, 0)
 
 
-#: A text's identity: 128 bits.
-KEY = ("key", "more")
-
-
-def _key(text: str) -> list:
-    return [F.xxhash64(text, F.length(text)).alias("key"), F.xxhash64(F.lit(SEED), text).alias("more")]
+def _sums(rows: DataFrame, model: WindowModel) -> DataFrame:
+    """lessons' rows -> (high, low, n, sum): the number of words of each text, and its log-chance as a whole number of 1 / LOGS."""
+    bare = replace(model, head={}, counts=None, common={})
 
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            data, limits = binary_parts(batch)
+            seen, limits = np.frombuffer(data.tobytes(), dtype=np.uint16), limits // 2
+            sums = [np.zeros(0, dtype=np.int64)]
+            for a, b in ranges(np.diff(limits), BUFFER):
+                sizes = np.diff(limits[a : b + 1]) - 2 * SIDE
+                first = np.cumsum(sizes) - sizes
+                at = np.arange(int(sizes.sum())) + np.repeat(limits[a:b] + SIDE - first, sizes)
+                sums.append(np.add.reduceat(np.rint(bare.log_probs(seen, at) * LOGS).astype(np.int64), first))
+            yield pa.array(np.concatenate(sums))
+        give_back()
 
-def _terms(model: WindowModel):
-    """(key, more, text) batches -> (key, more, h, n) of the words that aren't common; texts of one key in a batch are counted together."""
+    made = F.arrow_udf(of, "bigint")(F.col("cells"))
+    each = rows.select(*KEY, (F.length("cells") / 2 - 2 * SIDE).cast("bigint").alias("n"), (made + F.col("own")).alias("sum"))
+    if model.counts is not None:
+        terms = rows.select(*KEY, F.inline("rare")).join(model.counts.withColumnRenamed("n", "all"), "h", "left")
+        each = each.unionByName(terms.select(*KEY, F.lit(0).cast("bigint").alias("n"), (F.col("n") * _log(F.coalesce("all", F.lit(1)))).alias("sum")))
+    return each.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True))
-            times: dict[tuple[int, int], int] = {}
-            for key in keys:
-                times[key] = times.get(key, 0) + 1
-            rows: list[np.ndarray] = []
-            size, done = 0, set()
-
-            def out() -> pa.RecordBatch:
-                columns = np.concatenate([np.zeros((4, 0), dtype=np.int64), *rows], axis=1)
-                return pa.record_batch([pa.array(c) for c in columns], names=[*KEY, "h", "n"])
-
-            for key, value in zip(keys, batch.column("text"), strict=True):
-                if key in done:
-                    continue
-                done.add(key)
-                for words in split(value.as_py() or b""):
-                    found = Counter(filterfalse(model.common.__contains__, words))
-                    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, [42] * len(found)), dtype=np.uint64, count=len(found))
-                    n = np.fromiter(found.values(), dtype=np.int64, count=len(found)) * times[key]
-                    rows.append(np.stack((np.full(len(n), key[0]), np.full(len(n), key[1]), hashes.view(np.int64), n)))
-                    size += len(n)
-                    if size > 200_000:
-                        yield out()
-                        rows, size = [], 0
-            yield out()
 
-    return of
+def _scored(docs: DataFrame, rows: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
+    """What score says; rows: docs' lessons."""
+    own = [c for c in docs.columns if c not in FIELDS]
+    each = packed(docs.select(*(name(c) for c in own)), text).select("row", F.coalesce(name(text).cast("binary"), F.lit(b"")).alias("words"))
+    each = each.select("row", *_key("words")).join(_sums(rows, model), list(KEY), "left")
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    total = F.round(F.coalesce("sum", F.lit(0).cast("bigint")) / LOGS, 6)
+    perplexity = F.when(n > 0, F.exp(F.least(-total / n, F.lit(700.0))))
+    return each.select(*unpacked(own), n.alias("n_tokens"), total.alias("log_prob"), perplexity.alias("perplexity"))
 
 
 def score(docs: DataFrame, model: WindowModel, text: str = "text") -> DataFrame:
     """docs plus n_tokens, log_prob (natural, summed over all words, to six places) and perplexity.
 
     Null and wordless texts have 0 tokens, log_prob 0 and a null perplexity.
-    Equal texts score alike, repeated rows stay, columns named like the results
-    give way, an empty table gives none. A word that the counts don't have
-    counts as one seen once.
+    Equal texts are scored once and score alike, repeated rows stay, columns
+    named like the results give way, an empty table gives none. A word that the
+    counts don't have counts as one seen once.
     """
-    bare = replace(model, counts=None, common=model.common or dict.fromkeys(model.head, 0))
-
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            data, limits = binary_parts(batch)
-            whole, ends = data.tobytes(), limits.tolist()
-            counts, tails, sums = ([np.zeros(0, dtype=np.int64)] for _ in range(3))
-            for a, b in ranges(np.diff(limits), BUFFER):
-                logs: list[np.ndarray] = []
-                seen, at, sizes = _lined_up(bare, [split(whole[ends[r] : ends[r + 1]]) for r in range(a, b)], known, logs)
-                counts.append(sizes)
-                own = np.concatenate(logs)
-                for values, into in ((np.rint(bare.log_probs(seen, at) * LOGS).astype(np.int64) + np.maximum(own, 0), sums), ((own < 0).astype(np.int64), tails)):
-                    mine = np.zeros(len(sizes), dtype=np.int64)
-                    full = np.flatnonzero(sizes)
-                    if len(full):
-                        mine[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full])
-                    into.append(mine)
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(counts)), pa.array(np.concatenate(tails)), pa.array(np.concatenate(sums))], names=["n", "tail", "sum"])
-        give_back()
-
-    made = F.arrow_udf(of, "struct<n:bigint,tail:bigint,sum:bigint>")(F.col("words"))
-    own = [c for c in docs.columns if c not in FIELDS]
-    rows = packed(docs.select(*(name(c) for c in own)), text).select("row", F.coalesce(name(text).cast("binary"), F.lit(b"")).alias("words"))
-    rows = rows.select("row", *_key("words"), made.alias("got"))
-    texts = docs.select(F.coalesce(name(text).cast("binary"), F.lit(b"")).alias("text"))
-    terms = texts.select(*_key("text"), "text").mapInArrow(_terms(bare), "key bigint, more bigint, h bigint, n bigint")
-    if model.counts is not None:
-        share = terms.join(model.counts.withColumnRenamed("n", "all"), "h", "left").withColumn("log", _log(F.coalesce("all", F.lit(1))))
-        share = share.groupBy(*KEY).agg(F.sum(F.col("n") * F.col("log")).alias("share"), F.sum("n").alias("n"))
-        rows = rows.join(share, list(KEY), "left")
-    else:
-        rows = rows.withColumn("share", F.lit(0).cast("bigint")).withColumn("n", F.lit(1))
-    # copies of a text were counted together
-    mine = F.when(F.col("got.tail") > 0, F.expr("share DIV n * got.tail + (share % n) * got.tail DIV n")).otherwise(F.lit(0).cast("bigint"))
-    total = F.round((F.col("got.sum") + mine) / LOGS, 6)
-    perplexity = F.when(F.col("got.n") > 0, F.exp(F.least(-total / F.col("got.n"), F.lit(700.0))))
-    return rows.select(*unpacked(own), F.col("got.n").alias("n_tokens"), total.alias("log_prob"), perplexity.alias("perplexity"))
+    return _scored(docs, stored(lessons(docs, model, text)), model, text)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by a model of all documents; nulls, ties and empty tables as score says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs)).select("doc_id", *FIELDS)
+    model, rows, shards = _begun(docs)
+    return _scored(docs, rows, _learned(model, rows, shards)).select("doc_id", *FIELDS)
