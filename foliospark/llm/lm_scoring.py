@@ -135,12 +135,15 @@ class WindowModel:
             order = np.argsort(cell, kind="stable") if len(cell) > 1 else np.zeros(2, dtype=np.int64)
             part, cell = part[order], cell[order]
             rows, places = np.divmod(cell, np.uint16(SIDES))
-            first, times = runs(rows)
-            h = np.rint(net.hidden(seen, part) * np.float32(UNIT))
-            gated = np.rint(h * gate.take(rows, axis=0))
+            h = net.hidden(seen, part)
+            h *= np.float32(UNIT)
+            np.rint(h, out=h)
+            gated = gate.take(rows, axis=0)
+            gated *= h
+            np.rint(gated, out=gated)
             np.clip(gated, -UNIT, UNIT, out=gated)
             total = np.zeros(len(part))
-            for values, weights, bias, own in ((h, row, row_bias, rows), (gated, place, place_bias.take(rows[first], axis=1).repeat(times, axis=1), places)):
+            for values, weights, bias, own in ((h, row, row_bias, rows), (gated, place, place_bias.repeat(np.bincount(rows, minlength=SIDES), axis=1), places)):
                 logits = weights @ values.T
                 logits += bias
                 logits -= logits.max(axis=0)
@@ -247,15 +250,17 @@ class Trainer:
             order = np.argsort(cell, kind="stable")  # places of one row stand together: its biases and sums come at once
             spot = spot[order]
             rows, places = np.divmod(cell[order], np.uint16(SIDES))
-            first, times = runs(rows)
-            each, mine, share = np.arange(len(spot)), rows[first].astype(np.int64), np.float32(1 / len(spot))
+            times = np.bincount(rows, minlength=SIDES)
+            mine = np.flatnonzero(times)
+            first = (np.cumsum(times) - times)[mine]
+            each, share = np.arange(len(spot)), np.float32(1 / len(spot))
             hidden = net.hidden(seen, spot)
             gate = net.gate.take(rows, axis=0)
             gated = hidden * gate
             of_row = net.row.T @ hidden.T
             of_row += net.row_bias[:, None]
             of_place = net.place.T @ gated.T
-            of_place += net.place_bias.T.take(mine, axis=1).repeat(times, axis=1)
+            of_place += np.ascontiguousarray(net.place_bias.T).repeat(times, axis=1)
             for chances, own in ((softmax(of_row, len(spot)), rows), (softmax(of_place, len(spot)), places)):
                 chances[own, each] -= share
             to_gated = of_place.T @ net.place.T
