@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding, batched in numpy.
 
-Encoding is a Viterbi search over the pieces of a model. All distinct words of
-one length advance together, a column at a time: the hashes of the substrings
-that end there probe the sorted hashes of the pieces, and an argmax over the
-candidate pieces stores the back-pointers.
+Encoding is a Viterbi search over the pieces of a model. Texts are cut into
+runs wherever no piece has both neighbours, and a worker remembers the runs it
+met. New ones advance together: the hashes of the substrings that begin at each
+place probe the sorted hashes of the pieces, for as long as some piece begins
+so; then, a column at a time, the best piece that ends at each place is stored
+as its back-pointer.
 
 For a unigram model a path scores the sum of its pieces' scores. For a BPE
 model a step from piece p to piece q is allowed only where merging the text of
@@ -15,12 +17,12 @@ and the search returns what the merge procedure returns.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +32,35 @@ from foliospark.llm.common import binary_parts, give_back, list_array, name, ran
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NEVER = float("inf")
-#: Characters of text encoded at once, and how many words and pairs of pieces a worker remembers.
-BATCH, REMEMBERED, PAIRS = 1 << 20, 300_000, 1_000_000
-#: Leading bits of a hash that tell whether a piece may have it.
-MAYBE = 20
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_BASE = 0x9E3779B97F4A7C15
+#: Characters of text encoded at once and searched at once, and how many runs (of so many characters on average) and pairs of pieces a worker remembers.
+BATCH, SEARCHED, REMEMBERED, WIDTH, PAIRS = 1 << 19, 1 << 17, 300_000, 16, 1_000_000
+#: Leading bits of a hash that number a slot.
+SLOTS = 20
+_BASE, _MIX, _SALT = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    return codes.astype(np.uint64) * np.uint64(_MIX) ^ np.uint64(_SALT)
+
+
+def _pair_slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A slot for each pair of characters."""
+    return (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOTS)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of pieces of an array, laid end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """values, or a longer copy if it has fewer than n places."""
+    return values if n <= len(values) else np.concatenate((values, np.zeros(max(n - len(values), len(values) // 2), dtype=values.dtype)))
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -66,6 +91,7 @@ class Model:
 
     Models that normalise text otherwise than by marking spaces, or that have
     user-defined pieces, are refused: their texts would need that step first.
+    So are models with pieces of characters that are no pieces themselves.
     """
 
     def __init__(self, data: bytes) -> None:
@@ -84,6 +110,8 @@ class Model:
         self.by_text = {self.pieces[i]: i for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.by_text):
             raise ValueError("pieces that cross words are not supported")
+        if any(c not in self.by_text for p in self.by_text for c in p):
+            raise ValueError("characters that stand in pieces but are none are not supported")
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(lib.is_byte(i) for i in range(n)) else None
         self.longest = max(map(len, self.by_text))
         keys = np.array([self._hash(p) for p in self.by_text], dtype=np.uint64)
@@ -92,29 +120,50 @@ class Model:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
         self.rank = {p: -float(self.scores[i]) for p, i in self.by_text.items()}
-        self.alphabet = {p for p in self.by_text if len(p) == 1}
         self.lengths = np.array([len(p) for p in self.pieces])
         self.piece_bytes = [b"" if lib.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.bytes or ()):
             self.piece_bytes[i] = bytes([b])
         self.piece_bytes[self.unknown] = b" \xe2\x81\x87 "
+        shown = [b.replace(SPACE.encode(), b" ") for b in self.piece_bytes]
+        self.shown, self.shown_sizes = np.frombuffer(b"".join(shown), dtype=np.uint8), np.array([len(b) for b in shown])
+        self.shown_starts = np.cumsum(self.shown_sizes) - self.shown_sizes
+        self.partial = np.array([len(b) == 1 and b[0] > 127 for b in self.piece_bytes])
+        # by the first bits of a hash: 1 if a piece may have it, 2 if the beginning of a longer one may; and the first piece
+        self.sieve = np.zeros(1 << SLOTS, dtype=np.uint8)
+        self.sieve[_slot(self.keys)] = 1
+        begun = np.array([self._hash(b) for b in {p[:k] for p in self.by_text for k in range(1, len(p))}], dtype=np.uint64)
+        self.sieve[_slot(begun)] |= 2
+        self.bucket = np.searchsorted(_slot(self.keys), np.arange(1 << SLOTS)).astype(np.int32)
+        self.deepest = int(np.bincount(_slot(self.keys)).max())
+        self.keys, self.ids = np.append(self.keys, np.uint64(2**64 - 1)), np.append(self.ids, -1)
+        self.single = np.full(0x110000, -1, dtype=np.int32)  # the piece of each character
+        for p, i in self.by_text.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        joints = np.array([(ord(a), ord(b)) for p in self.by_text for a, b in zip(p, p[1:])], dtype=np.uint32).reshape(-1, 2)
+        self.joint = np.zeros(1 << SLOTS, dtype=bool)
+        self.joint[_pair_slot(joints[:, 0], joints[:, 1])] = True
         self.pair_keys, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.fresh: dict[int, bool] = {}
-        self.maybe = np.zeros(1 << MAYBE, dtype=bool)
-        self.maybe[self.keys >> np.uint64(64 - MAYBE)] = True
-        self.joints = np.array(sorted({-1} | {ord(a) << 21 | ord(b) for p in self.by_text for a, b in zip(p, p[1:])}))
+        self.pairs = np.full(1 << SLOTS, -1, dtype=np.int64)
+        self.powers = np.ones(1, dtype=np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        """Let go of the words seen, so that an idle worker holds the model alone."""
-        self.words: dict[str, int] = {}
-        self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        """Let go of the runs seen."""
+        self.n, self.n_chars, self.n_flat = 0, 0, 0
+        self.seats = np.full(1 << SLOTS, -1, dtype=np.int32)
+        # of each run: its hash, where its characters and its pieces begin, how many it has, and whether it was met again
+        self.hashes, self.again = np.zeros(1 << 12, dtype=np.uint64), np.zeros(1 << 12, dtype=bool)
+        self.places, self.widths, self.starts, self.sizes = (np.zeros(1 << 12, dtype=np.int32) for _ in range(4))
+        self.chars, self.flat = np.zeros(1 << 15, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int32)
 
     @staticmethod
     def _hash(text: str) -> int:
         value = 0
         for c in text:
-            value = (value * _BASE + (ord(c) * 0xBF58476D1CE4E5B9 ^ 0x94D049BB133111EB)) & (2**64 - 1)
+            value = (value * _BASE + (ord(c) * _MIX ^ _SALT)) & (2**64 - 1)
         return value
 
     def merged(self, text: str) -> list[str]:
@@ -135,22 +184,34 @@ class Model:
         return parts
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each pair of pieces stays as it is when merged alone; settled pairs are remembered."""
-        key = left * len(self.pieces) + right
+        """Whether each pair of pieces stays as it is when merged alone (left -1: the right one); settled pairs are remembered."""
+        key = (left.astype(np.int64) + 1) * len(self.pieces) + right
+        slot = _slot(key.astype(np.uint64) * np.uint64(_BASE))
+        known = self.pairs[slot]
+        out = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            fits = self._settle(keys)
+            out[new] = fits[back]
+            self.pairs[slot[new]] = key[new] * 2 + fits[back]
+        return out
+
+    def _settle(self, key: np.ndarray) -> np.ndarray:
+        """_fit for distinct pairs that their slots don't hold."""
         spot = np.searchsorted(self.pair_keys, key)
         spot[spot == len(self.pair_keys)] = 0
         known = self.pair_keys[spot] == key if len(self.pair_keys) else np.zeros(len(key), dtype=bool)
         out = np.zeros(len(key), dtype=bool)
         out[known] = self.pair_fits[spot[known]]
         if not known.all():
-            new, back = np.unique(key[~known], return_inverse=True)
             verdicts = []
-            for k in new.tolist():
+            for k in key[~known].tolist():
                 if (verdict := self.fresh.get(k)) is None:
-                    p, q = self.pieces[k // len(self.pieces)], self.pieces[k % len(self.pieces)]
-                    verdict = self.fresh[k] = self.merged(p + q) == [p, q]
+                    p, q = self.pieces[k // len(self.pieces) - 1] if k >= len(self.pieces) else "", self.pieces[k % len(self.pieces)]
+                    verdict = self.fresh[k] = self.merged(p + q) == [x for x in (p, q) if x]
                 verdicts.append(verdict)
-            out[~known] = np.array(verdicts, dtype=bool)[back]
+            out[~known] = verdicts
             if len(self.fresh) > max(4096, len(self.pair_keys) // 4):
                 if len(self.pair_keys) > PAIRS:
                     self.pair_keys, self.pair_fits = self.pair_keys[:0], self.pair_fits[:0]
@@ -161,133 +222,174 @@ class Model:
                 self.fresh.clear()
         return out
 
-    def _viterbi(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of words of n characters, all of the model's alphabet, end to end, and how many each has."""
-        m = len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(m, n).T.astype(np.uint64)
-        codes = codes * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(0x94D049BB133111EB)
-        prefix = np.zeros((n + 1, m), dtype=np.uint64)
-        for j in range(n):
-            prefix[j + 1] = prefix[j] * np.uint64(_BASE) + codes[j]
-        power = [np.uint64(1)]
-        for _ in range(self.longest):
-            power.append(np.uint64(int(power[-1]) * _BASE & (2**64 - 1)))
-        best = np.full((n + 1, m), -np.inf)
-        best[0] = 0
-        last = np.full((n + 1, m), -1, dtype=np.int64)
-        for j in range(1, n + 1):
-            reach = min(j, self.longest)
-            piece = np.full((reach, m), -1, dtype=np.int64)
-            for size in range(1, reach + 1):
-                key = prefix[j] - prefix[j - size] * power[size]
-                seat = np.flatnonzero(self.maybe[key >> np.uint64(64 - MAYBE)] & (best[j - size] > -np.inf))
-                key = key[seat]
-                spot = np.searchsorted(self.keys, key)
-                spot[spot == len(self.keys)] = 0
-                hit = self.keys[spot] == key
-                piece[size - 1, seat[hit]] = self.ids[spot[hit]]
-            if self.kind == BPE:
-                # one path is left to each place, so a lone candidate needs no test
-                size, word = np.nonzero((piece >= 0) & ((piece >= 0).sum(axis=0) > 1))
-                before = last[j - 1 - size, word]
-                inner = before >= 0
-                size, word, before = size[inner], word[inner], before[inner]
-                bad = ~self._fit(before, piece[size, word])
-                piece[size[bad], word[bad]] = -1
-            score = np.where(piece >= 0, best[j - reach : j][::-1] + self.scores[piece], -np.inf)
-            choice = np.argmax(score, axis=0)
-            best[j], last[j] = score[choice, np.arange(m)], piece[choice, np.arange(m)]
-        at, rows = np.full(m, n), np.arange(m)
-        back = []
-        while (at > 0).any():
-            now = np.where(at > 0, last[at, rows], -1)
-            back.append(now)
-            at = np.where(at > 0, at - self.lengths[now], 0)
-        steps = np.array(back[::-1]).T
-        return steps[steps >= 0], (steps >= 0).sum(axis=1)
+    def _candidates(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where a piece of two or more characters begins, the piece and its size, shorter ones first.
+
+        left: how many characters each place has to the end of its run.
+        """
+        mixed = _mixed(codes)
+        at, key = np.arange(len(codes), dtype=np.int32), mixed
+        found = [(at[:0], at[:0], at[:0])]
+        for size in range(1, self.longest + 1):
+            sieve = self.sieve[_slot(key)]
+            if size > 1:
+                seat = np.flatnonzero(sieve & 1)
+                probe = key[seat]
+                spot = self.bucket[_slot(probe)]
+                for _ in range(self.deepest - 1):
+                    spot += self.keys[spot] < probe
+                hit = np.flatnonzero(self.keys[spot] == probe)
+                found.append((at[seat[hit]], self.ids[spot[hit]].astype(np.int32), np.full(len(hit), size, dtype=np.int32)))
+            on = np.flatnonzero((sieve & 2) & ((left[at] > size) * np.uint8(2)))
+            at = at[on]
+            key = key[on] * np.uint64(_BASE) + mixed[at + size]
+        start, piece, size = map(np.concatenate, zip(*found, strict=True))
+        return start, piece, size
+
+    def _viterbi(self, codes: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of runs of the model's characters, given end to end as they are returned, and how many each has."""
+        starts = np.cumsum(widths) - widths
+        inside = np.arange(len(codes)) - np.repeat(starts, widths)
+        start, piece, size = self._candidates(codes, np.repeat(widths, widths) - inside)
+        end = start + size - 1
+        column = inside[end]
+        order = np.argsort(column.astype(np.int16) if len(column) and column.max() < 1 << 15 else column, kind="stable")
+        start, piece, end, column = start[order], piece[order], end[order], column[order]
+        first = inside[start] == 0
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(column)) + 1, [len(column)])).tolist()
+        last = self.single[codes]  # until a longer piece is better
+        if self.kind == BPE:
+            # one path is left to each place: where no longer piece passes, the lone character's does
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                fits = self._fit(np.where(first[a:b], -1, last[start[a:b] - 1]), piece[a:b])
+                last[end[a:b][fits]] = piece[a:b][fits]
+        else:
+            self._best_sums(inside, last, start, piece, end, column)
+        used, at, begin = np.zeros(len(codes), dtype=bool), starts + widths - 1, starts
+        while len(at):
+            used[at] = True
+            at = at - self.lengths[last[at]]
+            on = np.flatnonzero(at >= begin)
+            at, begin = at[on], begin[on]
+        return last[used], np.add.reduceat(used, starts, dtype=np.int64) if len(starts) else starts
+
+    def _best_sums(self, inside: np.ndarray, last: np.ndarray, start: np.ndarray, piece: np.ndarray, end: np.ndarray, column: np.ndarray) -> None:
+        """For a unigram model, put the last piece of the best path to each place into last; of equal ones, the shortest."""
+        best, rows = np.zeros(len(last)), np.argsort(inside, kind="stable")
+        columns = np.arange(int(inside.max(initial=-1)) + 2)
+        cuts, edges = np.searchsorted(inside[rows], columns).tolist(), np.searchsorted(column, columns).tolist()
+        for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            at = rows[a:b]
+            best[at] = self.scores[last[at]] + (best[at - 1] if j else 0)
+            s, p, e = (v[edges[j] : edges[j + 1]][::-1] for v in (start, piece, end))
+            score = self.scores[p] + np.where(inside[s] == 0, 0, best[s - 1])
+            better = score > best[e]
+            np.maximum.at(best, e, score)
+            better &= score == best[e]
+            last[e[better]] = p[better]
 
     def _fallback(self, character: str) -> list[int]:
         return [self.bytes[b] for b in character.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def _keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        """Remember words with their pieces, given end to end."""
-        k, n = len(self.words), len(ids)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(n, len(self.flat)), dtype=self.flat.dtype)))
-        if k + len(words) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate((v, np.zeros(max(len(words), len(v)), dtype=v.dtype))) for v in (self.starts, self.sizes))
-        self.flat[self.used : self.used + n] = ids
-        self.starts[k : k + len(words)] = self.used + np.cumsum(counts) - counts
-        self.sizes[k : k + len(words)] = counts
-        self.words.update(zip(words, range(k, k + len(words)), strict=True))
-        self.used += n
-
-    def _gather(self, seats: np.ndarray) -> np.ndarray:
-        """The pieces of remembered words, end to end."""
-        sizes = self.sizes[seats]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[seats] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Work out words not seen yet, by way of their runs."""
-        split = self._split(words) if words else []
-        by_length: dict[int, list[str]] = {}
-        other: list[str] = []
-        for r in dict.fromkeys(r for parts in split for r in parts):
-            if r not in self.words:
-                (by_length.setdefault(len(r), []) if r[0] in self.alphabet else other).append(r)
-        for n, same in by_length.items():
-            step = max(1, (1 << 18) // n)
-            for i in range(0, len(same), step):
-                self._keep(same[i : i + step], *self._viterbi(same[i : i + step], n))
-        if other:
-            bytes_of = [[b for c in r for b in self._fallback(c)] for r in other]
-            self._keep(other, np.array([b for bs in bytes_of for b in bs], dtype=np.int64), np.array([len(bs) for bs in bytes_of]))
-        joined = [(w, parts) for w, parts in zip(words, split, strict=True) if len(parts) > 1]
-        if joined:
-            seats = np.fromiter((self.words[r] for _, parts in joined for r in parts), dtype=np.int64)
-            cuts = np.cumsum([0, *(len(parts) for _, parts in joined[:-1])])
-            self._keep([w for w, _ in joined], self._gather(seats), np.add.reduceat(self.sizes[seats], cuts))
-
-    def _split(self, words: list[str]) -> list[list[str]]:
-        """Each word, parted where no piece has both neighbours, so that nothing can span the cut."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(sizes)
-        pair = codes[:-1] << 21 | codes[1:]
-        spot = np.searchsorted(self.joints, pair)
-        spot[spot == len(self.joints)] = 0
-        apart = self.joints[spot] != pair
-        apart[ends[:-1] - 1] = False  # the next word begins there
-        at = np.flatnonzero(apart) + 1
-        word = np.searchsorted(ends, at, side="right")
-        cuts: dict[int, list[int]] = {}
-        for w, c in zip(word.tolist(), (at - (ends - sizes)[word]).tolist(), strict=True):
-            cuts.setdefault(w, [0]).append(c)
-        out = [[w] for w in words]
-        for w, starts in cuts.items():
-            out[w] = [words[w][a:b] for a, b in zip(starts, [*starts[1:], None], strict=True)]
-        return out
+    def _learn(self, codes: np.ndarray, starts: np.ndarray, widths: np.ndarray, hashes: np.ndarray) -> int:
+        """Work out runs of codes and remember them, one after another; the seat of the first."""
+        first = self.n
+        for a, b in ranges(widths, SEARCHED):
+            width = widths[a:b]
+            chars = codes[_spread(starts[a:b], width)]
+            lone = self.single[codes[starts[a:b]]] < 0  # these are runs of their own
+            made, counts = self._viterbi(chars[~np.repeat(lone, width)], width[~lone])
+            others = [self._fallback(chr(c)) for c in codes[starts[a:b][lone]].tolist()]
+            sizes = np.zeros(b - a, dtype=np.int64)
+            sizes[~lone], sizes[lone] = counts, list(map(len, others))
+            which = np.repeat(lone, sizes)
+            ids = np.zeros(len(which), dtype=np.int32)
+            ids[~which], ids[which] = made, [i for o in others for i in o]
+            self._keep(chars, width, ids, sizes, hashes[a:b])
+        return first
+
+    def _keep(self, chars: np.ndarray, widths: np.ndarray, ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        """Remember runs, their characters and pieces given end to end."""
+        k, n = self.n, self.n + len(widths)
+        self.hashes, self.again, self.places, self.widths, self.starts, self.sizes = (_room(v, n) for v in (self.hashes, self.again, self.places, self.widths, self.starts, self.sizes))
+        self.chars, self.flat = _room(self.chars, self.n_chars + len(chars)), _room(self.flat, self.n_flat + len(ids))
+        self.hashes[k:n], self.again[k:n], self.widths[k:n], self.sizes[k:n] = hashes, False, widths, sizes
+        self.places[k:n], self.starts[k:n] = self.n_chars + np.cumsum(widths) - widths, self.n_flat + np.cumsum(sizes) - sizes
+        self.chars[self.n_chars : self.n_chars + len(chars)], self.flat[self.n_flat : self.n_flat + len(ids)] = chars, ids
+        self.seats[_slot(hashes)] = np.arange(k, n)
+        self.n, self.n_chars, self.n_flat = n, self.n_chars + len(chars), self.n_flat + len(ids)
+
+    def _shrink(self) -> None:
+        """Keep the runs that were met again, the newest half of what may be remembered at most."""
+        at = np.flatnonzero(self.again[: self.n])[-(REMEMBERED // 2) :]
+        at = at[np.cumsum(self.widths[at][::-1], dtype=np.int64)[::-1] <= REMEMBERED * WIDTH // 2]
+        widths, sizes, hashes = self.widths[at].astype(np.int64), self.sizes[at].astype(np.int64), self.hashes[at]
+        chars, ids = self.chars[_spread(self.places[at], widths)], self.flat[_spread(self.starts[at], sizes)]
+        self.forget()
+        self._keep(chars, widths, ids, sizes, hashes)
+
+    def _hashes(self, codes: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        while len(self.powers) < widths.max():
+            self.powers = np.concatenate((self.powers, self.powers * np.uint64(int(self.powers[-1]) * _BASE & (2**64 - 1))))
+        terms = _mixed(codes) * self.powers[np.arange(len(codes)) - np.repeat(starts, widths)]
+        sums = np.add.reduceat(terms, starts)
+        return (sums ^ sums >> np.uint64(32)) * np.uint64(_BASE)
+
+    def _seats(self, codes: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        """Where the runs of codes, which are end to end, are remembered; new ones are learned."""
+        if self.n > REMEMBERED or self.n_chars > REMEMBERED * WIDTH:
+            self._shrink()
+        hashes = self._hashes(codes, starts, widths)
+        seat = self.seats[_slot(hashes)].astype(np.int64)
+        hit = (seat >= 0) & (self.hashes[seat] == hashes)
+        self.again[seat[hit]] = True
+        new = np.flatnonzero(~hit)
+        _, one, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+        one = new[one]
+        seat[new] = self._learn(codes, starts[one], widths[one], hashes[one]) + back
+        # other runs may have the same hash
+        place = np.repeat(self.places[seat] - starts, widths) + np.arange(len(codes))
+        same = self.chars[np.minimum(place, len(self.chars) - 1)] == codes
+        wide = self.widths[seat] == widths
+        if not (same.all() and wide.all()):
+            wrong = np.flatnonzero(~(np.logical_and.reduceat(same, starts) & wide))
+            seat[wrong] = self._learn(codes, starts[wrong], widths[wrong], hashes[wrong]) + np.arange(len(wrong))
+        return seat
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts end to end, and how many each text has."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                found = _CHUNK.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
-                words += found
-                counts[i] = len(found)
-        local = dict.fromkeys(words)
-        new = [w for w in local if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.forget()
-            new = list(local)
-        self._learn(new)
-        seat = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        ids = self._gather(seat)
-        bounds = np.concatenate(([0], np.cumsum(self.sizes[seat])))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(bounds)
+        marked = [SPACE + t if t and self.prefix else t for t in texts]
+        codes = np.frombuffer("".join(marked).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        limits = np.concatenate(([0], np.cumsum(np.fromiter(map(len, marked), dtype=np.int64, count=len(marked)))))
+        if not len(codes):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        # cut where no piece has both neighbours; characters without a piece stand alone
+        cut, lone = np.zeros(len(codes) + 1, dtype=bool), self.single[codes] < 0
+        cut[1:-1] = ~self.joint[_pair_slot(codes[:-1], codes[1:])] | lone[:-1] | lone[1:]
+        cut[limits] = True
+        starts = np.flatnonzero(cut)
+        seat = self._seats(codes, starts[:-1], np.diff(starts))
+        sizes = self.sizes[seat]
+        ids = self.flat[_spread(self.starts[seat], sizes)]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(starts, limits)])
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of piece ids that are end to end; counts: how many each has."""
+        limits = np.concatenate(([0], np.cumsum(counts)))
+        sizes = self.shown_sizes[ids]
+        raw = self.shown[_spread(self.shown_starts[ids], sizes)]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[limits]
+        begun = ends[:-1][ends[1:] > ends[:-1]]
+        cut = begun[raw[begun] == 32] if self.prefix else begun[:0]
+        raw, ends = np.delete(raw, cut), ends - np.searchsorted(cut, ends)
+        # bytes that only several pieces make a character of go by decode
+        odd = np.unique(np.searchsorted(limits, np.flatnonzero(self.partial[ids]), side="right") - 1)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
+        if len(odd):
+            mask = np.zeros(len(counts), dtype=bool)
+            mask[odd] = True
+            texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([self.decode(ids[limits[i] : limits[i + 1]].tolist()).encode() for i in odd.tolist()], pa.large_binary()))
+        return texts.cast(pa.binary()).cast(pa.string())
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of piece ids: byte pieces become bytes again, broken ones U+FFFD."""
@@ -311,15 +413,13 @@ def _transcoded(docs: DataFrame, model: bytes, text: str, fields: tuple[str, ...
             data, limits = binary_parts(batch)
             for r0, r1 in ranges(np.diff(limits), BATCH):  # a part at a time: a batch's ids would take more room than its text
                 yield part(codec, data[limits[r0] : limits[r1]].tobytes(), (limits[r0 : r1 + 1] - limits[r0]).tolist())
-        codec.forget()
         give_back()
 
     def part(codec: Model, whole: bytes, at: list[int]) -> pa.Array:
         ids, counts = codec.encode([whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])
         made = [list_array(pa.array(ids, pa.int32()), counts)]
         if "decoded" in fields:
-            cuts = np.concatenate(([0], np.cumsum(counts))).tolist()
-            made.append(pa.array([codec.decode(ids[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string()))
+            made.append(codec.decode_all(ids, counts))
         return pa.StructArray.from_arrays(made, names=list(fields))
 
     return with_fields(docs, F.arrow_udf(of, "struct<" + ",".join(f"{f}:{kind[f]}" for f in fields) + ">")(name(text).cast("binary")), fields)

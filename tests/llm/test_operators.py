@@ -67,6 +67,34 @@ def test_sentencepiece_is_the_library(spark, docs, none):
     assert sentencepiece_codec.encode(none, MODEL).count() == 0
 
 
+def test_runs_are_worked_out_once_and_told_apart(monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["th", "er", "sch", "ión", "é", " ", " ", ".\n", "🙂", "***", "a" * 40, "日本", "▁"]) for _ in range(rng.randint(0, 80))) for _ in range(120)]
+
+    def encoded(model):
+        ids, counts = model.encode(texts)
+        decoded = model.decode_all(ids, counts).to_pylist()
+        return [(p.tolist(), d) for p, d in zip(np.split(ids, np.cumsum(counts)[:-1]), decoded, strict=True)]
+
+    want = [(lib.encode(t), lib.decode(lib.encode(t))) for t in texts]
+    model = sentencepiece_codec.Model(MODEL)
+    assert encoded(model) == want
+    with monkeypatch.context() as m:
+        m.setattr(model, "_viterbi", lambda *_: pytest.fail("searched again"))
+        assert encoded(model) == want
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 40)
+    assert encoded(model) == want and encoded(model) == want
+    model._shrink()
+    assert 0 < model.n <= 20 and model.n_chars <= 20 * sentencepiece_codec.WIDTH
+    assert encoded(model) == want
+    clash = sentencepiece_codec.Model(MODEL)
+    monkeypatch.setattr(clash, "_hashes", lambda codes, starts, widths: codes[starts].astype(np.uint64) % np.uint64(3))
+    assert encoded(clash) == want and encoded(clash) == want
+
+
 def test_a_unigram_model_takes_the_best_sum():
     model = sentencepiece_codec.Model(MODEL)
     model.kind = sentencepiece_codec.UNIGRAM
