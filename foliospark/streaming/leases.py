@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.operators.outbox import ATTEMPTS, FIRST_DELAY, LEASE, MOST_DELAY, MOST_ERROR
 from foliospark.streaming.jobs import PROVIDER, ROCKSDB
 
 #: What the stream of events has to have: kind job, outcome, or tick, which tells the time alone.
 EVENT = ("at", "kind", "dedupe_key", "result", "message", "permanent")
-STATE = "status string, attempts int, due bigint, last_error string"
+#: Keys are dealt to so many buckets by their hash. A call and a state for each key would cost milliseconds a key and batch.
+BUCKETS = 512
+#: What is known of a bucket's jobs: a JSON object of key -> [status, attempts, due, last_error, step].
+STATE = "jobs string"
 #: step: the transitions of a key in order.
 CHANGE = "dedupe_key string, step int, at timestamp, status string, attempts int, next_attempt_at timestamp, lease_expires_at timestamp, last_error string"
 
@@ -24,70 +28,74 @@ def delay_ms(attempts: int) -> int:
     return 1000 * min(MOST_DELAY, FIRST_DELAY * 2 ** (min(attempts, 30) - 1))
 
 
-class Leases(StatefulProcessor):
-    """One job's life: claimed as it comes, claimed again when its lease or its delay is over, until it is completed or failed."""
+class Leases:
+    """The lives of a bucket's jobs: claimed as they come, claimed again when a lease or a delay is over, until completed or failed."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", STATE + ", step int")
+    def __init__(self, jobs: dict[str, list]) -> None:
+        self.jobs, self.changes = jobs, []
 
-    def close(self) -> None:
-        pass
+    def _write(self, key: str, at: int, status: str, attempts: int, due: int | None, error: str | None) -> None:
+        """The job's new state, and the row that tells of it. due: when the lease ends, or the next attempt."""
+        step = self.jobs[key][4] + 1 if key in self.jobs else 1
+        self.jobs[key] = [status, attempts, due, error, step]
+        self.changes.append((key, step, at, status, attempts, due if status == "retry" else at, due if status == "processing" else None, error))
 
-    def _write(self, rows: list, key: str, at: int, status: str, attempts: int, due: int | None, error: str | None, step: int) -> None:
-        """The job's new state, its timer, and the row that tells of it. due: when the lease ends, or the next attempt."""
-        old = self.job.get()[2] if step > 1 else None
-        if old is not None and old > at:
-            self.handle.deleteTimer(old)  # one that is over has fired or passes over a state that has gone on
-        if due is not None:
-            self.handle.registerTimer(due)
-        self.job.update((status, attempts, due, error, step))
-        stamp = lambda ms: None if ms is None else pd.Timestamp(ms, unit="ms")
-        rows.append((key, step, stamp(at), status, attempts, stamp(due if status == "retry" else at), stamp(due if status == "processing" else None), error))
+    def _claim(self, key: str, at: int, attempts: int, error: str | None) -> None:
+        self._write(key, at, "processing", attempts + 1, at + 1000 * LEASE, error)
 
-    def _claim(self, rows: list, key: str, at: int, attempts: int, error: str | None, step: int) -> None:
-        self._write(rows, key, at, "processing", attempts + 1, at + 1000 * LEASE, error, step + 1)
-
-    def _catch_up(self, rows: list, key: str, now: int) -> None:
+    def _catch_up(self, key: str, now: int) -> None:
         """Claim as often as leases and delays ended up to now: timers wait for the watermark, events may be ahead of it."""
-        while self.job.exists():
-            status, attempts, due, error, step = self.job.get()
-            if status not in ("processing", "retry") or due > now:
+        while key in self.jobs:
+            _, attempts, due, error, _ = self.jobs[key]
+            if due is None or due > now:
                 return
-            self._claim(rows, key, due, attempts, error, step)
-
-    def _frame(self, rows: list) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CHANGE.split(", ")]
-        frame = pd.DataFrame(rows, columns=names)
+            self._claim(key, due, attempts, error)
+
+    def take(self, at: int, kind: str, key: str, result: str, message: str, permanent: bool) -> None:
+        """One event; a key's come in the order of their times."""
+        self._catch_up(key, at)
+        status, attempts, *_ = self.jobs.get(key, (None, 0))
+        if kind == "job" and status in (None, "completed"):
+            self._claim(key, at, 0, None)
+        elif kind == "outcome" and status == "processing":
+            if result != "error":
+                self._write(key, at, "completed", attempts, None, None)
+            elif permanent or attempts >= ATTEMPTS:
+                self._write(key, at, "failed", attempts, None, message[:MOST_ERROR])
+            else:
+                self._write(key, at, "retry", attempts, at + delay_ms(attempts), message[:MOST_ERROR])
+
+    def next_due(self, now: int) -> int | None:
+        """Once all have caught up with now: when the next lease or delay ends."""
+        for key in [k for k, job in self.jobs.items() if job[2] is not None and job[2] <= now]:
+            self._catch_up(key, now)
+        return min((job[2] for job in self.jobs.values() if job[2] is not None), default=None)
+
+    def frame(self) -> pd.DataFrame:
+        frame = pd.DataFrame(self.changes, columns=[c.split()[0] for c in CHANGE.split(", ")])
         for c in ("at", "next_attempt_at", "lease_expires_at"):
-            frame[c] = pd.to_datetime(frame[c])
-        yield frame
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out: list = []
-        events = pd.concat(list(rows)).sort_values("at_ms", kind="stable")
-        for e in events.itertuples(index=False):
-            self._catch_up(out, key[0], int(e.at_ms))
-            known = self.job.get() if self.job.exists() else None
-            if e.kind == "job" and (known is None or known[0] == "completed"):
-                self._claim(out, key[0], int(e.at_ms), 0, None, known[4] if known else 0)
-            elif e.kind == "outcome" and known is not None and known[0] == "processing":
-                attempts, step = known[1], known[4] + 1
-                if e.result != "error":
-                    self._write(out, key[0], int(e.at_ms), "completed", attempts, None, None, step)
-                elif bool(e.permanent) or attempts >= ATTEMPTS:
-                    self._write(out, key[0], int(e.at_ms), "failed", attempts, None, (e.message or "")[:MOST_ERROR], step)
-                else:
-                    self._write(out, key[0], int(e.at_ms), "retry", attempts, int(e.at_ms) + delay_ms(attempts), (e.message or "")[:MOST_ERROR], step)
-        return self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out: list = []
-        self._catch_up(out, key[0], expiredTimerInfo.getExpiryTimeInMs())
-        return self._frame(out)
-
-
-def stream_leases(events: DataFrame) -> DataFrame:
+            frame[c] = pd.to_datetime(frame[c], unit="ms")
+        return frame
+
+
+def _run(bucket: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A bucket's events, or its timer, which is that of the job that is due first."""
+    if bucket[0] < 0:
+        return
+    leases = Leases(json.loads(state.get[0]) if state.exists else {})
+    if not state.hasTimedOut:
+        events = pd.concat([f[["at_ms", "kind", "dedupe_key", "result", "message", "permanent"]] for f in frames]).sort_values("at_ms", kind="stable")
+        for e in zip(*(events[c].tolist() for c in events.columns), strict=True):
+            leases.take(*e)
+    due = leases.next_due(state.getCurrentWatermarkMs())
+    if leases.changes:
+        state.update((json.dumps(leases.jobs, ensure_ascii=False, separators=(",", ":")),))
+        yield leases.frame()
+    if due is not None:
+        state.setTimeoutTimestamp(due)
+
+
+def stream_leases(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """events, a stream of EVENT, -> every change of every job (CHANGE), for whoever runs them and for the job table.
 
     at is the time an event was taken in, which only grows; its watermark is
@@ -97,12 +105,16 @@ def stream_leases(events: DataFrame) -> DataFrame:
     an error brings it back after 30 * 2^(attempts - 1) seconds, or fails it
     after ATTEMPTS of them or if it is permanent. A lease that ends without an
     outcome is claimed again. A job that comes again is new if it was completed,
-    and nothing else. Null keys are ticks.
+    and nothing else. Null keys are ticks. Keys are dealt to `buckets`, each of
+    which is read and written whole when one of its jobs changes, so many
+    millions of them call for more; the number stays as long as the checkpoint.
     """
     conf = events.sparkSession.conf
     if conf.get(PROVIDER).endswith("HDFSBackedStateStoreProvider"):
         conf.set(PROVIDER, ROCKSDB)
     timed = events.withWatermark("at", "0 seconds")
-    # ticks are a key of their own, without a state
-    keyed = timed.select("at", "kind", F.coalesce("dedupe_key", F.lit("")).alias("dedupe_key"), "result", "message", F.coalesce("permanent", F.lit(False)).alias("permanent"), F.unix_millis("at").alias("at_ms"))
-    return keyed.groupBy("dedupe_key").transformWithStateInPandas(Leases(), CHANGE, "Append", "EventTime")
+    # ticks are a bucket of their own, without a state
+    bucket = F.coalesce(F.when(F.col("dedupe_key").isNotNull(), F.pmod(F.xxhash64("dedupe_key"), F.lit(buckets))), F.lit(-1))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    dealt = timed.select("at", bucket.cast("int").alias("bucket"), text("kind"), text("dedupe_key"), text("result"), text("message"), F.coalesce("permanent", F.lit(False)).alias("permanent"), F.unix_millis("at").alias("at_ms"))
+    return dealt.groupBy("bucket").applyInPandasWithState(_run, CHANGE, STATE, "append", GroupStateTimeout.EventTimeTimeout)

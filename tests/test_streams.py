@@ -194,3 +194,23 @@ def test_leases_and_retries_by_a_moved_clock(spark, tmp_path):
     last = {r["dedupe_key"]: r for r in sorted(rows, key=lambda r: r["step"])}
     assert last["fine"]["status"] == "completed" and last["worst"]["status"] == "failed" and last["worst"]["last_error"] == "broken" and last["lost"]["attempts"] >= 8
     assert all(len({r["step"] for r in rows if r["dedupe_key"] == k}) == sum(r["dedupe_key"] == k for r in rows) for k in last)
+
+
+def test_leases_of_many_keys_share_few_states(spark, tmp_path):
+    """Calls and states are those of buckets, whatever the number of keys; each key has its own life."""
+    n, s = 3000, lambda t: START + dt.timedelta(seconds=t)
+    jobs = [(s(i % 7), "job", f"k{i}", None, None, None) for i in range(n)]
+    outcomes = [(s(20 + i % 7), "outcome", f"k{i}", ("completed", "error", "error")[i % 3], None, i % 3 == 1) for i in range(n) if i % 4]
+    source = one_by_one(spark, str(tmp_path / "log"), [jobs, outcomes, [(s(100), "tick", None, None, None, None)], [(s(101), "tick", None, None, None, None)]], EVENTS)
+    run = leases.stream_leases(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= leases.BUCKETS < n
+    changes = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r["step"]):
+        changes.setdefault(r["dedupe_key"], []).append((r["step"], r["at"], r["status"], r["attempts"]))
+    for i in range(n):
+        want = [(1, s(i % 7), "processing", 1)]
+        if i % 4:
+            want.append((2, s(20 + i % 7), ("completed", "failed", "retry")[i % 3], 1))
+            want += [(3, s(50 + i % 7), "processing", 2)] if i % 3 == 2 else []
+        assert changes[f"k{i}"] == want
