@@ -6,7 +6,9 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 import yaml
+from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +21,74 @@ MOST_CONFIGS, MOST_LEVELS = 10_000, 16
 DEFAULT_VISIBILITY, DEFAULT_LANGUAGE = "private", "zh-CN"
 
 
-def _tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+#: What a task hands on at once, in bytes, of the files that it reads.
+MOST_READ = 1 << 24
+
+
+def _below(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame | None:
+    """(source_path, content) of files under root, listed and read by tasks; null where only Spark's readers get at root.
+
+    Spark's readers would list every file on the driver. As with them, hidden
+    names (a leading _ or .) and empty files are passed over.
+    """
+    try:
+        system, at = files.FileSystem.from_uri(root.rstrip("/"))
+        if system.get_file_info(at).type != files.FileType.Directory:
+            return None
+        first = [i.base_name for i in system.get_file_info(files.FileSelector(at))]  # projects
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files.FileSystem.from_uri(root.rstrip("/"))
+        for batch in batches:
+            left = [info for name in batch.column(0).to_pylist() for info in system.get_file_info([f"{at}/{name}"])]
+            while left:
+                info = left.pop()
+                if info.base_name.startswith(".") or (info.base_name.startswith("_") and "=" not in info.base_name) or info.base_name.endswith("._COPYING_"):
+                    continue
+                if info.type == files.FileType.Directory:
+                    inner = system.get_file_info(files.FileSelector(info.path))
+                    left += [i for i in inner if i.type == files.FileType.Directory]
+                    found = [i for i in inner if i.type == files.FileType.File and not i.base_name.startswith((".", "_"))]
+                else:
+                    found = [info]
+                paths = [i.path[len(at) + 1 :] for i in found if i.size and i.base_name.endswith(tuple(suffixes)) and not i.base_name.endswith("._COPYING_")]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["source_path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = files.FileSystem.from_uri(root.rstrip("/"))
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["source_path", "content"])
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{at}/{path}") as stream:
+                    rows.append((path, stream.read()))
+                size += len(rows[-1][1])
+                if size >= MOST_READ:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    tops = spark.createDataFrame([(f,) for f in first], "name string").repartition(max(1, min(len(first), 1000)))
+    return tops.mapInArrow(walk, "source_path string").repartition(n).mapInArrow(read, "source_path string, content binary")
+
+
+def _tree(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
     """Files under root as (project_dir, rel_path, source_path, content); the first folder is the project's."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    top = root.rstrip("/").rsplit("/", 1)[-1]
-    source = F.regexp_extract(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), f"(?s)/{top}/(.*)$", 1)
-    files = files.withColumn("source_path", source)
-    return files.select(F.substring_index("source_path", "/", 1).alias("project_dir"), F.regexp_replace("source_path", "^[^/]*/", "").alias("rel_path"), "source_path", "content")
+    found = _below(spark, root, suffixes)
+    if found is None:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(suffixes)}}}").load(root)
+        top = root.rstrip("/").rsplit("/", 1)[-1]
+        source = F.regexp_extract(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), f"(?s)/{top}/(.*)$", 1)
+        found = found.withColumn("source_path", source)
+    return found.select(F.substring_index("source_path", "/", 1).alias("project_dir"), F.regexp_replace("source_path", "^[^/]*/", "").alias("rel_path"), "source_path", "content")
 
 
 def read_content_tree(spark: SparkSession, root: str) -> DataFrame:
     """(project_dir, rel_path, source_path, raw, utf8) of .md, .txt and .json files; names with a leading _ and hidden parts are passed over. raw is null where it isn't UTF-8."""
-    rows = _tree(spark, root, "*.{md,txt,json,MD,TXT,JSON}")
+    rows = _tree(spark, root, (".md", ".txt", ".json", ".MD", ".TXT", ".JSON"))
     parts = F.split("rel_path", "/")
     rows = rows.where(~F.exists(parts, lambda p: p.startswith(".")) & ~F.substring_index("rel_path", "/", -1).startswith("_"))
     fine = F.expr("is_valid_utf8(cast(content as string))")

@@ -55,3 +55,20 @@ def test_publishing_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
     assert {k for k in tree(root) if not k.startswith(".new-")} == set()
     document_files.publish(spark, root, hidden.name.removeprefix(".new-"))
     assert tree(root) == DOCS
+
+
+def test_a_tree_is_listed_by_tasks(spark, tmp_path):
+    """The driver holds no file's name; what is hidden, empty or of another kind is passed over as Spark's readers do."""
+    root = tmp_path / "docs"
+    names = ("p/a.md", "p/deep/er/b.txt", "p=1/c.JSON", "p/_x=1/d.md", "top.md", "p/no.bin", "p/_hidden.md", "p/.dot.md", "_q/e.md", ".r/f.md", "p/empty.md")
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("" if "empty" in name else name)
+    (root / "none").mkdir()
+    got = trees.read_content_tree(spark, str(root))
+    assert got._jdf.queryExecution().analyzed().collectLeaves().size() == 1 and got.inputFiles() == []
+    assert {r["source_path"]: r["raw"] for r in got.collect()} == {n: n for n in names[:5]}
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt,JSON}").load(str(root)).where("length > 0").count()
+    assert seen == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        trees.read_content_tree(spark, str(tmp_path / "absent"))
